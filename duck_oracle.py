@@ -226,5 +226,121 @@ ORACLE: dict[str, str] = {
 }
 
 
+
+ORACLE.update({
+    "trip_endpoints": """
+        SELECT trip.id AS trip_id, trip.service_date, dep.code AS departure_station_code,
+               arr.code AS arrival_station_code
+        FROM trips trip JOIN stations dep ON dep.id = trip.departure_station_id
+                        JOIN stations arr ON arr.id = trip.arrival_station_id""",
+    "ticket_left_enrich": """
+        SELECT t.ticket_ref, b.booking_ref, p.last_name AS passenger_last_name, f.code AS fare_code,
+               s.seat_number
+        FROM tickets t LEFT JOIN bookings b ON b.id = t.booking_id
+                       LEFT JOIN passengers p ON p.id = t.passenger_id
+                       LEFT JOIN fares f ON f.id = t.fare_id
+                       LEFT JOIN seats s ON s.id = t.seat_id""",
+    "seat_carriage_chain": """
+        SELECT t.ticket_ref, s.seat_number, c.carriage_number, c.carriage_type
+        FROM tickets t LEFT JOIN seats s ON s.id = t.seat_id
+                       LEFT JOIN carriages c ON c.id = s.carriage_id""",
+    "booking_payment_status": f"""
+        WITH payment_summary AS ({_PAYMENT_SUMMARY})
+        SELECT b.booking_ref, b.status AS booking_status, pay.paid_amount, pay.latest_payment_status
+        FROM bookings b LEFT JOIN payment_summary pay ON pay.booking_id = b.id""",
+    "table_profile": """
+        SELECT count(*) AS n_tickets, min(issued_at) AS first_issued_at, max(issued_at) AS last_issued_at
+        FROM tickets""",
+    "lookup_unique": """
+        SELECT id, booking_ref, status, total_amount FROM bookings
+        WHERE booking_ref IN (SELECT printf('BKG-%08d', booking_id) FROM tickets
+                              WHERE status = 'checked_in' AND booking_id IS NOT NULL)""",
+    "lookup_ignore_case": """
+        SELECT id, email FROM users
+        WHERE lower(email) IN (
+            SELECT lower(lower(replace(p.last_name, '#', '.')) || '@example.com')
+            FROM passengers p
+            WHERE p.id IN (SELECT passenger_id FROM tickets
+                           WHERE CAST(issued_at AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-01-31'))""",
+    "lookup_composite": """
+        SELECT r.id, r.trip_id, r.seat_id, r.ticket_id FROM seat_reservations r
+        WHERE EXISTS (SELECT 1 FROM tickets t
+                      WHERE CAST(t.issued_at AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-01-31'
+                        AND t.seat_id IS NOT NULL AND t.trip_id = r.trip_id AND t.seat_id = r.seat_id)""",
+    "trips_between": """
+        SELECT id, route_id, service_date FROM trips
+        WHERE service_date BETWEEN DATE '1998-01-01' AND DATE '1998-01-31'""",
+    "filter_status": "SELECT id, booking_ref FROM bookings WHERE status = 'pending'",
+    "children_ordered": """
+        SELECT id, train_id, carriage_number FROM carriages
+        WHERE train_id IN (SELECT train_id FROM trips
+                           WHERE service_date BETWEEN DATE '1998-01-01' AND DATE '1998-01-31')
+        ORDER BY train_id, carriage_number""",
+    "children_of": """
+        SELECT id, user_id, last_name FROM passengers
+        WHERE user_id IN (SELECT user_id FROM bookings
+                          WHERE CAST(created_at AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-01-31')""",
+    "dq_seat_train": """
+        SELECT t.ticket_ref, c.train_id AS seat_train_id, trip.train_id AS trip_train_id
+        FROM tickets t JOIN trips trip ON trip.id = t.trip_id
+                       JOIN seats s ON s.id = t.seat_id
+                       LEFT JOIN carriages c ON c.id = s.carriage_id
+        WHERE c.train_id IS DISTINCT FROM trip.train_id""",
+    "dq_partial_unique": """
+        SELECT 'tickets' AS table_name, 'trip_id,seat_id' AS key_columns,
+               concat_ws('|', CAST(trip_id AS VARCHAR), CAST(seat_id AS VARCHAR)) AS key_value,
+               count(*) AS n_rows
+        FROM tickets WHERE seat_id IS NOT NULL AND trip_id IS NOT NULL
+        GROUP BY trip_id, seat_id HAVING count(*) > 1""",
+    "dq_decimal": " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, '{c}' AS column_name, 'decimal({p},{s})' AS target_type,
+                   count({c}) AS n_values,
+                   count(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST({c} AS DECIMAL({p},{s})) IS NULL) AS n_overflow
+            FROM {t}""" for t, c, p, s in [("orders", "o_totalprice", 12, 2),
+                                            ("lineitem", "l_extendedprice", 12, 2),
+                                            ("part", "p_retailprice", 10, 2)]),
+})
+
+
+def _dq_sql() -> dict[str, str]:
+    """Data-quality oracles, one SELECT per declared constraint (from the model lists)."""
+    from railyard import schemas as M
+
+    uniq = []
+    for t in M.TABLES:
+        for cols in [("id",)] + M.UNIQUE.get(t, []):
+            notnull = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+            key = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+            uniq.append(f"""SELECT '{t}' AS table_name, '{",".join(cols)}' AS key_columns,
+                concat_ws('|', {key}) AS key_value, count(*) AS n_rows
+                FROM {t} WHERE {notnull} GROUP BY {", ".join(cols)} HAVING count(*) > 1""")
+    refs = []
+    for fk in M.FOREIGN_KEYS:
+        refs.append(f"""SELECT '{fk.child}' AS table_name, '{fk.column}' AS column_name,
+                '{fk.parent}' AS parent_table, count(*) AS n_refs,
+                count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM {fk.parent} p WHERE p.id = c.{fk.column})) AS n_orphans
+                FROM {fk.child} c WHERE c.{fk.column} IS NOT NULL HAVING count(*) > 0""")
+    nulls, doms = [], []
+    for t in M.TABLES:
+        for c in M.not_null_columns(t):
+            if t == "route_stops" and c.startswith("scheduled_"):
+                continue
+            nulls.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
+                         f"count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM {t}")
+        for col in M.TABLES[t]:
+            if col.enum:
+                dom = ", ".join(f"'{v}'" for v in M.ENUMS[col.enum])
+                doms.append(f"SELECT '{t}' AS table_name, '{col.name}' AS column_name, 'enum:{col.enum}' AS rule, "
+                            f"count(*) FILTER (WHERE {col.name} IS NOT NULL AND {col.name} NOT IN ({dom})) AS n_bad FROM {t}")
+            if col.char_len:
+                doms.append(f"SELECT '{t}' AS table_name, '{col.name}' AS column_name, 'char({col.char_len})' AS rule, "
+                            f"count(*) FILTER (WHERE {col.name} IS NOT NULL AND length({col.name}) <> {col.char_len}) AS n_bad FROM {t}")
+    return {"dq_unique": "\nUNION ALL\n".join(uniq), "dq_orphans": "\nUNION ALL\n".join(refs),
+            "dq_not_null": "\nUNION ALL\n".join(nulls), "dq_domain": "\nUNION ALL\n".join(doms)}
+
+
+ORACLE.update(_dq_sql())
+
+
 def oracle_queries() -> dict[str, str]:
     return {k: with_domain(v) for k, v in ORACLE.items()}

@@ -56,3 +56,179 @@ QUERIES = {
     "monthly_report_backfill": q_monthly_report_backfill,
     "payment_summary": q_payment_summary,
 }
+
+
+# ---------------------------------------------------------------------------
+# joins and aggregates around the report
+# ---------------------------------------------------------------------------
+from railyard.functions.refs import padded_ref  # noqa: E402
+from railyard.operators import lookups as LK  # noqa: E402
+from railyard.operators import quality as DQ  # noqa: E402
+from railyard import schemas  # noqa: E402
+
+
+def q_trip_endpoints(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    st = t["stations"]
+    dep = F.broadcast(st.select(F.col("id").alias("dep_id"), F.col("code").alias("departure_station_code")))
+    arr = F.broadcast(st.select(F.col("id").alias("arr_id"), F.col("code").alias("arrival_station_code")))
+    tr = t["trips"]
+    return (tr.join(dep, tr.departure_station_id == dep.dep_id).join(arr, tr.arrival_station_id == arr.arr_id)
+              .select(F.col("id").alias("trip_id"), "service_date", "departure_station_code",
+                      "arrival_station_code"))
+
+
+def q_ticket_left_enrich(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    tk = t["tickets"]
+    b = t["bookings"].select(F.col("id").alias("b_id"), "booking_ref")
+    p = t["passengers"].select(F.col("id").alias("p_id"), F.col("last_name").alias("passenger_last_name"))
+    f = t["fares"].select(F.col("id").alias("f_id"), F.col("code").alias("fare_code"))
+    s = t["seats"].select(F.col("id").alias("s_id"), "seat_number")
+    return (tk.join(b, tk.booking_id == b.b_id, "left").join(p, tk.passenger_id == p.p_id, "left")
+              .join(f, tk.fare_id == f.f_id, "left").join(s, tk.seat_id == s.s_id, "left")
+              .select("ticket_ref", "booking_ref", "passenger_last_name", "fare_code", "seat_number"))
+
+
+def q_seat_carriage_chain(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    tk = t["tickets"]
+    s = t["seats"].select(F.col("id").alias("s_id"), "carriage_id", "seat_number")
+    c = t["carriages"].select(F.col("id").alias("c_id"), "carriage_number", "carriage_type")
+    return (tk.join(s, tk.seat_id == s.s_id, "left").join(c, F.col("carriage_id") == c.c_id, "left")
+              .select("ticket_ref", "seat_number", "carriage_number", "carriage_type"))
+
+
+def q_booking_payment_status(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return R.booking_payments(t["bookings"], t["payments"]).select(
+        "booking_ref", "booking_status", "paid_amount", "latest_payment_status")
+
+
+def q_table_profile(spark, sf_dir):
+    tk = _tables(spark, sf_dir)["tickets"]
+    return tk.agg(F.count(F.lit(1)).alias("n_tickets"),
+                  F.min("issued_at").cast("timestamp_ntz").alias("first_issued_at"),
+                  F.max("issued_at").cast("timestamp_ntz").alias("last_issued_at"))
+
+
+# ---------------------------------------------------------------------------
+# lookups: key sets come from the data (tickets/bookings of the report window)
+# ---------------------------------------------------------------------------
+def _window_tickets(t):
+    return t["tickets"].filter(F.to_date("issued_at").between(F.lit(REPORT_WINDOW.start),
+                                                               F.lit(REPORT_WINDOW.end)))
+
+
+def q_lookup_unique(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    keys = (t["tickets"].filter((F.col("status") == "checked_in") & F.col("booking_id").isNotNull())
+            .select(padded_ref("BKG-", F.col("booking_id")).alias("ref")))
+    return LK.run_finder(t, "BookingRepository.findByBookingRef", keys).select(
+        "id", "booking_ref", "status", "total_amount")
+
+
+def q_lookup_ignore_case(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    wt = _window_tickets(t)
+    p = t["passengers"]
+    keys = (p.join(wt, p.id == wt.passenger_id, "left_semi")
+            .select(F.concat(F.lower(F.replace("last_name", F.lit("#"), F.lit("."))),
+                             F.lit("@example.com")).alias("email")))
+    return LK.run_finder(t, "UserAccountRepository.findByEmailIgnoreCase", keys).select("id", "email")
+
+
+def q_lookup_composite(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    keys = _window_tickets(t).filter(F.col("seat_id").isNotNull()).select("trip_id", "seat_id")
+    return LK.run_finder(t, "SeatReservationRepository.findByTripIdAndSeatId", keys).select(
+        "id", "trip_id", "seat_id", "ticket_id")
+
+
+def q_trips_between(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return LK.run_finder(t, "TripRepository.findByServiceDateBetween",
+                         low=REPORT_WINDOW.start, high=REPORT_WINDOW.end).select("id", "route_id", "service_date")
+
+
+def q_filter_status(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return LK.run_finder(t, "BookingRepository.findByStatus", value="pending").select("id", "booking_ref")
+
+
+def q_children_ordered(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    trains = LK.find_between(t["trips"], "service_date", REPORT_WINDOW.start, REPORT_WINDOW.end).select(
+        F.col("train_id").alias("id"))
+    return LK.run_finder(t, "CarriageRepository.findByTrainIdOrderByCarriageNumber", trains).select(
+        "id", "train_id", "carriage_number")
+
+
+def q_children_of(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    users = (t["bookings"].filter(F.to_date("created_at").between(F.lit(REPORT_WINDOW.start),
+                                                                  F.lit(REPORT_WINDOW.end)))
+             .select(F.col("user_id").alias("id")))
+    return LK.run_finder(t, "PassengerRepository.findByUserId", users).select("id", "user_id", "last_name")
+
+
+# ---------------------------------------------------------------------------
+# data quality
+# ---------------------------------------------------------------------------
+DQ_DECIMAL_SOURCES = [  # raw value → declared column type
+    ("orders", "o_totalprice", 12, 2),
+    ("lineitem", "l_extendedprice", 12, 2),
+    ("part", "p_retailprice", 10, 2),
+]
+
+
+def q_dq_unique(spark, sf_dir):
+    return DQ.unique_violations(_tables(spark, sf_dir))
+
+
+def q_dq_partial_unique(spark, sf_dir):
+    return DQ.partial_unique_violations(_tables(spark, sf_dir))
+
+
+def q_dq_orphans(spark, sf_dir):
+    return DQ.reference_summary(_tables(spark, sf_dir))
+
+
+def q_dq_not_null(spark, sf_dir):
+    return DQ.null_profile(_tables(spark, sf_dir))
+
+
+def q_dq_domain(spark, sf_dir):
+    return DQ.domain_profile(_tables(spark, sf_dir))
+
+
+def q_dq_decimal(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return DQ._union([DQ.decimal_fit(t.src(tb), tb, c, p, s) for tb, c, p, s in DQ_DECIMAL_SOURCES])
+
+
+def q_dq_seat_train(spark, sf_dir):
+    return DQ.seat_train_mismatch(_tables(spark, sf_dir))
+
+
+QUERIES.update({
+    "trip_endpoints": q_trip_endpoints,
+    "ticket_left_enrich": q_ticket_left_enrich,
+    "seat_carriage_chain": q_seat_carriage_chain,
+    "booking_payment_status": q_booking_payment_status,
+    "table_profile": q_table_profile,
+    "lookup_unique": q_lookup_unique,
+    "lookup_ignore_case": q_lookup_ignore_case,
+    "lookup_composite": q_lookup_composite,
+    "trips_between": q_trips_between,
+    "filter_status": q_filter_status,
+    "children_ordered": q_children_ordered,
+    "children_of": q_children_of,
+    "dq_unique": q_dq_unique,
+    "dq_partial_unique": q_dq_partial_unique,
+    "dq_orphans": q_dq_orphans,
+    "dq_not_null": q_dq_not_null,
+    "dq_domain": q_dq_domain,
+    "dq_decimal": q_dq_decimal,
+    "dq_seat_train": q_dq_seat_train,
+})
