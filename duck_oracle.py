@@ -342,5 +342,148 @@ def _dq_sql() -> dict[str, str]:
 ORACLE.update(_dq_sql())
 
 
+
+_CLASSIFIED = """
+    SELECT job_name, namespace, ts, event_id, creation_ts, start_ts, completion_ts,
+           active, succeeded, failed,
+           CASE WHEN succeeded > 0 THEN 'Succeeded' WHEN failed > 0 THEN 'Failed'
+                WHEN active > 0 THEN 'Running' ELSE 'Pending' END AS status
+    FROM job_obs"""
+
+_CHANGES = f"""
+    WITH cls AS ({_CLASSIFIED}),
+    lagged AS (
+        SELECT *, row_number() OVER w AS rn,
+               lag(status) OVER w AS p_status, lag(active) OVER w AS p_active,
+               lag(succeeded) OVER w AS p_succeeded, lag(failed) OVER w AS p_failed,
+               lag(completion_ts) OVER w AS p_completion
+        FROM cls WINDOW w AS (PARTITION BY job_name ORDER BY ts, event_id))
+    SELECT * FROM lagged
+    WHERE rn = 1 OR status IS DISTINCT FROM p_status OR active IS DISTINCT FROM p_active
+       OR succeeded IS DISTINCT FROM p_succeeded OR failed IS DISTINCT FROM p_failed
+       OR completion_ts IS DISTINCT FROM p_completion"""
+
+_LATEST = f"""
+    SELECT * FROM ({_CLASSIFIED}) cls
+    QUALIFY row_number() OVER (PARTITION BY job_name ORDER BY ts DESC, event_id DESC) = 1"""
+
+ORACLE.update({
+    "apply_defaults": """
+        SELECT id, coalesce(currency, 'EUR') AS currency, coalesce(refundable, false) AS refundable,
+               coalesce(refund_policy, 'non_refundable') AS refund_policy
+        FROM fares""",
+    "upsert_latest": f"""
+        WITH ps AS ({_PAYMENT_SUMMARY}),
+        upd AS (SELECT b.id, b.booking_ref, 'confirmed' AS status, b.total_amount, 1 AS src
+                FROM bookings b JOIN ps ON ps.booking_id = b.id
+                WHERE b.status = 'pending' AND ps.latest_payment_status = 'completed'),
+        allv AS (SELECT * FROM upd UNION ALL
+                 SELECT id, booking_ref, status, total_amount, 0 AS src FROM bookings)
+        SELECT id, booking_ref, status, total_amount FROM allv
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY src DESC) = 1""",
+    "link_reservations": """
+        WITH tk AS (SELECT trip_id, seat_id, booking_id, min(id) AS tid FROM tickets
+                    WHERE seat_id IS NOT NULL GROUP BY trip_id, seat_id, booking_id)
+        SELECT r.id, coalesce(r.ticket_id, tk.tid) AS ticket_id
+        FROM seat_reservations r LEFT JOIN tk
+          ON tk.trip_id = r.trip_id AND tk.seat_id = r.seat_id
+         AND tk.booking_id IS NOT DISTINCT FROM r.reserved_by_booking""",
+    "delete_cascade": """
+        WITH gone_trip AS (SELECT id FROM trips WHERE service_date < DATE '1996-01-01'),
+        gone_ticket AS (SELECT id FROM tickets WHERE trip_id IN (SELECT id FROM gone_trip))
+        SELECT 'seat_reservations' AS table_name, count(*) AS n_rows FROM seat_reservations
+            WHERE trip_id NOT IN (SELECT id FROM gone_trip)
+        UNION ALL SELECT 'ticket_refunds', count(*) FROM ticket_refunds
+            WHERE ticket_id NOT IN (SELECT id FROM gone_ticket)
+        UNION ALL SELECT 'tickets', count(*) FROM tickets WHERE id NOT IN (SELECT id FROM gone_ticket)
+        UNION ALL SELECT 'trips', count(*) FROM trips WHERE id NOT IN (SELECT id FROM gone_trip)""",
+    "delete_set_null": """
+        SELECT t.id, CASE WHEN t.booking_id IN (SELECT id FROM bookings WHERE status = 'cancelled')
+                          THEN NULL ELSE t.booking_id END AS booking_id
+        FROM tickets t""",
+    "delete_restrict": """
+        WITH gone AS (SELECT id FROM stations WHERE region = 'AFRICA')
+        SELECT 'route_stops' AS table_name, 'station_id' AS column_name, id AS child_id, station_id AS parent_id
+            FROM route_stops WHERE station_id IN (SELECT id FROM gone)
+        UNION ALL SELECT 'trips', 'departure_station_id', id, departure_station_id
+            FROM trips WHERE departure_station_id IN (SELECT id FROM gone)
+        UNION ALL SELECT 'trips', 'arrival_station_id', id, arrival_station_id
+            FROM trips WHERE arrival_station_id IN (SELECT id FROM gone)""",
+    "job_classify": f"SELECT job_name, event_id, ts, status, active, succeeded, failed FROM ({_CLASSIFIED}) c",
+    "job_changes": f"""
+        SELECT job_name, event_id, ts, status, active, succeeded, failed, completion_ts
+        FROM ({_CHANGES}) ch""",
+    "job_terminal_window": f"""
+        WITH cls AS ({_CLASSIFIED}),
+        t0 AS (SELECT job_name, min(ts) AS t0 FROM cls WHERE status IN ('Succeeded', 'Failed')
+               GROUP BY job_name),
+        ch AS ({_CHANGES})
+        SELECT ch.job_name, ch.event_id, ch.ts, ch.status, true AS monitoring
+        FROM ch LEFT JOIN t0 ON t0.job_name = ch.job_name
+        WHERE t0.t0 IS NULL OR ch.ts <= t0.t0 + INTERVAL 30 SECOND
+        UNION ALL
+        SELECT c.job_name, c.event_id, c.ts, c.status, false AS monitoring
+        FROM cls c JOIN t0 ON t0.job_name = c.job_name AND c.ts = t0.t0""",
+    "jobs_missing": f"""
+        WITH cls AS ({_CLASSIFIED}),
+        snaps AS (SELECT *, date_trunc('hour', ts) AS snap FROM cls
+                  QUALIFY row_number() OVER (PARTITION BY job_name, date_trunc('hour', ts)
+                                             ORDER BY ts DESC, event_id DESC) = 1)
+        SELECT s.job_name, s.snap + INTERVAL 1 HOUR AS missing_at, s.event_id, s.status,
+               false AS monitoring
+        FROM snaps s
+        WHERE NOT EXISTS (SELECT 1 FROM snaps n WHERE n.job_name = s.job_name
+                                                   AND n.snap = s.snap + INTERVAL 1 HOUR)""",
+    "jobs_latest": f"""
+        SELECT job_name, event_id, ts, status, active, succeeded, failed, completion_ts
+        FROM ({_LATEST}) l""",
+    "job_status_counts": f"""
+        SELECT count(*) AS n_jobs, count(*) FILTER (WHERE status = 'Running') AS running,
+               count(*) FILTER (WHERE status = 'Succeeded') AS succeeded,
+               count(*) FILTER (WHERE status = 'Failed') AS failed
+        FROM ({_LATEST}) l""",
+    "jobs_newest_first": f"""
+        SELECT job_name, creation_ts, status FROM ({_LATEST}) l ORDER BY creation_ts DESC, job_name""",
+    "job_duration": f"""
+        WITH l AS ({_LATEST}),
+        d AS (SELECT *, CASE WHEN start_ts IS NULL THEN 0 ELSE CAST(floor(
+                   (epoch_us(coalesce(completion_ts, TIMESTAMP '2024-02-01 00:00:00')) - epoch_us(start_ts))
+                   / 1000000.0) AS BIGINT) END AS secs FROM l)
+        SELECT job_name, status, secs AS duration_seconds,
+               CASE WHEN secs IS NULL OR secs = 0 THEN '0s'
+                    WHEN secs < 60 THEN CAST(secs AS VARCHAR) || 's'
+                    ELSE CAST(floor(secs / 60) AS BIGINT)::VARCHAR || 'm ' || CAST(secs % 60 AS VARCHAR) || 's'
+               END AS duration_text,
+               strftime(creation_ts, '%Y-%m-%dT%H:%M:%SZ') AS creation_timestamp,
+               strftime(start_ts, '%Y-%m-%dT%H:%M:%SZ') AS start_time,
+               strftime(completion_ts, '%Y-%m-%dT%H:%M:%SZ') AS completion_time
+        FROM d""",
+    "job_prefix_filter": f"""
+        SELECT job_name, status FROM ({_LATEST}) l WHERE starts_with(job_name, 'ticketing-report-1')""",
+    "preferred_pod": """
+        SELECT name, id, status FROM pod_records
+        QUALIFY row_number() OVER (PARTITION BY name ORDER BY
+            CASE WHEN status IN ('Running', 'Succeeded') THEN 0 ELSE 1 END, id) = 1""",
+    "audit_payload_extract": """
+        SELECT id, TRY_CAST(json_extract_string(payload, '$.k') AS INTEGER) AS k FROM audit_logs""",
+    "report_name_parse": """
+        WITH f AS (
+            SELECT 'ticketing-report-' || strftime(date_trunc('month', created_at) - INTERVAL 1 MONTH, '%Y-%m-%d')
+                   || '-to-' || strftime(date_trunc('month', created_at) - INTERVAL 1 DAY, '%Y-%m-%d')
+                   || '-' || CAST(id % 100000 AS VARCHAR)
+                   || CASE WHEN status = 'Succeeded' THEN '.xlsx' ELSE '.log' END AS file_name
+            FROM pod_records)
+        SELECT file_name,
+               CAST(regexp_extract(file_name, '^ticketing-report-(\d{4}-\d{2}-\d{2})-to-', 1) AS DATE) AS period_start,
+               CAST(regexp_extract(file_name, '-to-(\d{4}-\d{2}-\d{2})-', 1) AS DATE) AS period_end,
+               regexp_extract(file_name, '-(\d+)\.xlsx$', 1) AS stamp
+        FROM f WHERE ends_with(file_name, '.xlsx') ORDER BY file_name""",
+    "gen_ref": """
+        SELECT id, upper('BKG' || '-' || substr(md5(CAST(id AS VARCHAR)), 1, 8)) AS ref FROM bookings""",
+    "pad_refs": """
+        SELECT id, printf('PASS%06d', id) AS doc_number, printf('%04d', id) AS seq4 FROM passengers""",
+})
+
+
 def oracle_queries() -> dict[str, str]:
     return {k: with_domain(v) for k, v in ORACLE.items()}

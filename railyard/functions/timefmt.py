@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 
 def duration_seconds(start: Column, end: Column, as_of: Column) -> Column:
-    """Whole seconds from start to end (or to ``as_of`` while running); 0 without a start."""
+    """Whole seconds from start to end (or to ``as_of`` while running); 0 without a start.
+
+    Floor of the exact difference, as a duration's seconds part is.
+    """
     stop = F.coalesce(end, as_of)
+    micros = F.unix_micros(stop) - F.unix_micros(start)
     return (F.when(start.isNull(), F.lit(0).cast("long"))
-            .otherwise(F.unix_timestamp(stop) - F.unix_timestamp(start)))
+            .otherwise(F.floor(micros / F.lit(1000000)).cast("long")))
 
 
 def duration_text(seconds: Column) -> Column:

@@ -232,3 +232,162 @@ QUERIES.update({
     "dq_decimal": q_dq_decimal,
     "dq_seat_train": q_dq_seat_train,
 })
+
+
+# ---------------------------------------------------------------------------
+# write path
+# ---------------------------------------------------------------------------
+from railyard.operators import writes as WR  # noqa: E402
+from railyard.operators import jobs as JB  # noqa: E402
+from railyard.functions.refs import gen_ref, padded  # noqa: E402
+
+BATCH_TS = dt.datetime(2024, 2, 1, 0, 0, 0)
+CASCADE_BEFORE = dt.date(1996, 1, 1)
+
+
+def q_apply_defaults(spark, sf_dir):
+    f = _tables(spark, sf_dir)["fares"]
+    return WR.apply_defaults(f, "fares", BATCH_TS).select("id", "currency", "refundable", "refund_policy")
+
+
+def q_upsert_latest(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    b = t["bookings"]
+    ps = R.payment_summary(t["payments"])
+    upd = (b.join(ps, b.id == ps.booking_id)
+            .filter((F.col("status") == "pending") & (F.col("latest_payment_status") == "completed"))
+            .select(*[F.lit("confirmed").alias(c) if c == "status" else F.col(c) for c in b.columns]))
+    return WR.upsert(b, upd).select("id", "booking_ref", "status", "total_amount")
+
+
+def q_link_reservations(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return WR.link_reservations(t["seat_reservations"], t["tickets"]).select("id", "ticket_id")
+
+
+def q_delete_cascade(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    doomed = t["trips"].filter(F.col("service_date") < F.lit(CASCADE_BEFORE))
+    new, _ = WR.plan_delete(t, "trips", doomed)
+    frames = [new[n].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
+              for n in sorted(new)]
+    return DQ._union(frames)
+
+
+def q_delete_set_null(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    doomed = t["bookings"].filter(F.col("status") == "cancelled")
+    new, _ = WR.plan_delete(t, "bookings", doomed)
+    return new["tickets"].select("id", "booking_id")
+
+
+def q_delete_restrict(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    doomed = t["stations"].filter(F.col("region") == "AFRICA")
+    _, blocking = WR.plan_delete(t, "stations", doomed)
+    return blocking
+
+
+# ---------------------------------------------------------------------------
+# job status
+# ---------------------------------------------------------------------------
+JOB_AS_OF = dt.datetime(2024, 2, 1, 0, 0, 0)
+
+
+def _ntz(*cols):
+    return [F.col(c).cast("timestamp_ntz").alias(c) for c in cols]
+
+
+def _obs(spark, sf_dir):
+    return _tables(spark, sf_dir).job_observations()
+
+
+def q_job_classify(spark, sf_dir):
+    return JB.classify(_obs(spark, sf_dir)).select(
+        "job_name", "event_id", *_ntz("ts"), "status", "active", "succeeded", "failed")
+
+
+def q_job_changes(spark, sf_dir):
+    return JB.changes(_obs(spark, sf_dir)).select(
+        "job_name", "event_id", *_ntz("ts"), "status", "active", "succeeded", "failed", *_ntz("completion_ts"))
+
+
+def q_job_terminal_window(spark, sf_dir):
+    return JB.terminal_feed(_obs(spark, sf_dir)).select(
+        "job_name", "event_id", *_ntz("ts"), "status", "monitoring")
+
+
+def q_jobs_missing(spark, sf_dir):
+    return JB.missing_jobs(_obs(spark, sf_dir)).select(
+        "job_name", *_ntz("missing_at"), "event_id", "status", "monitoring")
+
+
+def q_jobs_latest(spark, sf_dir):
+    return JB.latest(_obs(spark, sf_dir)).select(
+        "job_name", "event_id", *_ntz("ts"), "status", "active", "succeeded", "failed", *_ntz("completion_ts"))
+
+
+def q_job_status_counts(spark, sf_dir):
+    return JB.status_counts(JB.latest(_obs(spark, sf_dir)))
+
+
+def q_jobs_newest_first(spark, sf_dir):
+    return JB.newest_first(JB.latest(_obs(spark, sf_dir))).select("job_name", *_ntz("creation_ts"), "status")
+
+
+def q_job_duration(spark, sf_dir):
+    return JB.with_durations(JB.latest(_obs(spark, sf_dir)), JOB_AS_OF)
+
+
+def q_job_prefix_filter(spark, sf_dir):
+    return JB.prefix_filter(JB.latest(_obs(spark, sf_dir)), "job_name", "ticketing-report-1").select(
+        "job_name", "status")
+
+
+def q_preferred_pod(spark, sf_dir):
+    return JB.preferred_pod(_tables(spark, sf_dir)["pod_records"]).select("name", "id", "status")
+
+
+def q_audit_payload_extract(spark, sf_dir):
+    a = _tables(spark, sf_dir)["audit_logs"]
+    return a.select("id", F.from_json("payload", "k INT")["k"].alias("k"))
+
+
+def q_report_name_parse(spark, sf_dir):
+    from railyard.sources.catalog import parse_report_names, report_file_names
+    return parse_report_names(report_file_names(_tables(spark, sf_dir)["pod_records"]))
+
+
+def q_gen_ref(spark, sf_dir):
+    b = _tables(spark, sf_dir)["bookings"]
+    return b.select("id", gen_ref("BKG", F.col("id")).alias("ref"))
+
+
+def q_pad_refs(spark, sf_dir):
+    p = _tables(spark, sf_dir)["passengers"]
+    return p.select("id", padded_ref("PASS", F.col("id"), 6).alias("doc_number"),
+                    padded(F.col("id"), 4).alias("seq4"))
+
+
+QUERIES.update({
+    "apply_defaults": q_apply_defaults,
+    "upsert_latest": q_upsert_latest,
+    "link_reservations": q_link_reservations,
+    "delete_cascade": q_delete_cascade,
+    "delete_set_null": q_delete_set_null,
+    "delete_restrict": q_delete_restrict,
+    "job_classify": q_job_classify,
+    "job_changes": q_job_changes,
+    "job_terminal_window": q_job_terminal_window,
+    "jobs_missing": q_jobs_missing,
+    "jobs_latest": q_jobs_latest,
+    "job_status_counts": q_job_status_counts,
+    "jobs_newest_first": q_jobs_newest_first,
+    "job_duration": q_job_duration,
+    "job_prefix_filter": q_job_prefix_filter,
+    "preferred_pod": q_preferred_pod,
+    "audit_payload_extract": q_audit_payload_extract,
+    "report_name_parse": q_report_name_parse,
+    "gen_ref": q_gen_ref,
+    "pad_refs": q_pad_refs,
+})

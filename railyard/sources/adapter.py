@@ -304,7 +304,7 @@ class StarAdapter(DomainTables):
             F.when(et == "error", 1).otherwise(0).alias("failed"),
             F.date_trunc("day", ts).alias("creation_ts"),
             F.when(et == "signup", None).otherwise(
-                ts - F.make_dt_interval(secs=(F.col("event_id") % 600).cast("decimal(8,6)"))).alias("start_ts"),
+                ts - F.make_dt_interval(secs=(F.col("event_id") % 600).cast("decimal(18,6)"))).alias("start_ts"),
             F.when(et == "purchase", ts).alias("completion_ts"),
             F.create_map(F.lit("app"), F.lit("ticketing-report")).alias("labels"),
         )
