@@ -391,3 +391,47 @@ QUERIES.update({
     "gen_ref": q_gen_ref,
     "pad_refs": q_pad_refs,
 })
+
+
+# ---------------------------------------------------------------------------
+# sinks and the report catalogue (rows-only checks: these write files)
+# ---------------------------------------------------------------------------
+def _scratch(spark, name):
+    import uuid
+    from railyard.session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+def q_report_export(spark, sf_dir):
+    from railyard.sources.export import export_report
+    t = _tables(spark, sf_dir)
+    root = _scratch(spark, "reports")
+    path, _ = export_report(R.ticket_report(t, REPORT_WINDOW), root, REPORT_WINDOW.start,
+                            REPORT_WINDOW.end, "00001")
+    return spark.read.parquet(path)
+
+
+def q_report_catalog(spark, sf_dir):
+    from railyard.sources.catalog import report_catalog
+    from railyard.sources.export import export_report
+    t = _tables(spark, sf_dir)
+    root = _scratch(spark, "reports")
+    for w, stamp in [(REPORT_WINDOW, "00001"), (previous_month(AS_OF), "00002")]:
+        export_report(R.ticket_report(t, w, ordered=False), root, w.start, w.end, stamp)
+    return report_catalog(spark, root, pattern="*.parquet")
+
+
+def q_append_log(spark, sf_dir):
+    from railyard.sources.export import append_records
+    pods = _tables(spark, sf_dir)["pod_records"]
+    path = _scratch(spark, "pod-records")
+    append_records(pods.filter(F.col("status") == "Succeeded"), path)
+    append_records(pods.filter(F.col("status") != "Succeeded"), path)
+    return spark.read.parquet(path)
+
+
+QUERIES.update({
+    "report_export": q_report_export,
+    "report_catalog": q_report_catalog,
+    "append_log": q_append_log,
+})

@@ -33,10 +33,11 @@ def report_file_names(pod_records: DataFrame) -> DataFrame:
                               .alias("file_name"))
 
 
-def parse_report_names(names: DataFrame, column: str = "file_name", ordered: bool = True) -> DataFrame:
+def parse_report_names(names: DataFrame, column: str = "file_name", ordered: bool = True,
+                       suffix: str = REPORT_SUFFIX) -> DataFrame:
     """Keep report files (suffix filter) and parse their period and stamp."""
     n = F.col(column)
-    out = names.filter(n.endswith(REPORT_SUFFIX)).select(
+    out = names.filter(n.endswith(suffix)).select(
         n.alias("file_name"),
         F.to_date(F.regexp_extract(n, NAME_PATTERN, 1)).alias("period_start"),
         F.to_date(F.regexp_extract(n, NAME_PATTERN, 2)).alias("period_end"),
@@ -44,15 +45,28 @@ def parse_report_names(names: DataFrame, column: str = "file_name", ordered: boo
     return out.orderBy("file_name") if ordered else out
 
 
-def report_catalog(spark: SparkSession, root: str, descending: bool = True) -> DataFrame:
-    """Catalogue of report files under ``root``: name, size, mtime and period,
-    newest name first (as the dashboard lists them)."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", f"*{REPORT_SUFFIX}")
-             .option("recursiveFileLookup", "true").load(root)
+def report_catalog(spark: SparkSession, root: str, pattern: str = f"*{REPORT_SUFFIX}",
+                   descending: bool = True) -> DataFrame:
+    """Catalogue of reports under ``root``: one row per report, with its
+    period, total bytes, file count and last modification, newest name first
+    (as the dashboard lists them).
+
+    A report is either a single file or a dataset folder whose name carries
+    the period; ``binaryFile`` lists the files with only path, length and
+    mtime selected, so no file content is read.
+    """
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
              .select("path", "length", "modificationTime"))
-    named = files.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
-    parsed = parse_report_names(named, ordered=False).join(
-        named.select("file_name", "length", "modificationTime"), "file_name")
+    segs = F.split(F.col("path"), "/")
+    name = F.filter(segs, lambda s: s.rlike(NAME_PATTERN))
+    named = (files.withColumn("file_name", F.element_at(name, 1))
+                  .filter(F.col("file_name").isNotNull())
+                  .filter(F.col("file_name").like(pattern.replace("*", "%"))))
+    agg = named.groupBy("file_name").agg(
+        F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"),
+        F.max("modificationTime").alias("modified"))
+    parsed = parse_report_names(agg.select("file_name"), suffix=pattern.lstrip("*"),
+                                ordered=False).join(agg, "file_name")
     return parsed.orderBy(F.col("file_name").desc() if descending else F.col("file_name"))
 
 
