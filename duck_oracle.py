@@ -466,7 +466,7 @@ ORACLE.update({
             CASE WHEN status IN ('Running', 'Succeeded') THEN 0 ELSE 1 END, id) = 1""",
     "audit_payload_extract": """
         SELECT id, TRY_CAST(json_extract_string(payload, '$.k') AS INTEGER) AS k FROM audit_logs""",
-    "report_name_parse": """
+    "report_name_parse": r"""
         WITH f AS (
             SELECT 'ticketing-report-' || strftime(date_trunc('month', created_at) - INTERVAL 1 MONTH, '%Y-%m-%d')
                    || '-to-' || strftime(date_trunc('month', created_at) - INTERVAL 1 DAY, '%Y-%m-%d')
