@@ -72,10 +72,15 @@ def booking_payments(bookings: DataFrame, payments: DataFrame) -> DataFrame:
     return b.join(pay, b.b_id == pay.booking_id, "left").drop("booking_id")
 
 
-def _tickets(tables: DomainTables, window: Window | None) -> DataFrame:
+def window_tickets(tables: DomainTables, window: Window | None) -> DataFrame:
+    """Tickets issued in ``window`` (inclusive dates in the session zone); all if None."""
     t = tables["tickets"]
     if window is not None:
         t = t.filter(in_window(F.col("issued_at"), window))
+        if "issue_month" in t.columns:
+            # stored tickets are partitioned by issue month: prune whole folders
+            t = t.filter(F.col("issue_month").between(window.start.strftime("%Y-%m"),
+                                                      window.end.strftime("%Y-%m")))
     return t
 
 
@@ -86,7 +91,7 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
     ``strip_zone`` casts ``issued_at`` to a zone-less timestamp, as the export does.
     ``extra`` keeps additional internal columns (e.g. ``report_month``).
     """
-    t = _tickets(tables, window).select(
+    t = window_tickets(tables, window).select(
         "ticket_ref", F.col("status").alias("ticket_status"), F.col("price").alias("ticket_price"),
         F.col("currency").alias("ticket_currency"), "issued_at",
         "trip_id", "booking_id", "passenger_id", "fare_id", "seat_id")

@@ -14,14 +14,27 @@ from pyspark.sql import functions as F
 from railyard.plans import report as R
 from railyard.plans.window import Window, previous_month, resolve_window
 from railyard.sources.adapter import StarAdapter
+from railyard.sources.stored import StoredDomain, stored_adapter
 
 # Fixed parameters of the registered queries (the oracle SQL uses the same).
 REPORT_WINDOW = Window(dt.date(1998, 1, 1), dt.date(1998, 1, 31))
 AS_OF = dt.date(1998, 3, 17)
 
 
-def _tables(spark: SparkSession, sf_dir: str) -> StarAdapter:
-    return StarAdapter(spark, sf_dir)
+_DOMAINS: dict[tuple[int, str], StoredDomain] = {}
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> StoredDomain:
+    """Domain tables derived from ``sf_dir``: written once per input version to
+    the shared checkpoint folder, then read as Parquet (see ``sources.stored``).
+
+    The handles are kept per session, which also saves re-reading footers and
+    re-analysing plans for every query.
+    """
+    key = (id(spark), sf_dir)
+    if key not in _DOMAINS or _DOMAINS[key].spark is not spark:
+        _DOMAINS[key] = stored_adapter(StarAdapter(spark, sf_dir))
+    return _DOMAINS[key]
 
 
 def q_ticket_report(spark, sf_dir) -> DataFrame:
@@ -116,8 +129,7 @@ def q_table_profile(spark, sf_dir):
 # lookups: key sets come from the data (tickets/bookings of the report window)
 # ---------------------------------------------------------------------------
 def _window_tickets(t):
-    return t["tickets"].filter(F.to_date("issued_at").between(F.lit(REPORT_WINDOW.start),
-                                                               F.lit(REPORT_WINDOW.end)))
+    return R.window_tickets(t, REPORT_WINDOW)
 
 
 def q_lookup_unique(spark, sf_dir):
@@ -204,7 +216,7 @@ def q_dq_domain(spark, sf_dir):
 
 def q_dq_decimal(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return DQ._union([DQ.decimal_fit(t.src(tb), tb, c, p, s) for tb, c, p, s in DQ_DECIMAL_SOURCES])
+    return DQ._union([DQ.decimal_fit(t.source.src(tb), tb, c, p, s) for tb, c, p, s in DQ_DECIMAL_SOURCES])
 
 
 def q_dq_seat_train(spark, sf_dir):
@@ -299,7 +311,7 @@ def _ntz(*cols):
 
 
 def _obs(spark, sf_dir):
-    return _tables(spark, sf_dir).job_observations()
+    return _tables(spark, sf_dir)["job_observations"]
 
 
 def q_job_classify(spark, sf_dir):
