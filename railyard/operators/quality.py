@@ -44,15 +44,39 @@ def duplicate_keys(df: DataFrame, table: str, cols, where: str | None = None) ->
                      _key_text(cols).alias("key_value"), "n_rows"))
 
 
-def unique_violations(tables, names=None) -> DataFrame:
-    """Primary keys and UNIQUE constraints of every table (H1)."""
+def duplicate_keys_sets(df: DataFrame, table: str, key_sets: list[tuple[str, ...]]) -> DataFrame:
+    """All unique keys of one table checked in one aggregation.
+
+    ``GROUPING SETS`` expands each row once per key and aggregates them
+    together: one scan and one shuffle per table instead of one per key.  A
+    group with a NULL part is dropped afterwards — within its own grouping
+    set such a group can only come from rows whose key really is NULL, which
+    SQL uniqueness exempts.
+    """
+    if len(key_sets) == 1:
+        return duplicate_keys(df, table, key_sets[0])
+    cols = sorted({c for ks in key_sets for c in ks})
+    agg = (df.groupingSets([list(ks) for ks in key_sets], *cols)
+             .agg(F.count(F.lit(1)).alias("n_rows"), F.grouping_id().alias("__gid"))
+             .filter(F.col("n_rows") > 1))
     frames = []
-    for t in names or schemas.TABLES:
-        for cols in [("id",)] + schemas.UNIQUE.get(t, []):
-            frames.append(duplicate_keys(tables[t], t, cols))
+    for ks in key_sets:
+        # grouping_id bit i (from the left, over ``cols``) is 1 when cols[i] is aggregated away
+        gid = sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in ks)
+        part = agg.filter(F.col("__gid") == gid)
+        for c in ks:
+            part = part.filter(F.col(c).isNotNull())
+        frames.append(part.select(F.lit(table).alias("table_name"), F.lit(",".join(ks)).alias("key_columns"),
+                                  _key_text(ks).alias("key_value"), "n_rows"))
     return _union(frames)
 
 
+def unique_violations(tables, names=None) -> DataFrame:
+    """Primary keys and UNIQUE constraints of every table (H1)."""
+    return _union([duplicate_keys_sets(tables[t], t, [("id",)] + schemas.UNIQUE.get(t, []))
+                   for t in names or schemas.TABLES])
+
+
 def partial_unique_violations(tables) -> DataFrame:
     """Partial unique indexes, e.g. (trip, seat) where a seat is given (H2)."""
     return _union([duplicate_keys(tables[t], t, cols, where)
