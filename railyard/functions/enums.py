@@ -27,3 +27,11 @@ def enum_at(index: Column, enum: str) -> Column:
     """Domain value at a 0-based index column (index taken modulo the domain size)."""
     n = len(ENUMS[enum])
     return F.element_at(_domain(enum), (F.pmod(index, F.lit(n)) + 1).cast("int"))
+
+
+def checked_enum(col: Column | str, enum: str) -> Column:
+    """Text → enum value: members and NULL pass through, any other text fails
+    the query (as converting an unknown value to an enum does)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.when(c.isNull() | c.isin(ENUMS[enum]), c).otherwise(
+        F.raise_error(F.concat(F.lit(f"unknown {enum} value: "), c)))

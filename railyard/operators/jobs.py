@@ -131,6 +131,13 @@ def with_durations(states: DataFrame, as_of: dt.datetime) -> DataFrame:
         iso_utc(F.col("completion_ts")).alias("completion_time"))
 
 
+def with_period_labels(states: DataFrame) -> DataFrame:
+    """Report period from the job's ``start-date``/``end-date`` labels (NULL when absent)."""
+    lab = F.col("labels")
+    return states.withColumn("start_date", F.try_element_at(lab, F.lit("start-date"))) \
+                 .withColumn("end_date", F.try_element_at(lab, F.lit("end-date")))
+
+
 def prefix_filter(df: DataFrame, column: str, prefix: str = JOB_PREFIX) -> DataFrame:
     return df.filter(F.col(column).startswith(prefix))
 

@@ -1,6 +1,6 @@
 """Where domain tables come from and where results go."""
 
-from railyard.sources.tables import DomainTables, ParquetDomain, write_domain
+from railyard.sources.tables import DomainTables, JdbcDomain, ParquetDomain, write_domain
 from railyard.sources.adapter import StarAdapter
 
-__all__ = ["DomainTables", "ParquetDomain", "StarAdapter", "write_domain"]
+__all__ = ["DomainTables", "JdbcDomain", "ParquetDomain", "StarAdapter", "write_domain"]
