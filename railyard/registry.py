@@ -31,6 +31,8 @@ def _tables(spark: SparkSession, sf_dir: str) -> StoredDomain:
     The handles are kept per session, which also saves re-reading footers and
     re-analysing plans for every query.
     """
+    # the report's day boundaries are defined in UTC (see railyard.session)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     key = (id(spark), sf_dir)
     if key not in _DOMAINS or _DOMAINS[key].spark is not spark:
         _DOMAINS[key] = stored_adapter(StarAdapter(spark, sf_dir))
