@@ -51,24 +51,27 @@ def duplicate_keys_sets(df: DataFrame, table: str, key_sets: list[tuple[str, ...
     together: one scan and one shuffle per table instead of one per key.  A
     group with a NULL part is dropped afterwards — within its own grouping
     set such a group can only come from rows whose key really is NULL, which
-    SQL uniqueness exempts.
+    SQL uniqueness exempts.  The per-set choice is one CASE over
+    ``grouping_id`` (not one filtered branch per set, which the optimizer
+    would push below the aggregate and so re-scan the table per key).
     """
     if len(key_sets) == 1:
         return duplicate_keys(df, table, key_sets[0])
     cols = sorted({c for ks in key_sets for c in ks})
+
+    def gid_of(ks):  # grouping_id bit is 1 for each column aggregated away (leftmost = highest bit)
+        return sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in ks)
+
+    def case(values):  # SQL text: one expression per table, built without JVM round-trips
+        return "CASE " + " ".join(f"WHEN __gid = {gid_of(ks)} THEN {v}" for ks, v in zip(key_sets, values)) + " END"
+
+    present = case([" AND ".join(f"`{c}` IS NOT NULL" for c in ks) for ks in key_sets])
+    names = case([f"'{','.join(ks)}'" for ks in key_sets])
+    text = case(["concat_ws('|', " + ", ".join(f"CAST(`{c}` AS STRING)" for c in ks) + ")" for ks in key_sets])
     agg = (df.groupingSets([list(ks) for ks in key_sets], *cols)
-             .agg(F.count(F.lit(1)).alias("n_rows"), F.grouping_id().alias("__gid"))
-             .filter(F.col("n_rows") > 1))
-    frames = []
-    for ks in key_sets:
-        # grouping_id bit i (from the left, over ``cols``) is 1 when cols[i] is aggregated away
-        gid = sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in ks)
-        part = agg.filter(F.col("__gid") == gid)
-        for c in ks:
-            part = part.filter(F.col(c).isNotNull())
-        frames.append(part.select(F.lit(table).alias("table_name"), F.lit(",".join(ks)).alias("key_columns"),
-                                  _key_text(ks).alias("key_value"), "n_rows"))
-    return _union(frames)
+             .agg(F.count(F.lit(1)).alias("n_rows"), F.grouping_id().alias("__gid")))
+    return agg.filter(f"n_rows > 1 AND ({present})").selectExpr(
+        f"'{table}' AS table_name", f"{names} AS key_columns", f"{text} AS key_value", "n_rows")
 
 
 def unique_violations(tables, names=None) -> DataFrame:
