@@ -10,8 +10,10 @@ and serves later requests from the stored copy:
     in the session zone), so a date window prunes partitions and pushes the
     exact ``issued_at`` range into the remaining files, which are written
     time-sorted so row-group statistics skip what the range excludes;
-  * a table is reused only if its ``_SUCCESS`` marker exists, so a write
-    interrupted by a lost executor or driver is simply redone;
+  * a table is written to a private folder and renamed into place, and is
+    reused only if its ``_SUCCESS`` marker exists, so a write interrupted by
+    a lost executor or driver is simply redone, and two jobs deriving the
+    same table at once cannot mix their files;
   * the storage path carries a fingerprint of the source files (paths,
     sizes, modification times), so changed inputs are never served stale.
 """
@@ -63,8 +65,18 @@ class StoredDomain(DomainTables):
     def _derive(self, name: str) -> DataFrame:
         return self.extra[name]() if name in self.extra else self.source[name]
 
+    def _publish(self, tmp: str, name: str) -> None:
+        """Move a finished write into place; if another job published first, keep theirs."""
+        jvm = self.spark.sparkContext._jvm
+        src, fs = _fs(self.spark, tmp)
+        dst = jvm.org.apache.hadoop.fs.Path(self._path(name))
+        if self._complete(name) or not fs.rename(src, dst):
+            fs.delete(src, True)
+
     def build(self, name: str) -> DataFrame:
         if not self._complete(name):
+            import uuid
+            tmp = f"{self._path(name)}.tmp-{uuid.uuid4().hex[:12]}"
             df = self._derive(name)
             w = df
             if name in PARTITIONING:
@@ -76,9 +88,10 @@ class StoredDomain(DomainTables):
                 col, expr, cluster = PARTITIONING[name]
                 w = (df.withColumn(col, expr(df)).repartitionByRange(col, cluster)
                        .sortWithinPartitions(col, cluster))
-                w.write.mode("overwrite").partitionBy(col).parquet(self._path(name))
+                w.write.mode("overwrite").partitionBy(col).parquet(tmp)
             else:
-                w.write.mode("overwrite").parquet(self._path(name))
+                w.write.mode("overwrite").parquet(tmp)
+            self._publish(tmp, name)
         return self.spark.read.parquet(self._path(name))
 
 
