@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from railyard import schemas
 from railyard.schemas import CASCADE, NOW, RESTRICT, SET_NULL
@@ -50,12 +51,23 @@ def upsert(base: DataFrame, updates: DataFrame, key: str = "id", order: str | No
     if touch:
         u = u.withColumn(touch, F.lit(batch_ts).cast(base.schema[touch].dataType))
     b = base.select(*cols, F.lit(0).alias("__src"), F.lit(None).cast("string").alias("__ord"))
-    rank = F.struct("__src", "__ord", *[F.col(c) for c in cols])
+    orderable = [c for c in cols if _orderable(base.schema[c].dataType)]
+    rank = F.struct("__src", "__ord", *[F.col(c) for c in orderable])
     row = F.struct(*[F.col(c) for c in cols])
     return (b.unionByName(u).groupBy(key).agg(F.max_by(row, rank).alias("__r"))
             .select("__r.*"))
 
 
+def _orderable(t: T.DataType) -> bool:
+    if isinstance(t, (T.MapType, T.VariantType)):
+        return False
+    if isinstance(t, T.ArrayType):
+        return _orderable(t.elementType)
+    if isinstance(t, T.StructType):
+        return all(_orderable(f.dataType) for f in t.fields)
+    return True
+
+
 def link_reservations(reservations: DataFrame, tickets: DataFrame) -> DataFrame:
     """Fill a reservation's missing ticket from the ticket holding the same
     (trip, seat, booking).  Several tickets may hold one seat (the partial
