@@ -96,19 +96,23 @@ def orphans(tables, fk: schemas.ForeignKey) -> DataFrame:
 def reference_summary(tables) -> DataFrame:
     """Per foreign key: non-NULL references checked and orphans found (H3).
 
-    All keys are checked in one job: each reference contributes its rows as
-    (fk, 1, 0) and its orphans as (fk, 0, 1), and one aggregation (partial
-    sums before the shuffle) adds them up.
+    References are first counted per distinct value (partial aggregation
+    before the shuffle, so a parent referenced by a third of all rows is one
+    row on the wire), then left-joined to the parent's distinct ids — both
+    sides hash-partitioned on the same key, so the join adds no exchange.
     """
     frames = []
     for fk in schemas.FOREIGN_KEYS:
-        tag = [F.lit(fk.child).alias("table_name"), F.lit(fk.column).alias("column_name"),
-               F.lit(fk.parent).alias("parent_table")]
-        refs = tables[fk.child].filter(F.col(fk.column).isNotNull())
-        frames.append(refs.select(*tag, F.lit(1).alias("r"), F.lit(0).alias("o")))
-        frames.append(orphans(tables, fk).select(*tag, F.lit(0).alias("r"), F.lit(1).alias("o")))
+        refs = (tables[fk.child].filter(F.col(fk.column).isNotNull())
+                .groupBy(F.col(fk.column).alias("__ref")).agg(F.count(F.lit(1)).alias("__n")))
+        ids = tables[fk.parent].select(F.col("id").alias("__pid")).distinct().withColumn("__hit", F.lit(True))
+        j = refs.join(ids, refs["__ref"] == ids["__pid"], "left")
+        frames.append(j.select(F.lit(fk.child).alias("table_name"), F.lit(fk.column).alias("column_name"),
+                               F.lit(fk.parent).alias("parent_table"), F.col("__n"),
+                               F.when(F.col("__hit").isNull(), F.col("__n")).otherwise(0).alias("__o")))
+    # one final aggregation for all keys (partial sums per task before it)
     return (_union(frames).groupBy("table_name", "column_name", "parent_table")
-            .agg(F.sum("r").cast("long").alias("n_refs"), F.sum("o").cast("long").alias("n_orphans")))
+            .agg(F.sum("__n").cast("long").alias("n_refs"), F.sum("__o").cast("long").alias("n_orphans")))
 
 
 def null_profile(tables, names=None) -> DataFrame:

@@ -85,11 +85,10 @@ def window_tickets(tables: DomainTables, window: Window | None) -> DataFrame:
 
 
 def ticket_report(tables: DomainTables, window: Window | None = None, ordered: bool = True,
-                  strip_zone: bool = True, extra: list[str] | None = None) -> DataFrame:
+                  strip_zone: bool = True) -> DataFrame:
     """The 25-column report for tickets issued in ``window`` (all tickets if None).
 
     ``strip_zone`` casts ``issued_at`` to a zone-less timestamp, as the export does.
-    ``extra`` keeps additional internal columns (e.g. ``report_month``).
     """
     t = window_tickets(tables, window).select(
         "ticket_ref", F.col("status").alias("ticket_status"), F.col("price").alias("ticket_price"),
@@ -140,7 +139,7 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
     cols = [F.col(c) for c in REPORT_COLUMNS]
     if strip_zone:
         cols[REPORT_COLUMNS.index("issued_at")] = F.col("issued_at").cast("timestamp_ntz").alias("issued_at")
-    out = j.select(*cols, *(extra or []))
+    out = j.select(*cols)
     if ordered:
         out = out.orderBy(*REPORT_ORDER)
     return out
@@ -155,8 +154,7 @@ def monthly_report_backfill(tables: DomainTables, ordered: bool = False) -> Data
     partition key when the result is written (one directory per month).
     """
     t_month = F.trunc(F.to_date("issued_at"), "MM")
-    base = ticket_report(tables, None, ordered=False, strip_zone=False,
-                         extra=[])
+    base = ticket_report(tables, None, ordered=False, strip_zone=False)
     # issued_at is still zone-aware here: the month comes from the session-zone date
     out = base.select(t_month.alias("report_month"),
                       *[F.col(c) if c != "issued_at" else F.col(c).cast("timestamp_ntz").alias(c)
