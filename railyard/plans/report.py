@@ -22,7 +22,11 @@ Plan shape (what Catalyst/AQE are steered to):
     trains, trips) grows with the business, so no broadcast is forced: AQE
     turns a join into a broadcast only when the measured side is under
     ``spark.sql.autoBroadcastJoinThreshold``, else it stays a shuffle join and
-    AQE splits skewed partitions (e.g. the NULL-key rows of a left join).
+    AQE splits skewed partitions;
+  * the five nullable references (booking, passenger, fare, seat, train) are
+    left-joined with NULL keys spread over many partitions
+    (``left_join_spread_nulls``), so tickets without a booking or seat do not
+    all meet in one task.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railyard.functions.enums import enum_max
+from railyard.operators.joins import left_join_spread_nulls
 from railyard.plans.window import Window, in_window
 from railyard.sources.tables import DomainTables
 
@@ -129,12 +134,12 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
     j = (t.join(trips, t.trip_id == trips.tr_id, "inner")
           .join(F.broadcast(routes), F.col("tr_route_id") == routes.ro_id, "inner")
           .join(F.broadcast(dep), F.col("tr_dep") == dep.dep_id, "inner")
-          .join(F.broadcast(arr), F.col("tr_arr") == arr.arr_id, "inner")
-          .join(bp, t.booking_id == bp.b_id, "left")
-          .join(pas, t.passenger_id == pas.p_id, "left")
-          .join(fares, t.fare_id == fares.f_id, "left")
-          .join(seat_car, t.seat_id == seat_car.s_id, "left")
-          .join(trains, F.col("tr_train_id") == trains.tn_id, "left"))
+          .join(F.broadcast(arr), F.col("tr_arr") == arr.arr_id, "inner"))
+    # nullable references: NULL keys are spread instead of landing in one partition
+    salt = F.col("ticket_ref")
+    for right, lk, rk in [(bp, "booking_id", "b_id"), (pas, "passenger_id", "p_id"), (fares, "fare_id", "f_id"),
+                          (seat_car, "seat_id", "s_id"), (trains, "tr_train_id", "tn_id")]:
+        j = left_join_spread_nulls(j, right, lk, rk, salt)
 
     cols = [F.col(c) for c in REPORT_COLUMNS]
     if strip_zone:

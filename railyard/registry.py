@@ -78,6 +78,7 @@ QUERIES = {
 # ---------------------------------------------------------------------------
 from railyard.functions.refs import padded_ref  # noqa: E402
 from railyard.operators import lookups as LK  # noqa: E402
+from railyard.operators.joins import left_join_spread_nulls  # noqa: E402
 from railyard.operators import quality as DQ  # noqa: E402
 from railyard import schemas  # noqa: E402
 
@@ -100,9 +101,11 @@ def q_ticket_left_enrich(spark, sf_dir):
     p = t["passengers"].select(F.col("id").alias("p_id"), F.col("last_name").alias("passenger_last_name"))
     f = t["fares"].select(F.col("id").alias("f_id"), F.col("code").alias("fare_code"))
     s = t["seats"].select(F.col("id").alias("s_id"), "seat_number")
-    return (tk.join(b, tk.booking_id == b.b_id, "left").join(p, tk.passenger_id == p.p_id, "left")
-              .join(f, tk.fare_id == f.f_id, "left").join(s, tk.seat_id == s.s_id, "left")
-              .select("ticket_ref", "booking_ref", "passenger_last_name", "fare_code", "seat_number"))
+    j = tk
+    for right, lk, rk in [(b, "booking_id", "b_id"), (p, "passenger_id", "p_id"), (f, "fare_id", "f_id"),
+                          (s, "seat_id", "s_id")]:
+        j = left_join_spread_nulls(j, right, lk, rk, F.col("ticket_ref"))
+    return j.select("ticket_ref", "booking_ref", "passenger_last_name", "fare_code", "seat_number")
 
 
 def q_seat_carriage_chain(spark, sf_dir):
@@ -110,8 +113,9 @@ def q_seat_carriage_chain(spark, sf_dir):
     tk = t["tickets"]
     s = t["seats"].select(F.col("id").alias("s_id"), "carriage_id", "seat_number")
     c = t["carriages"].select(F.col("id").alias("c_id"), "carriage_number", "carriage_type")
-    return (tk.join(s, tk.seat_id == s.s_id, "left").join(c, F.col("carriage_id") == c.c_id, "left")
-              .select("ticket_ref", "seat_number", "carriage_number", "carriage_type"))
+    j = left_join_spread_nulls(tk, s, "seat_id", "s_id", F.col("ticket_ref"))
+    j = left_join_spread_nulls(j, c, "carriage_id", "c_id", F.col("ticket_ref"))
+    return j.select("ticket_ref", "seat_number", "carriage_number", "carriage_type")
 
 
 def q_booking_payment_status(spark, sf_dir):
