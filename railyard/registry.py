@@ -11,6 +11,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from railyard.functions.refs import gen_ref, padded, padded_ref
+from railyard.operators import jobs as JB
+from railyard.operators import lookups as LK
+from railyard.operators import quality as DQ
+from railyard.operators import writes as WR
+from railyard.operators.joins import left_join_spread_nulls
 from railyard.plans import report as R
 from railyard.plans.window import Window, previous_month, resolve_window
 from railyard.sources.adapter import StarAdapter
@@ -76,11 +82,6 @@ QUERIES = {
 # ---------------------------------------------------------------------------
 # joins and aggregates around the report
 # ---------------------------------------------------------------------------
-from railyard.functions.refs import padded_ref  # noqa: E402
-from railyard.operators import lookups as LK  # noqa: E402
-from railyard.operators.joins import left_join_spread_nulls  # noqa: E402
-from railyard.operators import quality as DQ  # noqa: E402
-from railyard import schemas  # noqa: E402
 
 
 def q_trip_endpoints(spark, sf_dir):
@@ -255,9 +256,6 @@ QUERIES.update({
 # ---------------------------------------------------------------------------
 # write path
 # ---------------------------------------------------------------------------
-from railyard.operators import writes as WR  # noqa: E402
-from railyard.operators import jobs as JB  # noqa: E402
-from railyard.functions.refs import gen_ref, padded  # noqa: E402
 
 BATCH_TS = dt.datetime(2024, 2, 1, 0, 0, 0)
 CASCADE_BEFORE = dt.date(1996, 1, 1)
