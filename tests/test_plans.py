@@ -32,3 +32,22 @@ def test_payments_pruned_to_window_bookings(spark, adapter_small):
     rep = R.ticket_report(adapter_small, Window(dt.date(1998, 1, 1), dt.date(1998, 1, 31)), ordered=False)
     opt = rep._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in opt
+
+
+def test_change_detection_partitions_by_job_and_bucket(spark, adapter_small):
+    from railyard.operators import jobs as JB
+    plan = JB.changes(adapter_small.job_observations())._jdf.queryExecution().executedPlan().toString()
+    # the per-observation window runs per (job, day), never over a job's whole history;
+    # only the one-row-per-(job, day) carry summary is windowed per job
+    lag = [ln for ln in plan.split("\n") if "AS __lag" in ln]
+    carry = [ln for ln in plan.split("\n") if "AS __carry" in ln]
+    partition_spec = lag[0].split("AS __lag")[1].split("], [")[1] if len(lag) == 1 else ""
+    assert partition_spec.startswith("job_name") and "__bkt" in partition_spec
+    assert len(carry) == 1
+
+
+def test_latest_state_is_an_aggregate_not_a_window(spark, adapter_small):
+    from railyard.operators import jobs as JB
+    plan = JB.latest(adapter_small.job_observations())._jdf.queryExecution().executedPlan().toString()
+    assert "max_by" in plan and "Window" not in plan
+    assert "partial_max_by" in plan  # map-side partial aggregation before the shuffle
