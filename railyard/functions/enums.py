@@ -14,13 +14,18 @@ def _domain(enum: str) -> Column:
 
 def enum_ordinal(col: Column | str, enum: str) -> Column:
     """1-based position of the value in its enum domain; NULL for NULL or a non-member."""
-    return F.nullif(F.array_position(_domain(enum), F.col(col) if isinstance(col, str) else col), F.lit(0))
+    return F.nullif(F.array_position(_domain(enum), F.col(col) if isinstance(col, str) else col), F.lit(0)).cast("int")
 
 
 def enum_max(col: Column | str, enum: str) -> Column:
-    """Aggregate: the greatest enum value by declaration order (``MAX`` over a Postgres enum)."""
+    """Aggregate: the greatest enum value by declaration order (``MAX`` over a Postgres enum).
+
+    The maximum is taken over the integer ordinal and mapped back to the
+    label, so the aggregation buffer is one int: Spark keeps it in a hash
+    aggregate (a string-valued ``max_by`` buffer would force a sort-based one).
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return F.max_by(c, enum_ordinal(c, enum))
+    return F.element_at(_domain(enum), F.max(enum_ordinal(c, enum)))
 
 
 def enum_at(index: Column, enum: str) -> Column:

@@ -37,25 +37,26 @@ def upsert(base: DataFrame, updates: DataFrame, key: str = "id", order: str | No
            touch: str | None = None, batch_ts: dt.datetime | None = None) -> DataFrame:
     """Insert new keys, replace existing ones (``saveAll``): the next snapshot.
 
-    The latest version per key wins: updates over base, then the greatest
-    ``order`` value within the updates; remaining ties are broken by the row
-    itself so the result is deterministic.  Implemented as one aggregation
-    (``max_by``), so a key repeated many times is pre-reduced on the map side
-    instead of being gathered and sorted in one task.  ``touch`` names a
-    column set to ``batch_ts`` on every updated row, even if a value was
-    given (the ``updated_at`` rule).
+    ``base`` is keyed (unique ``key``, as its primary key guarantees).  Within
+    the update batch the greatest ``order`` value wins per key, remaining ties
+    broken by the row itself so the result is deterministic.  Only the batch is
+    aggregated; the base is filtered with an anti join against the batch's
+    keys, so the (large) base table is neither shuffled nor sorted when the
+    key set is small enough to broadcast.  ``touch`` names a column set to
+    ``batch_ts`` on every written row of the batch, even if a value was given
+    (the ``updated_at`` rule).
     """
     cols = base.columns
-    u = updates.select(*cols, F.lit(1).alias("__src"),
-                       (F.col(order) if order else F.lit(None)).cast("string").alias("__ord"))
+    u = updates.select(*cols, (F.col(order) if order else F.lit(None)).cast("string").alias("__ord"))
     if touch:
         u = u.withColumn(touch, F.lit(batch_ts).cast(base.schema[touch].dataType))
-    b = base.select(*cols, F.lit(0).alias("__src"), F.lit(None).cast("string").alias("__ord"))
     orderable = [c for c in cols if _orderable(base.schema[c].dataType)]
-    rank = F.struct("__src", "__ord", *[F.col(c) for c in orderable])
+    rank = F.struct("__ord", *[F.col(c) for c in orderable])
     row = F.struct(*[F.col(c) for c in cols])
-    return (b.unionByName(u).groupBy(key).agg(F.max_by(row, rank).alias("__r"))
-            .select("__r.*"))
+    latest = u.groupBy(key).agg(F.max_by(row, rank).alias("__r")).select("__r.*")
+    keys = latest.select(F.col(key).alias("__k"))
+    kept = base.join(keys, base[key] == keys["__k"], "left_anti")
+    return kept.unionByName(latest)
 
 
 def _orderable(t: T.DataType) -> bool:

@@ -41,12 +41,12 @@ def test_upsert_idempotent_and_latest(spark, base, upd):
     twice = WR.upsert(once, u)
     a = sorted(tuple(r) for r in once.collect())
     assert a == sorted(tuple(r) for r in twice.collect())
-    ids = {i for i, _ in base} | {i for i, _ in upd}
-    assert [i for i, _ in a] == sorted(ids)
     upd_ids = {i for i, _ in upd}
-    for i, v in a:
-        if i in upd_ids:
-            assert v == max(x for j, x in upd if j == i)
+    # keys in the batch: exactly one row, the batch's greatest value (ties broken by the row)
+    expected = [(i, max(x for j, x in upd if j == i)) for i in sorted(upd_ids)]
+    # keys not in the batch: every base row untouched (nothing dropped, even duplicates)
+    expected += [(i, v) for i, v in base if i not in upd_ids]
+    assert a == sorted(expected)
 
 
 def test_link_reservations(seed):
