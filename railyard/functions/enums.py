@@ -25,13 +25,16 @@ def enum_max(col: Column | str, enum: str) -> Column:
     aggregate (a string-valued ``max_by`` buffer would force a sort-based one).
     """
     c = F.col(col) if isinstance(col, str) else col
-    return F.element_at(_domain(enum), F.max(enum_ordinal(c, enum)))
+    m = F.max(enum_ordinal(c, enum))
+    # explicit NULL guard: element_at over a literal array does not return NULL
+    # for a NULL index after aggregation in this Spark version
+    return F.when(m.isNotNull(), F.element_at(_domain(enum), m))
 
 
 def enum_at(index: Column, enum: str) -> Column:
     """Domain value at a 0-based index column (index taken modulo the domain size)."""
     n = len(ENUMS[enum])
-    return F.element_at(_domain(enum), (F.pmod(index, F.lit(n)) + 1).cast("int"))
+    return F.when(index.isNotNull(), F.element_at(_domain(enum), (F.pmod(index, F.lit(n)) + 1).cast("int")))
 
 
 def checked_enum(col: Column | str, enum: str) -> Column:

@@ -27,5 +27,5 @@ def duration_text(seconds: Column) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    """``yyyy-MM-dd'T'HH:mm:ss'Z'`` (session time zone is pinned to UTC)."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """``yyyy-MM-dd'T'HH:mm:ss'Z'`` of an instant, in UTC whatever the session zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

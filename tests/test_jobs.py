@@ -88,3 +88,17 @@ def test_enum_max_matches_python(spark, groups):
     for g, vals in enumerate(groups):
         present = [v for v in vals if v is not None]
         assert got[g] == (max(present, key=order.index) if present else None)
+
+
+def test_iso_utc_independent_of_session_zone(spark):
+    from railyard.functions.timefmt import iso_utc
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 12, 0, 5),)], "ts timestamp")
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = []
+        for tz in ["UTC", "America/New_York", "Asia/Tokyo"]:
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got.append(df.select(iso_utc(F.col("ts"))).collect()[0][0])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
+    assert len(set(got)) == 1
