@@ -58,3 +58,17 @@ def test_latest_state_writer(spark, tmp_path):
                   .select("job_name", "s.*"))
     assert sorted(tuple(r) for r in cur.select("job_name", "event_id", "status").collect()) == \
         sorted(tuple(r) for r in exp_latest.collect())
+
+
+def test_start_change_feed_writes_records_and_latest(spark, tmp_path):
+    from railyard.streaming.job_feed import LatestStateWriter, start_change_feed
+    obs = StarAdapter(spark, SF_MID).job_observations().select(*[f.name for f in OBSERVATION_SCHEMA.fields])
+    src = str(tmp_path / "src")
+    _write_snapshots(obs, src, list(enumerate(DAYS)))
+    q = start_change_feed(spark, src + "/*", str(tmp_path / "out"), str(tmp_path / "ckpt"),
+                          available_now=True, max_files_per_trigger=2)
+    q.awaitTermination()
+    records = spark.read.parquet(str(tmp_path / "out" / "records"))
+    assert _key(records) == _key(JB.terminal_feed(obs))
+    latest = LatestStateWriter(str(tmp_path / "out" / "latest")).current(spark)
+    assert latest.count() == records.select("job_name").distinct().count()
