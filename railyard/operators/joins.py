@@ -27,3 +27,29 @@ def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, rig
     r2 = right.withColumn("__rnk", F.lit(False))
     j = l2.join(r2, (l2["__nk"] == r2["__rnk"]) & (l2["__jk"] == r2[right_key]), "left")
     return j.drop("__nk", "__jk", "__rnk")
+
+
+DIM_BROADCAST_ROWS = 200_000   # a narrow (id, code) side this size is a few MB
+_BOUND_CHECKS: dict[int, tuple[DataFrame, bool]] = {}
+
+
+def is_bounded(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows.
+
+    Counts at most ``max_rows + 1`` rows (``limit`` stops the scan early), so
+    the check itself stays cheap on a large table.  Remembered per DataFrame
+    object, so a reused table handle is checked once.
+    """
+    hit = _BOUND_CHECKS.get(id(df))
+    if hit is None or hit[0] is not df:
+        hit = (df, df.limit(max_rows + 1).count() <= max_rows)
+        _BOUND_CHECKS[id(df)] = hit
+    return hit[1]
+
+
+def broadcast_if_bounded(side: DataFrame, source: DataFrame | None = None,
+                         max_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast-hint ``side`` only when its source table is proven small;
+    otherwise leave the strategy to the planner (AQE still broadcasts it if
+    the measured size turns out small, else it stays a shuffle join)."""
+    return F.broadcast(side) if is_bounded(source if source is not None else side, max_rows) else side

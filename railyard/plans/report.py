@@ -11,8 +11,9 @@ Join semantics follow the reference query exactly:
 Plan shape (what Catalyst/AQE are steered to):
   * the date window is a filter on ``tickets.issued_at`` — pushed to the scan
     as a half-open timestamp range, below every join;
-  * stations and routes are broadcast: both are bounded by the network size
-    (tens of rows), not by traffic;
+  * stations and routes are broadcast after a row-count check
+    (``broadcast_if_bounded``): they are bounded by the network size, not by
+    traffic, and the check proves it before the hint is given;
   * payments are aggregated per booking (partial aggregation before the
     shuffle) and joined to bookings on the same key, so the aggregate's
     output partitioning is reused and the pair costs one shuffle of bookings;
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railyard.functions.enums import enum_max
-from railyard.operators.joins import left_join_spread_nulls
+from railyard.operators.joins import broadcast_if_bounded, left_join_spread_nulls
 from railyard.plans.window import Window, in_window
 from railyard.sources.tables import DomainTables
 
@@ -132,9 +133,9 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
     seat_car = seats.join(carriages, seats.s_carriage_id == carriages.c_id, "left")
 
     j = (t.join(trips, t.trip_id == trips.tr_id, "inner")
-          .join(F.broadcast(routes), F.col("tr_route_id") == routes.ro_id, "inner")
-          .join(F.broadcast(dep), F.col("tr_dep") == dep.dep_id, "inner")
-          .join(F.broadcast(arr), F.col("tr_arr") == arr.arr_id, "inner"))
+          .join(broadcast_if_bounded(routes, tables["routes"]), F.col("tr_route_id") == routes.ro_id, "inner")
+          .join(broadcast_if_bounded(dep, tables["stations"]), F.col("tr_dep") == dep.dep_id, "inner")
+          .join(broadcast_if_bounded(arr, tables["stations"]), F.col("tr_arr") == arr.arr_id, "inner"))
     # nullable references: NULL keys are spread instead of landing in one partition
     salt = F.col("ticket_ref")
     for right, lk, rk in [(bp, "booking_id", "b_id"), (pas, "passenger_id", "p_id"), (fares, "fare_id", "f_id"),

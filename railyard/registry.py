@@ -16,7 +16,7 @@ from railyard.operators import jobs as JB
 from railyard.operators import lookups as LK
 from railyard.operators import quality as DQ
 from railyard.operators import writes as WR
-from railyard.operators.joins import left_join_spread_nulls
+from railyard.operators.joins import broadcast_if_bounded, left_join_spread_nulls
 from railyard.plans import report as R
 from railyard.plans.window import Window, previous_month, resolve_window
 from railyard.sources.adapter import StarAdapter
@@ -87,8 +87,8 @@ QUERIES = {
 def q_trip_endpoints(spark, sf_dir):
     t = _tables(spark, sf_dir)
     st = t["stations"]
-    dep = F.broadcast(st.select(F.col("id").alias("dep_id"), F.col("code").alias("departure_station_code")))
-    arr = F.broadcast(st.select(F.col("id").alias("arr_id"), F.col("code").alias("arrival_station_code")))
+    dep = broadcast_if_bounded(st.select(F.col("id").alias("dep_id"), F.col("code").alias("departure_station_code")), st)
+    arr = broadcast_if_bounded(st.select(F.col("id").alias("arr_id"), F.col("code").alias("arrival_station_code")), st)
     tr = t["trips"]
     return (tr.join(dep, tr.departure_station_id == dep.dep_id).join(arr, tr.arrival_station_id == arr.arr_id)
               .select(F.col("id").alias("trip_id"), "service_date", "departure_station_code",
