@@ -163,6 +163,8 @@ def with_domain(sql: str) -> str:
     if not parts:
         return sql
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[len("WITH RECURSIVE "):]
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body
@@ -427,16 +429,37 @@ ORACLE.update({
         SELECT job_name, event_id, ts, status, active, succeeded, failed, completion_ts
         FROM ({_CHANGES}) ch""",
     "job_terminal_window": f"""
-        WITH cls AS ({_CLASSIFIED}),
-        t0 AS (SELECT job_name, min(ts) AS t0 FROM cls WHERE status IN ('Succeeded', 'Failed')
-               GROUP BY job_name),
-        ch AS ({_CHANGES})
-        SELECT ch.job_name, ch.event_id, ch.ts, ch.status, true AS monitoring
-        FROM ch LEFT JOIN t0 ON t0.job_name = ch.job_name
-        WHERE t0.t0 IS NULL OR ch.ts <= t0.t0 + INTERVAL 30 SECOND
+        WITH RECURSIVE cls AS ({_CLASSIFIED}),
+        flagged AS (
+            SELECT *, row_number() OVER w = 1
+                      OR status IS DISTINCT FROM lag(status) OVER w
+                      OR active IS DISTINCT FROM lag(active) OVER w
+                      OR succeeded IS DISTINCT FROM lag(succeeded) OVER w
+                      OR failed IS DISTINCT FROM lag(failed) OVER w
+                      OR completion_ts IS DISTINCT FROM lag(completion_ts) OVER w AS changed
+            FROM cls WINDOW w AS (PARTITION BY job_name ORDER BY ts, event_id)),
+        t0 AS (SELECT job_name, ts, event_id FROM flagged WHERE status IN ('Succeeded', 'Failed')
+               QUALIFY row_number() OVER (PARTITION BY job_name ORDER BY ts, event_id) = 1),
+        win AS (SELECT f.job_name, f.ts, f.event_id, f.changed, f.status IN ('Succeeded', 'Failed') AS term
+                FROM flagged f JOIN t0 ON t0.job_name = f.job_name
+                WHERE (f.ts, f.event_id) > (t0.ts, t0.event_id) AND f.ts <= t0.ts + INTERVAL 30 SECOND),
+        marks(job_name, ts, event_id) AS (
+            SELECT job_name, ts, event_id FROM t0
+            UNION ALL
+            SELECT k.job_name, k.ts, k.event_id
+            FROM (SELECT m.job_name, (SELECT min((w.ts, w.event_id)) FROM win w
+                                      WHERE w.job_name = m.job_name AND w.changed
+                                        AND (w.ts, w.event_id) > (m.ts, m.event_id)) AS c
+                  FROM marks m) mc
+            JOIN LATERAL (SELECT w.job_name, w.ts, w.event_id FROM win w
+                          WHERE w.job_name = mc.job_name AND w.term AND (w.ts, w.event_id) > mc.c
+                          ORDER BY w.ts, w.event_id LIMIT 1) k ON true)
+        SELECT f.job_name, f.event_id, f.ts, f.status, true AS monitoring
+        FROM flagged f LEFT JOIN t0 ON t0.job_name = f.job_name
+        WHERE f.changed AND (t0.ts IS NULL OR f.ts <= t0.ts + INTERVAL 30 SECOND)
         UNION ALL
-        SELECT c.job_name, c.event_id, c.ts, c.status, false AS monitoring
-        FROM cls c JOIN t0 ON t0.job_name = c.job_name AND c.ts = t0.t0""",
+        SELECT f.job_name, f.event_id, f.ts, f.status, false AS monitoring
+        FROM flagged f JOIN marks m ON m.job_name = f.job_name AND m.ts = f.ts AND m.event_id = f.event_id""",
     "jobs_missing": f"""
         WITH cls AS ({_CLASSIFIED}),
         snaps AS (SELECT *, date_trunc('hour', ts) AS snap FROM cls

@@ -58,7 +58,12 @@ def _differs(prev: Column, fields: list[str]) -> Column:
 def changes(obs: DataFrame, bucket: str = "day") -> DataFrame:
     """Observations that differ from the job's previous observation in any of
     status/active/succeeded/failed/completion_ts; a job's first observation
-    always counts (registration stores a state no poll can equal).
+    always counts (registration stores a state no poll can equal)."""
+    return with_change_flag(obs, bucket).filter("changed").drop("changed")
+
+
+def with_change_flag(obs: DataFrame, bucket: str = "day") -> DataFrame:
+    """Every classified observation with ``changed`` (see ``changes``).
 
     ``bucket`` bounds the work per task: the previous observation is looked
     up within (job, bucket) and, for a bucket's first row, taken from the
@@ -73,7 +78,7 @@ def changes(obs: DataFrame, bucket: str = "day") -> DataFrame:
     w = W.partitionBy("job_name", "__bkt").orderBy(*ORDER)
     j = c.withColumn("__lag", F.lag(state).over(w)).join(carry, ["job_name", "__bkt"], "left")
     prev = F.coalesce(F.col("__lag"), F.col("__carry"))
-    return j.filter(_differs(prev, DIFF_FIELDS)).drop("__bkt", "__lag", "__carry")
+    return j.withColumn("changed", _differs(prev, DIFF_FIELDS)).drop("__bkt", "__lag", "__carry")
 
 
 def terminal_feed(obs: DataFrame, retention_s: int = RETENTION_SECONDS, bucket: str = "day") -> DataFrame:
@@ -81,20 +86,49 @@ def terminal_feed(obs: DataFrame, retention_s: int = RETENTION_SECONDS, bucket:
 
     * every change (``monitoring = true``) while the job is monitored;
     * at the job's first terminal observation (Succeeded/Failed) one more
-      record of that state with ``monitoring = false``;
-    * the job is forgotten ``retention_s`` seconds after that observation;
-      later observations of the same name are ignored.
+      record of that state with ``monitoring = false``; the job is forgotten
+      ``retention_s`` seconds after it and later observations are ignored;
+    * inside that retention window the monitor re-arms: after a change, the
+      next terminal observation emits another ``monitoring = false`` record.
+
+    The re-arm marks are found by alternating "first change after the last
+    mark" and "first terminal observation after that change" over the
+    in-window observations only (seconds of history per job); each round is
+    one pair of small aggregations, and the rounds stop when no job has a
+    further mark — normally after the first.
     """
-    c = classify(obs)
-    t0 = (c.filter(F.col("status").isin(*TERMINAL)).groupBy("job_name")
-           .agg(F.min(F.struct(*ORDER)).alias("__t0")))
-    ch = changes(obs, bucket).join(t0, "job_name", "left")
-    kept = ch.filter(F.col("__t0").isNull()
-                     | (F.col("ts") <= F.col("__t0.ts") + F.make_dt_interval(secs=F.lit(retention_s))))
-    emitted = kept.drop("__t0").withColumn("monitoring", F.lit(True))
-    final = (c.join(t0, "job_name", "inner")
-              .filter((F.col("ts") == F.col("__t0.ts")) & (F.col("event_id") == F.col("__t0.event_id")))
-              .drop("__t0").withColumn("monitoring", F.lit(False)))
+    from railyard.session import checkpoint_dir
+
+    f = with_change_flag(obs, bucket)
+    pos = F.struct("ts", "event_id")
+    terminal = F.col("status").isin(*TERMINAL)
+    t0 = f.filter(terminal).groupBy("job_name").agg(F.min(pos).alias("__t0"))
+    fj = f.join(t0, "job_name", "left")
+    until = F.col("__t0.ts") + F.make_dt_interval(secs=F.lit(retention_s))
+    emitted = (fj.filter(F.col("changed") & (F.col("__t0").isNull() | (F.col("ts") <= until)))
+                 .drop("__t0", "changed").withColumn("monitoring", F.lit(True)))
+
+    # observations inside each job's retention window, after its first mark
+    checkpoint_dir(obs.sparkSession)
+    win = (fj.filter(F.col("__t0").isNotNull() & (pos > F.col("__t0")) & (F.col("ts") <= until))
+             .select("job_name", pos.alias("__pos"), "changed", terminal.alias("__term"))
+             .checkpoint())
+    frontier = t0.select("job_name", F.col("__t0").alias("__p"))
+    marks = [frontier]
+    while True:
+        c = (win.join(frontier, "job_name").filter(F.col("changed") & (F.col("__pos") > F.col("__p")))
+                .groupBy("job_name").agg(F.min("__pos").alias("__c")))
+        k = (win.join(c, "job_name").filter(F.col("__term") & (F.col("__pos") > F.col("__c")))
+                .groupBy("job_name").agg(F.min("__pos").alias("__p"))).checkpoint()
+        if k.isEmpty():
+            break
+        marks.append(k)
+        frontier = k
+    m = marks[0]
+    for extra in marks[1:]:
+        m = m.unionByName(extra)
+    final = (f.join(m, (f.job_name == m.job_name) & (pos == m.__p), "left_semi")
+              .drop("changed").withColumn("monitoring", F.lit(False)))
     return emitted.unionByName(final)
 
 

@@ -72,3 +72,26 @@ def test_start_change_feed_writes_records_and_latest(spark, tmp_path):
     assert _key(records) == _key(JB.terminal_feed(obs))
     latest = LatestStateWriter(str(tmp_path / "out" / "latest")).current(spark)
     assert latest.count() == records.select("job_name").distinct().count()
+
+
+def test_rearm_within_retention_batch_equals_stream(spark, tmp_path):
+    import datetime as dt
+    from pyspark.sql import Row
+
+    def t(s):
+        return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+
+    # (second, active, succeeded, failed)
+    seq = [(0, 1, 0, 0), (10, 0, 0, 1), (15, 1, 0, 1), (20, 1, 0, 1), (25, 0, 1, 0), (38, 0, 1, 0), (45, 1, 0, 0)]
+    rows = [Row(job_name="j", namespace="ns", ts=t(sec), event_id=i, active=a, succeeded=s, failed=f,
+                creation_ts=t(0), start_ts=t(0), completion_ts=None, labels=None)
+            for i, (sec, a, s, f) in enumerate(seq)]
+    obs = spark.createDataFrame(rows, OBSERVATION_SCHEMA)
+    expected = [(0, True), (1, False), (1, True), (2, True), (3, False), (4, True), (5, False)]
+    batch = sorted((r.event_id, r.monitoring) for r in JB.terminal_feed(obs).collect())
+    assert batch == expected
+    src = str(tmp_path / "src")
+    obs.coalesce(1).write.parquet(src + "/s0")
+    _run(spark, src, str(tmp_path / "ckpt"), str(tmp_path / "out"))
+    stream = sorted((r.event_id, r.monitoring) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert stream == expected
