@@ -47,6 +47,22 @@ def fingerprint(spark, folder: str) -> str:
     return hashlib.sha1(repr(items).encode()).hexdigest()[:16]
 
 
+def write_table(df: DataFrame, name: str, path: str) -> None:
+    """Write one domain table in the stored layout (see module doc)."""
+    if name in PARTITIONING:
+        # Range-partition on (month, time): each task covers a contiguous
+        # slice of time, so a month gets a few large files (a busy month is
+        # split across tasks by the sampled ranges), and rows are sorted by
+        # time inside each file, which keeps row-group min/max tight for
+        # the pushed issued_at range.
+        col, expr, cluster = PARTITIONING[name]
+        w = (df.withColumn(col, expr(df)).repartitionByRange(col, cluster)
+               .sortWithinPartitions(col, cluster))
+        w.write.mode("overwrite").partitionBy(col).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
 class StoredDomain(DomainTables):
     def __init__(self, source: DomainTables, root: str, extra: dict | None = None):
         super().__init__(source.spark)
@@ -77,20 +93,7 @@ class StoredDomain(DomainTables):
         if not self._complete(name):
             import uuid
             tmp = f"{self._path(name)}.tmp-{uuid.uuid4().hex[:12]}"
-            df = self._derive(name)
-            w = df
-            if name in PARTITIONING:
-                # Range-partition on (month, time): each task covers a contiguous
-                # slice of time, so a month gets a few large files (a busy month is
-                # split across tasks by the sampled ranges), and rows are sorted by
-                # time inside each file, which keeps row-group min/max tight for
-                # the pushed issued_at range.
-                col, expr, cluster = PARTITIONING[name]
-                w = (df.withColumn(col, expr(df)).repartitionByRange(col, cluster)
-                       .sortWithinPartitions(col, cluster))
-                w.write.mode("overwrite").partitionBy(col).parquet(tmp)
-            else:
-                w.write.mode("overwrite").parquet(tmp)
+            write_table(self._derive(name), name, tmp)
             self._publish(tmp, name)
         return self.spark.read.parquet(self._path(name))
 

@@ -91,14 +91,10 @@ class JdbcDomain(DomainTables):
         return r.load()
 
 
-def write_domain(tables: DomainTables, root: str, names=None, mode: str = "overwrite") -> None:
-    """Materialise domain tables as Parquet (tickets partitioned by issue month)."""
-    from pyspark.sql import functions as F
+def write_domain(tables: DomainTables, root: str, names=None) -> None:
+    """Materialise domain tables as Parquet in the stored layout (tickets
+    partitioned by issue month and clustered by issue time)."""
+    from railyard.sources.stored import write_table
 
     for name in names or tables.names:
-        df = tables[name]
-        w = df.write.mode(mode)
-        if name == "tickets":
-            df = df.withColumn("issue_month", F.date_format("issued_at", "yyyy-MM"))
-            w = df.write.mode(mode).partitionBy("issue_month")
-        w.parquet(os.path.join(root, name))
+        write_table(tables[name], name, os.path.join(root, name))
