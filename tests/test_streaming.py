@@ -95,3 +95,15 @@ def test_rearm_within_retention_batch_equals_stream(spark, tmp_path):
     _run(spark, src, str(tmp_path / "ckpt"), str(tmp_path / "out"))
     stream = sorted((r.event_id, r.monitoring) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert stream == expected
+
+
+def test_shuffled_snapshot_files(spark, tmp_path):
+    obs = StarAdapter(spark, SF_MID).job_observations().select(*[f.name for f in OBSERVATION_SCHEMA.fields])
+    src = str(tmp_path / "src")
+    order = [3, 0, 4, 1, 2]   # files land out of time order
+    _write_snapshots(obs, src, [(i, DAYS[d]) for i, d in enumerate(order)])
+    s = spark.readStream.schema(OBSERVATION_SCHEMA).option("recursiveFileLookup", "true").parquet(src)
+    q = (change_feed(s).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck"))
+         .trigger(availableNow=True).start(str(tmp_path / "out")))
+    q.awaitTermination()
+    assert _key(spark.read.parquet(str(tmp_path / "out"))) == _key(JB.terminal_feed(obs))
