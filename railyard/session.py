@@ -46,17 +46,25 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_PRIVATE_DIRS: dict[int, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) is a private folder created
-    and registered, so that lineage can still be cut with ``checkpoint()``.
+    ``spark.checkpoint.dir`` is a core setting read when the context starts
+    (it cannot be changed from a session).  Only when it is absent (local
+    tests) is a private folder created and registered with
+    ``SparkContext.setCheckpointDir``, so that ``checkpoint()`` and the
+    written intermediate tables still have a home.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="railyard-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        d = _PRIVATE_DIRS.get(id(sc)) or tempfile.mkdtemp(prefix="railyard-ckpt-")
+        _PRIVATE_DIRS[id(sc)] = d
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 

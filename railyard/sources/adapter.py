@@ -38,6 +38,11 @@ class StarAdapter(DomainTables):
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark)
         self.sf_dir = sf_dir
+        self.resolver: DomainTables = self   # where derived inputs of derived tables come from
+
+    def dep(self, name: str) -> DataFrame:
+        """A domain table another derivation builds on (the stored copy, when there is one)."""
+        return self.resolver[name]
 
     def src(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
@@ -100,7 +105,7 @@ class StarAdapter(DomainTables):
         )
 
     def _route_stops(self):
-        r = self["routes"].select("id").withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(5))))
+        r = self.dep("routes").select("id").withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(5))))
         return r.select(
             (F.col("id") * 5 + F.col("seq")).alias("id"),
             F.col("id").alias("route_id"),
@@ -136,7 +141,7 @@ class StarAdapter(DomainTables):
         )
 
     def _seats(self):
-        c = self["carriages"].select("id").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(19))))
+        c = self.dep("carriages").select("id").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(19))))
         return c.select(
             (F.col("id") * 20 + F.col("n")).alias("id"),
             F.col("id").alias("carriage_id"),
@@ -231,7 +236,7 @@ class StarAdapter(DomainTables):
 
     def _trips(self):
         ns = self.src("supplier").select(F.count(F.lit(1))).scalar()
-        t = self["tickets"].select(F.col("trip_id").alias("id")).distinct()
+        t = self.dep("tickets").select(F.col("trip_id").alias("id")).distinct()
         i = F.col("id")
         day = F.pmod(i, F.lit(TRIP_DAY_SPAN))
         return t.select(
@@ -248,7 +253,7 @@ class StarAdapter(DomainTables):
         )
 
     def _seat_reservations(self):
-        t = self["tickets"].filter(F.col("seat_id").isNotNull())
+        t = self.dep("tickets").filter(F.col("seat_id").isNotNull())
         return t.select(
             F.col("id"), F.col("trip_id"), F.col("seat_id"),
             F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id")).alias("ticket_id"),
@@ -259,7 +264,7 @@ class StarAdapter(DomainTables):
         )
 
     def _ticket_refunds(self):
-        t = self["tickets"].filter(F.col("status") == "refunded")
+        t = self.dep("tickets").filter(F.col("status") == "refunded")
         return t.select(
             F.col("id"), F.col("id").alias("ticket_id"), F.col("price").alias("refunded_amount"),
             _null("string").alias("currency"), F.col("issued_at").alias("processed_at"),

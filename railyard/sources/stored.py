@@ -102,4 +102,6 @@ def stored_adapter(adapter, name: str = "domain") -> StoredDomain:
     """A ``StoredDomain`` over a ``StarAdapter``, placed in the shared folder."""
     spark = adapter.spark
     root = scratch_path(spark, f"{name}-v{LAYOUT_VERSION}-{fingerprint(spark, adapter.sf_dir)}")
-    return StoredDomain(adapter, root, extra={"job_observations": adapter.job_observations})
+    stored = StoredDomain(adapter, root, extra={"job_observations": adapter.job_observations})
+    adapter.resolver = stored   # e.g. trips are derived from the stored tickets, not from line items again
+    return stored

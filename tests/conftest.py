@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,11 +14,9 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
     from railyard.session import get_session
+    from railyard.session import checkpoint_dir
     s = get_session("local[*]", 8, app_name="railyard-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="railyard-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+    checkpoint_dir(s)   # the cluster's folder, or a private one when none is configured
     yield s
 
 
