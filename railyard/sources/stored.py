@@ -98,10 +98,23 @@ class StoredDomain(DomainTables):
         return self.spark.read.parquet(self._path(name))
 
 
+def _code_version(obj) -> str:
+    """Hash of the source of the derivation (so edited derivations never reuse old copies)."""
+    import inspect
+    import sys
+
+    src = inspect.getsource(sys.modules[type(obj).__module__]) + inspect.getsource(sys.modules[__name__])
+    return hashlib.sha1(src.encode()).hexdigest()[:8]
+
+
 def stored_adapter(adapter, name: str = "domain") -> StoredDomain:
-    """A ``StoredDomain`` over a ``StarAdapter``, placed in the shared folder."""
+    """A ``StoredDomain`` over a ``StarAdapter``, placed in the shared folder.
+
+    The folder name carries the layout version, a hash of the derivation code
+    and a fingerprint of the input files."""
     spark = adapter.spark
-    root = scratch_path(spark, f"{name}-v{LAYOUT_VERSION}-{fingerprint(spark, adapter.sf_dir)}")
+    root = scratch_path(spark, f"{name}-v{LAYOUT_VERSION}-{_code_version(adapter)}-"
+                               f"{fingerprint(spark, adapter.sf_dir)}")
     stored = StoredDomain(adapter, root, extra={"job_observations": adapter.job_observations})
     adapter.resolver = stored   # e.g. trips are derived from the stored tickets, not from line items again
     return stored
