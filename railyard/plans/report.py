@@ -10,7 +10,9 @@ Join semantics follow the reference query exactly:
 
 Plan shape (what Catalyst/AQE are steered to):
   * the date window is a filter on ``tickets.issued_at`` — pushed to the scan
-    as a half-open timestamp range, below every join;
+    as a half-open timestamp range, below every join; on stored tickets
+    (partitioned by ``issue_month``) the matching month folders are the only
+    ones listed and read;
   * stations and routes are broadcast after a row-count check
     (``broadcast_if_bounded``): they are bounded by the network size, not by
     traffic, and the check proves it before the hint is given;
