@@ -230,3 +230,66 @@ def start_change_feed(spark: SparkSession, snapshots: str, out_root: str, checkp
     w = feed.writeStream.foreachBatch(FeedSink(out_root)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{poll_seconds} seconds")
     return w.start()
+
+
+MISSING_SCHEMA = T.StructType([
+    T.StructField("job_name", T.StringType()),
+    T.StructField("missing_at_us", T.LongType()),
+    T.StructField("event_id", T.LongType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("monitoring", T.BooleanType()),
+])
+
+MISSING_STATE = T.StructType([
+    T.StructField("snap_us", T.LongType()),      # start of the period holding the last observation
+    T.StructField("event_id", T.LongType()),     # last observation of that period
+    T.StructField("ts_us", T.LongType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("reported", T.BooleanType()),  # its gap was already reported
+])
+
+
+def _missing_step(key, pdfs, state: GroupState, period_us: int):
+    job = key[0]
+    out = []
+    if state.hasTimedOut:
+        snap, eid, ts, status, reported = state.get
+        if not reported:
+            out.append((job, snap + period_us, eid, status, False))
+        state.update((snap, eid, ts, status, True))
+    else:
+        st = list(state.get) if state.exists else None
+        for pdf in pdfs:
+            pdf = pdf.sort_values(["ts_us", "event_id"], kind="stable")
+            for r in pdf.itertuples(index=False):
+                snap = int(r.ts_us) - int(r.ts_us) % period_us
+                if st is not None and snap < st[0]:
+                    continue  # older than the job's current period: already accounted for
+                if st is not None and snap > st[0] + period_us and not st[4]:
+                    out.append((job, st[0] + period_us, st[1], st[3], False))
+                if st is None or snap > st[0] or (int(r.ts_us), int(r.event_id)) > (st[2], st[1]):
+                    st = [snap, int(r.event_id), int(r.ts_us), _none(r.status), False]
+        if st is not None:
+            state.update(tuple(st))
+            # absent from the next period once the watermark passes its end
+            state.setTimeoutTimestamp((st[0] + 2 * period_us) // 1000)
+    if out:
+        yield pd.DataFrame(out, columns=[f.name for f in MISSING_SCHEMA.fields])
+
+
+def missing_feed(observations: DataFrame, period_s: int = 3600, watermark: str = "1 minute") -> DataFrame:
+    """Jobs that stop appearing: a job seen in one snapshot period and absent
+    from the next is reported once, at the start of that next period, with
+    its last record and ``monitoring = false`` (the not-found case).  The
+    streaming form of ``railyard.operators.jobs.missing_jobs``."""
+    period_us = period_s * 1_000_000
+    c = (classify(observations.withWatermark("ts", watermark))
+         .select("job_name", "event_id", "ts", F.unix_micros("ts").alias("ts_us"), "status"))
+
+    def fn(key, pdfs, state):
+        return _missing_step(key, pdfs, state, period_us)
+
+    out = c.groupBy("job_name").applyInPandasWithState(
+        fn, MISSING_SCHEMA, MISSING_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("job_name", F.timestamp_micros("missing_at_us").alias("missing_at"), "event_id",
+                      "status", "monitoring")

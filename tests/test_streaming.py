@@ -1,5 +1,6 @@
 """Streaming change feed = its batch twin, including across a restart."""
 
+import datetime as dt
 import os
 
 from pyspark.sql import functions as F
@@ -107,3 +108,22 @@ def test_shuffled_snapshot_files(spark, tmp_path):
          .trigger(availableNow=True).start(str(tmp_path / "out")))
     q.awaitTermination()
     assert _key(spark.read.parquet(str(tmp_path / "out"))) == _key(JB.terminal_feed(obs))
+
+
+def test_missing_feed_equals_batch_where_watermark_passed(spark, tmp_path):
+    from railyard.streaming.job_feed import missing_feed
+    obs = StarAdapter(spark, SF_MID).job_observations().select(*[f.name for f in OBSERVATION_SCHEMA.fields])
+    src = str(tmp_path / "src")
+    _write_snapshots(obs, src, list(enumerate(DAYS)))
+    s = (spark.readStream.schema(OBSERVATION_SCHEMA).option("maxFilesPerTrigger", 1)
+         .option("recursiveFileLookup", "true").parquet(src))
+    q = (missing_feed(s).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck"))
+         .trigger(availableNow=True).start(str(tmp_path / "out")))
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    # only gaps whose following period the final watermark (max ts - 1 minute) has passed
+    horizon = obs.agg(F.max("ts")).first()[0] - dt.timedelta(minutes=1) - dt.timedelta(hours=1)
+    exp = JB.missing_jobs(obs).filter(F.col("missing_at") < F.lit(horizon))
+    key = lambda df: sorted(tuple(r) for r in df.select("job_name", "missing_at", "event_id", "status").collect())
+    assert key(got.filter(F.col("missing_at") < F.lit(horizon))) == key(exp)
+    assert got.count() <= JB.missing_jobs(obs).count()
