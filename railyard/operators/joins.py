@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 NULL_SPREAD = 4096  # partitions the NULL-key rows are spread over
 
 
+def spread_key(key: Column, salt: Column, dtype, buckets: int = NULL_SPREAD) -> tuple[Column, Column]:
+    """(is-NULL flag, key-or-salt) for a nullable join key; see ``left_join_spread_nulls``."""
+    return key.isNull(), F.coalesce(key, F.pmod(F.xxhash64(salt), F.lit(buckets)).cast(dtype))
+
+
 def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                            salt: Column, buckets: int = NULL_SPREAD) -> DataFrame:
     """``left LEFT JOIN right ON left.left_key = right.right_key`` with NULL keys spread out.
@@ -20,13 +25,11 @@ def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, rig
     unchanged), but their shuffle key is spread over ``buckets`` values.
     When the planner broadcasts ``right`` the extra columns cost nothing.
     """
-    ktype = left.schema[left_key].dataType
-    k = F.col(left_key)
-    l2 = left.withColumn("__nk", k.isNull()).withColumn(
-        "__jk", F.coalesce(k, F.pmod(F.xxhash64(salt), F.lit(buckets)).cast(ktype)))
-    r2 = right.withColumn("__rnk", F.lit(False))
+    nk, jk = spread_key(F.col(left_key), salt, left.schema[left_key].dataType, buckets)
+    l2 = left.select("*", nk.alias("__nk"), jk.alias("__jk"))
+    r2 = right.select("*", F.lit(False).alias("__rnk"))
     j = l2.join(r2, (l2["__nk"] == r2["__rnk"]) & (l2["__jk"] == r2[right_key]), "left")
-    return j.drop("__nk", "__jk", "__rnk")
+    return j.select(*[l2[c] for c in left.columns], *[r2[c] for c in right.columns])
 
 
 DIM_BROADCAST_ROWS = 200_000   # a narrow (id, code) side this size is a few MB

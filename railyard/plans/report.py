@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railyard.functions.enums import enum_max
-from railyard.operators.joins import broadcast_if_bounded, left_join_spread_nulls
+from railyard.operators.joins import broadcast_if_bounded, spread_key
 from railyard.plans.window import Window, in_window
 from railyard.sources.tables import DomainTables
 
@@ -98,10 +98,17 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
 
     ``strip_zone`` casts ``issued_at`` to a zone-less timestamp, as the export does.
     """
-    t = window_tickets(tables, window).select(
+    t = window_tickets(tables, window)
+    salt = F.col("ticket_ref")
+    # nullable references: (is-NULL flag, key-or-salt) so NULL keys spread over many partitions
+    nullable = {"booking_id": "bk", "passenger_id": "ps", "fare_id": "fa", "seat_id": "st"}
+    spread = []
+    for key, tag in nullable.items():
+        nk, jk = spread_key(F.col(key), salt, t.schema[key].dataType)
+        spread += [nk.alias(f"__n_{tag}"), jk.alias(f"__k_{tag}")]
+    t = t.select(
         "ticket_ref", F.col("status").alias("ticket_status"), F.col("price").alias("ticket_price"),
-        F.col("currency").alias("ticket_currency"), "issued_at",
-        "trip_id", "booking_id", "passenger_id", "fare_id", "seat_id")
+        F.col("currency").alias("ticket_currency"), "issued_at", "trip_id", "booking_id", *spread)
 
     trips = tables["trips"].select(
         F.col("id").alias("tr_id"), F.col("route_id").alias("tr_route_id"),
@@ -117,32 +124,41 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
         # narrow window: aggregate only the payments of bookings in the window
         wb = t.select(F.col("booking_id").alias("wb_id")).where(F.col("wb_id").isNotNull())
         payments = payments.join(wb, payments.booking_id == wb.wb_id, "left_semi")
-    bp = booking_payments(tables["bookings"], payments)
+    bp = booking_payments(tables["bookings"], payments).withColumn("__r_bk", F.lit(False))
 
     pas = tables["passengers"].select(
         F.col("id").alias("p_id"), F.col("first_name").alias("passenger_first_name"),
         F.col("last_name").alias("passenger_last_name"),
-        F.col("doc_type").cast("string").alias("passenger_doc_type"))
+        F.col("doc_type").cast("string").alias("passenger_doc_type"), F.lit(False).alias("__r_ps"))
     fares = tables["fares"].select(
         F.col("id").alias("f_id"), F.col("code").alias("fare_code"),
-        F.col("seat_class").cast("string").alias("fare_seat_class"))
+        F.col("seat_class").cast("string").alias("fare_seat_class"), F.lit(False).alias("__r_fa"))
     seats = tables["seats"].select(F.col("id").alias("s_id"), F.col("carriage_id").alias("s_carriage_id"),
                                    "seat_number")
     carriages = tables["carriages"].select(F.col("id").alias("c_id"), "carriage_number")
-    trains = tables["trains"].select(F.col("id").alias("tn_id"), F.col("registration").alias("train_registration"))
+    trains = tables["trains"].select(F.col("id").alias("tn_id"), F.col("registration").alias("train_registration"),
+                                     F.lit(False).alias("__r_tn"))
 
     # seat → carriage first (a snowflake hop on a nullable key)
-    seat_car = seats.join(carriages, seats.s_carriage_id == carriages.c_id, "left")
+    seat_car = (seats.join(carriages, seats.s_carriage_id == carriages.c_id, "left")
+                .select("s_id", "seat_number", "carriage_number", F.lit(False).alias("__r_st")))
 
     j = (t.join(trips, t.trip_id == trips.tr_id, "inner")
           .join(broadcast_if_bounded(routes, tables["routes"]), F.col("tr_route_id") == routes.ro_id, "inner")
           .join(broadcast_if_bounded(dep, tables["stations"]), F.col("tr_dep") == dep.dep_id, "inner")
           .join(broadcast_if_bounded(arr, tables["stations"]), F.col("tr_arr") == arr.arr_id, "inner"))
-    # nullable references: NULL keys are spread instead of landing in one partition
-    salt = F.col("ticket_ref")
-    for right, lk, rk in [(bp, "booking_id", "b_id"), (pas, "passenger_id", "p_id"), (fares, "fare_id", "f_id"),
-                          (seat_car, "seat_id", "s_id"), (trains, "tr_train_id", "tn_id")]:
-        j = left_join_spread_nulls(j, right, lk, rk, salt)
+    # the train comes through the trip, so its spread key is formed after that join
+    tn_n, tn_k = spread_key(F.col("tr_train_id"), salt, trains.schema["tn_id"].dataType)
+    j = j.select("*", tn_n.alias("__n_tn"), tn_k.alias("__k_tn"))
+
+    def on(tag, right, key):
+        return (F.col(f"__n_{tag}") == right[f"__r_{tag}"]) & (F.col(f"__k_{tag}") == right[key])
+
+    j = (j.join(bp, on("bk", bp, "b_id"), "left")
+          .join(pas, on("ps", pas, "p_id"), "left")
+          .join(fares, on("fa", fares, "f_id"), "left")
+          .join(seat_car, on("st", seat_car, "s_id"), "left")
+          .join(trains, on("tn", trains, "tn_id"), "left"))
 
     cols = [F.col(c) for c in REPORT_COLUMNS]
     if strip_zone:
