@@ -521,5 +521,15 @@ ORACLE.update({
 })
 
 
+ORACLE.update({
+    "dq_orphan_rows": """
+        SELECT t.id, t.booking_id FROM tickets t
+        WHERE t.booking_id IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM bookings b WHERE b.id = t.booking_id AND b.status <> 'cancelled')""",
+    # the streaming feed must equal its batch twin
+    "job_feed_stream": ORACLE["job_terminal_window"],
+})
+
+
 def oracle_queries() -> dict[str, str]:
     return {k: with_domain(v) for k, v in ORACLE.items()}

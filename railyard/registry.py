@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from railyard import schemas
 from railyard.functions.refs import gen_ref, padded, padded_ref
 from railyard.operators import jobs as JB
 from railyard.operators import lookups as LK
@@ -451,3 +452,40 @@ QUERIES.update({
     "report_catalog": q_report_catalog,
     "append_log": q_append_log,
 })
+
+
+# ---------------------------------------------------------------------------
+# reference detail and the streaming feed as registered queries
+# ---------------------------------------------------------------------------
+def q_dq_orphan_rows(spark, sf_dir):
+    """H3 detail: tickets whose booking disappears when cancelled bookings are
+    removed without propagating the delete."""
+    t = _tables(spark, sf_dir)
+    without = t.with_overrides(bookings=t["bookings"].filter(F.col("status") != "cancelled"))
+    fk = next(f for f in schemas.FOREIGN_KEYS if f.child == "tickets" and f.column == "booking_id")
+    return DQ.orphans(without, fk).select("id", "booking_id")
+
+
+def q_job_feed_stream(spark, sf_dir):
+    """The streaming change feed run over snapshot files (one per day of
+    observations), read back; equals its batch twin ``job_terminal_window``."""
+    from railyard.streaming.job_feed import OBSERVATION_SCHEMA, change_feed
+    obs = _tables(spark, sf_dir)["job_observations"].select(*[f.name for f in OBSERVATION_SCHEMA.fields])
+    root = _scratch(spark, "job-feed")
+    (obs.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+        .repartition("day").write.partitionBy("day").parquet(f"{root}/snapshots"))
+    # one trigger takes all snapshot files: parallel writers give no time order to
+    # file modification times (multi-trigger runs are tested with ordered files)
+    src = (spark.readStream.schema(OBSERVATION_SCHEMA)
+           .option("recursiveFileLookup", "true").parquet(f"{root}/snapshots"))
+    q = (change_feed(src).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+         .trigger(availableNow=True).start(f"{root}/feed"))
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/feed").select(
+        "job_name", "event_id", *_ntz("ts"), "status", "monitoring")
+
+
+QUERIES.update({
+    "dq_orphan_rows": q_dq_orphan_rows,
+    "job_feed_stream": q_job_feed_stream,
+})

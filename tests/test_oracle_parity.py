@@ -35,7 +35,7 @@ def test_matches_oracle(spark, con, key):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = {"report_export", "report_catalog", "append_log"}
+    rows_only = {"report_export", "report_catalog", "append_log"}  # write files; no SQL twin
     assert set(E.queries()) - set(_SQL) == rows_only
 
 

@@ -8,7 +8,7 @@ from conftest import SF_SMALL
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas"]
-WRITES = {"report_export", "report_catalog", "append_log"}  # these run a write while planning
+WRITES = {"report_export", "report_catalog", "append_log", "job_feed_stream"}  # run a write while planning
 
 
 @pytest.mark.parametrize("key", sorted(set(E.queries()) - WRITES))
