@@ -36,3 +36,13 @@ def test_append_log(spark, tmp_path):
 def test_listing_lines(spark):
     df = spark.createDataFrame([("a.xlsx\n  b.xlsx \n\n   \nc.log",)], "text string")
     assert [r.file_name for r in listing_lines(df).collect()] == ["a.xlsx", "b.xlsx", "c.log"]
+
+
+def test_catalog_lists_newest_name_first(spark, adapter_small, tmp_path):
+    for (a, b, st) in [((1998, 1, 1), (1998, 1, 31), 1), ((1998, 2, 1), (1998, 2, 28), 2)]:
+        w = Window(dt.date(*a), dt.date(*b))
+        export_report(R.ticket_report(adapter_small, w, ordered=False), str(tmp_path), w.start, w.end, st)
+    names = [r.file_name for r in report_catalog(spark, str(tmp_path), pattern="*.parquet").collect()]
+    assert names == sorted(names, reverse=True) and len(names) == 2
+    asc = [r.file_name for r in report_catalog(spark, str(tmp_path), pattern="*.parquet", descending=False).collect()]
+    assert asc == sorted(names)
