@@ -92,12 +92,33 @@ def window_tickets(tables: DomainTables, window: Window | None) -> DataFrame:
     return t
 
 
+# Which left-joined dimension each report column comes from (the rest come from
+# the ticket or the inner-joined trip, route and stations).
+_LEFT_SOURCES = {
+    "bk": ["booking_ref", "booking_status", "booking_total_amount", "booking_currency",
+           "paid_amount", "latest_payment_status"],
+    "ps": ["passenger_first_name", "passenger_last_name", "passenger_doc_type"],
+    "fa": ["fare_code", "fare_seat_class"],
+    "st": ["seat_number", "carriage_number"],
+    "tn": ["train_registration"],
+}
+
+
 def ticket_report(tables: DomainTables, window: Window | None = None, ordered: bool = True,
-                  strip_zone: bool = True) -> DataFrame:
+                  strip_zone: bool = True, columns: list[str] | None = None) -> DataFrame:
     """The 25-column report for tickets issued in ``window`` (all tickets if None).
 
     ``strip_zone`` casts ``issued_at`` to a zone-less timestamp, as the export does.
+    ``columns`` selects a subset of the report columns; left joins that feed none
+    of them are not built at all (they join on primary keys, so they never change
+    the row count — Spark cannot know that, so it would not drop them itself).
+    The inner joins always stay: they decide which tickets are reported.
     """
+    wanted = list(columns or REPORT_COLUMNS)
+    unknown = set(wanted) - set(REPORT_COLUMNS)
+    if unknown:
+        raise ValueError(f"not report columns: {sorted(unknown)}")
+    need = {tag for tag, cols in _LEFT_SOURCES.items() if set(cols) & set(wanted)}
     t = window_tickets(tables, window)
     salt = F.col("ticket_ref")
     # nullable references: (is-NULL flag, key-or-salt) so NULL keys spread over many partitions
@@ -120,7 +141,7 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
     arr = stations.select(F.col("id").alias("arr_id"), F.col("code").alias("arrival_station_code"))
 
     payments = tables["payments"]
-    if window is not None:
+    if window is not None and "bk" in need:
         # narrow window: aggregate only the payments of bookings in the window
         wb = t.select(F.col("booking_id").alias("wb_id")).where(F.col("wb_id").isNotNull())
         payments = payments.join(wb, payments.booking_id == wb.wb_id, "left_semi")
@@ -154,19 +175,17 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
     def on(tag, right, key):
         return (F.col(f"__n_{tag}") == right[f"__r_{tag}"]) & (F.col(f"__k_{tag}") == right[key])
 
-    j = (j.join(bp, on("bk", bp, "b_id"), "left")
-          .join(pas, on("ps", pas, "p_id"), "left")
-          .join(fares, on("fa", fares, "f_id"), "left")
-          .join(seat_car, on("st", seat_car, "s_id"), "left")
-          .join(trains, on("tn", trains, "tn_id"), "left"))
+    for tag, right, key in [("bk", bp, "b_id"), ("ps", pas, "p_id"), ("fa", fares, "f_id"),
+                            ("st", seat_car, "s_id"), ("tn", trains, "tn_id")]:
+        if tag in need:
+            j = j.join(right, on(tag, right, key), "left")
 
-    cols = [F.col(c) for c in REPORT_COLUMNS]
-    if strip_zone:
-        cols[REPORT_COLUMNS.index("issued_at")] = F.col("issued_at").cast("timestamp_ntz").alias("issued_at")
-    out = j.select(*cols)
+    cols = [F.col(c).cast("timestamp_ntz").alias(c) if (c == "issued_at" and strip_zone) else F.col(c)
+            for c in wanted]
     if ordered:
-        out = out.orderBy(*REPORT_ORDER)
-    return out
+        # order by the report keys even when they are not among the selected columns
+        return j.orderBy(*REPORT_ORDER).select(*cols)
+    return j.select(*cols)
 
 
 def monthly_report_backfill(tables: DomainTables, ordered: bool = False) -> DataFrame:

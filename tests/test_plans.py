@@ -51,3 +51,20 @@ def test_latest_state_is_an_aggregate_not_a_window(spark, adapter_small):
     plan = JB.latest(adapter_small.job_observations())._jdf.queryExecution().executedPlan().toString()
     assert "max_by" in plan and "Window" not in plan
     assert "partial_max_by" in plan  # map-side partial aggregation before the shuffle
+
+
+def test_unused_left_joins_are_not_built(spark, adapter_small):
+    w = Window(dt.date(1998, 1, 1), dt.date(1998, 3, 31))
+    cols = ["ticket_ref", "route_code", "fare_code"]
+    part = R.ticket_report(adapter_small, w, columns=cols)
+    full = R.ticket_report(adapter_small, w).select(*cols)
+    assert sorted(tuple(r) for r in part.collect()) == sorted(tuple(r) for r in full.collect())
+    plan = part._jdf.queryExecution().optimizedPlan().toString()
+    full_plan = R.ticket_report(adapter_small, w)._jdf.queryExecution().optimizedPlan().toString()
+    # bookings (orders), passengers (c_mktsegment) and trains (s_name) are not read at all
+    for src in ["o_orderstatus", "c_mktsegment", "s_name"]:
+        assert src in full_plan and src not in plan
+    assert "p_retailprice" in plan or "p_name" in plan   # the fare join stays
+    import pytest
+    with pytest.raises(ValueError):
+        R.ticket_report(adapter_small, w, columns=["nope"])
