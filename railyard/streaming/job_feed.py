@@ -80,6 +80,13 @@ def _norm(v):
     return int(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
 
+def _watermark_ms(state: GroupState) -> int:
+    try:
+        return int(state.getCurrentWatermarkMs())
+    except Exception:  # no watermark yet (first batch)
+        return -1
+
+
 def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
           retention_us: int) -> Iterator[pd.DataFrame]:
     """Per-job state machine over this micro-batch's observations, in (ts, event_id) order."""
@@ -119,9 +126,13 @@ def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
                     st[6] = int(r.ts_us) + retention_us
             elif changed:
                 st[5] = True
+    timeout = st[6] // 1000 + 1 if st[6] is not None and not st[7] else None
+    if timeout is not None and timeout < _watermark_ms(state):
+        st[7] = True      # late data: the retention already ran out, keep only the tombstone
+        timeout = None
     state.update(tuple(st))
-    if st[6] is not None and not st[7]:
-        state.setTimeoutTimestamp(st[6] // 1000 + 1)
+    if timeout is not None:
+        state.setTimeoutTimestamp(timeout)
     if out:
         yield pd.DataFrame(out, columns=[f.name for f in FEED_SCHEMA.fields])
 
@@ -270,9 +281,16 @@ def _missing_step(key, pdfs, state: GroupState, period_us: int):
                 if st is None or snap > st[0] or (int(r.ts_us), int(r.event_id)) > (st[2], st[1]):
                     st = [snap, int(r.event_id), int(r.ts_us), _none(r.status), False]
         if st is not None:
-            state.update(tuple(st))
             # absent from the next period once the watermark passes its end
-            state.setTimeoutTimestamp((st[0] + 2 * period_us) // 1000)
+            timeout = (st[0] + 2 * period_us) // 1000
+            if timeout < _watermark_ms(state):   # late data: that moment has already passed
+                if not st[4]:
+                    out.append((job, st[0] + period_us, st[1], st[3], False))
+                    st[4] = True
+                timeout = None
+            state.update(tuple(st))
+            if timeout is not None:
+                state.setTimeoutTimestamp(timeout)
     if out:
         yield pd.DataFrame(out, columns=[f.name for f in MISSING_SCHEMA.fields])
 

@@ -127,3 +127,28 @@ def test_missing_feed_equals_batch_where_watermark_passed(spark, tmp_path):
     key = lambda df: sorted(tuple(r) for r in df.select("job_name", "missing_at", "event_id", "status").collect())
     assert key(got.filter(F.col("missing_at") < F.lit(horizon))) == key(exp)
     assert got.count() <= JB.missing_jobs(obs).count()
+
+
+def test_late_terminal_observation_does_not_fail_the_stream(spark, tmp_path):
+    from pyspark.sql import Row
+
+    def t(h):
+        return dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+
+    def row(job, h, eid, a, s, f):
+        return Row(job_name=job, namespace="ns", ts=t(h), event_id=eid, active=a, succeeded=s, failed=f,
+                   creation_ts=t(0), start_ts=t(0), completion_ts=None, labels=None)
+
+    first = spark.createDataFrame([row("a", 0, 0, 1, 0, 0), row("a", 10, 1, 1, 0, 0)], OBSERVATION_SCHEMA)
+    late = spark.createDataFrame([row("b", 1, 2, 1, 0, 0), row("b", 2, 3, 0, 1, 0), row("a", 11, 4, 0, 1, 0)],
+                                 OBSERVATION_SCHEMA)
+    src = str(tmp_path / "src")
+    first.coalesce(1).write.parquet(src + "/f1")
+    late.coalesce(1).write.parquet(src + "/f2")   # job b's whole history is older than the watermark
+    s = (spark.readStream.schema(OBSERVATION_SCHEMA).option("maxFilesPerTrigger", 1)
+         .option("recursiveFileLookup", "true").parquet(src))
+    q = (change_feed(s).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck"))
+         .trigger(availableNow=True).start(str(tmp_path / "out")))
+    q.awaitTermination()
+    got = sorted((r.job_name, r.event_id, r.monitoring) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert ("b", 3, False) in got and ("a", 4, False) in got
