@@ -473,7 +473,7 @@ def q_job_feed_stream(spark, sf_dir):
     obs = _tables(spark, sf_dir)["job_observations"].select(*[f.name for f in OBSERVATION_SCHEMA.fields])
     root = _scratch(spark, "job-feed")
     (obs.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-        .repartition("day").write.partitionBy("day").parquet(f"{root}/snapshots"))
+        .repartitionByRange("day", "ts").write.partitionBy("day").parquet(f"{root}/snapshots"))
     # one trigger takes all snapshot files: parallel writers give no time order to
     # file modification times (multi-trigger runs are tested with ordered files)
     src = (spark.readStream.schema(OBSERVATION_SCHEMA)
