@@ -43,3 +43,15 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns[:3] == ["ticket_ref", "ticket_status", "ticket_price"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("key", ["ticket_report_window", "job_duration", "monthly_report_backfill"])
+def test_results_do_not_depend_on_caller_time_zone(spark, key):
+    base = sorted(tuple(r) for r in E.queries()[key](spark, SF_SMALL).collect())
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        other = sorted(tuple(r) for r in E.queries()[key](spark, SF_SMALL).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
+    assert base == other
