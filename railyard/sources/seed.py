@@ -48,7 +48,7 @@ class SeedTables(DomainTables):
     def _users(self):
         i = F.col("i") + 1
         return self._r(N_USERS).select(
-            i.alias("id"), F.concat(F.lit("user"), i.cast("string"), F.lit("@traincompany.com")).alias("email"),
+            i.alias("id"), F.concat(F.lit("user"), i.cast("string"), F.lit("@example.org")).alias("email"),
             F.concat(F.lit("hashed_password_"), i.cast("string")).alias("password_hash"),
             F.concat(F.lit("User "), i.cast("string")).alias("full_name"),
             F.concat(F.lit("+1-555-"), padded(i, 4)).alias("phone"), F.lit("en_US").alias("locale"),
@@ -89,7 +89,7 @@ class SeedTables(DomainTables):
         return self._r(N_TRAINS).select(
             i.alias("id"), F.concat(F.lit("TRAIN-"), (i + 1).cast("string")).alias("registration"),
             F.concat(F.lit("Model-X"), (i + 1).cast("string")).alias("model"),
-            F.lit("TrainCompany").alias("operator"), (F.lit(250) + i * 50).cast("int").alias("capacity"),
+            F.lit("Rail Operator").alias("operator"), (F.lit(250) + i * 50).cast("int").alias("capacity"),
             self._ts().alias("created_at"))
 
     def _carriages(self):

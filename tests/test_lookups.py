@@ -25,7 +25,7 @@ def test_unique_finders(spark, seed):
 @pytest.mark.parametrize("finder,key,n", [
     ("RouteRepository.findByCodeIgnoreCase", "route-2", 1),
     ("StationRepository.findByCodeIgnoreCase", "rOm", 1),
-    ("UserAccountRepository.findByEmailIgnoreCase", "USER7@TRAINCOMPANY.COM", 1),
+    ("UserAccountRepository.findByEmailIgnoreCase", "USER7@EXAMPLE.ORG", 1),
 ])
 def test_ignore_case(spark, seed, finder, key, n):
     assert run_finder(seed, finder, _keys(spark, "k string", [(key,)])).count() == n
