@@ -41,6 +41,8 @@ def export_report(report: DataFrame, root: str, start: dt.date, end: dt.date, st
     """
     path = os.path.join(root, report_dataset_name(start, end, stamp, fmt))
     df = strip_zones(report)
+    if partition_by == "issue_month" and "issued_at" not in df.columns:
+        partition_by = None   # a column subset without the issue time: one flat dataset
     if partition_by == "issue_month":
         df = df.withColumn("issue_month", F.date_format("issued_at", "yyyy-MM"))
     obs = Observation("export")
