@@ -9,6 +9,13 @@ functions  column-expression helpers (enum order, reference codes, durations)
 streaming  the job-status change feed on Structured Streaming
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from railyard.session import get_session
 
+# functions of this package travel to Python workers by value: executors need no copy of it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["get_session"]
