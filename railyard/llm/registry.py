@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from railyard.llm.decontaminate import decontaminate
 from railyard.llm.fingerprints import neighbour_likeness
+from railyard.llm.html_text import extract_main_text
+from railyard.llm.langid import fit, identify
+from railyard.llm.licenses import licence_scan
 from railyard.llm.mixing import curriculum_mix
+from railyard.llm.ppm import score_documents
 from railyard.llm.simhash import hex_fingerprint, simhash_near_dedup
 from railyard.llm.suffix_dedup import suffix_array_dedup
+from railyard.llm.warc import archive_round_trip
+from railyard.session import scratch_path
 
 # weights 5, 2 and 1 over the whole of training: the first fades, the last grows
 CURVES = [[(0, 6), (1, 4)], [(0, 2), (1, 2)], [(0, 0.5), (1, 1.5)]]
@@ -26,7 +34,36 @@ def op1_mix_sources(spark, sf_dir):
 
 
 def op2_suffix_array_dedup(spark, sf_dir):
-    return suffix_array_dedup(_table(spark, sf_dir, "documents"), length=100).drop("kept")
+    return suffix_array_dedup(_table(spark, sf_dir, "documents"), length=100).drop("kept", "document")
+
+
+def op3_license_scan(spark, sf_dir):
+    """Documents as files of a tree: 40 to a directory, ten of those to the next; every fortieth is a licence file,
+    every four-hundredth one that stands a level higher."""
+    top, leaf = F.expr("concat('r', doc_id div 4000, '/p', doc_id div 400)"), F.expr("concat('/m', doc_id div 40)")
+    path = (F.when(F.col("doc_id") % 400 == 0, F.concat(top, F.lit("/LICENSE")))
+             .when(F.col("doc_id") % 40 == 0, F.concat(top, leaf, F.lit("/LICENSE")))
+             .otherwise(F.concat(top, leaf, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))))
+    return licence_scan(_table(spark, sf_dir, "documents").withColumn("path", path))
+
+
+def op4_html_extraction(spark, sf_dir):
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op5_lm_scoring(spark, sf_dir):
+    return score_documents(_table(spark, sf_dir, "documents"), folds=10)
+
+
+def op6_warc(spark, sf_dir):
+    """The archives go to a folder of their own in the shared checkpoint folder."""
+    folder = scratch_path(spark, f"warc-{uuid.uuid4().hex}")
+    return archive_round_trip(_table(spark, sf_dir, "pages"), folder)
+
+
+def op7_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
 
 
 def op8_decontaminate(spark, sf_dir):
@@ -43,7 +80,8 @@ def op10_fingerprints(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_suffix_array_dedup, op8_decontaminate, op9_simhash_near_dedup, op10_fingerprints)}
+    op1_mix_sources, op2_suffix_array_dedup, op3_license_scan, op4_html_extraction, op5_lm_scoring, op6_warc,
+    op7_language_id, op8_decontaminate, op9_simhash_near_dedup, op10_fingerprints)}
 
 ORACLES = {
     "op1_mix_sources": r"""

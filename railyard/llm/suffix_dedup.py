@@ -410,8 +410,8 @@ def kept_parts(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def _removed(length, id_type):
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "document"]
+    types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
 
     def run(docs, answers):
         firsts, marks = set(), []
@@ -433,13 +433,22 @@ def _removed(length, id_type):
                 kept, runs = b"", 1
             else:
                 kept, runs = text, 0
-            rows.append((key, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
+            rows.append((key, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept, t))
         return _table(rows, names, types)
     return run
 
 
+def _order(id_col):
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))
+
+
+def document_key(id_col: str = "doc_id", text_col: str = "text"):
+    """A hash that tells rows with different id or text apart."""
+    return F.xxhash64(_order(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+
+
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for every row of ``docs``.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, document`` for every row of ``docs``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts
     earlier, in a document with a smaller id or earlier in its own.  Strings
@@ -447,11 +456,12 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text is empty.  A null id counts as the largest; documents that share an id
     are ordered by their texts' digests; rows that repeat id and text are the
     same document and come out alike.  ``kept`` are the remaining bytes (a cut
-    may fall inside a character).  Other columns are ignored.
+    may fall inside a character), ``document`` is ``document_key`` of the row.
+    Other columns are ignored.
     """
     if not GRAM < length < 255:
         raise ValueError(f"length must lie between {GRAM} and 255")
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"),
+    d = docs.select(F.col(id_col).alias("id"), _order(id_col).alias("doc"),
                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     blocks = block_count(d)
     buckets = -(-blocks // 4)
@@ -476,4 +486,4 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     from pyspark.sql.pandas.types import to_arrow_type
     return rows.groupBy("blk").cogroup(answered(marks)).applyInArrow(
         _removed(length, to_arrow_type(id_type)),
-        f"doc_id {id_type.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+        f"doc_id {id_type.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, document bigint")
