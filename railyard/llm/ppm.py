@@ -265,6 +265,10 @@ def _requests(buckets):
     return run
 
 
+def _asked(batch):
+    return zip(*(batch.column(c).to_pylist() for c in ("kind", "body", "counts")))
+
+
 _LOW_TYPES = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
 
 
@@ -272,7 +276,7 @@ def _low_counts(batches):
     """Training counts of (latest context symbol, symbol) in a batch of requests."""
     for batch in batches:
         low = np.zeros(SYMBOLS * SYMBOLS, np.int64)
-        for kind, body, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for kind, body, counts in _asked(batch):
             if kind == GRAMS:
                 keys, n = _unpacked(body), np.frombuffer(counts, np.uint32)
                 pair = (keys >> np.uint64(BITS * ORDER)) * np.uint64(SYMBOLS) + (keys & np.uint64(LOW))
@@ -316,7 +320,7 @@ def _vocabulary(batches):
     """Training vocabulary and tokens of the word requests; a partition holds whole buckets."""
     keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for batch in batches:
-        for kind, body, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for kind, body, n in _asked(batch):
             if kind == WORDS:
                 keys.append(_unpacked(body))
                 counts.append(np.frombuffer(n, np.uint32).astype(np.int64))
@@ -374,8 +378,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blk = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")
     rows = d.withColumn("blk", blk).repartition("blk")
     requests = rows.groupBy("blk").applyInArrow(_requests(buckets), _REQUEST).repartition("bucket")
-    body = requests.select("kind", "body", "counts")
-    low = body.mapInArrow(_low_counts, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    # all columns, so that the exchange by bucket serves these two passes and the answers
+    low = requests.mapInArrow(_low_counts, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     # at most 257 * 257 rows, one copy for each bucket
     low = low.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     answers = requests.groupBy("bucket").cogroup(low.groupBy("bucket")).applyInArrow(_answers, _ANSWER)
@@ -383,7 +387,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = d.schema["id"].dataType
     scored = found.applyInArrow(_scores(buckets, to_arrow_type(id_type)),
                                 f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, known_part double, score double")
-    stats = body.mapInArrow(_vocabulary, "vocabulary bigint, tokens bigint").agg(
+    stats = requests.mapInArrow(_vocabulary, "vocabulary bigint, tokens bigint").agg(
         F.struct(F.coalesce(F.sum("vocabulary"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).alias("s"))
     scored = scored.withColumn("s", stats.scalar())
     base = F.col("known_part") - F.col("n_tokens") * F.log10(F.col("s.n") + F.lit(SMOOTH) * (F.col("s.v") + 1))
