@@ -119,7 +119,12 @@ def _unzipped(data: bytes) -> bytes:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content", "path")
+
+
+def _name(path: str) -> str:
+    """A file's name without the id of the job that wrote it, so that reruns agree."""
+    return re.sub(r"-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "", path.rpartition("/")[2])
 
 
 def split_http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -142,19 +147,19 @@ def _iso(date14: str) -> str:
 _RECORD = "record_id string, page_id bigint, digest string, payload_bytes bigint"
 
 
-def converted(spark: SparkSession, path: str, blocks: bool) -> DataFrame:
-    """Identifiers and digests of every ARC record below ``path``; with ``blocks`` also url, ip, date, mime and
+def converted(spark: SparkSession, folder: str, blocks: bool) -> DataFrame:
+    """Identifiers and digests of every ARC record below ``folder``; with ``blocks`` also url, ip, date, mime and
     the packed head and payload.  ``page_id`` is the archived response's ``X-Page-Id``, if any."""
     schema = _arrow(_RECORD + (", url string, ip string, date string, mime string, head binary, packed binary" if blocks else ""))
 
     def run(batches):
         for b in batches:
-            for data in b.column(0):
+            for data, path in zip(b.column(0), b.column(1).to_pylist()):
                 rows = []
                 for at, f, block in parse_arc(_unzipped(data.as_py())):
                     http, head, payload = split_http(block)
                     digest = hashlib.sha256(payload).hexdigest()
-                    name = uuid.UUID(bytes=hashlib.md5("|".join([f["URL"], f["Archive-date"], str(at), digest]).encode()).digest(), version=4)
+                    name = uuid.UUID(bytes=hashlib.md5("|".join([_name(path), f["URL"], f["Archive-date"], str(at), digest]).encode()).digest(), version=4)
                     page = http.get("x-page-id", "")
                     row = (f"urn:uuid:{name}", int(page) if re.fullmatch(r"-?\d+", page) else None, digest, len(payload))
                     if blocks:
@@ -163,7 +168,7 @@ def converted(spark: SparkSession, path: str, blocks: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else
                                                  [pa.array([], t) for t in schema.types], schema=schema)
     extra = ", url string, ip string, date string, mime string, head binary, packed binary" if blocks else ""
-    return _files(spark, path).mapInArrow(run, _RECORD + extra)
+    return _files(spark, folder).mapInArrow(run, _RECORD + extra)
 
 
 def _lines(pairs) -> bytes:
