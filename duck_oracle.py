@@ -185,48 +185,41 @@ _PAYMENT_SUMMARY = """
 # The report as the Spark plan builds it: bookings carry their payment summary
 # (joined on the booking's own id), seats carry their carriage; the ticket then
 # joins each of them once.
-_REPORT_PARTS = f"""
-    paid AS ({_PAYMENT_SUMMARY}),
-    booked AS (
-        SELECT bk.id AS bk_id, bk.booking_ref, bk.status AS booking_status,
-               bk.total_amount AS booking_total_amount, bk.currency AS booking_currency,
-               paid.paid_amount, paid.latest_payment_status
-        FROM bookings bk LEFT JOIN paid ON paid.booking_id = bk.id),
-    seated AS (
-        SELECT st.id AS st_id, st.seat_number, cr.carriage_number
-        FROM seats st LEFT JOIN carriages cr ON cr.id = st.carriage_id)"""
-
-_REPORT_COLS = """
-    tk.ticket_ref, tk.status AS ticket_status, tk.price AS ticket_price, tk.currency AS ticket_currency,
-    tk.issued_at, booked.booking_ref, booked.booking_status, booked.booking_total_amount,
-    booked.booking_currency, booked.paid_amount, booked.latest_payment_status,
-    ps.first_name AS passenger_first_name, ps.last_name AS passenger_last_name,
-    CAST(ps.doc_type AS VARCHAR) AS passenger_doc_type,
-    tr.service_date, tr.departure_time, tr.arrival_time,
-    s_from.code AS departure_station_code, s_to.code AS arrival_station_code, ro.code AS route_code,
-    fa.code AS fare_code, CAST(fa.seat_class AS VARCHAR) AS fare_seat_class,
-    seated.seat_number, seated.carriage_number, tn.registration AS train_registration"""
-
-_REPORT_JOINS = """
-    FROM tickets tk
-    JOIN trips tr ON tr.id = tk.trip_id
-    JOIN routes ro ON ro.id = tr.route_id
-    JOIN stations s_from ON s_from.id = tr.departure_station_id
-    JOIN stations s_to ON s_to.id = tr.arrival_station_id
-    LEFT JOIN booked ON booked.bk_id = tk.booking_id
-    LEFT JOIN passengers ps ON ps.id = tk.passenger_id
-    LEFT JOIN fares fa ON fa.id = tk.fare_id
-    LEFT JOIN seated ON seated.st_id = tk.seat_id
-    LEFT JOIN trains tn ON tn.id = tr.train_id"""
+# the report's ways from a ticket to other tables: (role, table, from role, by column, must exist)
+_WAYS = [
+    ("trip", "trips", "ticket", "trip_id", True), ("route", "routes", "trip", "route_id", True),
+    ("departure", "stations", "trip", "departure_station_id", True), ("arrival", "stations", "trip", "arrival_station_id", True),
+    ("booking", "bookings", "ticket", "booking_id", False), ("passenger", "passengers", "ticket", "passenger_id", False),
+    ("fare", "fares", "ticket", "fare_id", False), ("seat", "seats", "ticket", "seat_id", False),
+    ("carriage", "carriages", "seat", "carriage_id", False), ("train", "trains", "trip", "train_id", False),
+]
+
+# fixed values: output columns per role, in report order where it matters only by name
+_SHOWN = {
+    "ticket": {"ticket_ref": "ticket_ref", "status": "ticket_status", "price": "ticket_price",
+               "currency": "ticket_currency", "issued_at": "issued_at"},
+    "booking": {"booking_ref": "booking_ref", "status": "booking_status", "total_amount": "booking_total_amount",
+                "currency": "booking_currency"},
+    "passenger": {"first_name": "passenger_first_name", "last_name": "passenger_last_name", "doc_type": "passenger_doc_type"},
+    "trip": {c: c for c in ("service_date", "departure_time", "arrival_time")},
+    "departure": {"code": "departure_station_code"}, "arrival": {"code": "arrival_station_code"},
+    "route": {"code": "route_code"}, "fare": {"code": "fare_code", "seat_class": "fare_seat_class"},
+    "seat": {"seat_number": "seat_number"}, "carriage": {"carriage_number": "carriage_number"},
+    "train": {"registration": "train_registration"},
+}
 
 
 def _report(where: str = "", extra: str = "") -> str:
-    return (f"WITH {_REPORT_PARTS}\nSELECT {extra}{_REPORT_COLS}\n{_REPORT_JOINS}\n"
-            f"{where}\nORDER BY tr.service_date, tr.departure_time, tk.ticket_ref")
+    shown = [f"{role}.{c} AS {name}" for role, cs in _SHOWN.items() for c, name in cs.items()]
+    shown += [f"money.{c} AS {c}" for c in ("paid_amount", "latest_payment_status")]
+    steps = " ".join(f"{'INNER' if needed else 'LEFT'} JOIN {table} AS {role} ON {role}.id = {origin}.{column}"
+                     for role, table, origin, column, needed in _WAYS)
+    return (f"WITH money AS ({_PAYMENT_SUMMARY}) SELECT {extra} {', '.join(shown)} FROM tickets AS ticket {steps} "
+            f"LEFT JOIN money ON money.booking_id = booking.id {where}")
 
 
 def _between(a: str, b: str) -> str:
-    return f"WHERE CAST(tk.issued_at AS DATE) BETWEEN DATE '{a}' AND DATE '{b}'"
+    return f"WHERE CAST(ticket.issued_at AS DATE) BETWEEN DATE '{a}' AND DATE '{b}'"
 
 
 ORACLE: dict[str, str] = {
@@ -236,7 +229,7 @@ ORACLE: dict[str, str] = {
     "ticket_report_mtd": _report(_between("1998-03-01", "1998-03-17")),
     "ticket_report_prev_month": _report(_between("1998-02-01", "1998-02-28")),
     "monthly_report_backfill": _report(
-        extra="CAST(date_trunc('month', tk.issued_at) AS DATE) AS report_month,"),
+        extra="CAST(date_trunc('month', ticket.issued_at) AS DATE) AS report_month,"),
     "payment_summary": _PAYMENT_SUMMARY,
 }
 
@@ -462,14 +455,20 @@ ORACLE.update({
         FROM flagged f JOIN marks m ON m.job_name = f.job_name AND m.ts = f.ts AND m.event_id = f.event_id""",
     "jobs_missing": f"""
         WITH cls AS ({_CLASSIFIED}),
-        snaps AS (SELECT *, date_trunc('hour', ts) AS snap FROM cls
-                  QUALIFY row_number() OVER (PARTITION BY job_name, date_trunc('hour', ts)
-                                             ORDER BY ts DESC, event_id DESC) = 1)
-        SELECT s.job_name, s.snap + INTERVAL 1 HOUR AS missing_at, s.event_id, s.status,
-               false AS monitoring
-        FROM snaps s
-        WHERE NOT EXISTS (SELECT 1 FROM snaps n WHERE n.job_name = s.job_name
-                                                   AND n.snap = s.snap + INTERVAL 1 HOUR)""",
+        polled AS (SELECT DISTINCT date_trunc('hour', ts) AS hour FROM cls),
+        ended AS (SELECT job_name, min(date_trunc('hour', ts)) AS hour FROM cls
+                  WHERE status IN ('Succeeded', 'Failed') GROUP BY job_name),
+        sighted AS (SELECT DISTINCT job_name, date_trunc('hour', ts) AS hour FROM cls),
+        gap AS (SELECT g.job_name, min(p.hour) AS missing_at
+                FROM (SELECT job_name, min(hour) AS hour FROM sighted GROUP BY job_name) g
+                JOIN polled p ON p.hour > g.hour
+                LEFT JOIN sighted s ON s.job_name = g.job_name AND s.hour = p.hour
+                WHERE s.job_name IS NULL GROUP BY g.job_name)
+        SELECT gap.job_name, gap.missing_at, arg_max(cls.event_id, (cls.ts, cls.event_id)) AS event_id,
+               arg_max(cls.status, (cls.ts, cls.event_id)) AS status, false AS monitoring
+        FROM gap JOIN cls ON cls.job_name = gap.job_name AND cls.ts < gap.missing_at
+        WHERE NOT EXISTS (SELECT 1 FROM ended e WHERE e.job_name = gap.job_name AND e.hour < gap.missing_at)
+        GROUP BY gap.job_name, gap.missing_at""",
     "jobs_latest": f"""
         SELECT job_name, event_id, ts, status, active, succeeded, failed, completion_ts
         FROM ({_LATEST}) l""",

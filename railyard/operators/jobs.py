@@ -177,23 +177,29 @@ def prefix_filter(df: DataFrame, column: str, prefix: str = JOB_PREFIX) -> DataF
 
 
 def missing_jobs(obs: DataFrame, period: str = "hour") -> DataFrame:
-    """Jobs present in one snapshot and absent from the next (the 404 case):
-    re-emit the job's last record of the earlier snapshot with
-    ``monitoring = false``, stamped with the snapshot where it went missing.
+    """Monitored jobs that a later snapshot no longer has (the 404 case): the
+    job's last record before its first gap, once, with ``monitoring = false``
+    and the snapshot in which it was missed.
 
-    Snapshots are ``period``-wide; the diff is an anti join of each (job,
-    snapshot) against the same job in the following snapshot.
+    Snapshots are the ``period``-wide intervals in which anything was polled;
+    the last one has no successor and misses nothing.  A job that has reached
+    a terminal status is no longer monitored and is not missed.
     """
     c = classify(obs).withColumn("__snap", F.date_trunc(period, "ts"))
     cols = DIFF_FIELDS + ["ts", "event_id"]
     last = (c.groupBy("job_name", "__snap")
              .agg(F.max_by(F.struct(*cols), F.struct(*ORDER)).alias("__s")))
-    step = {"hour": F.make_dt_interval(hours=F.lit(1)), "day": F.make_dt_interval(days=F.lit(1)),
-            "minute": F.make_dt_interval(mins=F.lit(1))}[period]
-    nxt = last.select(F.col("job_name").alias("__j"), F.col("__snap").alias("__n"))
-    gone = last.join(nxt, (last.job_name == nxt.__j) & ((last.__snap + step) == nxt.__n), "left_anti")
-    return gone.select("job_name", (F.col("__snap") + step).alias("missing_at"), "__s.*",
-                       F.lit(False).alias("monitoring"))
+    done = (c.filter(F.col("status").isin(*TERMINAL))
+             .groupBy("job_name").agg(F.min("__snap").alias("__done")))
+    # one row per polled interval
+    polls = c.select("__snap").distinct()
+    polls = polls.select("__snap", F.lead("__snap").over(W.orderBy("__snap")).alias("__next"))
+    seen = last.select(F.col("job_name").alias("__j"), F.col("__snap").alias("__n"))
+    watched = (last.join(polls.filter(F.col("__next").isNotNull()), "__snap").join(done, "job_name", "left")
+                   .filter(F.col("__done").isNull() | (F.col("__done") > F.col("__snap"))))
+    gone = watched.join(seen, (F.col("job_name") == F.col("__j")) & (F.col("__next") == F.col("__n")), "left_anti")
+    first = gone.groupBy("job_name").agg(F.min_by(F.struct(F.col("__next").alias("missing_at"), "__s"), "__snap").alias("__f"))
+    return first.select("job_name", F.col("__f.missing_at").alias("missing_at"), "__f.__s.*", F.lit(False).alias("monitoring"))
 
 
 def preferred_pod(pods: DataFrame, group: str = "name", phase: str = "status",

@@ -47,7 +47,7 @@ def upsert(base: DataFrame, updates: DataFrame, key: str = "id", order: str | No
     (the ``updated_at`` rule).
     """
     cols = base.columns
-    u = updates.select(*cols, (F.col(order) if order else F.lit(None)).cast("string").alias("__ord"))
+    u = updates.select(*cols, (F.col(order) if order else F.lit(None).cast("string")).alias("__ord"))
     if touch:
         u = u.withColumn(touch, F.lit(batch_ts).cast(base.schema[touch].dataType))
     orderable = [c for c in cols if _orderable(base.schema[c].dataType)]

@@ -34,6 +34,8 @@ Plan shape (what Catalyst/AQE are steered to):
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,9 +88,11 @@ def window_tickets(tables: DomainTables, window: Window | None) -> DataFrame:
     if window is not None:
         t = t.filter(in_window(F.col("issued_at"), window))
         if "issue_month" in t.columns:
-            # stored tickets are partitioned by issue month: prune whole folders
-            t = t.filter(F.col("issue_month").between(window.start.strftime("%Y-%m"),
-                                                      window.end.strftime("%Y-%m")))
+            # stored tickets are partitioned by issue month: prune whole folders.  The folder's
+            # month was taken in the writing session's zone, so a day on either side is read too
+            day = dt.timedelta(days=1)
+            t = t.filter(F.col("issue_month").between((window.start - day).strftime("%Y-%m"),
+                                                      (window.end + day).strftime("%Y-%m")))
     return t
 
 

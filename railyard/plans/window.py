@@ -8,6 +8,7 @@ is built.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -21,16 +22,17 @@ class Window:
 
     def __post_init__(self):
         if self.start > self.end:
-            raise ValueError("start_date cannot be after end_date")
+            raise ValueError(f"empty window: {self.start} is later than {self.end}")
 
 
 def parse_iso_date(value: str | dt.date | None, name: str = "date") -> dt.date | None:
     if value is None or isinstance(value, dt.date):
         return value
+    parts = re.fullmatch(r"(\d{4})-(\d{2})-(\d{2})", value)
     try:
-        return dt.date.fromisoformat(value)
-    except ValueError as exc:
-        raise ValueError(f"Invalid {name}: {value!r}. Expected ISO format YYYY-MM-DD") from exc
+        return dt.date(*map(int, parts.groups()))
+    except (AttributeError, ValueError):
+        raise ValueError(f"{name} {value!r} is not a calendar day written as year-month-day") from None
 
 
 def resolve_window(start=None, end=None, as_of: dt.date | str | None = None,

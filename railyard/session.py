@@ -61,6 +61,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = _PRIVATE_DIRS.get(id(sc)) or tempfile.mkdtemp(prefix="railyard-ckpt-")
         _PRIVATE_DIRS[id(sc)] = d
     if not sc.getCheckpointDir():

@@ -39,8 +39,8 @@ def parse_report_names(names: DataFrame, column: str = "file_name", ordered: boo
     n = F.col(column)
     out = names.filter(n.endswith(suffix)).select(
         n.alias("file_name"),
-        F.to_date(F.regexp_extract(n, NAME_PATTERN, 1)).alias("period_start"),
-        F.to_date(F.regexp_extract(n, NAME_PATTERN, 2)).alias("period_end"),
+        F.try_to_date(F.regexp_extract(n, NAME_PATTERN, 1)).alias("period_start"),
+        F.try_to_date(F.regexp_extract(n, NAME_PATTERN, 2)).alias("period_end"),
         F.regexp_extract(n, NAME_PATTERN, 3).alias("stamp"))
     return out.orderBy("file_name") if ordered else out
 
@@ -59,7 +59,8 @@ def report_catalog(spark: SparkSession, root: str, pattern: str = f"*{REPORT_SUF
              .select("path", "length", "modificationTime"))
     segs = F.split(F.col("path"), "/")
     name = F.filter(segs, lambda s: s.rlike(NAME_PATTERN))
-    named = (files.withColumn("file_name", F.element_at(name, 1))
+    # a file of the wanted suffix without a period in its name is a report of its own
+    named = (files.withColumn("file_name", F.coalesce(F.get(name, F.lit(0)), F.element_at(segs, -1)))
                   .filter(F.col("file_name").isNotNull())
                   .filter(F.col("file_name").like(pattern.replace("*", "%"))))
     agg = named.groupBy("file_name").agg(
@@ -73,4 +74,4 @@ def report_catalog(spark: SparkSession, root: str, pattern: str = f"*{REPORT_SUF
 def listing_lines(listing: DataFrame, column: str = "text") -> DataFrame:
     """Split a directory-listing text into names: one per line, trimmed, blanks dropped."""
     return (listing.select(F.explode(F.split(F.col(column), "\n")).alias("line"))
-            .select(F.trim("line").alias("file_name")).filter(F.col("file_name") != ""))
+            .select(F.regexp_replace("line", r"^\s+|\s+$", "").alias("file_name")).filter(F.col("file_name") != ""))

@@ -41,9 +41,13 @@ def _fs(spark, path: str):
 
 
 def fingerprint(spark, folder: str) -> str:
-    """Hash of (name, size, mtime) of the files directly under ``folder``."""
+    """Hash of (path, size, mtime) of all files below ``folder``."""
     p, fs = _fs(spark, folder)
-    items = sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p))
+    items, found = [], fs.listFiles(p, True)
+    while found.hasNext():
+        s = found.next()
+        items.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    items.sort()
     return hashlib.sha1(repr(items).encode()).hexdigest()[:16]
 
 

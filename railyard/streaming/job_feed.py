@@ -87,6 +87,12 @@ def _watermark_ms(state: GroupState) -> int:
         return -1
 
 
+def _in_time_order(pdfs: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
+    """All rows of a job's trigger as one frame in (ts, event_id) order."""
+    parts = list(pdfs)
+    return [pd.concat(parts).sort_values(["ts_us", "event_id"], kind="stable")] if parts else []
+
+
 def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
           retention_us: int) -> Iterator[pd.DataFrame]:
     """Per-job state machine over this micro-batch's observations, in (ts, event_id) order."""
@@ -103,8 +109,8 @@ def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
         st = [None, None, None, None, None, True, None, False]
         registered = False
     out = []
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["ts_us", "event_id"], kind="stable")
+    # a large group comes in several Arrow batches in no time order: sort all of it
+    for pdf in _in_time_order(pdfs):
         for r in pdf.itertuples(index=False):
             if st[7]:
                 break
@@ -139,7 +145,7 @@ def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
 
 def change_feed(observations: DataFrame, retention_s: int = RETENTION_SECONDS,
                 watermark: str = "1 minute") -> DataFrame:
-    """Streaming (or batch) DataFrame of emitted job records; see module doc."""
+    """Streaming DataFrame of emitted job records; see module doc."""
     retention_us = retention_s * 1_000_000
     c = (classify(observations.withWatermark("ts", watermark))
          .select("job_name", "event_id", "ts", F.unix_micros("ts").alias("ts_us"), "status",
@@ -270,16 +276,18 @@ def _missing_step(key, pdfs, state: GroupState, period_us: int):
         state.update((snap, eid, ts, status, True))
     else:
         st = list(state.get) if state.exists else None
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts_us", "event_id"], kind="stable")
+        for pdf in _in_time_order(pdfs):
             for r in pdf.itertuples(index=False):
                 snap = int(r.ts_us) - int(r.ts_us) % period_us
                 if st is not None and snap < st[0]:
                     continue  # older than the job's current period: already accounted for
                 if st is not None and snap > st[0] + period_us and not st[4]:
                     out.append((job, st[0] + period_us, st[1], st[3], False))
+                    st[4] = True
                 if st is None or snap > st[0] or (int(r.ts_us), int(r.event_id)) > (st[2], st[1]):
-                    st = [snap, int(r.event_id), int(r.ts_us), _none(r.status), False]
+                    # once reported, or finished, a job is no longer watched
+                    over = (st is not None and st[4]) or r.status in TERMINAL
+                    st = [snap, int(r.event_id), int(r.ts_us), _none(r.status), over]
         if st is not None:
             # absent from the next period once the watermark passes its end
             timeout = (st[0] + 2 * period_us) // 1000

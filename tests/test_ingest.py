@@ -57,3 +57,11 @@ def test_streaming_append_sink(spark, tmp_path):
     spark.createDataFrame([(2, "b")], "id long, name string").write.parquet(str(src / "f2"))
     append_sink(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_foreign_names_and_crlf_listings(spark):
+    from railyard.sources.catalog import listing_lines, parse_report_names
+    names = spark.createDataFrame([("summary.xlsx",), ("ticketing-report-2024-01-01-to-2024-01-31-7.xlsx",)], "file_name string")
+    assert [r.period_start is None for r in parse_report_names(names).collect()] == [True, False]
+    text = spark.createDataFrame([("a.xlsx\r\n\tb.xlsx\r\n \r\n",)], "text string")
+    assert [r.file_name for r in listing_lines(text).collect()] == ["a.xlsx", "b.xlsx"]

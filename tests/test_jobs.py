@@ -74,7 +74,10 @@ def test_missing_jobs(spark):
     rows = [("a", _t(0), 0, 1, 0, 0, None, None, None), ("a", _t(3600), 1, 1, 0, 0, None, None, None),
             ("b", _t(0), 2, 1, 0, 0, None, None, None), ("b", _t(7200), 3, 1, 0, 0, None, None, None)]
     got = sorted((r.job_name, r.event_id) for r in JB.missing_jobs(_obs(spark, rows)).collect())
-    assert got == [("a", 1), ("b", 2), ("b", 3)]
+    # b comes back after its gap: reported once; nothing follows the last snapshot
+    assert got == [("a", 1), ("b", 2)]
+    ended = rows + [("c", _t(0), 4, 0, 1, 0, None, None, None)]
+    assert "c" not in {r.job_name for r in JB.missing_jobs(_obs(spark, ended)).collect()}
 
 
 @settings(max_examples=20, deadline=None)

@@ -152,3 +152,11 @@ def test_late_terminal_observation_does_not_fail_the_stream(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r.job_name, r.event_id, r.monitoring) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert ("b", 3, False) in got and ("a", 4, False) in got
+
+
+def test_a_job_that_spans_arrow_batches_is_taken_in_time_order():
+    import pandas as pd
+    from railyard.streaming.job_feed import _in_time_order
+    parts = [pd.DataFrame({"ts_us": [5, 3], "event_id": [1, 2]}), pd.DataFrame({"ts_us": [4, 1], "event_id": [3, 4]})]
+    (one,) = _in_time_order(iter(parts))
+    assert one.ts_us.tolist() == [1, 3, 4, 5]

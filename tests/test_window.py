@@ -28,9 +28,9 @@ def test_previous_month_year_boundary_and_leap():
 
 
 def test_validation():
-    with pytest.raises(ValueError, match="after"):
+    with pytest.raises(ValueError, match="later"):
         resolve_window("2024-02-02", "2024-02-01", "2024-03-01")
-    with pytest.raises(ValueError, match="ISO"):
+    with pytest.raises(ValueError, match="calendar day"):
         resolve_window("2024-13-01", None, "2024-03-01")
     with pytest.raises(ValueError, match="ISO"):
         resolve_window("01/02/2024", None, "2024-03-01")

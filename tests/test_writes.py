@@ -87,3 +87,10 @@ def test_cascade_property(seed, doomed):
     tables = WR.delete_rows(seed, "bookings", ids)
     assert tables["bookings"].count() == 20 - len(doomed)
     assert all(r.n_orphans == 0 for r in DQ.reference_summary(tables).collect())
+
+
+def test_upsert_compares_versions_as_numbers(spark):
+    from railyard.operators.writes import upsert
+    base = spark.createDataFrame([(1, "old", 1)], "id long, v string, version int")
+    new = spark.createDataFrame([(1, "nine", 9), (1, "ten", 10)], "id long, v string, version int")
+    assert [r.v for r in upsert(base, new, order="version").collect()] == ["ten"]
