@@ -49,14 +49,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that start earlier; a document of which nothing is left goes.
     Bytes of a character that a cut has split are left out."""
-    found = (suffix_array_dedup(docs, length=100).filter((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
-             .select(F.col("document").alias("_key"), F.col("n_removed").alias("_removed"), F.col("kept").alias("_kept")).dropDuplicates(["_key"]))
-    cleaned = F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "�", "")
-    new = F.when(F.col("_removed") > 0, cleaned).otherwise(F.col("text"))
-    joined = _keyed(docs).join(found, "_key").withColumn("text", new)
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    found = suffix_array_dedup(docs, length=100, carry=others).filter((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
+    cut = F.col("n_removed") > 0
+    whole = F.col("kept").cast("string")
+    text = F.when(cut, F.regexp_replace(F.make_valid_utf8(whole), "\uFFFD", "")).otherwise(whole)
+    found = found.withColumn("_text", text)
+    new = {"text": F.col("_text")}
+    if "n_chars" in others:
+        new["n_chars"] = F.when(cut, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("carried.n_chars"))
+    return found.select(*[new.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

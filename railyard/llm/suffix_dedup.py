@@ -409,7 +409,7 @@ def kept_parts(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def _removed(length, id_type):
+def _removed(length, id_type, carried):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "document"]
     types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
 
@@ -434,7 +434,8 @@ def _removed(length, id_type):
             else:
                 kept, runs = text, 0
             rows.append((key, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept, t))
-        return _table(rows, names, types)
+        out = _table(rows, names, types)
+        return out.append_column("carried", docs["carried"]) if carried else out
     return run
 
 
@@ -447,7 +448,8 @@ def document_key(id_col: str = "doc_id", text_col: str = "text"):
     return F.xxhash64(_order(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100,
+                       carry: list[str] = ()) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, document`` for every row of ``docs``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts
@@ -457,12 +459,14 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are ordered by their texts' digests; rows that repeat id and text are the
     same document and come out alike.  ``kept`` are the remaining bytes (a cut
     may fall inside a character), ``document`` is ``document_key`` of the row.
-    Other columns are ignored.
+    Other columns are ignored; those named in ``carry`` come out in the struct
+    ``carried``.
     """
     if not GRAM < length < 255:
         raise ValueError(f"length must lie between {GRAM} and 255")
     d = docs.select(F.col(id_col).alias("id"), _order(id_col).alias("doc"),
-                    F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+                    F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                    *([F.struct(*carry).alias("carried")] if carry else []))
     blocks = block_count(d)
     buckets = -(-blocks // 4)
     blk = F.pmod(F.col("tie"), F.lit(blocks)).cast("int").alias("blk")
@@ -485,5 +489,6 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_type = d.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
     return rows.groupBy("blk").cogroup(answered(marks)).applyInArrow(
-        _removed(length, to_arrow_type(id_type)),
-        f"doc_id {id_type.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, document bigint")
+        _removed(length, to_arrow_type(id_type), bool(carry)),
+        f"doc_id {id_type.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, document bigint"
+        + (f", carried {d.schema['carried'].dataType.simpleString()}" if carry else ""))
