@@ -83,7 +83,7 @@ DOMAIN_CTES: dict[str, str] = {
                     WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'failed'
                     WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'refunded' END AS status,
                CAST(NULL AS TIMESTAMP) AS paid_at, l_shipdate AS created_at
-        FROM lineitem WHERE l_linenumber <= 3""",
+        FROM lineitem""",
     "ticket_lines": """
         SELECT l_orderkey, l_linenumber, min(l_partkey) AS pk, min(l_suppkey) AS sk,
                min(l_extendedprice) AS ep, min(l_shipdate) AS sd
@@ -126,14 +126,15 @@ DOMAIN_CTES: dict[str, str] = {
                CAST(NULL AS VARCHAR) AS object_id, 'log' AS action, props AS payload, ts AS created_at
         FROM events""",
     "pod_records": """
-        SELECT event_id AS id, 'ticketing-report-' || CAST(user_id AS VARCHAR) AS name,
-               'train-orchestrator' AS namespace,
-               CASE WHEN event_type = 'purchase' THEN 'Succeeded' ELSE 'Failed' END AS status,
+        SELECT event_id AS id, CASE WHEN user_id % 10 = 3 THEN 'data-import-' ELSE 'ticketing-report-' END || CAST(user_id AS VARCHAR) AS name,
+               'rail-jobs' AS namespace,
+               CASE WHEN event_type = 'purchase' THEN 'Succeeded' WHEN event_type = 'error' THEN 'Failed'
+                    WHEN event_type IN ('view', 'click') THEN 'Running' ELSE 'Pending' END AS status,
                ts AS created_at
-        FROM events WHERE event_type IN ('purchase', 'error')""",
+        FROM events""",
     "job_obs": """
-        SELECT 'ticketing-report-' || CAST(user_id AS VARCHAR) AS job_name,
-               'train-orchestrator' AS namespace, ts, event_id,
+        SELECT CASE WHEN user_id % 10 = 3 THEN 'data-import-' ELSE 'ticketing-report-' END || CAST(user_id AS VARCHAR) AS job_name,
+               'rail-jobs' AS namespace, ts, event_id,
                CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS active,
                CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS succeeded,
                CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failed,
@@ -144,6 +145,27 @@ DOMAIN_CTES: dict[str, str] = {
         FROM events""",
 }
 
+def _large(c: str) -> str:
+    return f"CASE WHEN id % 89 = 0 THEN CAST({c} AS DOUBLE) * 1e9 ELSE CAST({c} AS DOUBLE) END AS {c}"
+
+
+# an unchecked delivery with faults, which the data-quality rules read
+DOMAIN_CTES.update({
+    "d_tickets": f"""
+        SELECT * REPLACE (CASE WHEN id % 101 = 0 THEN NULL ELSE ticket_ref END AS ticket_ref, {_large("price")},
+                          CASE WHEN id % 97 = 0 THEN 'void' ELSE status END AS status,
+                          CASE WHEN id % 103 = 0 THEN 'EURO' ELSE currency END AS currency) FROM tickets""",
+    "d_bookings": f"SELECT * REPLACE ({_large('total_amount')}) FROM bookings WHERE id % 11 <> 0",
+    "d_payments": f"SELECT * REPLACE ({_large('amount')}) FROM payments",
+    "d_fares": f"SELECT * REPLACE ({_large('price')}) FROM fares",
+    "d_ticket_refunds": f"SELECT * REPLACE ({_large('refunded_amount')}) FROM ticket_refunds",
+})
+
+
+def _delivered(table: str) -> str:
+    return f"d_{table}" if f"d_{table}" in DOMAIN_CTES else table
+
+
 # dependencies between the CTEs above (order of definition)
 _ORDER = list(DOMAIN_CTES)
 
@@ -182,9 +204,6 @@ _PAYMENT_SUMMARY = """
                            WHEN 'failed' THEN 3 WHEN 'refunded' THEN 4 END)] AS latest_payment_status
     FROM payments GROUP BY booking_id"""
 
-# The report as the Spark plan builds it: bookings carry their payment summary
-# (joined on the booking's own id), seats carry their carriage; the ticket then
-# joins each of them once.
 # the report's ways from a ticket to other tables: (role, table, from role, by column, must exist)
 _WAYS = [
     ("trip", "trips", "ticket", "trip_id", True), ("route", "routes", "trip", "route_id", True),
@@ -300,13 +319,15 @@ ORACLE.update({
                count(*) AS n_rows
         FROM tickets WHERE seat_id IS NOT NULL AND trip_id IS NOT NULL
         GROUP BY trip_id, seat_id HAVING count(*) > 1""",
+    # the declared numeric columns
     "dq_decimal": " UNION ALL ".join(
         f"""SELECT '{t}' AS table_name, '{c}' AS column_name, 'decimal({p},{s})' AS target_type,
                    count({c}) AS n_values,
                    count(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST({c} AS DECIMAL({p},{s})) IS NULL) AS n_overflow
-            FROM {t}""" for t, c, p, s in [("orders", "o_totalprice", 12, 2),
-                                            ("lineitem", "l_extendedprice", 12, 2),
-                                            ("part", "p_retailprice", 10, 2)]),
+            FROM {_delivered(t)}""" for t, c, p, s in [
+                ("stations", "latitude", 9, 6), ("stations", "longitude", 9, 6), ("fares", "price", 10, 2),
+                ("bookings", "total_amount", 12, 2), ("payments", "amount", 12, 2), ("tickets", "price", 12, 2),
+                ("ticket_refunds", "refunded_amount", 12, 2)]),
 })
 
 
@@ -326,24 +347,33 @@ def _dq_sql() -> dict[str, str]:
     for fk in M.FOREIGN_KEYS:
         refs.append(f"""SELECT '{fk.child}' AS table_name, '{fk.column}' AS column_name,
                 '{fk.parent}' AS parent_table, count(*) AS n_refs,
-                count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM {fk.parent} p WHERE p.id = c.{fk.column})) AS n_orphans
-                FROM {fk.child} c WHERE c.{fk.column} IS NOT NULL HAVING count(*) > 0""")
+                count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM {_delivered(fk.parent)} p WHERE p.id = c.{fk.column})) AS n_orphans
+                FROM {_delivered(fk.child)} c WHERE c.{fk.column} IS NOT NULL""")
     nulls, doms = [], []
     for t in M.TABLES:
         for c in M.not_null_columns(t):
             if t == "route_stops" and c.startswith("scheduled_"):
                 continue
             nulls.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
-                         f"count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM {t}")
+                         f"count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM {_delivered(t)}")
         for col in M.TABLES[t]:
             if col.enum:
                 dom = ", ".join(f"'{v}'" for v in M.ENUMS[col.enum])
                 doms.append(f"SELECT '{t}' AS table_name, '{col.name}' AS column_name, 'enum:{col.enum}' AS rule, "
-                            f"count(*) FILTER (WHERE {col.name} IS NOT NULL AND {col.name} NOT IN ({dom})) AS n_bad FROM {t}")
+                            f"count(*) FILTER (WHERE {col.name} IS NOT NULL AND {col.name} NOT IN ({dom})) AS n_bad FROM {_delivered(t)}")
             if col.char_len:
                 doms.append(f"SELECT '{t}' AS table_name, '{col.name}' AS column_name, 'char({col.char_len})' AS rule, "
-                            f"count(*) FILTER (WHERE {col.name} IS NOT NULL AND length({col.name}) <> {col.char_len}) AS n_bad FROM {t}")
-    return {"dq_unique": "\nUNION ALL\n".join(uniq), "dq_orphans": "\nUNION ALL\n".join(refs),
+                            f"count(*) FILTER (WHERE {col.name} IS NOT NULL AND length({col.name}) <> {col.char_len}) AS n_bad FROM {_delivered(t)}")
+    filled = []
+    for t in M.TABLES:
+        for c, v in M.defaults(t).items():
+            if v == M.NOW:
+                value, fill = f"CASE WHEN id % 2 = 0 THEN {c} END", "TIMESTAMP '2024-02-01 00:00:00'"
+            else:
+                value, fill = c, f"'{v}'" if isinstance(v, str) else str(v)
+            filled.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) FILTER (WHERE coalesce({value}, {fill}) = {fill}) "
+                          f"AS n_default, CAST(0 AS BIGINT) AS n_null FROM {t}")
+    return {"apply_defaults_tables": "\nUNION ALL\n".join(filled), "dq_unique": "\nUNION ALL\n".join(uniq), "dq_orphans": "\nUNION ALL\n".join(refs),
             "dq_not_null": "\nUNION ALL\n".join(nulls), "dq_domain": "\nUNION ALL\n".join(doms)}
 
 
@@ -494,7 +524,7 @@ ORACLE.update({
                strftime(completion_ts, '%Y-%m-%dT%H:%M:%SZ') AS completion_time
         FROM d""",
     "job_prefix_filter": f"""
-        SELECT job_name, status FROM ({_LATEST}) l WHERE starts_with(job_name, 'ticketing-report-1')""",
+        SELECT job_name, status FROM ({_LATEST}) l WHERE starts_with(job_name, 'ticketing-report')""",
     "preferred_pod": """
         SELECT name, id, status FROM pod_records
         QUALIFY row_number() OVER (PARTITION BY name ORDER BY
@@ -530,5 +560,56 @@ ORACLE.update({
 })
 
 
+_IN_WINDOW = "CAST(issued_at AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-01-31'"
+_TRIPS_IN_WINDOW = "service_date BETWEEN DATE '1998-01-01' AND DATE '1998-01-31'"
+_EXPORTED = [("1998-01-01", "1998-01-31", "00001"), ("1998-02-01", "1998-02-28", "00002")]
+
+ORACLE.update({
+    "upsert_versions": """
+        SELECT id, email, CASE WHEN id % 3 = 0 THEN 'version 10' ELSE full_name END AS full_name,
+               CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE updated_at END AS updated_at FROM users
+        UNION ALL SELECT id + 1000000000, email, full_name, TIMESTAMP '2024-02-01 00:00:00' FROM users WHERE id % 7 = 0""",
+    "report_export": _report(_between("1998-01-01", "1998-01-31"), extra="strftime(ticket.issued_at, '%Y-%m') AS issue_month,"),
+    "report_catalog": " UNION ALL ".join(
+        f"SELECT 'ticketing-report-{a}-to-{b}-{n}.parquet' AS file_name, DATE '{a}' AS period_start, DATE '{b}' AS period_end, "
+        f"'{n}' AS stamp, (SELECT count(*) FROM ({_report(_between(a, b))}) r) AS n_rows" for a, b, n in _EXPORTED),
+    "append_log": "SELECT id, name, namespace, status, created_at FROM pod_records",
+    "find_fares_by_code": f"""
+        SELECT id, code, name FROM fares WHERE code IN (SELECT 'FARE-' || CAST(fare_id AS VARCHAR) FROM tickets
+                                                        WHERE fare_id IS NOT NULL AND {_IN_WINDOW})""",
+    "find_tickets_by_ref": """
+        SELECT id, ticket_ref, status FROM tickets WHERE ticket_ref IN (SELECT printf('TKT-%08d', ticket_id) FROM ticket_refunds)""",
+    "find_trains_by_registration": """
+        SELECT id, registration, capacity FROM trains WHERE registration IN (SELECT registration FROM trains WHERE capacity = 300)""",
+    "find_routes_by_code": f"""
+        SELECT id, code FROM routes WHERE lower(code) IN (SELECT 'route-' || CAST(route_id AS VARCHAR) FROM trips WHERE {_TRIPS_IN_WINDOW})""",
+    "find_stations_by_code": f"""
+        SELECT id, code, region FROM stations WHERE id IN (SELECT departure_station_id FROM trips
+                                                           WHERE train_id % 2 = 0 AND {_TRIPS_IN_WINDOW})""",
+    "find_seats_by_number": f"""
+        SELECT id, carriage_id, seat_number FROM seats WHERE id IN (SELECT seat_id FROM tickets WHERE {_IN_WINDOW})""",
+    "find_trips_by_route_and_date": f"""
+        SELECT id, route_id, service_date FROM trips WHERE id IN (SELECT trip_id FROM tickets WHERE {_IN_WINDOW})""",
+    "find_payments_by_status": "SELECT id, booking_id, amount FROM payments WHERE status = 'failed'",
+    "find_tickets_by_status": "SELECT id, ticket_ref FROM tickets WHERE status = 'checked_in'",
+    "find_stops_of_route": f"""
+        SELECT id, route_id, stop_sequence, station_id FROM route_stops
+        WHERE route_id IN (SELECT route_id FROM trips WHERE train_id % 3 = 0 AND {_TRIPS_IN_WINDOW}) ORDER BY route_id, stop_sequence""",
+    "find_payments_of_booking": """
+        SELECT id, booking_id, amount, status FROM payments WHERE booking_id IN (SELECT id FROM bookings WHERE status = 'pending')""",
+    "find_seats_of_carriage": """
+        SELECT id, carriage_id, seat_number FROM seats WHERE carriage_id IN (SELECT id FROM carriages WHERE carriage_type = 'sleeper')""",
+    "find_reservations_of_trip": f"""
+        SELECT id, trip_id, seat_id FROM seat_reservations WHERE trip_id IN (SELECT id FROM trips WHERE {_TRIPS_IN_WINDOW})""",
+    "find_tickets_of_trip": f"""
+        SELECT id, trip_id, ticket_ref FROM tickets WHERE trip_id IN (SELECT id FROM trips WHERE {_TRIPS_IN_WINDOW})""",
+    "find_refunds_of_ticket": f"""
+        SELECT id, ticket_id, refunded_amount FROM ticket_refunds WHERE ticket_id IN (SELECT id FROM tickets WHERE {_IN_WINDOW})""",
+    "find_audit_of_actor": """
+        SELECT id, actor_user_id, object_type FROM audit_logs
+        WHERE actor_user_id IN (SELECT user_id FROM bookings WHERE status = 'pending')""",
+})
+
+
 def oracle_queries() -> dict[str, str]:
     return {k: with_domain(v) for k, v in ORACLE.items()}

@@ -91,45 +91,32 @@ def terminal_feed(obs: DataFrame, retention_s: int = RETENTION_SECONDS, bucket:
     * inside that retention window the monitor re-arms: after a change, the
       next terminal observation emits another ``monitoring = false`` record.
 
-    The re-arm marks are found by alternating "first change after the last
-    mark" and "first terminal observation after that change" over the
-    in-window observations only (seconds of history per job); each round is
-    one pair of small aggregations, and the rounds stop when no job has a
-    further mark — normally after the first.
+    Inside the window an observation either sets the monitor (a change that is
+    not terminal), resets it (terminal, unchanged), flips it (a terminal
+    change) or leaves it; so its state before an observation is that of the
+    last set or reset, flipped as often as flips came since — running window
+    sums over seconds of history per job.
     """
-    from railyard.session import checkpoint_dir
-
     f = with_change_flag(obs, bucket)
     pos = F.struct("ts", "event_id")
-    terminal = F.col("status").isin(*TERMINAL)
+    terminal = F.coalesce(F.col("status").isin(*TERMINAL), F.lit(False))
     t0 = f.filter(terminal).groupBy("job_name").agg(F.min(pos).alias("__t0"))
     fj = f.join(t0, "job_name", "left")
     until = F.col("__t0.ts") + F.make_dt_interval(secs=F.lit(retention_s))
     emitted = (fj.filter(F.col("changed") & (F.col("__t0").isNull() | (F.col("ts") <= until)))
                  .drop("__t0", "changed").withColumn("monitoring", F.lit(True)))
 
-    # observations inside each job's retention window, after its first mark
-    checkpoint_dir(obs.sparkSession)
+    order = W.partitionBy("job_name").orderBy(*ORDER)
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    flip = (terminal & F.col("changed")).cast("int")
+    held = F.when(terminal != F.col("changed"), F.struct((~terminal).cast("int").alias("on"), F.col("__flips").alias("flips")))
     win = (fj.filter(F.col("__t0").isNotNull() & (pos > F.col("__t0")) & (F.col("ts") <= until))
-             .select("job_name", pos.alias("__pos"), "changed", terminal.alias("__term"))
-             .checkpoint())
-    frontier = t0.select("job_name", F.col("__t0").alias("__p"))
-    marks = [frontier]
-    while True:
-        c = (win.join(frontier, "job_name").filter(F.col("changed") & (F.col("__pos") > F.col("__p")))
-                .groupBy("job_name").agg(F.min("__pos").alias("__c")))
-        k = (win.join(c, "job_name").filter(F.col("__term") & (F.col("__pos") > F.col("__c")))
-                .groupBy("job_name").agg(F.min("__pos").alias("__p"))).checkpoint()
-        if k.isEmpty():
-            break
-        marks.append(k)
-        frontier = k
-    m = marks[0]
-    for extra in marks[1:]:
-        m = m.unionByName(extra)
-    final = (f.join(m, (f.job_name == m.job_name) & (pos == m.__p), "left_semi")
-              .drop("changed").withColumn("monitoring", F.lit(False)))
-    return emitted.unionByName(final)
+             .withColumn("__flips", F.sum(flip).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+             .withColumn("__held", F.last(held, ignorenulls=True).over(before)))
+    armed = (F.coalesce(F.col("__held.on"), F.lit(0)) + F.col("__flips") - flip - F.coalesce(F.col("__held.flips"), F.lit(0))) % 2 == 1
+    again = win.filter(terminal & armed).drop("__flips", "__held")
+    final = fj.filter(pos == F.col("__t0")).unionByName(again)
+    return emitted.unionByName(final.drop("__t0", "changed").withColumn("monitoring", F.lit(False)))
 
 
 def latest(obs: DataFrame) -> DataFrame:

@@ -4,55 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-NULL_SPREAD = 4096  # partitions the NULL-key rows are spread over
 
-
-def spread_key(key: Column, salt: Column, dtype, buckets: int = NULL_SPREAD) -> tuple[Column, Column]:
+def spread_key(key: Column, salt: Column, dtype) -> tuple[Column, Column]:
     """(is-NULL flag, key-or-salt) for a nullable join key; see ``left_join_spread_nulls``."""
-    return key.isNull(), F.coalesce(key, F.pmod(F.xxhash64(salt), F.lit(buckets)).cast(dtype))
+    h = F.hash(salt) if dtype == T.IntegerType() else F.xxhash64(salt)
+    return key.isNull(), F.coalesce(key, h.cast(dtype))
 
 
 def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                           salt: Column, buckets: int = NULL_SPREAD) -> DataFrame:
+                           salt: Column) -> DataFrame:
     """``left LEFT JOIN right ON left.left_key = right.right_key`` with NULL keys spread out.
 
     In a shuffle join every left row whose key is NULL hashes to the same
     partition, so a nullable foreign key (a ticket without a booking, seat or
     fare) becomes one hot task.  Here the join is on (is-null flag, key) with
-    the NULL key replaced by a salt value: the flag is never true on the right
+    the NULL key replaced by a hash of ``salt``: the flag is never true on the right
     side, so those rows still match nothing (the left-join result is
-    unchanged), but their shuffle key is spread over ``buckets`` values.
+    unchanged), but they spread over all shuffle partitions.
     When the planner broadcasts ``right`` the extra columns cost nothing.
     """
-    nk, jk = spread_key(F.col(left_key), salt, left.schema[left_key].dataType, buckets)
+    nk, jk = spread_key(F.col(left_key), salt, left.schema[left_key].dataType)
     l2 = left.select("*", nk.alias("__nk"), jk.alias("__jk"))
     r2 = right.select("*", F.lit(False).alias("__rnk"))
     j = l2.join(r2, (l2["__nk"] == r2["__rnk"]) & (l2["__jk"] == r2[right_key]), "left")
     return j.select(*[l2[c] for c in left.columns], *[r2[c] for c in right.columns])
-
-
-DIM_BROADCAST_ROWS = 200_000   # a narrow (id, code) side this size is a few MB
-_BOUND_CHECKS: dict[int, tuple[DataFrame, bool]] = {}
-
-
-def is_bounded(df: DataFrame, max_rows: int = DIM_BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows.
-
-    Counts at most ``max_rows + 1`` rows (``limit`` stops the scan early), so
-    the check itself stays cheap on a large table.  Remembered per DataFrame
-    object, so a reused table handle is checked once.
-    """
-    hit = _BOUND_CHECKS.get(id(df))
-    if hit is None or hit[0] is not df:
-        hit = (df, df.limit(max_rows + 1).count() <= max_rows)
-        _BOUND_CHECKS[id(df)] = hit
-    return hit[1]
-
-
-def broadcast_if_bounded(side: DataFrame, source: DataFrame | None = None,
-                         max_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``side`` only when its source table is proven small;
-    otherwise leave the strategy to the planner (AQE still broadcasts it if
-    the measured size turns out small, else it stays a shuffle join)."""
-    return F.broadcast(side) if is_bounded(source if source is not None else side, max_rows) else side

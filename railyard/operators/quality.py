@@ -96,31 +96,46 @@ def orphans(tables, fk: schemas.ForeignKey) -> DataFrame:
 def reference_summary(tables) -> DataFrame:
     """Per foreign key: non-NULL references checked and orphans found (H3).
 
-    References are first counted per distinct value (partial aggregation
-    before the shuffle, so a parent referenced by a third of all rows is one
-    row on the wire), then left-joined to the parent's distinct ids — both
-    sides hash-partitioned on the same key, so the join adds no exchange.
+    Each table is read once: a row gives its own id, if others refer to it, and
+    its references.  Ids and references to one (parent, value) meet in a single
+    aggregation whose counts are partial before the exchange, so a parent that
+    a third of all rows refer to is one row a task on the wire.  A reference
+    that nothing uses has a row too.
     """
-    frames = []
+    slot, slots = {}, 0
     for fk in schemas.FOREIGN_KEYS:
-        refs = (tables[fk.child].filter(F.col(fk.column).isNotNull())
-                .groupBy(F.col(fk.column).alias("__ref")).agg(F.count(F.lit(1)).alias("__n")))
-        ids = tables[fk.parent].select(F.col("id").alias("__pid")).distinct().withColumn("__hit", F.lit(True))
-        j = refs.join(ids, refs["__ref"] == ids["__pid"], "left")
-        frames.append(j.select(F.lit(fk.child).alias("table_name"), F.lit(fk.column).alias("column_name"),
-                               F.lit(fk.parent).alias("parent_table"), F.col("__n"),
-                               F.when(F.col("__hit").isNull(), F.col("__n")).otherwise(0).alias("__o")))
-    # one final aggregation for all keys (partial sums per task before it)
-    return (_union(frames).groupBy("table_name", "column_name", "parent_table")
-            .agg(F.sum("__n").cast("long").alias("n_refs"), F.sum("__o").cast("long").alias("n_orphans")))
+        slot[fk] = sum(other.parent == fk.parent for other in slot)
+        slots = max(slots, slot[fk] + 1)
+    frames = []
+    for t in schemas.TABLES:
+        own = [(t, "id", -1)] if schemas.children_of(t) else []
+        own += [(fk.parent, fk.column, slot[fk]) for fk in schemas.FOREIGN_KEYS if fk.child == t]
+        if own:
+            values = [F.struct(F.lit(p).alias("parent"), F.col(c).cast("string").alias("value"), F.lit(i).alias("slot"))
+                      for p, c, i in own]
+            frames.append(tables[t].select(F.inline(F.array(*values))).filter(F.col("value").isNotNull()))
+    met = _union(frames).groupBy("parent", "value").agg(
+        F.max(F.col("slot") == -1).alias("there"), *[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in range(slots)])
+    sums = met.groupBy("parent").agg(*[F.sum(F.col(f"n{i}")).alias(f"n{i}") for i in range(slots)],
+                                     *[F.sum(F.when(~F.col("there"), F.col(f"n{i}"))).alias(f"o{i}") for i in range(slots)])
+    declared = F.array(*[F.struct(F.lit(fk.child).alias("table_name"), F.lit(fk.column).alias("column_name"),
+                                  F.lit(fk.parent).alias("parent_table"), F.lit(i).alias("slot")) for fk, i in slot.items()])
+    keys = tables.spark.range(1).select(F.inline(declared))
+
+    def of_slot(kind):
+        return F.coalesce(F.get(F.array(*[F.col(f"{kind}{i}") for i in range(slots)]), F.col("slot")), F.lit(0)).cast("long")
+
+    return keys.join(sums, keys.parent_table == sums.parent, "left").select(
+        "table_name", "column_name", "parent_table", of_slot("n").alias("n_refs"), of_slot("o").alias("n_orphans"))
 
 
 def null_profile(tables, names=None) -> DataFrame:
-    """NULL counts of every NOT NULL column, one pass per table, stacked (H4)."""
+    """NULL counts of every NOT NULL column, one pass per table, stacked (H4);
+    a column that the table lacks is NULL in every row."""
     frames = []
     for t in names or schemas.TABLES:
-        cols = [c for c in schemas.not_null_columns(t) if c in tables[t].columns]
-        agg = tables[t].agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+        cols, there = schemas.not_null_columns(t), tables[t].columns
+        agg = tables[t].agg(*[F.count_if(F.col(c).isNull() if c in there else F.lit(True)).alias(c) for c in cols])
         stack = "stack({n}, {pairs}) AS (column_name, n_null)".format(
             n=len(cols), pairs=", ".join(f"'{c}', `{c}`" for c in cols))
         frames.append(agg.selectExpr(f"'{t}' AS table_name", stack))
@@ -128,23 +143,23 @@ def null_profile(tables, names=None) -> DataFrame:
 
 
 def domain_profile(tables, names=None) -> DataFrame:
-    """Values outside their enum domain, and char(n) values of another length (H5)."""
+    """Values outside their enum domain, and char(n) values of another length (H5);
+    ``n_bad`` is NULL for a column that the table lacks."""
     frames = []
     for t in names or schemas.TABLES:
         df = tables[t]
         checks = []
         for c in schemas.TABLES[t]:
-            if c.name not in df.columns:
-                continue
+            x = F.col(c.name)
             if c.enum:
-                bad = F.col(c.name).isNotNull() & ~F.col(c.name).isin(ENUMS[c.enum])
-                checks.append((c.name, f"enum:{c.enum}", bad))
+                checks.append((c.name, f"enum:{c.enum}", F.count_if(x.isNotNull() & ~x.isin(ENUMS[c.enum]))
+                               if c.name in df.columns else F.lit(None).cast("long")))
             if c.char_len:
-                bad = F.col(c.name).isNotNull() & (F.length(c.name) != c.char_len)
-                checks.append((c.name, f"char({c.char_len})", bad))
+                checks.append((c.name, f"char({c.char_len})", F.count_if(x.isNotNull() & (F.length(x) != c.char_len))
+                               if c.name in df.columns else F.lit(None).cast("long")))
         if not checks:
             continue
-        agg = df.agg(*[F.count_if(b).alias(f"c{i}") for i, (_, _, b) in enumerate(checks)])
+        agg = df.agg(*[n.alias(f"c{i}") for i, (_, _, n) in enumerate(checks)])
         stack = "stack({n}, {rows}) AS (column_name, rule, n_bad)".format(
             n=len(checks), rows=", ".join(f"'{n}', '{r}', c{i}" for i, (n, r, _) in enumerate(checks)))
         frames.append(agg.selectExpr(f"'{t}' AS table_name", stack))
@@ -167,6 +182,13 @@ def decimal_fit(df: DataFrame, table: str, column: str, precision: int, scale: i
              F.lit(target).alias("target_type"), "n_values", "n_overflow")
 
 
+def decimal_profile(tables, names=None) -> DataFrame:
+    """``decimal_fit`` of every declared numeric column; one that the table lacks has no values."""
+    return _union([decimal_fit(tables[t] if c.name in tables[t].columns else tables[t].withColumn(c.name, F.lit(None).cast(c.dtype)),
+                               t, c.name, c.dtype.precision, c.dtype.scale)
+                   for t in names or schemas.TABLES for c in schemas.decimal_columns(t)])
+
+
 def seat_train_mismatch(tables) -> DataFrame:
     """Tickets whose seat's carriage belongs to another train than the trip's (H7).
 

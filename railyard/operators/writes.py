@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from railyard import schemas
+from railyard.operators.joins import left_join_spread_nulls
+from railyard.session import checkpoint_dir
 from railyard.schemas import CASCADE, NOW, RESTRICT, SET_NULL
 
 
@@ -104,49 +106,45 @@ def plan_delete(tables, table: str, doomed: DataFrame):
     forbid the delete (table_name, column_name, child_id, parent_id).
 
     The walk is over the schema graph (a handful of edges), done on the
-    driver; each step is a semi join of a child table against the deleted
-    keys of its parent, so all row work stays on the executors.
+    driver; each step is a semi join of a child table against the deleted keys
+    of its parent, whose ids are checkpointed, so that a later step does not
+    derive them again.  A reference to clear is joined with its NULLs spread
+    over all partitions.
     """
-    deleted: dict[str, list[DataFrame]] = defaultdict(list)
-    deleted[table].append(_ids(doomed))
-    frontier = [(table, _ids(doomed))]
+    checkpoint_dir(doomed.sparkSession)
+    steps: dict[str, list[DataFrame]] = defaultdict(list)
+    frontier = [(table, _ids(doomed).checkpoint())]
     while frontier:
         parent, ids = frontier.pop(0)
+        steps[parent].append(ids)
         for fk in schemas.children_of(parent):
-            if fk.on_delete != CASCADE:
-                continue
-            child = tables[fk.child]
-            hit = child.join(ids, child[fk.column] == ids.__del_id, "left_semi")
-            d = _ids(hit)
-            deleted[fk.child].append(d)
-            frontier.append((fk.child, d))
-
-    gone = {t: reduce(DataFrame.unionByName, fs) for t, fs in deleted.items()}
+            if fk.on_delete == CASCADE:
+                child = tables[fk.child]
+                hit = child.join(ids, child[fk.column] == ids.__del_id, "left_semi")
+                frontier.append((fk.child, _ids(hit).checkpoint()))
+
+    gone = {t: reduce(DataFrame.unionByName, ids).distinct() for t, ids in steps.items()}
     new: dict[str, DataFrame] = {}
     blocking = []
-    affected = set(gone) | {fk.child for fk in schemas.FOREIGN_KEYS if fk.parent in gone}
-    for t in affected:
+    for t in schemas.TABLES:
+        refs = [fk for fk in schemas.FOREIGN_KEYS if fk.child == t and fk.parent in gone]
+        if t not in gone and not refs:
+            continue
         df = tables[t]
         if t in gone:
             df = df.join(gone[t], df.id == gone[t].__del_id, "left_anti")
-        for fk in schemas.FOREIGN_KEYS:
-            if fk.child != t or fk.parent not in gone:
-                continue
-            pid = gone[fk.parent].distinct().withColumn("__hit", F.lit(True))
-            marked = df.join(pid, df[fk.column] == pid.__del_id, "left")
+        for fk in refs:
+            pid = gone[fk.parent]
             if fk.on_delete == SET_NULL:
-                df = marked.select(*[F.when(F.col("__hit"), F.lit(None)).otherwise(F.col(c)).alias(c)
-                                     if c == fk.column else F.col(c) for c in df.columns])
+                marked = left_join_spread_nulls(df, pid, fk.column, "__del_id", F.col("id"))
+                kept = F.when(F.col("__del_id").isNull(), F.col(fk.column)).alias(fk.column)
+                df = marked.select(*[kept if c == fk.column else F.col(c) for c in df.columns])
             elif fk.on_delete == RESTRICT:
-                blocking.append(marked.filter(F.col("__hit")).select(
+                blocking.append(df.join(pid, df[fk.column] == pid.__del_id).select(
                     F.lit(t).alias("table_name"), F.lit(fk.column).alias("column_name"),
                     F.col("id").alias("child_id"), F.col(fk.column).alias("parent_id")))
         new[t] = df
-    if blocking:
-        block = reduce(DataFrame.unionByName, blocking)
-    else:
-        block = None
-    return new, block
+    return new, reduce(DataFrame.unionByName, blocking) if blocking else None
 
 
 def delete_rows(tables, table: str, doomed: DataFrame):
@@ -156,4 +154,3 @@ def delete_rows(tables, table: str, doomed: DataFrame):
     if block is not None and not block.isEmpty():
         raise RestrictViolation(f"delete from {table} is restricted by existing references")
     return tables.with_overrides(**new)
-

@@ -13,19 +13,16 @@ Plan shape (what Catalyst/AQE are steered to):
     as a half-open timestamp range, below every join; on stored tickets
     (partitioned by ``issue_month``) the matching month folders are the only
     ones listed and read;
-  * stations and routes are broadcast after a row-count check
-    (``broadcast_if_bounded``): they are bounded by the network size, not by
-    traffic, and the check proves it before the hint is given;
+  * no broadcast is forced: stations and routes, and whatever else proves
+    small, are broadcast by their measured size;
   * payments are aggregated per booking (partial aggregation before the
     shuffle) and joined to bookings on the same key, so the aggregate's
     output partitioning is reused and the pair costs one shuffle of bookings;
-  * with a window, payments are first semi-joined to the window's bookings so
-    a one-month report does not aggregate the full payment history;
-  * every other dimension (bookings, passengers, fares, seats, carriages,
-    trains, trips) grows with the business, so no broadcast is forced: AQE
-    turns a join into a broadcast only when the measured side is under
-    ``spark.sql.autoBroadcastJoinThreshold``, else it stays a shuffle join and
-    AQE splits skewed partitions;
+  * with a window, payments, bookings, passengers and trips are first
+    semi-joined to the window's keys, so a one-month report carries only their
+    rows of that month into the aggregation and the wide joins;
+  * a side above ``spark.sql.autoBroadcastJoinThreshold`` stays a shuffle join,
+    and AQE splits its skewed partitions;
   * the five nullable references (booking, passenger, fare, seat, train) are
     left-joined with NULL keys spread over many partitions
     (``left_join_spread_nulls``), so tickets without a booking or seat do not
@@ -40,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railyard.functions.enums import enum_max
-from railyard.operators.joins import broadcast_if_bounded, spread_key
+from railyard.operators.joins import spread_key
 from railyard.plans.window import Window, in_window
 from railyard.sources.tables import DomainTables
 
@@ -133,9 +130,16 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
         spread += [nk.alias(f"__n_{tag}"), jk.alias(f"__k_{tag}")]
     t = t.select(
         "ticket_ref", F.col("status").alias("ticket_status"), F.col("price").alias("ticket_price"),
-        F.col("currency").alias("ticket_currency"), "issued_at", "trip_id", "booking_id", *spread)
+        F.col("currency").alias("ticket_currency"), "issued_at", "trip_id", "booking_id", "passenger_id", *spread)
 
-    trips = tables["trips"].select(
+    def of_window(side, key, column):
+        """Rows of ``side`` that a ticket of the window refers to by ``column``."""
+        if window is None:
+            return side
+        keys = t.select(F.col(column).alias("__w")).filter(F.col("__w").isNotNull()).distinct()
+        return side.join(keys, side[key] == keys["__w"], "left_semi")
+
+    trips = of_window(tables["trips"], "id", "trip_id").select(
         F.col("id").alias("tr_id"), F.col("route_id").alias("tr_route_id"),
         F.col("train_id").alias("tr_train_id"), "service_date", "departure_time", "arrival_time",
         F.col("departure_station_id").alias("tr_dep"), F.col("arrival_station_id").alias("tr_arr"))
@@ -144,14 +148,10 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
     dep = stations.select(F.col("id").alias("dep_id"), F.col("code").alias("departure_station_code"))
     arr = stations.select(F.col("id").alias("arr_id"), F.col("code").alias("arrival_station_code"))
 
-    payments = tables["payments"]
-    if window is not None and "bk" in need:
-        # narrow window: aggregate only the payments of bookings in the window
-        wb = t.select(F.col("booking_id").alias("wb_id")).where(F.col("wb_id").isNotNull())
-        payments = payments.join(wb, payments.booking_id == wb.wb_id, "left_semi")
-    bp = booking_payments(tables["bookings"], payments).withColumn("__r_bk", F.lit(False))
+    bp = booking_payments(of_window(tables["bookings"], "id", "booking_id"),
+                          of_window(tables["payments"], "booking_id", "booking_id")).withColumn("__r_bk", F.lit(False))
 
-    pas = tables["passengers"].select(
+    pas = of_window(tables["passengers"], "id", "passenger_id").select(
         F.col("id").alias("p_id"), F.col("first_name").alias("passenger_first_name"),
         F.col("last_name").alias("passenger_last_name"),
         F.col("doc_type").cast("string").alias("passenger_doc_type"), F.lit(False).alias("__r_ps"))
@@ -169,9 +169,9 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
                 .select("s_id", "seat_number", "carriage_number", F.lit(False).alias("__r_st")))
 
     j = (t.join(trips, t.trip_id == trips.tr_id, "inner")
-          .join(broadcast_if_bounded(routes, tables["routes"]), F.col("tr_route_id") == routes.ro_id, "inner")
-          .join(broadcast_if_bounded(dep, tables["stations"]), F.col("tr_dep") == dep.dep_id, "inner")
-          .join(broadcast_if_bounded(arr, tables["stations"]), F.col("tr_arr") == arr.arr_id, "inner"))
+          .join(routes, F.col("tr_route_id") == routes.ro_id, "inner")
+          .join(dep, F.col("tr_dep") == dep.dep_id, "inner")
+          .join(arr, F.col("tr_arr") == arr.arr_id, "inner"))
     # the train comes through the trip, so its spread key is formed after that join
     tn_n, tn_k = spread_key(F.col("tr_train_id"), salt, trains.schema["tn_id"].dataType)
     j = j.select("*", tn_n.alias("__n_tn"), tn_k.alias("__k_tn"))

@@ -17,7 +17,7 @@ from railyard.operators import jobs as JB
 from railyard.operators import lookups as LK
 from railyard.operators import quality as DQ
 from railyard.operators import writes as WR
-from railyard.operators.joins import broadcast_if_bounded, left_join_spread_nulls
+from railyard.operators.joins import left_join_spread_nulls
 from railyard.plans import report as R
 from railyard.plans.window import Window, previous_month, resolve_window
 from railyard.sources.adapter import StarAdapter
@@ -88,8 +88,8 @@ QUERIES = {
 def q_trip_endpoints(spark, sf_dir):
     t = _tables(spark, sf_dir)
     st = t["stations"]
-    dep = broadcast_if_bounded(st.select(F.col("id").alias("dep_id"), F.col("code").alias("departure_station_code")), st)
-    arr = broadcast_if_bounded(st.select(F.col("id").alias("arr_id"), F.col("code").alias("arrival_station_code")), st)
+    dep = st.select(F.col("id").alias("dep_id"), F.col("code").alias("departure_station_code"))
+    arr = st.select(F.col("id").alias("arr_id"), F.col("code").alias("arrival_station_code"))
     tr = t["trips"]
     return (tr.join(dep, tr.departure_station_id == dep.dep_id).join(arr, tr.arrival_station_id == arr.arr_id)
               .select(F.col("id").alias("trip_id"), "service_date", "departure_station_code",
@@ -176,6 +176,63 @@ def q_filter_status(spark, sf_dir):
     return LK.run_finder(t, "BookingRepository.findByStatus", value="pending").select("id", "booking_ref")
 
 
+def _window_trips(t):
+    return LK.find_between(t["trips"], "service_date", REPORT_WINDOW.start, REPORT_WINDOW.end)
+
+
+def _seat_number(seat_id):
+    n = F.col(seat_id) % 20
+    return F.concat(n.cast("string"), F.when(n % 2 == 0, "A").otherwise("B"))
+
+
+# query -> (finder, its keys from the tables (or the value), result columns)
+FINDER_QUERIES = {
+    "find_fares_by_code": ("FareRepository.findByCode", lambda t: _window_tickets(t).select(
+        F.concat(F.lit("FARE-"), F.col("fare_id").cast("string"))), ["id", "code", "name"]),
+    "find_tickets_by_ref": ("TicketRepository.findByTicketRef", lambda t: t["ticket_refunds"].select(
+        padded_ref("TKT-", F.col("ticket_id"))), ["id", "ticket_ref", "status"]),
+    "find_trains_by_registration": ("TrainRepository.findByRegistration", lambda t: t["trains"].filter("capacity = 300").select(
+        "registration"), ["id", "registration", "capacity"]),
+    "find_routes_by_code": ("RouteRepository.findByCodeIgnoreCase", lambda t: _window_trips(t).select(
+        F.concat(F.lit("rOuTe-"), F.col("route_id").cast("string"))), ["id", "code"]),
+    "find_stations_by_code": ("StationRepository.findByCodeIgnoreCase", lambda t: _window_trips(t).filter("train_id % 2 = 0").select(
+        F.concat(F.lit("st"), F.lpad(F.col("departure_station_id").cast("string"), 2, "0"))), ["id", "code", "region"]),
+    "find_seats_by_number": ("SeatRepository.findByCarriageIdAndSeatNumber", lambda t: _window_tickets(t).select(
+        F.expr("seat_id div 20"), _seat_number("seat_id")), ["id", "carriage_id", "seat_number"]),
+    "find_trips_by_route_and_date": ("TripRepository.findByRouteIdAndServiceDate", lambda t: _window_tickets(t).select(
+        F.expr("trip_id div 100000"), F.expr("date_add(DATE '1990-01-01', CAST(trip_id % 100000 AS INT))")),
+        ["id", "route_id", "service_date"]),
+    "find_payments_by_status": ("PaymentRepository.findByStatus", "failed", ["id", "booking_id", "amount"]),
+    "find_tickets_by_status": ("TicketRepository.findByStatus", "checked_in", ["id", "ticket_ref"]),
+    "find_stops_of_route": ("RouteStopRepository.findByRouteIdOrderByStopSequence", lambda t: _window_trips(t).filter(
+        "train_id % 3 = 0").select("route_id"), ["id", "route_id", "stop_sequence", "station_id"]),
+    "find_payments_of_booking": ("PaymentRepository.findByBookingId", lambda t: t["bookings"].filter("status = 'pending'").select(
+        "id"), ["id", "booking_id", "amount", "status"]),
+    "find_seats_of_carriage": ("SeatRepository.findByCarriageId", lambda t: t["carriages"].filter("carriage_type = 'sleeper'").select(
+        "id"), ["id", "carriage_id", "seat_number"]),
+    "find_reservations_of_trip": ("SeatReservationRepository.findByTripId", lambda t: _window_trips(t).select("id"),
+                                  ["id", "trip_id", "seat_id"]),
+    "find_tickets_of_trip": ("TicketRepository.findByTripId", lambda t: _window_trips(t).select("id"), ["id", "trip_id", "ticket_ref"]),
+    "find_refunds_of_ticket": ("TicketRefundRepository.findByTicketId", lambda t: _window_tickets(t).select("id"),
+                               ["id", "ticket_id", "refunded_amount"]),
+    "find_audit_of_actor": ("AuditLogRepository.findByActorId", lambda t: t["bookings"].filter("status = 'pending'").select(
+        "user_id"), ["id", "actor_user_id", "object_type"]),
+}
+
+
+def _finder_query(finder, keys, columns):
+    def run(spark, sf_dir):
+        t = _tables(spark, sf_dir)
+        if callable(keys):
+            k = keys(t)
+            return LK.run_finder(t, finder, k.toDF(*[f"k{i}" for i in range(len(k.columns))])).select(*columns)
+        return LK.run_finder(t, finder, value=keys).select(*columns)
+    return run
+
+
+QUERIES.update({name: _finder_query(*q) for name, q in FINDER_QUERIES.items()})
+
+
 def q_children_ordered(spark, sf_dir):
     t = _tables(spark, sf_dir)
     trains = LK.find_between(t["trips"], "service_date", REPORT_WINDOW.start, REPORT_WINDOW.end).select(
@@ -195,11 +252,24 @@ def q_children_of(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # data quality
 # ---------------------------------------------------------------------------
-DQ_DECIMAL_SOURCES = [  # raw value → declared column type
-    ("orders", "o_totalprice", 12, 2),
-    ("lineitem", "l_extendedprice", 12, 2),
-    ("part", "p_retailprice", 10, 2),
-]
+def _delivered(spark, sf_dir):
+    """The tables as an unchecked delivery brings them: some tickets lack a reference, have an unknown status or a
+    currency of four letters, every eleventh booking is missing, and some amounts are far too large."""
+    t = _tables(spark, sf_dir)
+    k = F.col("id")
+
+    def amount(c):
+        return F.when(k % 89 == 0, F.col(c).cast("double") * 1e9).otherwise(F.col(c).cast("double"))
+
+    return t.with_overrides(
+        tickets=t["tickets"].withColumns({
+            "ticket_ref": F.when(k % 101 != 0, F.col("ticket_ref")), "price": amount("price"),
+            "status": F.when(k % 97 == 0, "void").otherwise(F.col("status")),
+            "currency": F.when(k % 103 == 0, "EURO").otherwise(F.col("currency"))}),
+        bookings=t["bookings"].filter(k % 11 != 0).withColumn("total_amount", amount("total_amount")),
+        payments=t["payments"].withColumn("amount", amount("amount")),
+        fares=t["fares"].withColumn("price", amount("price")),
+        ticket_refunds=t["ticket_refunds"].withColumn("refunded_amount", amount("refunded_amount")))
 
 
 def q_dq_unique(spark, sf_dir):
@@ -211,20 +281,19 @@ def q_dq_partial_unique(spark, sf_dir):
 
 
 def q_dq_orphans(spark, sf_dir):
-    return DQ.reference_summary(_tables(spark, sf_dir))
+    return DQ.reference_summary(_delivered(spark, sf_dir))
 
 
 def q_dq_not_null(spark, sf_dir):
-    return DQ.null_profile(_tables(spark, sf_dir))
+    return DQ.null_profile(_delivered(spark, sf_dir))
 
 
 def q_dq_domain(spark, sf_dir):
-    return DQ.domain_profile(_tables(spark, sf_dir))
+    return DQ.domain_profile(_delivered(spark, sf_dir))
 
 
 def q_dq_decimal(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    return DQ._union([DQ.decimal_fit(t.source.src(tb), tb, c, p, s) for tb, c, p, s in DQ_DECIMAL_SOURCES])
+    return DQ.decimal_profile(_delivered(spark, sf_dir))
 
 
 def q_dq_seat_train(spark, sf_dir):
@@ -267,6 +336,36 @@ def q_apply_defaults(spark, sf_dir):
     return WR.apply_defaults(f, "fares", BATCH_TS).select("id", "currency", "refundable", "refund_policy")
 
 
+def q_apply_defaults_tables(spark, sf_dir):
+    """W1, W2: every table with defaults, its timestamps unset in every other row; the rows that end up with the default."""
+    t = _tables(spark, sf_dir)
+    frames = []
+    for name in schemas.TABLES:
+        defaults = schemas.defaults(name)
+        if not defaults:
+            continue
+        stamps = {c: F.when(F.col("id") % 2 == 0, F.col(c)) for c, v in defaults.items() if v == schemas.NOW}
+        filled = WR.apply_defaults(t[name].withColumns(stamps), name, BATCH_TS)
+        fill = {c: F.lit(BATCH_TS).cast("timestamp") if v == schemas.NOW else F.lit(v) for c, v in defaults.items()}
+        counts = filled.agg(*[F.count_if(F.col(c) == v).alias(c) for c, v in fill.items()],
+                            *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in fill])
+        rows = F.array(*[F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.col(c).alias("n_default"),
+                                  F.col(f"null_{c}").alias("n_null")) for c in fill])
+        frames.append(counts.select(F.inline(rows)))
+    return DQ._union(frames)
+
+
+def q_upsert_versions(spark, sf_dir):
+    """W3, W4: two versions of every third user arrive (9 and 10) and some new users; written rows are stamped."""
+    users = _tables(spark, sf_dir)["users"]
+    k = F.col("id")
+    again = users.filter(k % 3 == 0).withColumn("version", F.explode(F.array(F.lit(10), F.lit(9))))
+    again = again.withColumn("full_name", F.concat(F.lit("version "), F.col("version").cast("string")))
+    new = users.filter(k % 7 == 0).withColumns({"id": k + 1_000_000_000, "version": F.lit(1)})
+    return WR.upsert(users, again.unionByName(new), order="version", touch="updated_at", batch_ts=BATCH_TS).select(
+        "id", "email", "full_name", *_ntz("updated_at"))
+
+
 def q_upsert_latest(spark, sf_dir):
     t = _tables(spark, sf_dir)
     b = t["bookings"]
@@ -357,8 +456,7 @@ def q_job_duration(spark, sf_dir):
 
 
 def q_job_prefix_filter(spark, sf_dir):
-    return JB.prefix_filter(JB.latest(_obs(spark, sf_dir)), "job_name", "ticketing-report-1").select(
-        "job_name", "status")
+    return JB.prefix_filter(JB.latest(_obs(spark, sf_dir)), "job_name").select("job_name", "status")
 
 
 def q_preferred_pod(spark, sf_dir):
@@ -388,6 +486,8 @@ def q_pad_refs(spark, sf_dir):
 
 QUERIES.update({
     "apply_defaults": q_apply_defaults,
+    "apply_defaults_tables": q_apply_defaults_tables,
+    "upsert_versions": q_upsert_versions,
     "upsert_latest": q_upsert_latest,
     "link_reservations": q_link_reservations,
     "delete_cascade": q_delete_cascade,
@@ -411,7 +511,7 @@ QUERIES.update({
 
 
 # ---------------------------------------------------------------------------
-# sinks and the report catalogue (rows-only checks: these write files)
+# sinks and the report catalogue (these write files and read them back)
 # ---------------------------------------------------------------------------
 def _scratch(spark, name):
     import uuid
@@ -429,13 +529,17 @@ def q_report_export(spark, sf_dir):
 
 
 def q_report_catalog(spark, sf_dir):
-    from railyard.sources.catalog import report_catalog
+    from railyard.sources.catalog import NAME_PATTERN, report_catalog
     from railyard.sources.export import export_report
     t = _tables(spark, sf_dir)
     root = _scratch(spark, "reports")
     for w, stamp in [(REPORT_WINDOW, "00001"), (previous_month(AS_OF), "00002")]:
         export_report(R.ticket_report(t, w, ordered=False), root, w.start, w.end, stamp)
-    return report_catalog(spark, root, pattern="*.parquet")
+    name = F.filter(F.split("_metadata.file_path", "/"), lambda s: s.rlike(NAME_PATTERN))[0]
+    rows = (spark.read.option("recursiveFileLookup", "true").parquet(root).select(name.alias("file_name"))
+                 .groupBy("file_name").agg(F.count(F.lit(1)).alias("n_rows")))
+    return (report_catalog(spark, root, pattern="*.parquet").join(rows, "file_name", "left")
+            .select("file_name", "period_start", "period_end", "stamp", F.coalesce("n_rows", F.lit(0)).alias("n_rows")))
 
 
 def q_append_log(spark, sf_dir):
@@ -444,7 +548,7 @@ def q_append_log(spark, sf_dir):
     path = _scratch(spark, "pod-records")
     append_records(pods.filter(F.col("status") == "Succeeded"), path)
     append_records(pods.filter(F.col("status") != "Succeeded"), path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("id", "name", "namespace", "status", *_ntz("created_at"))
 
 
 QUERIES.update({

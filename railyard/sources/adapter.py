@@ -22,7 +22,7 @@ EPOCH = "1990-01-01"          # day 0 of trip service dates
 ROUTES = 25                   # trips: route = partkey % 25
 TRIP_DAY_SPAN = 100000        # trip id = route * 100000 + day number
 LOAD_TS = "2000-01-01 00:00:00"  # created_at of reference data with no natural time
-NAMESPACE = "train-orchestrator"
+NAMESPACE = "rail-jobs"
 
 
 def _null(dtype: str) -> Column:
@@ -34,6 +34,12 @@ def _ts(c: Column) -> Column:
     return c.cast("timestamp")
 
 
+def _job_name() -> Column:
+    """One job per user; a tenth of them are no report jobs."""
+    kind = F.when(F.col("user_id") % 10 == 3, "data-import-").otherwise("ticketing-report-")
+    return F.concat(kind, F.col("user_id").cast("string"))
+
+
 class StarAdapter(DomainTables):
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark)
@@ -187,7 +193,7 @@ class StarAdapter(DomainTables):
         )
 
     def _payments(self):
-        li = self.src("lineitem").filter(F.col("l_linenumber") <= 3)
+        li = self.src("lineitem")
         rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
         return li.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
@@ -285,12 +291,14 @@ class StarAdapter(DomainTables):
         )
 
     def _pod_records(self):
-        e = self.src("events").filter(F.col("event_type").isin("purchase", "error"))
+        e = self.src("events")
+        et = F.col("event_type")
         return e.select(
             F.col("event_id").alias("id"),
-            F.concat(F.lit("ticketing-report-"), F.col("user_id").cast("string")).alias("name"),
+            _job_name().alias("name"),
             F.lit(NAMESPACE).alias("namespace"),
-            F.when(F.col("event_type") == "purchase", "Succeeded").otherwise("Failed").alias("status"),
+            F.when(et == "purchase", "Succeeded").when(et == "error", "Failed")
+             .when(et.isin("view", "click"), "Running").otherwise("Pending").alias("status"),
             _ts(F.col("ts")).alias("created_at"),
         )
 
@@ -300,7 +308,7 @@ class StarAdapter(DomainTables):
         et = F.col("event_type")
         ts = _ts(F.col("ts"))
         return e.select(
-            F.concat(F.lit("ticketing-report-"), F.col("user_id").cast("string")).alias("job_name"),
+            _job_name().alias("job_name"),
             F.lit(NAMESPACE).alias("namespace"),
             ts.alias("ts"),
             F.col("event_id"),

@@ -10,10 +10,10 @@ and serves later requests from the stored copy:
     in the session zone), so a date window prunes partitions and pushes the
     exact ``issued_at`` range into the remaining files, which are written
     time-sorted so row-group statistics skip what the range excludes;
-  * a table is written to a private folder and renamed into place, and is
+  * every writer has a folder of its own below the table's, and a copy is
     reused only if its ``_SUCCESS`` marker exists, so a write interrupted by
     a lost executor or driver is simply redone, and two jobs deriving the
-    same table at once cannot mix their files;
+    same table at once cannot mix their files (later readers take one copy);
   * the storage path carries a fingerprint of the source files (paths,
     sizes, modification times), so changed inputs are never served stale.
 """
@@ -21,6 +21,7 @@ and serves later requests from the stored copy:
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from railyard.session import scratch_path
 from railyard.sources.tables import DomainTables
 
 # table -> (partition column, its expression, the column files are clustered by)
-LAYOUT_VERSION = 2   # bump when the stored layout changes, so old copies are not reused
+LAYOUT_VERSION = 3   # bump when the stored layout changes, so old copies are not reused
 
 PARTITIONING = {"tickets": ("issue_month", lambda df: F.date_format("issued_at", "yyyy-MM"), "issued_at")}
 
@@ -74,32 +75,21 @@ class StoredDomain(DomainTables):
         self.root = root
         self.extra = extra or {}   # name -> callable returning a DataFrame (non-domain derived tables)
 
-    def _path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def _complete(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p, fs = _fs(self.spark, self._path(name))
-        return fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    def _stored(self, name: str) -> str | None:
+        """The first complete copy of a table, by path."""
+        pattern, fs = _fs(self.spark, f"{self.root}/{name}/*/_SUCCESS")
+        found = sorted(s.getPath().getParent().toString() for s in fs.globStatus(pattern) or [])
+        return found[0] if found else None
 
     def _derive(self, name: str) -> DataFrame:
         return self.extra[name]() if name in self.extra else self.source[name]
 
-    def _publish(self, tmp: str, name: str) -> None:
-        """Move a finished write into place; if another job published first, keep theirs."""
-        jvm = self.spark.sparkContext._jvm
-        src, fs = _fs(self.spark, tmp)
-        dst = jvm.org.apache.hadoop.fs.Path(self._path(name))
-        if self._complete(name) or not fs.rename(src, dst):
-            fs.delete(src, True)
-
     def build(self, name: str) -> DataFrame:
-        if not self._complete(name):
-            import uuid
-            tmp = f"{self._path(name)}.tmp-{uuid.uuid4().hex[:12]}"
-            write_table(self._derive(name), name, tmp)
-            self._publish(tmp, name)
-        return self.spark.read.parquet(self._path(name))
+        path = self._stored(name)
+        if path is None:
+            path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+            write_table(self._derive(name), name, path)
+        return self.spark.read.parquet(path)
 
 
 def _code_version(obj) -> str:

@@ -94,13 +94,18 @@ def _in_time_order(pdfs: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
 
 
 def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
-          retention_us: int) -> Iterator[pd.DataFrame]:
+          retention_us: int, forget_us: int | None = None) -> Iterator[pd.DataFrame]:
     """Per-job state machine over this micro-batch's observations, in (ts, event_id) order."""
     job = key[0]
     if state.hasTimedOut:
-        # retention over: keep only a tombstone
+        # retention over: keep only a tombstone, and that for a while
         st = state.get
+        if st[7]:
+            state.remove()
+            return
         state.update((st[0], st[1], st[2], st[3], st[4], False, st[6], True))
+        if forget_us is not None:
+            state.setTimeoutTimestamp(max((st[6] + forget_us) // 1000, _watermark_ms(state)) + 1)
         return
     if state.exists:
         st = list(state.get)
@@ -136,6 +141,8 @@ def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
     if timeout is not None and timeout < _watermark_ms(state):
         st[7] = True      # late data: the retention already ran out, keep only the tombstone
         timeout = None
+    if st[7] and forget_us is not None:
+        timeout = max((st[6] + forget_us) // 1000, _watermark_ms(state)) + 1
     state.update(tuple(st))
     if timeout is not None:
         state.setTimeoutTimestamp(timeout)
@@ -144,15 +151,23 @@ def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
 
 
 def change_feed(observations: DataFrame, retention_s: int = RETENTION_SECONDS,
-                watermark: str = "1 minute") -> DataFrame:
-    """Streaming DataFrame of emitted job records; see module doc."""
+                watermark: str = "1 minute", forget_s: int | None = None) -> DataFrame:
+    """Streaming DataFrame of emitted job records; see module doc.
+
+    Rows older than ``watermark`` when they arrive are dropped by Spark before
+    the state sees them: set it to the longest delay of a snapshot.  A finished
+    job leaves a tombstone; ``forget_s`` seconds after its retention the
+    tombstone goes too, which bounds the state by the jobs of that time, and a
+    job of the same name starts anew.
+    """
     retention_us = retention_s * 1_000_000
+    forget_us = None if forget_s is None else forget_s * 1_000_000
     c = (classify(observations.withWatermark("ts", watermark))
          .select("job_name", "event_id", "ts", F.unix_micros("ts").alias("ts_us"), "status",
                  "active", "succeeded", "failed", F.unix_micros("completion_ts").alias("completion_us")))
 
     def fn(key, pdfs, state):
-        return _step(key, pdfs, state, retention_us)
+        return _step(key, pdfs, state, retention_us, forget_us)
 
     fed = c.groupBy("job_name").applyInPandasWithState(
         fn, FEED_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
@@ -172,46 +187,45 @@ def read_snapshots(spark: SparkSession, folder: str, max_files_per_trigger: int
 class LatestStateWriter:
     """``foreachBatch`` sink keeping the latest record per job.
 
-    Each micro-batch merges its records into the previous version and writes
-    version ``batch_id`` (overwrite, so a replayed batch rewrites the same
-    folder).  Readers take the highest complete version.  The merge is a
-    ``max_by`` aggregation keyed by job.
+    A micro-batch writes the last record of the jobs in it to
+    ``batch=<id>`` (overwrite, so a replayed batch rewrites the same folder).
+    Every ``merge_every``-th batch writes the last record of all jobs to
+    ``full=<id>`` instead.  The table is the latest full folder and the batches
+    after it; older folders are no longer read.
     """
 
-    def __init__(self, root: str):
-        self.root = root
-
-    def _version_path(self, v: int) -> str:
-        return os.path.join(self.root, f"v={v:012d}")
+    def __init__(self, root: str, merge_every: int = 100):
+        self.root, self.merge_every = root, merge_every
 
-    def versions(self, spark: SparkSession) -> list[int]:
+    def _parts(self, spark: SparkSession, before: int | None = None) -> list[str]:
         jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        out = []
-        for st in fs.listStatus(path):
-            name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[2:]))
-        return sorted(out)
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/*=*/_SUCCESS")
+        fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = []
+        for s in fs.globStatus(pattern) or []:
+            kind, _, number = s.getPath().getParent().getName().partition("=")
+            if before is None or int(number) < before:
+                found.append((int(number), kind, s.getPath().getParent().toString()))
+        full = max((n for n, kind, _ in found if kind == "full"), default=-1)
+        return [path for n, kind, path in found if n > full or (n == full and kind == "full")]
+
+    @staticmethod
+    def _last(records: DataFrame) -> DataFrame:
+        cols = [c for c in records.columns if c != "job_name"]
+        rank = F.struct("ts", "event_id", F.col("monitoring") == F.lit(False))
+        return records.groupBy("job_name").agg(F.max_by(F.struct(*cols), rank).alias("s")).select("job_name", "s.*")
 
     def current(self, spark: SparkSession) -> DataFrame | None:
-        vs = self.versions(spark)
-        return spark.read.parquet(self._version_path(vs[-1])) if vs else None
+        parts = self._parts(spark)
+        return self._last(spark.read.parquet(*parts)) if parts else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prev = [v for v in self.versions(spark) if v < batch_id]
-        merged = batch
-        if prev:
-            merged = spark.read.parquet(self._version_path(prev[-1])).unionByName(batch)
-        cols = [c for c in merged.columns if c != "job_name"]
-        latest = (merged.groupBy("job_name")
-                  .agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id", F.col("monitoring") == F.lit(False)))
-                       .alias("s")).select("job_name", "s.*"))
-        latest.write.mode("overwrite").parquet(self._version_path(batch_id))
+        kind, records = "batch", batch
+        if (batch_id + 1) % self.merge_every == 0:
+            kind, parts = "full", self._parts(batch.sparkSession, batch_id)
+            if parts:
+                records = batch.sparkSession.read.parquet(*parts).unionByName(batch)
+        self._last(records).write.mode("overwrite").parquet(os.path.join(self.root, f"{kind}={batch_id:012d}"))
 
 
 def append_sink(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
@@ -231,8 +245,12 @@ class FeedSink:
         self.latest = LatestStateWriter(os.path.join(root, "latest"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(self.root, "records", f"batch={batch_id:012d}"))
-        self.latest(batch, batch_id)
+        batch = batch.persist()     # both writes read it; the stateful step runs once
+        try:
+            batch.write.mode("overwrite").parquet(os.path.join(self.root, "records", f"batch={batch_id:012d}"))
+            self.latest(batch, batch_id)
+        finally:
+            batch.unpersist()
 
 
 def start_change_feed(spark: SparkSession, snapshots: str, out_root: str, checkpoint: str,

@@ -26,13 +26,3 @@ def test_null_keys_spread_and_result_unchanged(spark):
     finally:
         for k, v in prev.items():
             spark.conf.set(k, v)
-
-
-def test_broadcast_only_when_bounded(spark):
-    from railyard.operators.joins import broadcast_if_bounded, is_bounded
-    small = spark.range(10)
-    big = spark.range(1000)
-    assert is_bounded(small, 10) and not is_bounded(big, 10)
-    plan = lambda d: d._jdf.queryExecution().logical().toString()
-    assert "Hint broadcast" in plan(broadcast_if_bounded(small, max_rows=10))
-    assert "Hint" not in plan(broadcast_if_bounded(big, max_rows=10))

@@ -3,17 +3,17 @@ without Python evaluation: all work stays in JVM operators."""
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from railyard.registry import QUERIES
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas"]
 WRITES = {"report_export", "report_catalog", "append_log", "job_feed_stream"}  # run a write while planning
 
 
-@pytest.mark.parametrize("key", sorted(set(E.queries()) - WRITES))
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - WRITES))
 def test_plan_is_jvm_only_without_cross_joins(spark, key):
-    df = E.queries()[key](spark, SF_SMALL)
+    df = QUERIES[key](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for op in FORBIDDEN:
         assert op not in plan, f"{key}: {op}"

@@ -22,7 +22,7 @@ def test_window_filter_pushed_to_stored_tickets(spark, adapter_small, tmp_path):
     assert "LessThan(issued_at" in plan
 
 
-def test_report_broadcasts_bounded_dims(spark, adapter_small):
+def test_report_broadcasts_small_dims(spark, adapter_small):
     rep = R.ticket_report(adapter_small, Window(dt.date(1998, 1, 1), dt.date(1998, 1, 31)), ordered=False)
     plan = rep._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("BroadcastHashJoin") >= 3  # routes, departure and arrival stations

@@ -48,3 +48,12 @@ def test_decimal_fit(spark):
 def test_enum_violations(spark):
     df = spark.createDataFrame([("pending",), ("PAID",), (None,)], "status string")
     assert DQ.enum_violations(df, "status", "payment_status").count() == 1
+
+
+def test_absent_columns_and_unused_references_are_reported(seed):
+    t = seed.with_overrides(tickets=seed["tickets"].drop("ticket_ref", "status"))
+    assert {r.column_name: r.n_null for r in DQ.null_profile(t, ["tickets"]).collect()}["ticket_ref"] == 20
+    assert {r.rule: r.n_bad for r in DQ.domain_profile(t, ["tickets"]).collect()}["enum:ticket_status"] is None
+    rows = DQ.reference_summary(seed.with_overrides(tickets=seed["tickets"].filter("false"))).collect()
+    assert len(rows) == len(schemas.FOREIGN_KEYS)
+    assert {(r.table_name, r.column_name): r.n_refs for r in rows}["tickets", "fare_id"] == 0

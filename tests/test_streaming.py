@@ -160,3 +160,52 @@ def test_a_job_that_spans_arrow_batches_is_taken_in_time_order():
     parts = [pd.DataFrame({"ts_us": [5, 3], "event_id": [1, 2]}), pd.DataFrame({"ts_us": [4, 1], "event_id": [3, 4]})]
     (one,) = _in_time_order(iter(parts))
     assert one.ts_us.tolist() == [1, 3, 4, 5]
+
+
+def test_latest_state_merges_and_replays(spark, tmp_path):
+    writer = LatestStateWriter(str(tmp_path / "latest"), merge_every=3)
+    for batch in (0, 1, 2, 2, 3, 4, 5, 6):                   # batch 2 runs twice
+        rows = [("a", batch, dt.datetime(2024, 1, 1, batch), True), (f"only-{batch}", batch, dt.datetime(2024, 1, 1, batch), False)]
+        writer(spark.createDataFrame(rows, "job_name string, event_id long, ts timestamp, monitoring boolean"), batch)
+    got = {r.job_name: r.event_id for r in writer.current(spark).collect()}
+    assert got == {"a": 6} | {f"only-{i}": i for i in range(7)}
+    assert len(writer._parts(spark)) == 2                    # the merge at batch 5, and batch 6
+
+
+def test_one_busy_job_over_many_arrow_batches(spark, tmp_path):
+    n = 30_000
+    obs = spark.range(n).select(
+        F.lit("busy").alias("job_name"), F.lit("ns").alias("namespace"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"),
+        F.col("id").alias("event_id"), (F.floor(F.col("id") / 100) % 2 + 1).cast("int").alias("active"), F.lit(0).alias("succeeded"),
+        F.lit(0).alias("failed"), F.lit(None).cast("timestamp").alias("creation_ts"), F.lit(None).cast("timestamp").alias("start_ts"),
+        F.lit(None).cast("timestamp").alias("completion_ts"), F.lit(None).cast("map<string,string>").alias("labels"))
+    obs.orderBy(F.xxhash64("event_id")).coalesce(1).write.parquet(str(tmp_path / "src" / "s0"))
+    _run(spark, str(tmp_path / "src"), str(tmp_path / "ck"), str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 300 and _key(got) == _key(JB.terminal_feed(obs))
+
+
+def test_tombstones_are_forgotten():
+    from railyard.streaming.job_feed import _step
+
+    class State:
+        exists, hasTimedOut, value, timeout, gone = True, True, ("Failed", 0, 0, 1, None, False, 30_000_000, False), None, False
+        get = property(lambda self: self.value)
+
+        def update(self, v):
+            self.value = v
+
+        def remove(self):
+            self.gone = True
+
+        def setTimeoutTimestamp(self, ms):
+            self.timeout = ms
+
+        def getCurrentWatermarkMs(self):
+            return 31_000
+
+    state = State()
+    list(_step(("j",), iter(()), state, 30_000_000, 60_000_000))
+    assert state.value[7] and state.timeout == 90_001 and not state.gone
+    list(_step(("j",), iter(()), state, 30_000_000, 60_000_000))
+    assert state.gone
