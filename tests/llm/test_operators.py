@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import uuid
 import zlib
@@ -166,6 +167,40 @@ def test_html(spark):
     assert H.extract_main_text(pages).count() == 8 and H.extract_main_text(pages.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("n, words, batch", [(60, 2, 10_000), (60, 2, 7), (400, 40, 100)])
+def test_html_shared_runs(spark, n, words, batch):
+    """Runs shared by distinct pages of a host, against a comparison of all pages; with a head that
+    every page has and with heads that only one page repeats, so that intervals cross the sorted ranges."""
+    rng = random.Random(n * words + batch)
+    line = " ".join(f"menu{i}" for i in range(9))
+    rows = []
+    for i in range(n):
+        own = " ".join(f"w{rng.randrange(words)}" for _ in range(rng.randrange(30)))
+        rows.append((i, f"http://h{i % 7 == 0}/{i}", f"<p>{own}</p><div>{line}</div><p>{f'r{i} ' * (200 if i % 20 == 0 else 3)}</p>"))
+    rows += rows[:3]
+    streams = {i: (u.split("/")[2], [t.split() for _, t in H.blocks(h)]) for i, u, h in rows}
+    pages_of = defaultdict(set)
+    for i, (host, found) in streams.items():
+        every = sum(found, [])
+        for p in range(len(every) - H.RUN + 1):
+            pages_of[host, *every[p:p + H.RUN]].add(i)
+    expected = {}
+    for i, (host, found) in streams.items():
+        every, texts, at = sum(found, []), [], 0
+        gone = {q for p in range(len(every) - H.RUN + 1) if len(pages_of[host, *every[p:p + H.RUN]]) > 1 for q in range(p, p + H.RUN)}
+        for block in found:
+            texts.append(" ".join(w for q, w in enumerate(block, at) if q not in gone))
+            at += len(block)
+        expected[i] = "\n".join(filter(None, texts))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == n + 3 and all(r.text == expected[r.page_id] and r.n_chars == len(r.text) for r in got)
+
+
 # language model ------------------------------------------------------------
 def brute_ppm(rows):
     k_max, seen, words = ppm.ORDER, defaultdict(Counter), Counter()
