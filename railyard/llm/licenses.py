@@ -1,10 +1,10 @@
-"""Licence scan: sparse TF-IDF cosine of text lines to licence templates, then inheritance along paths.
+"""Licence scan: sparse TF-IDF cosine of lines, paragraphs, comments and whole files to licence templates, then inheritance along paths.
 
-A line is compared with a template only if it has one of the template's
-heaviest terms: the terms left out weigh too little to reach the threshold
-without them, so no match is lost.  A file without a licence of its own takes
-that of the licence file in its nearest ancestor directory.  DataFrame
-functions only.
+Terms weigh by their document frequency over all files.  A unit of text is
+compared only if it has one of the templates' rarest terms: the terms left out
+weigh too little to reach the threshold without them, so no match is lost.  A
+file without a licence of its own takes that of the licence file in its
+nearest ancestor directory.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -12,59 +12,58 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from railyard.llm.common import checkpointed
+from railyard.llm.licence_templates import spdx_ids, templates
 
-# fixed values: licence ids and the sentence that grants each ----------------
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistributed under the terms of the three clause BSD License",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "Subject to the terms of the Mozilla Public License, version 2.0",
-}
-# ---------------------------------------------------------------------------
 TERM = "[a-z0-9]+"
-EVERYDAY = set("the this is to of under by work".split())
 THRESHOLD = 0.75
-
-
-def template_weights() -> tuple[list[tuple[str, str, float]], float]:
-    """``(licence, term, weight)`` with unit length per licence, and the idf of a term in no template."""
-    terms = {name: Counter(re.findall(TERM, text.lower())) for name, text in TEMPLATES.items()}
-    n, df = len(terms), Counter(t for c in terms.values() for t in c)
-    rows = []
-    for name, c in terms.items():
-        w = {t: k * _idf(n, df[t]) for t, k in c.items()}
-        norm = math.sqrt(sum(x * x for x in w.values()))
-        rows += [(name, t, x / norm) for t, x in sorted(w.items())]
-    return rows, _idf(n, 0)
+# comments as one unit each: delimited ones, and runs of lines with a leader
+COMMENT = r"""(/\*[\s\S]*?\*/|<!--[\s\S]*?-->|\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|(?m:^[ \t]*+(?://|#|--|;|%)[^\n]*+\n?+)++)"""
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([^\n]*)"
 
 
 def _idf(n, df):
     return math.log((1 + n) / (1 + df)) + 1
 
 
-def idf_of_terms() -> dict[str, float]:
-    terms = [set(re.findall(TERM, t.lower())) for t in TEMPLATES.values()]
-    return {t: _idf(len(terms), sum(t in s for s in terms)) for t in sorted(set().union(*terms))}
+@lru_cache
+def _terms() -> dict[str, Counter]:
+    """Terms of every template; its name is the licence and a number."""
+    return {f"{name}#{i}": Counter(re.findall(TERM, text.lower())) for i, (name, text) in enumerate(templates())}
+
+
+def vocabulary() -> list[str]:
+    return sorted(set().union(*_terms().values()))
+
+
+def template_weights(files: int = 0, df: dict[str, int] | None = None) -> tuple[list[tuple[str, str, float]], float]:
+    """``(template, term, weight)`` with unit length per template, and the idf of a term that no file has.
+
+    ``df`` counts the files of the corpus that have a term.  A term weighs one
+    plus the logarithm of its count, times its idf.
+    """
+    df, rows = df or {}, []
+    for name, c in _terms().items():
+        w = {t: (1 + math.log(k)) * _idf(files, df.get(t, 0)) for t, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        rows += [(name, t, x / norm) for t, x in sorted(w.items())]
+    return rows, _idf(files, 0)
 
 
-def key_terms(threshold: float = THRESHOLD) -> list[str]:
-    """Terms one of which every line at or over the threshold has.
+@lru_cache(maxsize=4)
+def key_terms(threshold: float = THRESHOLD, files: int = 0, df: tuple[tuple[str, int], ...] = ()) -> list[str]:
+    """Terms one of which every text at or over the threshold has.
 
-    Of each template, everyday words and then the lightest terms are left out
-    as long as all that is left out stays under the threshold by itself.
+    Of each template, the terms that most files of the corpus have are left
+    out as long as all that is left out stays under the threshold by itself.
     """
-    by: dict[str, list] = {}
-    for name, term, w in template_weights()[0]:
-        by.setdefault(name, []).append((term not in EVERYDAY, w, term))
+    df, by = dict(df), {}
+    for name, term, w in template_weights(files, df)[0]:
+        by.setdefault(name, []).append((-df.get(term, 0), w, term))
     out = set()
     for ws in by.values():
         left = 0.0
@@ -75,30 +74,58 @@ def key_terms(threshold: float = THRESHOLD) -> list[str]:
     return sorted(out)
 
 
+def terms_of(text) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+
+
+def units(text) -> Column:
+    """What is compared of a text: its lines, its paragraphs (between lines without a term), its comments, and all of it."""
+    return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n(?:[^A-Za-z0-9\n]*+\n)++"),
+                                     F.regexp_extract_all(text, F.lit(COMMENT), F.lit(1)), F.array(text)))
+
+
 def licence_lines(texts: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """``key, licence, similarity``: the best template of every key (ties: first licence id) at or over the threshold.
-    ``key`` tells texts apart."""
-    weights, unknown = template_weights()
+
+    ``key`` tells texts apart; rows that share it are files with the same text.
+    Each counts in the document frequencies, and the text is compared once.
+    """
     spark = texts.sparkSession
-    template = spark.createDataFrame(weights, "licence string, term string, weight double")
-    idf = spark.createDataFrame(sorted(idf_of_terms().items()), "term string, idf double")
-    needed = needed_pattern(threshold)
-    lines = texts.select(F.col(key).alias("key"), F.posexplode(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(needed))).alias("line", "words"))
-    counted = (lines.select("key", "line", F.explode(F.regexp_extract_all(F.lower("words"), F.lit(TERM), F.lit(0))).alias("term"))
-                    .groupBy("key", "line", "term").agg(F.count("*").alias("n")))
-    # templates and their terms are constants of this module
-    own = counted.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unknown)))
-    norm = own.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = (own.join(F.broadcast(template), "term").groupBy("key", "line", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot")))
-    near = dot.join(norm, ["key", "line"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("similarity") >= threshold)
-    best = near.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("b"))
+    files = texts.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # document frequencies over all files
+    frequency = checkpointed(files.select(F.explode(F.array_distinct(terms_of("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    n = files.count()
+    # template terms are constants of this package
+    words = spark.createDataFrame([(t,) for t in vocabulary()], "term string")
+    df = dict(frequency.join(F.broadcast(words), "term").collect())
+    weights, _ = template_weights(n, df)
+    template = spark.createDataFrame(weights, "template string, term string, weight double")
+    keys = ", ".join(f"'{t}'" for t in key_terms(threshold, n, tuple(df.items())))
+    has_key = F.expr(f"exists(terms, t -> t in ({keys}))")
+    # files, then their units, that can reach the threshold; equal ones are compared once
+    near = files.withColumn("terms", terms_of("text")).filter(has_key).select("key", "text").dropDuplicates(["key"])
+    near = near.select("key", F.explode(units(F.col("text"))).alias("unit")).withColumn("terms", terms_of("unit")).filter(has_key)
+    near = checkpointed(near.withColumn("unit", F.sha2(F.array_join("terms", " "), 256)))
+    counted = (near.select("unit", "terms").dropDuplicates(["unit"]).select("unit", F.explode("terms").alias("term"))
+                   .groupBy("unit", "term").agg(F.count("*").alias("n")))
+    idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
+    own = counted.join(frequency, "term").select("unit", "term", ((1 + F.log("n")) * idf).alias("w"))
+    own = checkpointed(own)
+    norm = own.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dot = own.join(F.broadcast(template), "term").groupBy("unit", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    alike = (dot.join(norm, "unit").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("similarity") >= threshold)
+                .select("unit", F.substring_index("template", "#", 1).alias("licence"), "similarity"))
+    first = F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("b")
+    found = near.select("key", "unit").join(alike.groupBy("unit").agg(first), "unit").select("key", "b.licence", (-F.col("b.s")).alias("similarity"))
+    # an identifier of an SPDX tag is one term
+    ids = spark.createDataFrame(sorted(spdx_ids().items()), "id string, licence string")
+    tags = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1)), lambda t: F.split(F.lower(t), r"[^a-z0-9.+-]+")))
+    tagged = (files.filter(F.col("text").rlike(SPDX)).dropDuplicates(["key"]).select("key", F.explode(tags).alias("id"))
+                   .join(F.broadcast(ids), "id").select("key", "licence", F.lit(1.0).alias("similarity")))
+    best = found.unionByName(tagged).groupBy("key").agg(first)
     return best.select("key", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"))
 
 
-def needed_pattern(threshold: float = THRESHOLD) -> str:
-    return r"(?i)(^|[^a-z0-9])(" + "|".join(key_terms(threshold)) + ")([^a-z0-9]|$)"
-
-
 def parent(path) -> Column:
     return F.regexp_replace(F.col(path), "/?[^/]*$", "")
 
@@ -107,7 +134,7 @@ def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
                  licence_file: str = r"(?i)(^|/)(licen[cs]e|copying)(\.[a-z]+)?$", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, path, licence, similarity, origin, origin_path`` of every row of ``files``.
 
-    ``origin`` is ``own`` if a line of the text reaches a template, else
+    ``origin`` is ``own`` if a line, paragraph, comment or all of the text reaches a template, else
     ``inherited`` if a licence file in the nearest ancestor directory (its own
     first) does, else null.  Of several licence files in a directory the one
     most alike counts, then the first path.  Null and empty texts match
@@ -117,7 +144,7 @@ def licence_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     f = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     # equal texts match alike: each is compared once
     f = f.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    found = checkpointed(licence_lines(f.select("key", "text").filter(F.col("text").rlike(needed_pattern(threshold))).dropDuplicates(["key"]), "key", "text", threshold))
+    found = checkpointed(licence_lines(f, "key", "text", threshold))
     rows = f.select("doc_id", "path", "key").join(found, "key", "left")
     givers = (rows.filter(F.col("licence").isNotNull() & F.col("path").rlike(licence_file))
                   .groupBy(parent("path").alias("above"))

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import uuid
@@ -149,6 +150,31 @@ def test_key_terms_lose_no_match():
         assert math.sqrt(sum(w * w for t, w in ws.items() if t not in C.key_terms())) < C.THRESHOLD
 
 
+def test_licence_texts_headers_and_tags(spark):
+    """Whole licence files, comment headers of several lines, titles and SPDX tags, with version variants."""
+    folder = f"{os.path.dirname(C.__file__)}/licence_texts"
+    text = {n: open(f"{folder}/{n}.txt").read() for n in ("GPL-2", "GPL-3", "MPL-2.0", "Apache-2.0")}
+    blocks = [t for n, t in C.templates() if n in ("BSD-2-Clause", "BSD-3-Clause") and "Redistribution and use" in t]
+    mit = next(t for n, t in C.templates() if n == "MIT" and t.startswith("Permission"))
+    gnu = next(t for n, t in C.templates() if n == "GPL-2.0-or-later" and "redistribute" in t)
+    comment = lambda t: "/*\n * Copyright (c) 2020 A. Writer\n *\n" + "".join(f" * {x}\n *\n" for x in t.splitlines()) + " */\nint main() { return 0; }\n"
+    rows = [(text["GPL-2"], "GPL-2.0"), (text["GPL-3"], "GPL-3.0"), (text["MPL-2.0"], "MPL-2.0"), (text["Apache-2.0"], "Apache-2.0"),
+            (comment(blocks[0]), "BSD-2-Clause"), (comment(blocks[1]), "BSD-3-Clause"), (comment(mit), "MIT"), ("".join(f"# {x}\n" for x in gnu.split("; ")) + "x = 1\n", "GPL-2.0-or-later"),
+            ("// SPDX-License-Identifier: Apache-2.0\ncode", "Apache-2.0"), ("# SPDX-License-Identifier: (GPL-3.0-only)\n", "GPL-3.0-only"), ("SPDX-License-Identifier: Other-1.0", None),
+            ("MIT License\n", "MIT"), ("The MIT License (MIT)", "MIT"), ("no licence here\n\nat all", None), ("", None)]
+    files = spark.createDataFrame([(i, f"d{i}/x", t) for i, (t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.licence for r in C.licence_scan(files).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(rows)}
+
+
+def test_licence_weights_come_from_the_corpus(spark):
+    """Everyday words beside a grant weigh little once the files show them to be everyday."""
+    files = [(i, f"d{i}/x", f"was written by someone for the project number {i}") for i in range(300)]
+    files.append((300, "d300/x", "this was written by someone for the project: released under the MIT License"))
+    got = {r.doc_id: r.licence for r in C.licence_scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got[300] == "MIT" and not any(got[i] for i in range(300))
+
+
 # html ----------------------------------------------------------------------
 PAGE = ('<html><head><title>T</title></head><body><header>Top</header><nav><a>Home</a></nav><div class="cookie-notice">ok?</div><article><h1>One &amp; two</h1>'
         '<p>A\n  b<b>c</b>&nbsp;d<br>e<script>x</script><p>next<div class="ad">buy</div><ul><li>i1<li>i2</ul><form>f</form><section id="comments"><p>me too</p></section>'
