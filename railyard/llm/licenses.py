@@ -92,31 +92,50 @@ def licence_lines(texts: DataFrame, key: str, text: str, threshold: float = THRE
     """
     spark = texts.sparkSession
     files = texts.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # document frequencies over all files
-    frequency = checkpointed(files.select(F.explode(F.array_distinct(terms_of("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
-    n = files.count()
     # template terms are constants of this package
-    words = spark.createDataFrame([(t,) for t in vocabulary()], "term string")
-    df = dict(frequency.join(F.broadcast(words), "term").collect())
+    vocab = ", ".join(f"'{t}'" for t in vocabulary())
+    n = files.count()
+    df = dict(files.select(F.array_distinct(terms_of("text")).alias("terms"))
+                   .select(F.explode(F.expr(f"filter(terms, t -> t in ({vocab}))")).alias("term")).groupBy("term").agg(F.count("*")).collect())
     weights, _ = template_weights(n, df)
     template = spark.createDataFrame(weights, "template string, term string, weight double")
+    known = spark.createDataFrame([(t, _idf(n, df.get(t, 0))) for t in vocabulary()], "term string, idf double")
     keys = ", ".join(f"'{t}'" for t in key_terms(threshold, n, tuple(df.items())))
     has_key = F.expr(f"exists(terms, t -> t in ({keys}))")
-    # files, then their units, that can reach the threshold; equal ones are compared once
-    near = files.withColumn("terms", terms_of("text")).filter(has_key).select("key", "text").dropDuplicates(["key"])
-    near = near.select("key", F.explode(units(F.col("text"))).alias("unit")).withColumn("terms", terms_of("unit")).filter(has_key)
-    near = checkpointed(near.withColumn("unit", F.sha2(F.array_join("terms", " "), 256)))
-    counted = (near.select("unit", "terms").dropDuplicates(["unit"]).select("unit", F.explode("terms").alias("term"))
-                   .groupBy("unit", "term").agg(F.count("*").alias("n")))
-    idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
-    own = counted.join(frequency, "term").select("unit", "term", ((1 + F.log("n")) * idf).alias("w"))
+
+    texts_near = checkpointed(files.withColumn("terms", terms_of("text")).filter(has_key).select("key", "text").dropDuplicates(["key"]))
+
+    def candidates(of):
+        found = of.select("key", F.explode(units(F.col("text"))).alias("unit")).withColumn("terms", terms_of("unit")).filter(has_key)
+        return found.withColumn("unit", F.sha2(F.array_join("terms", " "), 256))
+
+    # terms of no template weigh one at least: what stays under the threshold with that stays under it
+    near = checkpointed(candidates(texts_near).select("key", "unit", F.expr(f"filter(terms, t -> t in ({vocab}))").alias("known"),
+                                                 F.expr(f"size(array_distinct(filter(terms, t -> t not in ({vocab}))))").alias("others")))
+    own = (near.select("unit", "known", "others").dropDuplicates(["unit"]).select("unit", "others", F.explode("known").alias("term"))
+               .groupBy("unit", "others", "term").agg(F.count("*").alias("n"))
+               .join(F.broadcast(known), "term").select("unit", "others", "term", ((1 + F.log("n")) * F.col("idf")).alias("w")))
     own = checkpointed(own)
-    norm = own.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norm = own.groupBy("unit", "others").agg(F.sum(F.col("w") * F.col("w")).alias("square"))
     dot = own.join(F.broadcast(template), "term").groupBy("unit", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    alike = (dot.join(norm, "unit").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("similarity") >= threshold)
-                .select("unit", F.substring_index("template", "#", 1).alias("licence"), "similarity"))
+    able = checkpointed(dot.join(norm, "unit").filter(F.col("dot") >= (threshold - 1e-6) * F.sqrt(F.col("square") + F.col("others"))))
+    # the other terms of what is left, and their document frequencies over all files
+    left = near.join(able.select("unit").distinct(), "unit", "left_semi").select("key", "unit")
+    some = texts_near.join(left.select("key").distinct(), "key", "left_semi")
+    rest = (candidates(some).join(able.select("unit").distinct(), "unit", "left_semi").select("unit", "terms").dropDuplicates(["unit"])
+                .select("unit", F.explode(F.expr(f"filter(terms, t -> t not in ({vocab}))")).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("n")))
+    rest = checkpointed(rest)
+    # terms in no bucket of a wanted one need no exchange; there are 65,536 buckets at most
+    bucket = F.pmod(F.xxhash64("term"), F.lit(1 << 16)).alias("bucket")
+    frequency = (files.select(F.explode(F.array_distinct(terms_of("text"))).alias("term")).select("term", bucket)
+                      .join(F.broadcast(rest.select(bucket).distinct()), "bucket", "left_semi").groupBy("term").agg(F.count("*").alias("df")))
+    w = (1 + F.log("n")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    more = rest.join(frequency, "term").select("unit", w.alias("w")).groupBy("unit").agg(F.sum(F.col("w") * F.col("w")).alias("more"))
+    cosine = F.col("dot") / F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0)))
+    alike = (able.join(more, "unit", "left").withColumn("similarity", F.round(cosine, 6)).filter(F.col("similarity") >= threshold)
+                 .select("unit", F.substring_index("template", "#", 1).alias("licence"), "similarity"))
     first = F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("b")
-    found = near.select("key", "unit").join(alike.groupBy("unit").agg(first), "unit").select("key", "b.licence", (-F.col("b.s")).alias("similarity"))
+    found = left.join(alike.groupBy("unit").agg(first), "unit").select("key", "b.licence", (-F.col("b.s")).alias("similarity"))
     # an identifier of an SPDX tag is one term
     ids = spark.createDataFrame(sorted(spdx_ids().items()), "id string, licence string")
     tags = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1)), lambda t: F.split(F.lower(t), r"[^a-z0-9.+-]+")))
