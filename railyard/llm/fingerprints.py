@@ -16,8 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from railyard.llm.common import binary_values, block_count, gram_hashes, window_minima
 
-GRAM = 16
-WINDOW = 64
+GRAM = 8
+WINDOW = 16
 # bytes hashed at a time
 PIECE = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
@@ -39,7 +39,7 @@ def _kept(data: np.ndarray, gram: int, window: int, ends=None):
 
 
 def winnowed(texts: list[bytes], gram: int = GRAM, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``(places, hashes)`` of each text.  A text shorter than a window keeps its smallest hash, one shorter
+    """``(places, hashes)`` of each text.  A text shorter than a window keeps all its hashes, one shorter
     than a gram the hash of all of it, an empty one nothing."""
     out: list = [None] * len(texts)
     least = gram + window - 1
@@ -56,8 +56,7 @@ def winnowed(texts: list[bytes], gram: int = GRAM, window: int = WINDOW) -> list
         if not t:
             out[i] = np.empty(0, np.int64), np.empty(0, np.uint32)
         elif len(t) < least:
-            k = min(gram, len(t))
-            out[i] = _kept(np.frombuffer(t, np.uint8), k, len(t) - k + 1)
+            out[i] = _kept(np.frombuffer(t, np.uint8), min(gram, len(t)), 1)
         elif len(t) > PIECE:
             parts = [(_kept(np.frombuffer(t[a:a + PIECE + least - 1], np.uint8), gram, window), a) for a in range(0, len(t) - least + 1, PIECE)]
             at, h = np.concatenate([p[0] + a for p, a in parts]), np.concatenate([p[1] for p, _ in parts])

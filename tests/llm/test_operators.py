@@ -382,6 +382,16 @@ def test_fingerprints(spark, docs, empty):
     assert P.neighbour_likeness(empty).count() == 0
 
 
+def test_near_copies_of_short_texts_share_hashes():
+    """Texts of 11 to 78 bytes with the last quarter replaced."""
+    rng = random.Random(3)
+    for n in range(11, 79):
+        text, other = (bytes(rng.choices(range(97, 123), k=n)) for _ in range(2))
+        near = text[:n - n // 4] + other[:n // 4]
+        (_, a), (_, b) = P.winnowed([text, near])
+        assert P.likeness(a, b) > 0
+
+
 def test_winnowing_guarantee():
     import random
     random.seed(5)
