@@ -193,6 +193,20 @@ def test_html(spark):
     assert H.extract_main_text(pages).count() == 8 and H.extract_main_text(pages.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='site has-sidebar'>", "<div class='no-sidebar'>", "<div class='no-comments'>", "<div class='with-nav'>", "<div class='ad-free'>",
+                                     "<div class='sticky-header'>", "<form id='aspnetForm'>", "<div class='sidebar'>"])
+def test_html_article_in_a_wrapper(wrapper):
+    end = "</form>" if "form" in wrapper else "</div>"
+    assert H.read_page(f"<body>{wrapper}<div class='menu'>m</div><article>the text<form>f</form></article><div class='site-header'>h</div>{end}</body>")[0] == "the text"
+    assert H.read_page(f"<body><article>the text</article>{wrapper}<article class='comment'>c</article>{end}</body>")[0] == "the text"
+    assert H.read_page("<div class='related'><article>other</article></div><p>own</p>")[0] is None
+
+
+def test_html_page_in_a_form():
+    assert H.read_page("<body><form action='x'><p>all the text</p><div class='menu'>m</div></form></body>") == (None, [(H.REST, "all the text"), (H.BOILERPLATE, "m")])
+    assert H.read_page("<p>text</p><form>name</form>") == (None, [(H.REST, "text"), (H.BOILERPLATE, "name")])
+
+
 @pytest.mark.parametrize("n, words, batch", [(60, 2, 10_000), (60, 2, 7), (400, 40, 100)])
 def test_html_shared_runs(spark, n, words, batch):
     """Runs shared by distinct pages of a host, against a comparison of all pages; with a head that
