@@ -39,7 +39,7 @@ def _kept(data: np.ndarray, gram: int, window: int, ends=None):
 
 
 def winnowed(texts: list[bytes], gram: int = GRAM, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``(places, hashes)`` of each text.  A text shorter than a window keeps all its hashes, one shorter
+    """``(places, hashes)`` of each text.  A text shorter than two windows keeps all its hashes, one shorter
     than a gram the hash of all of it, an empty one nothing."""
     out: list = [None] * len(texts)
     least = gram + window - 1
@@ -55,7 +55,7 @@ def winnowed(texts: list[bytes], gram: int = GRAM, window: int = WINDOW) -> list
     for i, t in enumerate(texts):
         if not t:
             out[i] = np.empty(0, np.int64), np.empty(0, np.uint32)
-        elif len(t) < least:
+        elif len(t) < 2 * least:
             out[i] = _kept(np.frombuffer(t, np.uint8), min(gram, len(t)), 1)
         elif len(t) > PIECE:
             parts = [(_kept(np.frombuffer(t[a:a + PIECE + least - 1], np.uint8), gram, window), a) for a in range(0, len(t) - least + 1, PIECE)]
