@@ -24,3 +24,8 @@ def padded(value: Column, width: int) -> Column:
 def padded_ref(prefix: str, value: Column, width: int = 8) -> Column:
     """``prefix`` followed by the zero-padded number, e.g. ``BKG-00000042``."""
     return F.format_string(f"{prefix}%0{width}d", value.cast("long"))
+
+
+def short_ref(seed: Column, length: int = 8) -> Column:
+    """The first ``length`` characters of the seed's digest in upper case, as ``gen_ref`` without a prefix."""
+    return F.upper(F.substring(F.md5(seed.cast("string")), 1, length))

@@ -61,6 +61,25 @@ def upsert(base: DataFrame, updates: DataFrame, key: str = "id", order: str | No
     return kept.unionByName(latest)
 
 
+def upsert_into(stored, updates: DataFrame, order: str | None = None, touch: str | None = None,
+                batch_ts: dt.datetime | None = None, batch: int = -1) -> list[int]:
+    """``upsert`` in place on a ``RangedTable``: only the key ranges that ``updates`` falls into are rewritten.
+
+    Returns those ranges.  The same rules hold: within the batch the greatest
+    ``order`` wins, ties by the row itself; a written row replaces the stored one.
+    """
+    empty = stored.spark.createDataFrame([], stored.schema)
+    latest = upsert(empty, updates, stored.key, order, touch, batch_ts)
+    return stored.upsert(latest, F.lit(0), batch)
+
+
+def link_reservations_into(stored, tickets: DataFrame, batch: int = -1) -> list[int]:
+    """``link_reservations`` in place: only reservations that get a ticket are written."""
+    before = stored.read()
+    linked = link_reservations(before.filter(F.col("ticket_id").isNull()), tickets)
+    return stored.upsert(linked.filter(F.col("ticket_id").isNotNull()), F.lit(0), batch)
+
+
 def _orderable(t: T.DataType) -> bool:
     if isinstance(t, (T.MapType, T.VariantType)):
         return False

@@ -121,6 +121,10 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
         raise ValueError(f"not report columns: {sorted(unknown)}")
     need = {tag for tag, cols in _LEFT_SOURCES.items() if set(cols) & set(wanted)}
     t = window_tickets(tables, window)
+    # tickets of a bucketed domain bring their booking's columns along
+    brought = [c for c in _LEFT_SOURCES["bk"] if c in t.columns]
+    if brought:
+        need.discard("bk")
     salt = F.col("ticket_ref")
     # nullable references: (is-NULL flag, key-or-salt) so NULL keys spread over many partitions
     nullable = {"booking_id": "bk", "passenger_id": "ps", "fare_id": "fa", "seat_id": "st"}
@@ -130,7 +134,7 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
         spread += [nk.alias(f"__n_{tag}"), jk.alias(f"__k_{tag}")]
     t = t.select(
         "ticket_ref", F.col("status").alias("ticket_status"), F.col("price").alias("ticket_price"),
-        F.col("currency").alias("ticket_currency"), "issued_at", "trip_id", "booking_id", "passenger_id", *spread)
+        F.col("currency").alias("ticket_currency"), "issued_at", "trip_id", "booking_id", "passenger_id", *brought, *spread)
 
     def of_window(side, key, column):
         """Rows of ``side`` that a ticket of the window refers to by ``column``."""
@@ -209,3 +213,30 @@ def monthly_report_backfill(tables: DomainTables, ordered: bool = False) -> Data
     if ordered:
         out = out.orderBy("report_month", *REPORT_ORDER)
     return out
+
+
+def report_windows(tables: DomainTables, windows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The report of many windows at once: its rows once per window (``window_id``) that they fall into.
+
+    ``windows`` has ``window_id, start, end`` (dates, inclusive); they may overlap
+    and be of any length.  Tickets meet the windows' days in an equi-join, so no
+    window is compared with a ticket of another day; the report itself is built
+    once for the tickets of all windows, from one scan of tickets.
+    """
+    wrong = windows.filter(F.col("start").isNull() | F.col("end").isNull() | (F.col("start") > F.col("end"))).limit(1).collect()
+    if wrong:
+        raise ValueError(f"window {wrong[0].window_id!r} has no days: {wrong[0].start} to {wrong[0].end}")
+    days = windows.select("window_id", F.explode(F.sequence("start", "end")).alias("__day"), F.col("start").alias("__from"), F.col("end").alias("__to"))
+    span = windows.agg(F.min("start"), F.max("end")).first()
+    t = tables["tickets"]
+    if span[0] is None:
+        t = t.filter("false")
+    else:
+        t = window_tickets(tables, Window(*span))
+    t = t.join(days.select("__day").distinct(), F.to_date("issued_at") == F.col("__day"), "left_semi")
+    wanted = list(columns or REPORT_COLUMNS)
+    base = ticket_report(tables.with_overrides(tickets=t), None, ordered=False, strip_zone=False,
+                         columns=wanted + [c for c in ("issued_at",) if c not in wanted])
+    issued = F.to_date("issued_at")
+    met = base.join(days, (issued == F.col("__day")) & issued.between(F.col("__from"), F.col("__to")))
+    return met.select("window_id", *[F.col(c).cast("timestamp_ntz").alias(c) if c == "issued_at" else F.col(c) for c in wanted])

@@ -195,7 +195,7 @@ FINDER_QUERIES = {
         "registration"), ["id", "registration", "capacity"]),
     "find_routes_by_code": ("RouteRepository.findByCodeIgnoreCase", lambda t: _window_trips(t).select(
         F.concat(F.lit("rOuTe-"), F.col("route_id").cast("string"))), ["id", "code"]),
-    "find_stations_by_code": ("StationRepository.findByCodeIgnoreCase", lambda t: _window_trips(t).filter("train_id % 2 = 0").select(
+    "find_stations_by_code": ("StationRepository.findByCodeIgnoreCase", lambda t: _window_trips(t).filter("departure_time < '10:00:00'").select(
         F.concat(F.lit("st"), F.lpad(F.col("departure_station_id").cast("string"), 2, "0"))), ["id", "code", "region"]),
     "find_seats_by_number": ("SeatRepository.findByCarriageIdAndSeatNumber", lambda t: _window_tickets(t).select(
         F.expr("seat_id div 20"), _seat_number("seat_id")), ["id", "carriage_id", "seat_number"]),
@@ -205,7 +205,7 @@ FINDER_QUERIES = {
     "find_payments_by_status": ("PaymentRepository.findByStatus", "failed", ["id", "booking_id", "amount"]),
     "find_tickets_by_status": ("TicketRepository.findByStatus", "checked_in", ["id", "ticket_ref"]),
     "find_stops_of_route": ("RouteStopRepository.findByRouteIdOrderByStopSequence", lambda t: _window_trips(t).filter(
-        "train_id % 3 = 0").select("route_id"), ["id", "route_id", "stop_sequence", "station_id"]),
+        "departure_time < '10:00:00'").select("route_id"), ["id", "route_id", "stop_sequence", "station_id"]),
     "find_payments_of_booking": ("PaymentRepository.findByBookingId", lambda t: t["bookings"].filter("status = 'pending'").select(
         "id"), ["id", "booking_id", "amount", "status"]),
     "find_seats_of_carriage": ("SeatRepository.findByCarriageId", lambda t: t["carriages"].filter("carriage_type = 'sleeper'").select(
@@ -570,26 +570,250 @@ def q_dq_orphan_rows(spark, sf_dir):
     return DQ.orphans(without, fk).select("id", "booking_id")
 
 
+# parts that the observations arrive in, one trigger each
+STREAM_PARTS = 3
+
+
+def _in_parts(spark, sf_dir, start, root, polls=None):
+    """Write observations (and polls) in ``STREAM_PARTS`` time-ordered parts and run ``start(session, folder)`` after
+    each one, so that every part is a trigger and every trigger begins from the checkpoint of the one before.
+    A heartbeat after the last one closes the slices that are open."""
+    from railyard.streaming.job_feed import OBSERVATION_SCHEMA, heartbeat, streaming_session
+    obs = _obs(spark, sf_dir).select(*[f.name for f in OBSERVATION_SCHEMA.fields])
+    low, high = obs.agg(F.min("ts"), F.max("ts")).first()
+    session = streaming_session(spark, spark.sparkContext.defaultParallelism)
+    day = dt.timedelta(days=1)
+    step = (high - low) / STREAM_PARTS
+    for i in range(STREAM_PARTS + 1):
+        frames = {"observations": (obs, "ts"), "polls": (polls, "period")} if polls is not None else {"observations": (obs, "ts")}
+        for name, (df, c) in frames.items():
+            last = i >= STREAM_PARTS - 1
+            part = df.filter((F.col(c) >= low + i * step) | F.lit(i == 0)) if i < STREAM_PARTS else df.filter("false")
+            part = part if last else part.filter(F.col(c) < low + (i + 1) * step)
+            if i == STREAM_PARTS:
+                part = heartbeat(spark, high + day) if name == "observations" else spark.createDataFrame(
+                    [(None, high + day, False)], df.schema)
+            part.write.parquet(f"{root}/{name}/part={i}")
+        start(session, root).awaitTermination()
+
+
 def q_job_feed_stream(spark, sf_dir):
-    """The streaming change feed run over snapshot files (one per day of
-    observations), read back; equals its batch twin ``job_terminal_window``."""
-    from railyard.streaming.job_feed import OBSERVATION_SCHEMA, change_feed
-    obs = _tables(spark, sf_dir)["job_observations"].select(*[f.name for f in OBSERVATION_SCHEMA.fields])
+    """The streaming change feed run over snapshots that arrive in several triggers with a restart between them,
+    read back; equals its batch twin ``job_terminal_window``."""
+    from railyard.streaming.job_feed import append_sink, change_feed, read_snapshots
     root = _scratch(spark, "job-feed")
-    (obs.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-        .repartitionByRange("day", "ts").write.partitionBy("day").parquet(f"{root}/snapshots"))
-    # one trigger takes all snapshot files: parallel writers give no time order to
-    # file modification times (multi-trigger runs are tested with ordered files)
-    src = (spark.readStream.schema(OBSERVATION_SCHEMA)
-           .option("recursiveFileLookup", "true").parquet(f"{root}/snapshots"))
-    q = (change_feed(src).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
-         .trigger(availableNow=True).start(f"{root}/feed"))
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/feed").select(
-        "job_name", "event_id", *_ntz("ts"), "status", "monitoring")
+    _in_parts(spark, sf_dir, lambda s, r: append_sink(
+        change_feed(read_snapshots(s, f"{r}/observations"), slice="6 hours", tombstone_s=366 * 86400), f"{r}/feed", f"{r}/checkpoint"), root)
+    return spark.read.parquet(f"{root}/feed").select("job_name", "event_id", *_ntz("ts"), "status", "monitoring")
+
+
+def q_job_totals_stream(spark, sf_dir):
+    """Jobs per status by retraction on the stream; equals ``job_status_counts``."""
+    from railyard.streaming.job_feed import TotalsSink, read_snapshots, status_changes
+    root = _scratch(spark, "job-totals")
+    sink = TotalsSink(f"{root}/totals")
+    _in_parts(spark, sf_dir, lambda s, r: (
+        status_changes(read_snapshots(s, f"{r}/observations"), slice="6 hours").writeStream.foreachBatch(sink)
+        .option("checkpointLocation", f"{r}/checkpoint").trigger(availableNow=True).start()), root)
+    n = lambda status: F.coalesce(F.sum(F.when(F.col("status") == status, F.col("n"))), F.lit(0)).cast("long")
+    return sink.current(spark).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_jobs"), n(JB.RUNNING).alias("running"),
+                                   n(JB.SUCCEEDED).alias("succeeded"), n(JB.FAILED).alias("failed"))
+
+
+def q_jobs_latest_stream(spark, sf_dir):
+    """Latest state per job in update mode, upserted by key range; equals ``jobs_latest``."""
+    from railyard.streaming.job_feed import LatestStateWriter, latest_states, read_snapshots
+    root = _scratch(spark, "job-latest")
+    sink = LatestStateWriter(f"{root}/latest")
+    _in_parts(spark, sf_dir, lambda s, r: (
+        latest_states(read_snapshots(s, f"{r}/observations")).writeStream.outputMode("update").foreachBatch(sink)
+        .option("checkpointLocation", f"{r}/checkpoint").trigger(availableNow=True).start()), root)
+    return sink.current(spark).select(
+        "job_name", "event_id", *_ntz("ts"), "status", "active", "succeeded", "failed", *_ntz("completion_ts"))
+
+
+def q_jobs_missing_stream(spark, sf_dir):
+    """Missing jobs against polls of which some failed and some were not made."""
+    from railyard.streaming.job_feed import POLL_SCHEMA, append_sink, missing_feed, read_snapshots
+    root = _scratch(spark, "job-missing")
+
+    def start(s, r):
+        polls = s.readStream.schema(POLL_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{r}/polls")
+        return append_sink(missing_feed(polls, read_snapshots(s, f"{r}/observations"), tombstone_s=366 * 86400), f"{r}/feed", f"{r}/checkpoint")
+    _in_parts(spark, sf_dir, start, root, polls=StarAdapter(spark, sf_dir).job_polls())
+    return spark.read.parquet(f"{root}/feed").select("job_name", *_ntz("missing_at"), "event_id", "status", "monitoring")
 
 
 QUERIES.update({
     "dq_orphan_rows": q_dq_orphan_rows,
     "job_feed_stream": q_job_feed_stream,
+    "job_totals_stream": q_job_totals_stream,
+    "jobs_latest_stream": q_jobs_latest_stream,
+    "jobs_missing_stream": q_jobs_missing_stream,
+})
+
+
+# ---------------------------------------------------------------------------
+# windows that overlap, arriving batches, stored layouts
+# ---------------------------------------------------------------------------
+def q_report_custom_windows(spark, sf_dir):
+    """Ten-day windows that begin every week in which tickets were issued, so that each overlaps the next."""
+    t = _tables(spark, sf_dir)
+    week = F.to_date(F.date_trunc("week", "issued_at"))
+    windows = t["tickets"].select(week.alias("start")).distinct().select(
+        F.date_format("start", "yyyy-MM-dd").alias("window_id"), "start", F.date_add("start", 9).alias("end"))
+    return R.report_windows(t, windows, ["ticket_ref", "issued_at", "ticket_price", "booking_ref", "paid_amount", "departure_station_code"])
+
+
+def _arriving_tickets(t):
+    """The window's tickets as a batch: some repeat a reference or an id, some refer to a trip or booking that is not there."""
+    ref = F.when(F.col("id") % 40 == 1, padded_ref("TKT-", F.col("id") - 1)).otherwise(F.col("ticket_ref"))
+    new = _window_tickets(t).select("id", ref.alias("ticket_ref"), F.when(F.col("id") % 30 == 1, F.col("trip_id") + 1_000_000_000_000).otherwise(
+        F.col("trip_id")).alias("trip_id"), F.when(F.col("id") % 50 == 1, -F.col("id")).otherwise(F.col("booking_id")).alias("booking_id"))
+    old = t["tickets"].filter(~F.to_date("issued_at").between(F.lit(REPORT_WINDOW.start), F.lit(REPORT_WINDOW.end)))
+    again = new.filter(F.col("id") % 70 == 1).withColumn("ticket_ref", F.concat("ticket_ref", F.lit("-B")))
+    return old, new.unionByName(again)
+
+
+def q_dq_arrivals_unique(spark, sf_dir):
+    from railyard.operators.arrivals import arriving_duplicates
+    return arriving_duplicates(*_arriving_tickets(_tables(spark, sf_dir)), "tickets")
+
+
+def q_dq_arrivals_orphans(spark, sf_dir):
+    from railyard.operators.arrivals import arriving_orphans
+    t = _tables(spark, sf_dir)
+    _, new = _arriving_tickets(t)
+    fks = [fk for fk in schemas.FOREIGN_KEYS if fk.child == "tickets" and fk.column in ("trip_id", "booking_id")]
+    return DQ._union([arriving_orphans(t[fk.parent], new, fk) for fk in fks])
+
+
+def q_ticket_report_bucketed(spark, sf_dir):
+    """The report over tables in buckets of the booking: its largest joins need no exchange."""
+    from railyard.sources.bucketed import BucketedDomain
+    t = _tables(spark, sf_dir)
+    buckets = max(8, spark.sparkContext.defaultParallelism)
+    return R.ticket_report(BucketedDomain(t, f"{t.root}-buckets-{buckets}", buckets), None, ordered=False)
+
+
+def q_upsert_ranges(spark, sf_dir):
+    """``upsert_latest`` on a table in key ranges, of which it rewrites those of the changed bookings."""
+    from railyard.sources.ranged import RangedTable
+    t = _tables(spark, sf_dir)
+    b = t["bookings"]
+    ps = R.payment_summary(t["payments"])
+    upd = (b.join(ps, b.id == ps.booking_id).filter((F.col("status") == "pending") & (F.col("latest_payment_status") == "completed"))
+            .select(*[F.lit("confirmed").alias(c) if c == "status" else F.col(c) for c in b.columns]))
+    stored = RangedTable(spark, _scratch(spark, "bookings-ranges"), b.schema, "id")
+    stored.create(b)
+    WR.upsert_into(stored, upd)
+    return stored.read().select("id", "booking_ref", "status", "total_amount")
+
+
+def q_link_ranges(spark, sf_dir):
+    from railyard.sources.ranged import RangedTable
+    t = _tables(spark, sf_dir)
+    r = t["seat_reservations"]
+    stored = RangedTable(spark, _scratch(spark, "reservations-ranges"), r.schema, "id")
+    stored.create(r)
+    WR.link_reservations_into(stored, t["tickets"])
+    return stored.read().select("id", "ticket_id")
+
+
+QUERIES.update({
+    "report_custom_windows": q_report_custom_windows,
+    "dq_arrivals_unique": q_dq_arrivals_unique,
+    "dq_arrivals_orphans": q_dq_arrivals_orphans,
+    "ticket_report_bucketed": q_ticket_report_bucketed,
+    "upsert_ranges": q_upsert_ranges,
+    "link_ranges": q_link_ranges,
+})
+
+
+# ---------------------------------------------------------------------------
+# payloads of unknown shape, small functions
+# ---------------------------------------------------------------------------
+def _payloads(spark, sf_dir):
+    """Event properties as several writers would send them: numbers and texts under one key, nested values, other
+    kinds than objects, and text that was cut off."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    turn = F.col("event_id") % 5
+    return e.select("event_id", F.when(turn == 0, F.col("props"))
+                    .when(turn == 1, F.format_string('{"k": "%s", "weight": %d.5}', "event_type", "user_id"))
+                    .when(turn == 2, F.format_string('{"k": %d, "by": {"user": %d}, "tags": ["%s"]}', "event_id", "user_id", "event_type"))
+                    .when(turn == 3, F.expr("substring(props, 1, length(props) - 1)"))
+                    .otherwise(F.format_string("[%d, null]", "user_id")).alias("payload"))
+
+
+def q_payload_keys(spark, sf_dir):
+    from railyard.sources.payloads import key_profile
+    return key_profile(_payloads(spark, sf_dir), "payload")
+
+
+def q_payload_typed(spark, sf_dir):
+    from railyard.sources.payloads import typed
+    p = typed(_payloads(spark, sf_dir), "payload")
+    return p.select("event_id", "malformed", F.col("payload.k").cast("string").alias("k"), F.col("payload.weight").cast("double").alias("weight"),
+                    F.col("payload.by.user").alias("by_user"), F.get("payload.tags", F.lit(0)).alias("first_tag"))
+
+
+def q_ticket_report_api_default(spark, sf_dir):
+    """One date only: the API drops it and reports the month to date."""
+    return R.ticket_report(_tables(spark, sf_dir), resolve_window("1998-03-05", None, AS_OF, mode="both_or_current"))
+
+
+def q_report_row_count(spark, sf_dir):
+    """Rows that the export counted while writing, and rows in the files."""
+    from railyard.sources.export import export_report
+    path, rows = export_report(R.ticket_report(_tables(spark, sf_dir), REPORT_WINDOW, ordered=False), _scratch(spark, "counted"),
+                               REPORT_WINDOW.start, REPORT_WINDOW.end, "00001")
+    return spark.read.parquet(path).agg(F.count("*").alias("in_files")).select(F.lit(rows).cast("long").alias("counted"), "in_files")
+
+
+def q_short_refs(spark, sf_dir):
+    from railyard.functions.refs import short_ref
+    return _tables(spark, sf_dir)["bookings"].select("id", short_ref(F.col("id")).alias("ref"))
+
+
+def q_job_null_counters(spark, sf_dir):
+    """Status blocks that lack counters, down to none at all."""
+    gap = lambda c, n: F.when(F.col("event_id") % n != 0, F.col(c)).alias(c)
+    obs = _obs(spark, sf_dir).select("job_name", "event_id", gap("active", 2), gap("succeeded", 3), gap("failed", 4))
+    return JB.classify(obs).select("job_name", "event_id", "active", "succeeded", "failed", "status")
+
+
+def q_job_period_labels(spark, sf_dir):
+    """Report periods from job labels, some of which are missing."""
+    month = F.trunc("ts", "MM")
+    day = lambda d: F.date_format(d, "yyyy-MM-dd")
+    labels = (F.when(F.col("event_id") % 4 == 0, F.lit(None)).when(F.col("event_id") % 4 == 1, F.create_map(F.lit("start-date"), day(month)))
+               .otherwise(F.create_map(F.lit("start-date"), day(month), F.lit("end-date"), day(F.last_day("ts")))))
+    return JB.with_period_labels(_obs(spark, sf_dir).withColumn("labels", labels)).select("event_id", "start_date", "end_date")
+
+
+def q_checked_doc_types(spark, sf_dir):
+    from railyard.functions.enums import checked_enum
+    return _tables(spark, sf_dir)["passengers"].select("id", checked_enum("doc_type", "doc_type").alias("doc_type"))
+
+
+def q_report_listing(spark, sf_dir):
+    """The report files of each namespace as one listing with indents and blank lines, split into names."""
+    from railyard.sources.catalog import listing_lines, report_file_name
+    pods = _tables(spark, sf_dir)["pod_records"]
+    day = F.to_date("created_at")
+    name = report_file_name(day, day, F.lit(1), F.lit("xlsx"))
+    listing = pods.groupBy("status").agg(F.concat_ws("\n\n", F.sort_array(F.collect_set(F.concat(F.lit("  "), name, F.lit(" \t"))))).alias("text"))
+    return listing_lines(listing)
+
+
+QUERIES.update({
+    "payload_keys": q_payload_keys,
+    "payload_typed": q_payload_typed,
+    "ticket_report_api_default": q_ticket_report_api_default,
+    "report_row_count": q_report_row_count,
+    "short_refs": q_short_refs,
+    "job_null_counters": q_job_null_counters,
+    "job_period_labels": q_job_period_labels,
+    "checked_doc_types": q_checked_doc_types,
+    "report_listing": q_report_listing,
 })

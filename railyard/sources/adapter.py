@@ -321,3 +321,19 @@ class StarAdapter(DomainTables):
             F.when(et == "purchase", ts).alias("completion_ts"),
             F.create_map(F.lit("app"), F.lit("ticketing-report")).alias("labels"),
         )
+
+    def job_polls(self) -> DataFrame:
+        """Hourly polls of each job from its first to two hours after its last observation.
+
+        A poll that found the job was answered.  Of the hours without an observation one in three failed and
+        one in five was not polled, by rule.
+        """
+        obs = self.job_observations()
+        hour = F.date_trunc("hour", "ts")
+        seen = obs.groupBy("job_name").agg(F.min(hour).alias("first"), F.max(hour).alias("last"))
+        hours = seen.select("job_name", F.explode(F.expr("sequence(first, last + INTERVAL 2 HOURS, INTERVAL 1 HOUR)")).alias("period"))
+        found = obs.select("job_name", hour.alias("period"), F.lit(True).alias("found")).distinct()
+        turn = F.unix_timestamp("period") / 3600 + F.length("job_name")
+        polls = hours.join(found, ["job_name", "period"], "left")
+        return (polls.filter(F.col("found").isNotNull() | (turn % 5 != 0))
+                     .select("job_name", "period", (F.col("found").isNotNull() | (turn % 3 != 0)).alias("answered")))

@@ -56,6 +56,13 @@ def export_report(report: DataFrame, root: str, start: dt.date, end: dt.date, st
     return path, int(obs.get["rows"])
 
 
-def append_records(records: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append rows to a record log (``save``/``saveAll`` of new rows)."""
-    records.write.mode("append").format(fmt).save(path)
+def append_records(records: DataFrame, path: str, fmt: str = "parquet", batch: str | None = None) -> None:
+    """Append rows to a record log (``save``/``saveAll`` of new rows).
+
+    Rows appended under a ``batch`` name replace what an earlier attempt at the
+    same batch wrote, so a job that runs again does not write them twice.
+    """
+    if batch is None:
+        records.write.mode("append").format(fmt).save(path)
+    else:
+        records.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch}")

@@ -1,35 +1,42 @@
 """Job-status change feed on Structured Streaming.
 
-Snapshot files of job observations arrive in a folder (the reference polls
-every 2 s; here each file is one or more polls).  The stream
-
-  1. classifies each observation (built-in expressions, stateless);
-  2. keeps per-job state with ``applyInPandasWithState`` — the last reported
-     fields and the monitoring flag — and emits a record only when one of
-     status/active/succeeded/failed/completion_ts changes, plus one
-     ``monitoring = false`` record when a job first reaches a terminal state;
-  3. forgets a job 30 s (event time) after that terminal record, leaving a
-     tombstone so later observations of the same name do not revive it.
-
-State is a handful of scalars per job, so its size is bounded by the number
-of jobs, not by their history; rows of one job arrive in Arrow batches, so
-even a very busy job is never materialised whole.  The sink side keeps a
-latest-state table (``LatestStateWriter``) with idempotent per-batch writes,
-so a restarted query (from its checkpoint) reproduces the same files.
+Snapshot files of job observations arrive in a folder (the monitor polls every
+2 s; here each file is one or more polls).  All feeds are chains of stateful
+operators in append mode, so that no job's history meets in one task:
+
+* a watermarked aggregation per (job, time slice), built-in, reduces a slice to
+  what the job's state can depend on — its change points, or its last status.  A
+  busy job spreads over as many tasks as it has open slices;
+* ``transformWithState`` per job stitches the slices in time order.  Its state is
+  one row per job on the RocksDB store, expired by event-time timers.
+
+Outputs:
+
+* ``change_feed``: a record whenever status/active/succeeded/failed/completion
+  changes, one more with ``monitoring = false`` at a terminal state, and nothing
+  after the retention;
+* ``status_changes`` and ``TotalsSink``: -1 for a job's old status and +1 for its
+  new one, and their running sums;
+* ``missing_feed``: jobs that a poll which was answered no longer has;
+* ``latest_states``: an update-mode aggregation, upserted by key range.
+
+A slice is closed when the watermark passes its end.  An observation without a
+job name is a heartbeat: it moves the watermark and is in no feed.  Rows that
+arrive later than ``watermark`` are dropped by Spark.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+import datetime as dt
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
-from railyard.operators.jobs import RETENTION_SECONDS, TERMINAL, classify
+from railyard.operators.jobs import DIFF_FIELDS, RETENTION_SECONDS, TERMINAL, classify
+from railyard.sources.ranged import RangedTable
+from railyard.sources.stored import _fs
 
 OBSERVATION_SCHEMA = T.StructType([
     T.StructField("job_name", T.StringType()),
@@ -45,6 +52,54 @@ OBSERVATION_SCHEMA = T.StructType([
     T.StructField("labels", T.MapType(T.StringType(), T.StringType())),
 ])
 
+# one poll of one job: was it answered?
+POLL_SCHEMA = T.StructType([
+    T.StructField("job_name", T.StringType()),
+    T.StructField("period", T.TimestampType()),
+    T.StructField("answered", T.BooleanType()),
+])
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+SLICE = "1 minute"
+# event time for which a forgotten job's name stays ignored
+TOMBSTONE_SECONDS = 24 * 3600
+
+
+def streaming_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session of the same application with the state store that these feeds need; the caller's stays as it is.
+
+    ``partitions`` fixes the number of state partitions, which a checkpoint keeps for good.
+    """
+    s = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold"):
+        s.conf.set(name, spark.conf.get(name))
+    s.conf.set("spark.sql.session.timeZone", "UTC")
+    s.conf.set(STATE_STORE, ROCKSDB)
+    if partitions:
+        s.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return s
+
+
+def read_snapshots(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """File-source stream of observation snapshots (Parquet), with a fixed schema."""
+    r = spark.readStream.schema(OBSERVATION_SCHEMA).option("recursiveFileLookup", "true")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(folder)
+
+
+def _watched(observations: DataFrame, watermark: str) -> DataFrame:
+    """Classified observations under a watermark, heartbeats dropped after they have moved it."""
+    c = classify(observations.withWatermark("ts", watermark))
+    # the condition names ts, so that the optimizer cannot push it below the watermark
+    return c.filter(F.when(F.col("ts").isNotNull(), F.col("job_name").isNotNull()))
+
+
+# ---------------------------------------------------------------------------
+# change feed
+# ---------------------------------------------------------------------------
 FEED_SCHEMA = T.StructType([
     T.StructField("job_name", T.StringType()),
     T.StructField("event_id", T.LongType()),
@@ -57,175 +112,308 @@ FEED_SCHEMA = T.StructType([
     T.StructField("monitoring", T.BooleanType()),
 ])
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("status", T.StringType()),
-    T.StructField("active", T.IntegerType()),
-    T.StructField("succeeded", T.IntegerType()),
-    T.StructField("failed", T.IntegerType()),
-    T.StructField("completion_us", T.LongType()),
-    T.StructField("monitoring", T.BooleanType()),
-    T.StructField("remove_at_us", T.LongType()),
-    T.StructField("forgotten", T.BooleanType()),
-])
 
-_FIELDS = ["status", "active", "succeeded", "failed", "completion_us"]
+def change_points(observations: DataFrame, slice: str = SLICE, watermark: str = "1 minute") -> DataFrame:
+    """Per (job, closed slice) the observations that a monitor's state can depend on.
 
+    That is a slice's first two rows (they are compared with the slice before),
+    every row that differs from the one before it, and the row after such a one
+    (an unchanged terminal state ends the monitoring that a change began).  Any
+    other row repeats a state that was already repeated.
+    """
+    c = _watched(observations, watermark)
+    state = F.struct("status", "active", "succeeded", "failed", F.unix_micros("completion_ts").alias("completion_us"))
+    rows = F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("ts_us"), "event_id", state.alias("state"))))
+    sliced = c.groupBy("job_name", F.window("ts", slice)).agg(rows.alias("rows"))
+
+    def changed(i: Column) -> Column:
+        return ~F.get("rows", i)["state"].eqNullSafe(F.get("rows", i - 1)["state"])
 
-def _none(v):
-    return None if v is None or (isinstance(v, float) and v != v) or v is pd.NA else v
+    kept = F.filter("rows", lambda _, i: (i < 2) | changed(i) | changed(i - 1))
+    points = sliced.select("job_name", F.window_time("window").alias("at"), F.explode(kept).alias("p"))
+    return points.select("job_name", "at", "p.ts_us", "p.event_id", "p.state.*")
 
 
-def _norm(v):
-    v = _none(v)
-    return int(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+_Record = Row(*FEED_SCHEMA.names)
 
 
-def _watermark_ms(state: GroupState) -> int:
-    try:
-        return int(state.getCurrentWatermarkMs())
-    except Exception:  # no watermark yet (first batch)
-        return -1
+class _Monitor(StatefulProcessor):
+    """What is reported of one job; see ``change_feed``."""
 
+    STATE = "status string, active int, succeeded int, failed int, completion_us long, monitoring boolean, remove_at_us long"
 
-def _in_time_order(pdfs: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:
-    """All rows of a job's trigger as one frame in (ts, event_id) order."""
-    parts = list(pdfs)
-    return [pd.concat(parts).sort_values(["ts_us", "event_id"], kind="stable")] if parts else []
+    def __init__(self, retention_s: int, tombstone_s: int):
+        self.retention_us, self.tombstone_us = retention_s * 1_000_000, tombstone_s * 1_000_000
 
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", self.STATE)
+        self.gone = handle.getValueState("gone", "until_us long")
 
-def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
-          retention_us: int, forget_us: int | None = None) -> Iterator[pd.DataFrame]:
-    """Per-job state machine over this micro-batch's observations, in (ts, event_id) order."""
-    job = key[0]
-    if state.hasTimedOut:
-        # retention over: keep only a tombstone, and that for a while
-        st = state.get
-        if st[7]:
-            state.remove()
+    def handleInputRows(self, key, rows, timerValues):
+        points = sorted(rows, key=lambda r: (r.ts_us, r.event_id))
+        if self.gone.exists():
             return
-        state.update((st[0], st[1], st[2], st[3], st[4], False, st[6], True))
-        if forget_us is not None:
-            state.setTimeoutTimestamp(max((st[6] + forget_us) // 1000, _watermark_ms(state)) + 1)
-        return
-    if state.exists:
-        st = list(state.get)
-        registered = True
-    else:
-        st = [None, None, None, None, None, True, None, False]
-        registered = False
-    out = []
-    # a large group comes in several Arrow batches in no time order: sort all of it
-    for pdf in _in_time_order(pdfs):
-        for r in pdf.itertuples(index=False):
-            if st[7]:
-                break
-            if st[6] is not None and r.ts_us > st[6]:
-                st[7] = True  # removed from monitoring; ignore the rest
+        st = self.job.get() if self.job.exists() else None
+        fields, monitoring, remove_at = (tuple(st[:5]), st[5], st[6]) if st else (None, True, None)
+        for r in points:
+            if remove_at is not None and r.ts_us > remove_at:
                 break
-            new = [_none(r.status), _norm(r.active), _norm(r.succeeded), _norm(r.failed),
-                   _norm(r.completion_us)]
-            changed = (not registered) or any(new[i] != st[i] for i in range(5))
-            was_monitoring = st[5]
+            new = (r.status, r.active, r.succeeded, r.failed, r.completion_us)
+            changed, was_monitoring = new != fields, monitoring
             if changed:
-                st[:5] = new
-                out.append((job, int(r.event_id), int(r.ts_us), *new, True))
-                registered = True
+                fields = new
+                yield _Record(key[0], r.event_id, r.ts_us, *new, True)
             if new[0] in TERMINAL and was_monitoring:
-                st[5] = False
-                out.append((job, int(r.event_id), int(r.ts_us), *st[:5], False))
-                if st[6] is None:
-                    st[6] = int(r.ts_us) + retention_us
+                monitoring = False
+                yield _Record(key[0], r.event_id, r.ts_us, *new, False)
+                if remove_at is None:
+                    remove_at = r.ts_us + self.retention_us
+                    self.handle.registerTimer(remove_at // 1000 + 1)
             elif changed:
-                st[5] = True
-    timeout = st[6] // 1000 + 1 if st[6] is not None and not st[7] else None
-    if timeout is not None and timeout < _watermark_ms(state):
-        st[7] = True      # late data: the retention already ran out, keep only the tombstone
-        timeout = None
-    if st[7] and forget_us is not None:
-        timeout = max((st[6] + forget_us) // 1000, _watermark_ms(state)) + 1
-    state.update(tuple(st))
-    if timeout is not None:
-        state.setTimeoutTimestamp(timeout)
-    if out:
-        yield pd.DataFrame(out, columns=[f.name for f in FEED_SCHEMA.fields])
-
-
-def change_feed(observations: DataFrame, retention_s: int = RETENTION_SECONDS,
-                watermark: str = "1 minute", forget_s: int | None = None) -> DataFrame:
+                monitoring = True
+        self.job.update((*fields, monitoring, remove_at))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.job.exists():
+            # the retention is over: only the name stays, so that what comes later does not start it anew
+            until = self.job.get()[6] + self.tombstone_us
+            self.job.clear()
+            self.gone.update((until,))
+            self.handle.registerTimer(until // 1000 + 1)
+        else:
+            self.gone.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def change_feed(observations: DataFrame, retention_s: int = RETENTION_SECONDS, watermark: str = "1 minute",
+                slice: str = SLICE, tombstone_s: int = TOMBSTONE_SECONDS) -> DataFrame:
     """Streaming DataFrame of emitted job records; see module doc.
 
-    Rows older than ``watermark`` when they arrive are dropped by Spark before
-    the state sees them: set it to the longest delay of a snapshot.  A finished
-    job leaves a tombstone; ``forget_s`` seconds after its retention the
-    tombstone goes too, which bounds the state by the jobs of that time, and a
-    job of the same name starts anew.
+    State is one row per job that is monitored and one per job that ended less
+    than ``tombstone_s`` seconds of event time ago; a job of the same name that
+    shows up after that starts anew.  ``observations`` must come from a session
+    with the RocksDB state store (``streaming_session``).
     """
-    retention_us = retention_s * 1_000_000
-    forget_us = None if forget_s is None else forget_s * 1_000_000
-    c = (classify(observations.withWatermark("ts", watermark))
-         .select("job_name", "event_id", "ts", F.unix_micros("ts").alias("ts_us"), "status",
-                 "active", "succeeded", "failed", F.unix_micros("completion_ts").alias("completion_us")))
-
-    def fn(key, pdfs, state):
-        return _step(key, pdfs, state, retention_us, forget_us)
-
-    fed = c.groupBy("job_name").applyInPandasWithState(
-        fn, FEED_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    points = change_points(observations, slice, watermark)
+    fed = points.groupBy("job_name").transformWithState(
+        _Monitor(retention_s, tombstone_s), FEED_SCHEMA, "append", "eventtime")
     return fed.select("job_name", "event_id", F.timestamp_micros("ts_us").alias("ts"), "status", "active",
                       "succeeded", "failed", F.timestamp_micros("completion_us").alias("completion_ts"),
                       "monitoring")
 
 
-def read_snapshots(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """File-source stream of observation snapshots (Parquet), with a fixed schema."""
-    r = spark.readStream.schema(OBSERVATION_SCHEMA)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(folder)
+# ---------------------------------------------------------------------------
+# running totals
+# ---------------------------------------------------------------------------
+_Change = Row("status", "change")
 
 
-class LatestStateWriter:
-    """``foreachBatch`` sink keeping the latest record per job.
+class _Retract(StatefulProcessor):
+    """A job's status moves from the old one to the new one."""
+
+    def init(self, handle) -> None:
+        self.known = handle.getValueState("known", "status string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = max(rows, key=lambda r: r.ts_us).status
+        if self.known.exists():
+            old = self.known.get()[0]
+            if old == last:
+                return
+            yield _Change(old, -1)
+        self.known.update((last,))
+        yield _Change(last, 1)
+
+    def close(self) -> None:
+        pass
 
-    A micro-batch writes the last record of the jobs in it to
-    ``batch=<id>`` (overwrite, so a replayed batch rewrites the same folder).
-    Every ``merge_every``-th batch writes the last record of all jobs to
-    ``full=<id>`` instead.  The table is the latest full folder and the batches
-    after it; older folders are no longer read.
+
+def status_changes(observations: DataFrame, slice: str = SLICE, watermark: str = "1 minute") -> DataFrame:
+    """``status, change``: -1 for the status a job leaves, +1 for the one it enters.
+
+    The sum over any run of triggers is the number of jobs in each status.
     """
+    c = _watched(observations, watermark)
+    last = F.max_by(F.struct(F.unix_micros("ts").alias("ts_us"), "status"), F.struct("ts", "event_id"))
+    sliced = c.groupBy("job_name", F.window("ts", slice)).agg(last.alias("s"))
+    sliced = sliced.select("job_name", F.window_time("window").alias("at"), "s.ts_us", "s.status")
+    return sliced.groupBy("job_name").transformWithState(
+        _Retract(), T.StructType.fromDDL("status string, change long"), "append", "eventtime")
 
-    def __init__(self, root: str, merge_every: int = 100):
-        self.root, self.merge_every = root, merge_every
-
-    def _parts(self, spark: SparkSession, before: int | None = None) -> list[str]:
-        jvm = spark.sparkContext._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/*=*/_SUCCESS")
-        fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found = []
-        for s in fs.globStatus(pattern) or []:
-            kind, _, number = s.getPath().getParent().getName().partition("=")
-            if before is None or int(number) < before:
-                found.append((int(number), kind, s.getPath().getParent().toString()))
-        full = max((n for n, kind, _ in found if kind == "full"), default=-1)
-        return [path for n, kind, path in found if n > full or (n == full and kind == "full")]
-
-    @staticmethod
-    def _last(records: DataFrame) -> DataFrame:
-        cols = [c for c in records.columns if c != "job_name"]
-        rank = F.struct("ts", "event_id", F.col("monitoring") == F.lit(False))
-        return records.groupBy("job_name").agg(F.max_by(F.struct(*cols), rank).alias("s")).select("job_name", "s.*")
 
-    def current(self, spark: SparkSession) -> DataFrame | None:
-        parts = self._parts(spark)
-        return self._last(spark.read.parquet(*parts)) if parts else None
+class TotalsSink:
+    """``foreachBatch`` sink: jobs per status after every trigger.
+
+    Two slots take turns: a trigger adds its changes to the slot of the trigger
+    before and overwrites the other one, so a replayed trigger counts once and a
+    few rows are all that is ever stored.
+    """
+
+    SCHEMA = "status string, n long, batch long"
+
+    def __init__(self, root: str):
+        self.slots = [f"{root}/slot-{i}" for i in range(2)]
+
+    def _slot(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        held = {}
+        for path in self.slots:
+            p, fs = _fs(spark, f"{path}/_SUCCESS")
+            if fs.exists(p):
+                rows = spark.read.schema(self.SCHEMA).parquet(path)
+                batch = rows.agg(F.max("batch")).first()[0]
+                if batch is not None and (before is None or batch < before):
+                    held[batch] = rows
+        return held[max(held)] if held else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        kind, records = "batch", batch
-        if (batch_id + 1) % self.merge_every == 0:
-            kind, parts = "full", self._parts(batch.sparkSession, batch_id)
-            if parts:
-                records = batch.sparkSession.read.parquet(*parts).unionByName(batch)
-        self._last(records).write.mode("overwrite").parquet(os.path.join(self.root, f"{kind}={batch_id:012d}"))
+        spark = batch.sparkSession
+        sums = batch.groupBy("status").agg(F.sum("change").alias("n"))
+        known = self._slot(spark, batch_id)
+        if known is not None:
+            sums = sums.unionByName(known.select("status", "n")).groupBy("status").agg(F.sum("n").alias("n"))
+        # a row of no status keeps the batch number of a trigger without changes
+        mark = spark.createDataFrame([(None, 0)], "status string, n long")
+        out = sums.unionByName(mark).groupBy("status").agg(F.sum("n").alias("n")).withColumn("batch", F.lit(batch_id).cast("long"))
+        out.coalesce(1).write.mode("overwrite").parquet(self.slots[batch_id % 2])
+
+    def current(self, spark: SparkSession) -> DataFrame:
+        """``status, n`` after the last trigger."""
+        known = self._slot(spark)
+        if known is None:
+            return spark.createDataFrame([], "status string, n long")
+        return known.filter("n <> 0").select("status", "n")
+
+
+# ---------------------------------------------------------------------------
+# jobs that disappear
+# ---------------------------------------------------------------------------
+MISSING_SCHEMA = T.StructType([
+    T.StructField("job_name", T.StringType()),
+    T.StructField("missing_at_us", T.LongType()),
+    T.StructField("event_id", T.LongType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("monitoring", T.BooleanType()),
+])
+
+
+_Missing = Row(*MISSING_SCHEMA.names)
+
+
+class _Gap(StatefulProcessor):
+    """First answered poll of a job that had no observation, while the job is monitored."""
+
+    def __init__(self, tombstone_s: int):
+        self.tombstone_ms = tombstone_s * 1000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        # answered polls that the watermark has not passed, by period
+        self.open = handle.getMapState("open", "at_us long", "seen boolean, event_id long, status string, ended boolean")
+        self.last = handle.getValueState("last", "event_id long, status string")
+        self.over = handle.getValueState("over", "until_ms long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        over = self.over.exists()
+        for r in rows:
+            if not over:
+                self.open.updateValue((r.at_us,), (r.seen, r.event_id, r.status, r.ended))
+                self.handle.registerTimer(r.at_us // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # periods end one microsecond before a full one, timers are in milliseconds and come in time order
+        at = expiredTimerInfo.getExpiryTimeInMs() * 1000 + 999
+        if not self.open.containsKey((at,)):
+            if self.over.exists() and self.over.get()[0] == expiredTimerInfo.getExpiryTimeInMs():
+                self.over.clear()
+            return
+        seen, event_id, status, ended = self.open.getValue((at,))
+        self.open.removeKey((at,))
+        if self.over.exists():
+            return
+        if seen:
+            self.last.update((event_id, status))
+        elif self.last.exists():
+            yield _Missing(key[0], at, *self.last.get(), False)
+        if ended or (not seen and self.last.exists()):
+            # a job that has ended, or was reported, is no longer watched
+            until = at // 1000 + self.tombstone_ms
+            self.over.update((until,))
+            self.last.clear()
+            self.handle.registerTimer(until)
+
+    def close(self) -> None:
+        pass
+
+
+def missing_feed(polls: DataFrame, observations: DataFrame, period: str = "1 hour", watermark: str = "1 minute",
+                 tombstone_s: int = TOMBSTONE_SECONDS) -> DataFrame:
+    """Jobs that stop appearing, against the polls that were made (``POLL_SCHEMA``, one per job and period).
+
+    A job is reported once, with its last record and ``monitoring = false``, at
+    the first answered poll after its first observation in whose period it was
+    not observed.  A poll that failed says nothing, and neither does a period
+    in which the job was not polled.  A job that has reached a terminal status
+    is no longer monitored; its name is ignored for ``tombstone_s`` seconds more.  Polls and the observations of a period meet in a
+    watermarked outer join; the last period is settled when the watermark of
+    both sides has passed it.
+    """
+    end = F.window("period", period)
+    polls = polls.withWatermark("period", watermark).filter(F.when(F.col("period").isNotNull(), F.col("job_name").isNotNull() & F.col("answered")))
+    polls = polls.groupBy("job_name", end).agg(F.count("*").alias("n_polls")).select("job_name", F.window_time("window").alias("at"))
+    c = _watched(observations, watermark)
+    last = F.max_by(F.struct("event_id", "status"), F.struct("ts", "event_id"))
+    seen = c.groupBy("job_name", F.window("ts", period)).agg(last.alias("s"), F.bool_or(F.col("status").isin(*TERMINAL)).alias("ended"))
+    seen = seen.select(F.col("job_name").alias("o_job"), F.window_time("window").alias("o_at"), "s.event_id", "s.status", "ended")
+    met = polls.join(seen, (F.col("job_name") == F.col("o_job")) & (F.col("at") == F.col("o_at")), "leftOuter")
+    met = met.select("job_name", "at", F.unix_micros("at").alias("at_us"), F.col("o_job").isNotNull().alias("seen"), "event_id", "status",
+                     F.coalesce("ended", F.lit(False)).alias("ended"))
+    out = met.groupBy("job_name").transformWithState(_Gap(tombstone_s), MISSING_SCHEMA, "append", "eventtime")
+    start = F.window(F.timestamp_micros("missing_at_us"), period)["start"]
+    return out.select("job_name", start.alias("missing_at"), "event_id", "status", "monitoring")
+
+
+# ---------------------------------------------------------------------------
+# latest states and sinks
+# ---------------------------------------------------------------------------
+def latest_states(observations: DataFrame) -> DataFrame:
+    """Latest classified state of every job, for ``update`` mode: a trigger emits the jobs it changed.
+
+    ``max_by`` keeps one row per job and is aggregated before the shuffle, so a
+    busy job costs one row per task; rows may come in any order and late.
+    """
+    c = classify(observations).filter(F.col("job_name").isNotNull())
+    rest = [x for x in c.columns if x not in ("job_name", "labels")]
+    return c.groupBy("job_name").agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("s")).select("job_name", "s.*")
+
+
+class LatestStateWriter:
+    """``foreachBatch`` sink keeping the last row per job in a table of key ranges.
+
+    A trigger rewrites the ranges of the jobs it changed and nothing else; of a
+    job's rows the one with the greatest ``(ts, event_id)`` stays, at a tie the
+    one that ends the monitoring.
+    """
+
+    def __init__(self, root: str, ranges: int = 64):
+        self.root, self.ranges = root, ranges
+
+    def _table(self, spark: SparkSession, schema: T.StructType) -> RangedTable:
+        return RangedTable(spark, self.root, schema, "job_name", self.ranges)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> list[int]:
+        order = [F.col("ts"), F.col("event_id")]
+        if "monitoring" in batch.columns:
+            order.append(~F.col("monitoring"))
+        return self._table(batch.sparkSession, batch.schema).upsert(batch, F.struct(*order), batch_id)
+
+    def current(self, spark: SparkSession) -> DataFrame | None:
+        path, fs = _fs(spark, f"{self.root}/rows")
+        return spark.read.parquet(f"{self.root}/rows").drop("_range") if fs.exists(path) else None
 
 
 def append_sink(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
@@ -242,12 +430,12 @@ class FeedSink:
 
     def __init__(self, root: str):
         self.root = root
-        self.latest = LatestStateWriter(os.path.join(root, "latest"))
+        self.latest = LatestStateWriter(f"{root}/latest")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()     # both writes read it; the stateful step runs once
         try:
-            batch.write.mode("overwrite").parquet(os.path.join(self.root, "records", f"batch={batch_id:012d}"))
+            batch.write.mode("overwrite").parquet(f"{self.root}/records/batch={batch_id:012d}")
             self.latest(batch, batch_id)
         finally:
             batch.unpersist()
@@ -261,79 +449,13 @@ def start_change_feed(spark: SparkSession, snapshots: str, out_root: str, checkp
     Polls every ``poll_seconds`` (the monitor's period), or processes what is
     there and stops with ``available_now``.  Restartable from ``checkpoint``.
     """
-    feed = change_feed(read_snapshots(spark, snapshots, max_files_per_trigger))
+    feed = change_feed(read_snapshots(streaming_session(spark), snapshots, max_files_per_trigger))
     w = feed.writeStream.foreachBatch(FeedSink(out_root)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{poll_seconds} seconds")
     return w.start()
 
 
-MISSING_SCHEMA = T.StructType([
-    T.StructField("job_name", T.StringType()),
-    T.StructField("missing_at_us", T.LongType()),
-    T.StructField("event_id", T.LongType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("monitoring", T.BooleanType()),
-])
-
-MISSING_STATE = T.StructType([
-    T.StructField("snap_us", T.LongType()),      # start of the period holding the last observation
-    T.StructField("event_id", T.LongType()),     # last observation of that period
-    T.StructField("ts_us", T.LongType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("reported", T.BooleanType()),  # its gap was already reported
-])
-
-
-def _missing_step(key, pdfs, state: GroupState, period_us: int):
-    job = key[0]
-    out = []
-    if state.hasTimedOut:
-        snap, eid, ts, status, reported = state.get
-        if not reported:
-            out.append((job, snap + period_us, eid, status, False))
-        state.update((snap, eid, ts, status, True))
-    else:
-        st = list(state.get) if state.exists else None
-        for pdf in _in_time_order(pdfs):
-            for r in pdf.itertuples(index=False):
-                snap = int(r.ts_us) - int(r.ts_us) % period_us
-                if st is not None and snap < st[0]:
-                    continue  # older than the job's current period: already accounted for
-                if st is not None and snap > st[0] + period_us and not st[4]:
-                    out.append((job, st[0] + period_us, st[1], st[3], False))
-                    st[4] = True
-                if st is None or snap > st[0] or (int(r.ts_us), int(r.event_id)) > (st[2], st[1]):
-                    # once reported, or finished, a job is no longer watched
-                    over = (st is not None and st[4]) or r.status in TERMINAL
-                    st = [snap, int(r.event_id), int(r.ts_us), _none(r.status), over]
-        if st is not None:
-            # absent from the next period once the watermark passes its end
-            timeout = (st[0] + 2 * period_us) // 1000
-            if timeout < _watermark_ms(state):   # late data: that moment has already passed
-                if not st[4]:
-                    out.append((job, st[0] + period_us, st[1], st[3], False))
-                    st[4] = True
-                timeout = None
-            state.update(tuple(st))
-            if timeout is not None:
-                state.setTimeoutTimestamp(timeout)
-    if out:
-        yield pd.DataFrame(out, columns=[f.name for f in MISSING_SCHEMA.fields])
-
-
-def missing_feed(observations: DataFrame, period_s: int = 3600, watermark: str = "1 minute") -> DataFrame:
-    """Jobs that stop appearing: a job seen in one snapshot period and absent
-    from the next is reported once, at the start of that next period, with
-    its last record and ``monitoring = false`` (the not-found case).  The
-    streaming form of ``railyard.operators.jobs.missing_jobs``."""
-    period_us = period_s * 1_000_000
-    c = (classify(observations.withWatermark("ts", watermark))
-         .select("job_name", "event_id", "ts", F.unix_micros("ts").alias("ts_us"), "status"))
-
-    def fn(key, pdfs, state):
-        return _missing_step(key, pdfs, state, period_us)
-
-    out = c.groupBy("job_name").applyInPandasWithState(
-        fn, MISSING_SCHEMA, MISSING_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select("job_name", F.timestamp_micros("missing_at_us").alias("missing_at"), "event_id",
-                      "status", "monitoring")
+def heartbeat(spark: SparkSession, at: dt.datetime) -> DataFrame:
+    """One observation without a job, which closes the slices before ``at`` less the watermark."""
+    row = {f.name: None for f in OBSERVATION_SCHEMA.fields} | {"ts": at}
+    return spark.createDataFrame([tuple(row.values())], OBSERVATION_SCHEMA)
