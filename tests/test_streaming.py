@@ -132,10 +132,14 @@ def test_one_busy_job_spreads_over_tasks(spark, stream, tmp_path):
     _run(stream, src, str(tmp_path / "ck"), out, one_file=False, slice="10 minutes")
     got = spark.read.parquet(out)
     assert got.count() == 300 and _key(got) == _key(JB.terminal_feed(obs))
-    points = change_points(obs, "10 minutes").withColumn("task", F.spark_partition_id())
-    tasks, kept = points.agg(F.count_distinct("task"), F.count("*")).first()
-    assert tasks == spark.conf.get("spark.sql.shuffle.partitions") or tasks > 1
-    assert kept < n / 20
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    try:
+        points = change_points(obs, "10 minutes").withColumn("task", F.spark_partition_id())
+        tasks, kept = points.agg(F.count_distinct("task"), F.count("*")).first()
+    finally:
+        spark.conf.set(merge, "true")
+    assert tasks >= 6 and kept < n / 20
 
 
 def _state_rows(q, operator=0):
