@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing.
 
 Rolling hashes of ``gram``-byte strings; of every ``window`` neighbouring
-hashes the smallest is kept, the rightmost of equal ones, with its place.  Two
+hashes the smallest is kept, the rightmost of equal ones, with its place; at
+the ends of a text the windows that reach over them count what is inside.  Two
 texts that share ``gram + window - 1`` bytes keep a common hash there.
 """
 
@@ -21,50 +22,67 @@ WINDOW = 16
 # bytes hashed at a time
 PIECE = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
+_NONE = np.uint64((1 << 64) - 1)
 
 
-def _kept(data: np.ndarray, gram: int, window: int, ends=None):
-    """Places and hashes kept in ``data``; with ``ends``, windows that cross the end of a text are left out."""
+def _kept(texts: list[bytes], gram: int, window: int, open_start: bool = False, open_end: bool = False):
+    """Places and hashes kept in ``texts``, as offsets into them joined, and where each text ends there.
+
+    Windows reach over the ends of a text, where only the hashes inside it count; with ``open_start`` or ``open_end``
+    (a part of a longer text) those at that end are left out.
+    """
+    # the gap between texts is so long that a window meets one text only
+    gap, lengths = max(0, window - gram), np.array([len(t) for t in texts])
+    lead, tail = (0 if open_start else window - 1), (0 if open_end else window - 1)
+    data = np.frombuffer(b"\0" * lead + (b"\0" * gap).join(texts) + b"\0" * tail, np.uint8)
+    starts = lead + np.cumsum(lengths + gap) - lengths - gap
     h = gram_hashes(data, gram)
-    best = window_minima((h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64)), window)
-    if ends is not None:
-        inside = np.ones(len(best) + gram + window, bool)
-        for e in ends:
-            inside[max(0, e - gram - window + 2):e] = False
-        best = best[inside[:len(best)]]
+    steps = np.zeros(len(h) + 1, np.int8)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, starts + np.maximum(lengths - gram + 1, 0), -1)
+    inside = np.cumsum(steps[:-1]) > 0
+    keys = np.where(inside, (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64)), _NONE)
+    best = window_minima(keys, window)
+    best = best[best != _NONE]
     if len(best):
         best = best[np.concatenate([[True], best[1:] != best[:-1]])]
     at = (_LOW - (best & _LOW)).astype(np.int64)
-    return at, (h[at] >> np.uint64(32)).astype(np.uint32)
+    cut = np.searchsorted(at, starts)
+    own = np.repeat(np.arange(len(texts)), np.diff(np.append(cut, len(at))))
+    return own, at - starts[own], (h[at] >> np.uint64(32)).astype(np.uint32)
 
 
 def winnowed(texts: list[bytes], gram: int = GRAM, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``(places, hashes)`` of each text.  A text shorter than two windows keeps all its hashes, one shorter
-    than a gram the hash of all of it, an empty one nothing."""
+    """``(places, hashes)`` of each text.
+
+    One rule for every length: the smallest hash, the rightmost of equal ones, of every window that meets the text;
+    at its ends windows are cut off, down to the first and the last hash alone.  A text shorter than a gram keeps the
+    hash of all of it, an empty one nothing.
+    """
     out: list = [None] * len(texts)
     least = gram + window - 1
     group, size = [], 0
 
     def flush():
-        ends = np.cumsum([len(texts[i]) for i in group])
-        at, h = _kept(np.frombuffer(b"".join(texts[i] for i in group), np.uint8), gram, window, ends)
-        cut = np.searchsorted(at, ends)
-        for i, a, b, start in zip(group, np.append(0, cut[:-1]), cut, np.append(0, ends[:-1])):
-            out[i] = at[a:b] - start, h[a:b]
+        own, at, h = _kept([texts[i] for i in group], gram, window)
+        cut = np.searchsorted(own, np.arange(len(group) + 1))
+        for k, i in enumerate(group):
+            out[i] = at[cut[k]:cut[k + 1]], h[cut[k]:cut[k + 1]]
 
     for i, t in enumerate(texts):
         if not t:
             out[i] = np.empty(0, np.int64), np.empty(0, np.uint32)
-        elif len(t) < 2 * least:
-            out[i] = _kept(np.frombuffer(t, np.uint8), min(gram, len(t)), 1)
+        elif len(t) < gram:
+            out[i] = _kept([t], len(t), window)[1:]
         elif len(t) > PIECE:
-            parts = [(_kept(np.frombuffer(t[a:a + PIECE + least - 1], np.uint8), gram, window), a) for a in range(0, len(t) - least + 1, PIECE)]
+            cuts = range(0, len(t) - least + 1, PIECE)
+            parts = [(_kept([t[a:a + PIECE + least - 1]], gram, window, a > 0, a + PIECE + least - 1 < len(t))[1:], a) for a in cuts]
             at, h = np.concatenate([p[0] + a for p, a in parts]), np.concatenate([p[1] for p, _ in parts])
             at, first = np.unique(at, return_index=True)
             out[i] = at, h[first]
         else:
             group.append(i)
-            size += len(t)
+            size += len(t) + window
             if size >= PIECE:
                 flush()
                 group, size = [], 0
@@ -134,7 +152,8 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The documents are range-partitioned by id.  Within a partition a document
     finds the next one in the row behind it; the last of each partition is
-    paired with the first of the next by a join of one row per partition.
+    paired with the first of the next by a join of one row per partition on
+    its number.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
@@ -166,7 +185,10 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
     edge = (d.withColumn("part", F.spark_partition_id()).groupBy("part")
              .agg(F.min_by("text", place).alias("first"), F.max_by(F.struct("doc_id", "text"), place).alias("end")))
-    by = Window.orderBy("part")
-    following = F.coalesce(F.lead("first").over(by), F.first("first").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    edge = edge.select("end.doc_id", "end.text", following.alias("next"))
+    # which partition follows which: their numbers alone, the texts are joined to them
+    number = edge.select("part")
+    following = F.coalesce(F.lead("part").over(Window.orderBy("part")), number.select(F.min("part")).scalar())
+    number = number.select("part", following.alias("then"))
+    firsts = edge.select(F.col("part").alias("then"), F.col("first").alias("next"))
+    edge = edge.select("part", "end.doc_id", "end.text").join(number, "part").join(firsts, "then").select("doc_id", "text", "next")
     return d.select("doc_id", "text").mapInArrow(inner, schema).unionByName(edge.mapInArrow(ends, schema))
