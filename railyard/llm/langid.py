@@ -8,8 +8,9 @@ code-switched text gets labels word by word; a document's language is the one
 with the largest mean probability over its words.
 
 Training uses a bounded sample (``per_language`` pieces of at most
-``piece_words`` words a language), from which pure and code-switched sequences
-are spliced.  Prediction reads every word of every text.
+``piece_words`` words a language, ``most_pieces`` of all), from which pure and
+code-switched sequences are spliced; its gradients are summed over parts of
+the sample, so that memory holds the weights and ``CELLS`` scores at a time.  Prediction reads every word of every text.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from railyard.llm.common import gram_hashes
 
 SIZES = (2, 3, 4)
 TABLE = 1 << 16
-# text labelled at a time
+# text labelled at a time, for up to four languages (less for more)
 PIECE = 8 << 20
+# scores (words times languages) of a part of the training sample
+CELLS = 1 << 22
 
 
 @dataclass
@@ -108,8 +111,10 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, model: Model, pairs: np.
         if t:
             b = b * local[at]
             if pairs is not None:
-                both = forward[at - 1][:, :, None] * move * b[:, None, :]
-                pairs += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                # expected neighbours, each word's adding up to one, without a matrix per word
+                before = forward[at - 1]
+                before = before / ((before @ move) * b).sum(axis=1, keepdims=True)
+                pairs += move * (before.T @ b)
             b = b @ move.T
             b /= b.sum(axis=1, keepdims=True)
     forward /= forward.sum(axis=1, keepdims=True)
@@ -140,39 +145,82 @@ def train(pieces: list[tuple[str, str]], rounds: int = 40, lexicon_count: int =
         own = by_label[s[0]] if rng.random() < 0.5 else spans
         sequences.append([s] + [own[rng.integers(len(own))] for _ in range(2)])
     sequences.sort(key=lambda q: -sum(len(w) for _, w in q))
-    distinct = {w: i for i, w in enumerate(count)}
-    flat = np.array([distinct[w] for q in sequences for _, ws in q for w in ws])
-    label = np.array([k for q in sequences for k, ws in q for _ in ws])
-    lengths = np.array([sum(len(ws) for _, ws in q) for q in sequences])
-    words = list(distinct)
-    word_at, slot_at = map(np.concatenate, zip(*features(words)))
-    known = [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
-    if known:
-        word_at = np.concatenate([word_at, [i for i, _ in known]])
-        slot_at = np.concatenate([slot_at, [s for _, s in known]])
-    k_all, starts = len(languages), np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    inner = np.ones(len(flat), bool)
-    inner[starts] = False
-    after = np.flatnonzero(inner)
+    k_all = len(languages)
+    batches = [_Batch(part, lexicon, k_all) for part in _parted(sequences, max(1, CELLS // k_all))]
+    size = sum(len(b.flat) for b in batches)
+    follow = sum(b.follow for b in batches)
     mean = [np.zeros_like(p) for p in (model.weights, model.transition, model.start)]
     spread = [np.zeros_like(p) for p in mean]
-    true = np.eye(k_all)[label]
-    follow = true[after - 1].T @ true[after]
     for step in range(1, rounds + 1):
-        score = _sums(word_at, slot_at, [np.ascontiguousarray(c) for c in model.weights.T], len(words))
-        pairs = np.zeros((k_all, k_all))
-        miss = true - posteriors(score[flat], lengths, model, pairs)
-        by_word = [np.bincount(flat, miss[:, k], len(words)) for k in range(k_all)]
-        g_w = _sums(slot_at, word_at, by_word, len(model.weights))
-        grads = [g_w / len(flat), (follow - pairs) / len(flat), miss[starts].sum(axis=0) / len(flat)]
+        # the gradient over all sequences, a bounded number of words at a time
+        grads = [np.zeros_like(p) for p in mean]
+        for b in batches:
+            b.add_gradients(model, grads)
+        grads[1] = follow - grads[1]
         for i, (param, g) in enumerate(zip((model.weights, model.transition, model.start), grads)):
-            g = g - 1e-6 * param
-            mean[i] = 0.9 * mean[i] + 0.1 * g
-            spread[i] = 0.999 * spread[i] + 0.001 * g * g
-            param += 0.1 * (mean[i] / (1 - 0.9 ** step)) / (np.sqrt(spread[i] / (1 - 0.999 ** step)) + 1e-12)
+            g /= size
+            g -= 1e-6 * param
+            mean[i] += 0.1 * (g - mean[i])
+            spread[i] += 0.001 * (g * g - spread[i])
+            np.sqrt(spread[i] / (1 - 0.999 ** step), out=g)
+            g += 1e-12
+            param += 0.1 * (mean[i] / (1 - 0.9 ** step)) / g
     return model
 
 
+def _parted(sequences, most):
+    """Runs of sequences with at most ``most`` words; a longer sequence makes a run of its own."""
+    part, size = [], 0
+    for q in sequences:
+        n = sum(len(ws) for _, ws in q)
+        if part and size + n > most:
+            yield part
+            part, size = [], 0
+        part.append(q)
+        size += n
+    if part:
+        yield part
+
+
+class _Batch:
+    """Training sequences, longest first, with the features of their distinct words."""
+
+    def __init__(self, sequences, lexicon, k_all):
+        distinct: dict[bytes, int] = {}
+        for q in sequences:
+            for _, ws in q:
+                for w in ws:
+                    distinct.setdefault(w, len(distinct))
+        words = list(distinct)
+        self.n_words = len(words)
+        self.flat = np.array([distinct[w] for q in sequences for _, ws in q for w in ws])
+        self.label = np.array([k for q in sequences for k, ws in q for _ in ws])
+        self.lengths = np.array([sum(len(ws) for _, ws in q) for q in sequences])
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        word_at, slot_at = map(np.concatenate, zip(*features(words)))
+        known = [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
+        if known:
+            word_at = np.concatenate([word_at, [i for i, _ in known]])
+            slot_at = np.concatenate([slot_at, [s for _, s in known]])
+        self.word_at, self.slot_at = word_at, slot_at
+        inner = np.ones(len(self.flat), bool)
+        inner[self.starts] = False
+        after = np.flatnonzero(inner)
+        self.follow = np.zeros((k_all, k_all))
+        np.add.at(self.follow, (self.label[after - 1], self.label[after]), 1)
+
+    def add_gradients(self, model, grads):
+        """Add the true less the expected weights and starts, and the expected neighbours."""
+        score = _sums(self.word_at, self.slot_at, (np.ascontiguousarray(c) for c in model.weights.T), self.n_words)
+        miss = posteriors(score[self.flat], self.lengths, model, grads[1])
+        np.negative(miss, out=miss)
+        miss[np.arange(len(miss)), self.label] += 1
+        grads[2] += miss[self.starts].sum(axis=0)
+        for k in range(miss.shape[1]):
+            by_word = np.bincount(self.flat, miss[:, k], self.n_words)
+            grads[0][:, k] += np.bincount(self.slot_at, by_word[self.word_at], len(model.weights))
+
+
 def label_texts(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
     """Language and mean word probability of each text; ``und`` for null or a text without a letter."""
     out = [("und", 0.0)] * len(texts)
@@ -200,20 +248,25 @@ def label_texts(texts: list[str | None], model: Model) -> list[tuple[str, float]
     return out
 
 
-def training_pieces(docs: DataFrame, lang_col: str, text_col: str, id_col: str, per_language: int, piece_words: int) -> DataFrame:
-    """``lang, piece``: a seeded sample of about ``per_language`` (never more) labelled rows a language,
-    from each at most ``piece_words`` words at a seeded place."""
+def training_pieces(docs: DataFrame, lang_col: str, text_col: str, id_col: str, per_language: int, piece_words: int,
+                    most_pieces: int) -> DataFrame:
+    """``lang, piece``: a seeded sample of about ``per_language`` (never more) labelled rows a language, fewer where
+    all languages together would have more than ``most_pieces`` (at least one); from each row at most
+    ``piece_words`` words at a seeded place."""
     mark = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("sample"))
     d = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), mark.alias("mark"))
     counts = d.groupBy("lang").agg(F.count("*").alias("n"))
     part = (F.col("mark") / F.lit(float(1 << 63)) + 1) / 2
-    near = d.join(F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(256)), "lang").filter(part < 1.2 * per_language / F.col("n"))
+    # a language's share of the sample: at least one piece, whatever the number of languages
+    langs = counts.select(F.count("*")).scalar()
+    most = F.greatest(F.least(F.lit(per_language).cast("long"), F.expr(f"{int(most_pieces)}L").cast("double") / F.greatest(langs, F.lit(1))), F.lit(1)).cast("int")
+    near = d.join(counts.withColumn("most", most), "lang").filter(part < 1.2 * F.col("most") / F.col("n"))
     words = F.split("text", r"[\x20\x09-\x0D]+")
     at = F.pmod(F.xxhash64("mark"), F.greatest(F.size("words") - piece_words, F.lit(1)).cast("bigint")).cast("int")
-    picked = near.withColumn("words", words).select("lang", "mark", F.array_join(F.slice("words", at + 1, piece_words), " ").alias("piece"))
+    picked = near.withColumn("words", words).select("lang", "most", "mark", F.array_join(F.slice("words", at + 1, piece_words), " ").alias("piece"))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "piece"))
-    return picked.withColumn("turn", turn).filter(F.col("turn") <= per_language).select("lang", "piece")
+    return picked.withColumn("turn", turn).filter(F.col("turn") <= F.col("most")).select("lang", "piece")
 
 
 def held_out(id_col: str, folds: int = 5):
@@ -221,17 +274,28 @@ def held_out(id_col: str, folds: int = 5):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        per_language: int = 250, piece_words: int = 120) -> Model:
-    """A model from the rows that are not held out.  At most 256 languages (the most frequent)."""
-    sample = training_pieces(docs.filter(~held_out(id_col)), lang_col, text_col, id_col, per_language, piece_words)
+        per_language: int = 250, piece_words: int = 120, most_pieces: int = 4000) -> Model:
+    """A model from the labelled rows that are not held out: a bounded sample of them, all their languages.
+
+    Rows without text, label or letters teach nothing; a null id counts as the empty one; ties of the sample's marks
+    are ordered by the text; an empty table gives a model without languages, which finds ``und``.
+    """
+    sample = training_pieces(docs.filter(~held_out(id_col)), lang_col, text_col, id_col, per_language, piece_words, most_pieces)
     return train([(r.lang, r.piece) for r in sample.collect()])
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every row; other columns are ignored, repeated rows stay."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of every row, and the columns named in ``carry`` in the struct ``carried``.
+
+    A null text and one without letters are ``und`` with score 0; of languages with equal probability the first by
+    name; a null id counts as the empty one in ``held_out``; very long texts are labelled alone; repeated rows stay;
+    other columns are ignored.
+    """
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"),
+                    *([F.struct(*carry).alias("carried")] if carry else []))
     kind = d.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
+    piece = 4 * PIECE // max(4, len(model.languages))
 
     def run(batches):
         for b in batches:
@@ -239,10 +303,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             found, size, start = [], 0, 0
             for i, t in enumerate(texts):
                 size += len(t or "")
-                if size > PIECE or i == len(texts) - 1:
+                if size > piece or i == len(texts) - 1:
                     found += label_texts(texts[start:i + 1], model)
                     start, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(id_type), b.column(2), pa.array([f[0] for f in found], pa.string()),
-                 pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-    return d.mapInArrow(run, f"doc_id {kind.simpleString()}, held_out boolean, lang_pred string, score double")
+            columns = [b.column(0).cast(id_type), b.column(2), pa.array([f[0] for f in found], pa.string()),
+                       pa.array([f[1] for f in found], pa.float64()), *b.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", *b.schema.names[3:]])
+    return d.mapInArrow(run, f"doc_id {kind.simpleString()}, held_out boolean, lang_pred string, score double"
+                             + (f", carried {d.schema['carried'].dataType.simpleString()}" if carry else ""))
