@@ -315,7 +315,7 @@ ORACLE.update({
         WHERE c.train_id IS DISTINCT FROM trip.train_id""",
     "dq_partial_unique": """
         SELECT 'tickets' AS table_name, 'trip_id,seat_id' AS key_columns,
-               concat_ws('|', CAST(trip_id AS VARCHAR), CAST(seat_id AS VARCHAR)) AS key_value,
+               CAST(to_json([CAST(trip_id AS VARCHAR), CAST(seat_id AS VARCHAR)]) AS VARCHAR) AS key_value,
                count(*) AS n_rows
         FROM tickets WHERE seat_id IS NOT NULL AND trip_id IS NOT NULL
         GROUP BY trip_id, seat_id HAVING count(*) > 1""",
@@ -341,7 +341,7 @@ def _dq_sql() -> dict[str, str]:
             notnull = " AND ".join(f"{c} IS NOT NULL" for c in cols)
             key = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
             uniq.append(f"""SELECT '{t}' AS table_name, '{",".join(cols)}' AS key_columns,
-                concat_ws('|', {key}) AS key_value, count(*) AS n_rows
+                CAST(to_json([{key}]) AS VARCHAR) AS key_value, count(*) AS n_rows
                 FROM {t} WHERE {notnull} GROUP BY {", ".join(cols)} HAVING count(*) > 1""")
     refs = []
     for fk in M.FOREIGN_KEYS:

@@ -95,28 +95,27 @@ def terminal_feed(obs: DataFrame, retention_s: int = RETENTION_SECONDS, bucket:
     not terminal), resets it (terminal, unchanged), flips it (a terminal
     change) or leaves it; so its state before an observation is that of the
     last set or reset, flipped as often as flips came since — running window
-    sums over seconds of history per job.
+    sums over seconds of history per job.  The flagged observations are built
+    once; a row gives none, one or two records.
     """
-    f = with_change_flag(obs, bucket)
-    pos = F.struct("ts", "event_id")
     terminal = F.coalesce(F.col("status").isin(*TERMINAL), F.lit(False))
-    t0 = f.filter(terminal).groupBy("job_name").agg(F.min(pos).alias("__t0"))
-    fj = f.join(t0, "job_name", "left")
+    pos = F.struct("ts", "event_id")
+    t0 = classify(obs).filter(terminal).groupBy("job_name").agg(F.min(pos).alias("__t0"))
+    f = with_change_flag(obs, bucket).join(t0, "job_name", "left")
     until = F.col("__t0.ts") + F.make_dt_interval(secs=F.lit(retention_s))
-    emitted = (fj.filter(F.col("changed") & (F.col("__t0").isNull() | (F.col("ts") <= until)))
-                 .drop("__t0", "changed").withColumn("monitoring", F.lit(True)))
-
-    order = W.partitionBy("job_name").orderBy(*ORDER)
-    before = order.rowsBetween(W.unboundedPreceding, -1)
+    inside = F.coalesce((pos > F.col("__t0")) & (F.col("ts") <= until), F.lit(False))
+    # only rows of the retention window look at each other; all others are dealt by time, so a job's history spreads
+    f = f.withColumn("__in", inside).withColumn("__part", F.when(~F.col("__in"), F.date_trunc(bucket, "ts")))
+    order = W.partitionBy("job_name", "__in", "__part").orderBy(*ORDER)
     flip = (terminal & F.col("changed")).cast("int")
     held = F.when(terminal != F.col("changed"), F.struct((~terminal).cast("int").alias("on"), F.col("__flips").alias("flips")))
-    win = (fj.filter(F.col("__t0").isNotNull() & (pos > F.col("__t0")) & (F.col("ts") <= until))
-             .withColumn("__flips", F.sum(flip).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-             .withColumn("__held", F.last(held, ignorenulls=True).over(before)))
+    f = (f.withColumn("__flips", F.sum(flip).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+          .withColumn("__held", F.last(held, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))))
     armed = (F.coalesce(F.col("__held.on"), F.lit(0)) + F.col("__flips") - flip - F.coalesce(F.col("__held.flips"), F.lit(0))) % 2 == 1
-    again = win.filter(terminal & armed).drop("__flips", "__held")
-    final = fj.filter(pos == F.col("__t0")).unionByName(again)
-    return emitted.unionByName(final.drop("__t0", "changed").withColumn("monitoring", F.lit(False)))
+    emitted = F.when(F.col("changed") & (F.col("__t0").isNull() | (F.col("ts") <= until)), True)
+    final = F.when((pos == F.col("__t0")) | (F.col("__in") & terminal & armed), False)
+    records = F.explode(F.array_compact(F.array(emitted, final)))
+    return f.withColumn("monitoring", records).drop("__t0", "__in", "__part", "__flips", "__held", "changed")
 
 
 def latest(obs: DataFrame) -> DataFrame:

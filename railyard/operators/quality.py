@@ -28,7 +28,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _key_text(cols) -> F.Column:
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    # a JSON text, so that no value can look like two
+    return F.to_json(F.array(*[F.col(c).cast("string") for c in cols]))
 
 
 def duplicate_keys(df: DataFrame, table: str, cols, where: str | None = None) -> DataFrame:
@@ -67,7 +68,7 @@ def duplicate_keys_sets(df: DataFrame, table: str, key_sets: list[tuple[str, ...
 
     present = case([" AND ".join(f"`{c}` IS NOT NULL" for c in ks) for ks in key_sets])
     names = case([f"'{','.join(ks)}'" for ks in key_sets])
-    text = case(["concat_ws('|', " + ", ".join(f"CAST(`{c}` AS STRING)" for c in ks) + ")" for ks in key_sets])
+    text = case(["to_json(array(" + ", ".join(f"CAST(`{c}` AS STRING)" for c in ks) + "))" for ks in key_sets])
     agg = (df.groupingSets([list(ks) for ks in key_sets], *cols)
              .agg(F.count(F.lit(1)).alias("n_rows"), F.grouping_id().alias("__gid")))
     return agg.filter(f"n_rows > 1 AND ({present})").selectExpr(

@@ -592,7 +592,7 @@ def _in_parts(spark, sf_dir, start, root, polls=None):
             part = part if last else part.filter(F.col(c) < low + (i + 1) * step)
             if i == STREAM_PARTS:
                 part = heartbeat(spark, high + day) if name == "observations" else spark.createDataFrame(
-                    [(None, high + day, False)], df.schema)
+                    [("", high + day, False)], df.schema)
             part.write.parquet(f"{root}/{name}/part={i}")
         start(session, root).awaitTermination()
 

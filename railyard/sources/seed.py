@@ -49,18 +49,15 @@ class SeedTables(DomainTables):
         i = F.col("i") + 1
         return self._r(N_USERS).select(
             i.alias("id"), F.concat(F.lit("user"), i.cast("string"), F.lit("@example.org")).alias("email"),
-            F.concat(F.lit("hashed_password_"), i.cast("string")).alias("password_hash"),
-            F.concat(F.lit("User "), i.cast("string")).alias("full_name"),
-            F.concat(F.lit("+1-555-"), padded(i, 4)).alias("phone"), F.lit("en_US").alias("locale"),
+            *[F.lit(None).cast("string").alias(c) for c in ("password_hash", "full_name", "phone", "locale")],
             self._ts().alias("created_at"), self._ts().alias("updated_at"))
 
     def _passengers(self):
         i = F.col("i")
         return self._r(N_USERS).select(
             (i + 1).alias("id"), (i + 1).alias("user_id"),
-            F.concat(F.lit("FirstName"), (i + 1).cast("string")).alias("first_name"),
-            F.concat(F.lit("LastName"), (i + 1).cast("string")).alias("last_name"),
-            F.make_date(F.lit(1980) + i, F.lit(1) + i % 12, F.lit(1) + i % 28).alias("date_of_birth"),
+            (i + 1).cast("string").alias("first_name"), (i + 1).cast("string").alias("last_name"),
+            F.lit(None).cast("date").alias("date_of_birth"),
             F.lit("passport").alias("doc_type"), padded_ref("PASS", i + 1, 6).alias("doc_number"),
             self._ts().alias("created_at"))
 

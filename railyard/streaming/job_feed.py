@@ -20,8 +20,8 @@ Outputs:
 * ``missing_feed``: jobs that a poll which was answered no longer has;
 * ``latest_states``: an update-mode aggregation, upserted by key range.
 
-A slice is closed when the watermark passes its end.  An observation without a
-job name is a heartbeat: it moves the watermark and is in no feed.  Rows that
+A slice is closed when the watermark passes its end.  An observation with the
+empty job name is a heartbeat: it moves the watermark and is in no feed.  Rows that
 arrive later than ``watermark`` are dropped by Spark.
 """
 
@@ -59,6 +59,9 @@ POLL_SCHEMA = T.StructType([
     T.StructField("answered", T.BooleanType()),
 ])
 
+# name of no job.  It is not NULL: joins drop rows with NULL keys at the scan, before they move a watermark
+HEARTBEAT = ""
+
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -90,11 +93,17 @@ def read_snapshots(spark: SparkSession, folder: str, max_files_per_trigger: int
     return r.parquet(folder)
 
 
+def _behind_watermark(time: str, condition: Column) -> Column:
+    """``condition`` as one comparison that also names the event time, so that the optimizer can neither split it
+    nor push it below the watermark, which would keep heartbeats from moving it."""
+    row = lambda keep: F.struct(keep.alias("keep"), F.col(time).alias("time"))
+    return row(F.coalesce(condition, F.lit(False))).eqNullSafe(row(F.lit(True)))
+
+
 def _watched(observations: DataFrame, watermark: str) -> DataFrame:
     """Classified observations under a watermark, heartbeats dropped after they have moved it."""
     c = classify(observations.withWatermark("ts", watermark))
-    # the condition names ts, so that the optimizer cannot push it below the watermark
-    return c.filter(F.when(F.col("ts").isNotNull(), F.col("job_name").isNotNull()))
+    return c.filter(_behind_watermark("ts", F.col("job_name") != HEARTBEAT))
 
 
 # ---------------------------------------------------------------------------
@@ -363,7 +372,7 @@ def missing_feed(polls: DataFrame, observations: DataFrame, period: str = "1 hou
     both sides has passed it.
     """
     end = F.window("period", period)
-    polls = polls.withWatermark("period", watermark).filter(F.when(F.col("period").isNotNull(), F.col("job_name").isNotNull() & F.col("answered")))
+    polls = polls.withWatermark("period", watermark).filter(_behind_watermark("period", (F.col("job_name") != HEARTBEAT) & F.col("answered")))
     polls = polls.groupBy("job_name", end).agg(F.count("*").alias("n_polls")).select("job_name", F.window_time("window").alias("at"))
     c = _watched(observations, watermark)
     last = F.max_by(F.struct("event_id", "status"), F.struct("ts", "event_id"))
@@ -386,7 +395,7 @@ def latest_states(observations: DataFrame) -> DataFrame:
     ``max_by`` keeps one row per job and is aggregated before the shuffle, so a
     busy job costs one row per task; rows may come in any order and late.
     """
-    c = classify(observations).filter(F.col("job_name").isNotNull())
+    c = classify(observations).filter(F.col("job_name") != HEARTBEAT)
     rest = [x for x in c.columns if x not in ("job_name", "labels")]
     return c.groupBy("job_name").agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("s")).select("job_name", "s.*")
 
@@ -457,5 +466,5 @@ def start_change_feed(spark: SparkSession, snapshots: str, out_root: str, checkp
 
 def heartbeat(spark: SparkSession, at: dt.datetime) -> DataFrame:
     """One observation without a job, which closes the slices before ``at`` less the watermark."""
-    row = {f.name: None for f in OBSERVATION_SCHEMA.fields} | {"ts": at}
+    row = {f.name: None for f in OBSERVATION_SCHEMA.fields} | {"job_name": HEARTBEAT, "ts": at}
     return spark.createDataFrame([tuple(row.values())], OBSERVATION_SCHEMA)

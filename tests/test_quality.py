@@ -17,7 +17,7 @@ def test_partial_unique_ignores_null_seats(spark, seed):
     assert DQ.partial_unique_violations(tables).count() == 0
     dup2 = t.filter("id = 3").withColumn("id", F.lit(1000).cast("long"))
     tables = seed.with_overrides(tickets=t.unionByName(dup2))
-    assert [r.key_value for r in DQ.partial_unique_violations(tables).collect()] == ["3|3"]
+    assert [r.key_value for r in DQ.partial_unique_violations(tables).collect()] == ['["3","3"]']
 
 
 def test_orphans_after_injected_parent_loss(seed):

@@ -239,7 +239,7 @@ def test_missing_jobs_against_polls(spark, stream, tmp_path):
         spark.createDataFrame([p for p in polls if _at(a * h) <= p[1] < _at(b * h)], POLL_SCHEMA).coalesce(1).write.parquet(f"{src}/polls/{i}")
         run()
     heartbeat(spark, _at(48 * h)).coalesce(1).write.parquet(src + "/obs/end")
-    spark.createDataFrame([(None, _at(48 * h), False)], POLL_SCHEMA).coalesce(1).write.parquet(src + "/polls/end")
+    spark.createDataFrame([("", _at(48 * h), False)], POLL_SCHEMA).coalesce(1).write.parquet(src + "/polls/end")
     run()
     got = sorted((r.job_name, r.missing_at, r.event_id, r.status, r.monitoring) for r in spark.read.parquet(src + "/out").collect())
     assert got == [("back", _at(2 * h), 3, "Running", False), ("gone", _at(2 * h), 10, "Running", False)]
