@@ -185,6 +185,8 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
     edge = (d.withColumn("part", F.spark_partition_id()).groupBy("part")
              .agg(F.min_by("text", place).alias("first"), F.max_by(F.struct("doc_id", "text"), place).alias("end")))
+    # passed through as it is, so that all its uses below have one plan and one exchange of texts
+    edge = edge.mapInArrow(lambda batches: batches, f"part int, first string, end struct<doc_id:{d.schema['doc_id'].dataType.simpleString()},text:string>")
     # which partition follows which: their numbers alone, the texts are joined to them
     number = edge.select("part")
     following = F.coalesce(F.lead("part").over(Window.orderBy("part")), number.select(F.min("part")).scalar())
