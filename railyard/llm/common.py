@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from railyard.session import checkpoint_dir
+from railyard.operators.arrivals import bloom, might_contain
+from railyard.session import checkpoint_dir, scratch_path
 
 # text handed to one Python call at a time; bounds a worker's memory
 BLOCK_BYTES = 4 << 20
@@ -30,6 +32,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its measured size lets the planner broadcast it to a join
+    with texts, or shuffle both sides, before the texts have moved."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def rows_with(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among ``keys`` (written, so cheap to read): all that are, and few
+    others.  A Bloom filter decides, so nothing of ``df`` moves; join the result to ``keys`` for the exact rows."""
+    words, bits = bloom(keys, column)
+    return df.filter(might_contain(words, bits, F.col(column)))
+
+
+def rows_without(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is not among ``keys``; only those that may be are joined to them."""
+    words, bits = bloom(keys, column)
+    may = F.coalesce(might_contain(words, bits, F.col(column)), F.lit(False))
+    return df.filter(~may).unionByName(df.filter(may).join(keys.select(column), column, "left_anti").select(*df.columns))
+
+
 def binary_values(col: pa.Array) -> list[bytes]:
     """A string column of a batch as bytes, null as empty."""
     return [v or b"" for v in col.cast(pa.binary()).to_pylist()]

@@ -8,21 +8,26 @@ first codes an escape, estimated by the number of distinct symbols it has seen
 contexts lies the uniform distribution over the symbols still left.
 
 Blocks of documents send their distinct (context, symbol) strings with
-training counts to buckets chosen by the two latest context symbols: a bucket
-holds every trie node below those two levels, and gets the two levels above
-(at most 257 * 257 counts) from all buckets.  It answers with the code length
-of each string, and the blocks add up their documents.  Word counts for the
-add-0.1 unigram model take the same way.
+training counts to buckets chosen by the two latest context symbols, or by the
+three latest where those two hold more than one part in ``HOT`` of the training
+symbols: a bucket holds every trie node below those levels.  The levels above
+are counted first and go along with the task: at most 257 * 257 counts of a
+symbol after one, and 257 for each of at most ``HOT`` frequent pairs.  A bucket
+answers with the code length of each string, and the blocks add up their
+documents.  Word counts for the add-0.1 unigram model take the same way.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from railyard.llm.common import binary_values, block_count, gram_hashes
+from railyard.llm.common import binary_values, block_count, checkpointed, gram_hashes
+from railyard.llm.words import slices
 
 ORDER = 5
 SYMBOLS = 257
@@ -34,6 +39,8 @@ CHUNK, CHUNK_DOCS = 1 << 20, 1 << (64 - BITS * (ORDER + 1))
 DOC_BITS = np.uint64(64 - BITS * (ORDER + 1))
 WORDS, GRAMS = 0, 1
 SMOOTH = 0.1
+# pairs of symbols with more than one part in HOT of all are dealt by one symbol more
+HOT = 512
 
 
 # ---------------------------------------------------------------------------
@@ -146,8 +153,69 @@ def _powers(step, n, known={}):
     return known[step][:n]
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    top = keys >> np.uint64(BITS * (ORDER - 1))
+# ---------------------------------------------------------------------------
+# the trie's upper levels
+# ---------------------------------------------------------------------------
+@dataclass
+class Upper:
+    """Training counts above the buckets: of (latest context symbol, symbol); and of frequent pairs of the two
+    latest context symbols with the symbol after them, sorted."""
+    low: np.ndarray
+    hot: np.ndarray             # whether a pair is frequent, by its code
+    triples: np.ndarray
+    counts: np.ndarray
+
+
+def _triple_counts(batches):
+    """Counts of (latest, second latest context symbol, symbol) of whole texts, as one code of three symbols."""
+    known = np.empty(0, np.int64), np.empty(0, np.int64)
+    for b in batches:
+        for part in slices(b, 0, CHUNK):
+            texts = [t.lower() for t in binary_values(part.column(0))]
+            # two symbols before a text, one behind it
+            sizes = np.array([len(t) + 3 for t in texts])
+            data = np.frombuffer(b"\0\0" + b"\0\0\0".join(texts) + b"\0", np.uint8)
+            sym = data.astype(np.int64) + 1
+            first = np.cumsum(sizes) - sizes
+            for at in (first, first + 1, first + sizes - 1):
+                sym[at] = 0
+            inside = np.ones(len(sym), bool)
+            inside[first] = inside[first + 1] = False
+            # symbols numbered by use, so that a table of all triples stays small
+            used = np.flatnonzero(np.bincount(sym, minlength=SYMBOLS))
+            k, at = len(used), np.flatnonzero(inside)
+            number = np.zeros(SYMBOLS, np.int64)
+            number[used] = np.arange(k)
+            code = number[sym]
+            n = np.bincount((code[at - 1] * k + code[at - 2]) * k + code[at], minlength=k ** 3)
+            found = np.flatnonzero(n)
+            c, s = np.divmod(found, k)
+            latest, second = np.divmod(c, k)
+            triple = (used[latest] << 2 * BITS) | (used[second] << BITS) | used[s]
+            known = _merged(np.concatenate([known[0], triple]), np.concatenate([known[1], n[found]]))
+    yield pa.RecordBatch.from_arrays([pa.array(known[0]), pa.array(known[1])], names=["triple", "n"])
+
+
+def upper_levels(train: DataFrame) -> Upper:
+    """Count the upper levels over ``text`` of ``train``; what the driver gets is bounded by the alphabet and ``HOT``."""
+    n = train.select("text").mapInArrow(_triple_counts, "triple bigint, n bigint").groupBy("triple").agg(F.sum("n").alias("n"))
+    n = checkpointed(n)
+    latest, symbol = F.shiftright("triple", 2 * BITS), F.col("triple").bitwiseAND(F.lit(LOW))
+    low = np.zeros((SYMBOLS, SYMBOLS), np.int64)
+    for r in n.groupBy(latest.alias("c"), symbol.alias("s")).agg(F.sum("n").alias("n")).collect():
+        low[r.c, r.s] = r.n
+    pair = F.shiftright("triple", BITS)
+    hot = np.zeros(1 << 2 * BITS, bool)
+    frequent = n.groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")).filter(F.col("n") * HOT > int(low.sum()))
+    pairs = [r.pair for r in frequent.collect()]
+    hot[pairs] = True
+    rows = sorted(map(tuple, n.filter(pair.isin(pairs)).collect())) if pairs else []
+    return Upper(low, hot, np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64))
+
+
+def bucket_of(keys: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
+    two, three = keys >> np.uint64(BITS * (ORDER - 1)), keys >> np.uint64(BITS * (ORDER - 2))
+    top = np.where(hot[two], three + np.uint64(1 << 3 * BITS), two)
     return ((top * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
 
 
@@ -174,12 +242,12 @@ def _find(keys, wanted):
     return at, keys[at] == wanted
 
 
-def code_lengths(keys: np.ndarray, counts: np.ndarray, low: np.ndarray) -> np.ndarray:
+def code_lengths(keys: np.ndarray, counts: np.ndarray, upper: Upper) -> np.ndarray:
     """log10 probability of the last symbol of each string after its context.
 
-    ``keys`` are all strings below their two latest context symbols, with
-    training counts; ``low[c, s]`` counts symbol ``s`` after the single latest
-    context symbol ``c`` in the whole training corpus.
+    ``keys`` are all strings below their two latest context symbols (three,
+    where those are frequent), with training counts; ``upper`` has the counts
+    of the levels above in the whole training corpus.
     """
     symbol = keys & np.uint64(LOW)
     nodes = []                                      # of each order: pairs, their counts; contexts, totals, distinct symbols
@@ -188,8 +256,12 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, low: np.ndarray) -> np.nd
             seen = counts > 0
             pair = ((keys[seen] >> np.uint64(BITS * (ORDER + 1 - k))) << np.uint64(BITS)) | symbol[seen]
             pair, n = _merged(pair, counts[seen])
+            if k == 2 and len(upper.triples):
+                # a frequent pair's strings lie in several buckets
+                here = ~upper.hot[pair >> np.uint64(BITS)]
+                pair, n = _merged(np.concatenate([pair[here], upper.triples]), np.concatenate([n[here], upper.counts]))
         else:
-            table = low if k else low.sum(axis=0, keepdims=True)
+            table = upper.low if k else upper.low.sum(axis=0, keepdims=True)
             flat = np.flatnonzero(table)
             c, s = np.divmod(flat, SYMBOLS)
             pair, n = (c.astype(np.uint64) << np.uint64(BITS)) | s.astype(np.uint64), table.ravel()[flat]
@@ -238,8 +310,8 @@ def _rows(rows, schema):
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
 
 
-def _buckets(kind, keys, buckets):
-    b = bucket_of(keys, buckets) if kind == GRAMS else (keys >> np.uint64(20)) % np.uint64(buckets)
+def _buckets(kind, keys, buckets, hot):
+    b = bucket_of(keys, buckets, hot) if kind == GRAMS else (keys >> np.uint64(20)) % np.uint64(buckets)
     order = np.argsort(b, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
         if len(part):
@@ -251,7 +323,7 @@ def _block(table):
     return texts, [not h for h in table["held_out"].to_pylist()]
 
 
-def _requests(buckets):
+def _requests(buckets, hot):
     def run(table):
         if not table.num_rows:
             return _rows([], _REQUEST_TYPES)
@@ -259,7 +331,7 @@ def _requests(buckets):
         blk, rows = table["blk"][0].as_py(), []
         words, owner = word_hashes(texts)
         for kind, (keys, counts) in ((GRAMS, strings_of(chunks(texts), train)), (WORDS, _merged(words, np.array(train)[owner].astype(np.int64)))):
-            for b, part in _buckets(kind, keys, buckets):
+            for b, part in _buckets(kind, keys, buckets, hot):
                 rows.append((b, kind, blk, _packed(keys[part]), counts[part].astype(np.uint32).tobytes()))
         return _rows(rows, _REQUEST_TYPES)
     return run
@@ -269,42 +341,24 @@ def _asked(batch):
     return zip(*(batch.column(c).to_pylist() for c in ("kind", "body", "counts")))
 
 
-_LOW_TYPES = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
-
-
-def _low_counts(batches):
-    """Training counts of (latest context symbol, symbol) in a batch of requests."""
-    for batch in batches:
-        low = np.zeros(SYMBOLS * SYMBOLS, np.int64)
-        for kind, body, counts in _asked(batch):
-            if kind == GRAMS:
-                keys, n = _unpacked(body), np.frombuffer(counts, np.uint32)
-                pair = (keys >> np.uint64(BITS * ORDER)) * np.uint64(SYMBOLS) + (keys & np.uint64(LOW))
-                low += np.bincount(pair.astype(np.int64), n, len(low)).astype(np.int64)
-        at = np.flatnonzero(low)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(low[at])], schema=_LOW_TYPES)
-
-
 _ANSWER = "blk int, bucket int, kind int, body binary"
 _ANSWER_TYPES = pa.schema([("blk", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 
 
-def _answers(requests, low_table):
-    rows = []
-    low = np.zeros(SYMBOLS * SYMBOLS, np.int64)
-    if low_table.num_rows:
-        low[low_table["pair"].to_numpy()] = low_table["n"].to_numpy()
-    low = low.reshape(SYMBOLS, SYMBOLS)
-    asked = list(zip(*(requests[c].to_pylist() for c in ("bucket", "kind", "blk", "body", "counts"))))
-    for kind in (GRAMS, WORDS):
-        own = [(b, blk, _unpacked(body), np.frombuffer(c, np.uint32)) for b, k, blk, body, c in asked if k == kind]
-        if not own:
-            continue
-        keys, counts = _merged(np.concatenate([g[2] for g in own]), np.concatenate([g[3] for g in own]).astype(np.int64))
-        answer = code_lengths(keys, counts, low).astype(np.float32) if kind == GRAMS else counts
-        for b, blk, wanted, _ in own:
-            rows.append((blk, b, kind, _planes(answer[np.searchsorted(keys, wanted)])))
-    return _rows(rows, _ANSWER_TYPES)
+def _answers(upper):
+    def run(requests):
+        rows = []
+        asked = list(zip(*(requests[c].to_pylist() for c in ("bucket", "kind", "blk", "body", "counts"))))
+        for kind in (GRAMS, WORDS):
+            own = [(b, blk, _unpacked(body), np.frombuffer(c, np.uint32)) for b, k, blk, body, c in asked if k == kind]
+            if not own:
+                continue
+            keys, counts = _merged(np.concatenate([g[2] for g in own]), np.concatenate([g[3] for g in own]).astype(np.int64))
+            answer = code_lengths(keys, counts, upper).astype(np.float32) if kind == GRAMS else counts
+            for b, blk, wanted, _ in own:
+                rows.append((blk, b, kind, _planes(answer[np.searchsorted(keys, wanted)])))
+        return _rows(rows, _ANSWER_TYPES)
+    return run
 
 
 def _planes(values):
@@ -329,7 +383,7 @@ def _vocabulary(batches):
                                       pa.array([int(sum(c.sum() for c in counts))], pa.int64())], names=["vocabulary", "tokens"])
 
 
-def _scores(buckets, id_type):
+def _scores(buckets, hot, id_type):
     schema = pa.schema([("doc_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("known_part", pa.float64()), ("score", pa.float64())])
 
@@ -344,7 +398,7 @@ def _scores(buckets, id_type):
         answer = {}
         for kind, keys, form in ((GRAMS, strings_of(taken, train)[0], np.float32), (WORDS, names, np.int64)):
             answer[kind] = keys, (value := np.empty(len(keys), form))
-            for b, part in _buckets(kind, keys, buckets):
+            for b, part in _buckets(kind, keys, buckets, hot):
                 value[part] = _from_planes(got[kind, b], form)
         score = np.zeros(len(texts))
         keys, code = answer[GRAMS]
@@ -377,15 +431,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = -(-blocks // 2) + 1
     blk = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")
     rows = d.withColumn("blk", blk).repartition("blk")
-    requests = rows.groupBy("blk").applyInArrow(_requests(buckets), _REQUEST).repartition("bucket")
-    # all columns, so that the exchange by bucket serves these two passes and the answers
-    low = requests.mapInArrow(_low_counts, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    # at most 257 * 257 rows, one copy for each bucket
-    low = low.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    answers = requests.groupBy("bucket").cogroup(low.groupBy("bucket")).applyInArrow(_answers, _ANSWER)
+    upper = upper_levels(d.filter(~F.col("held_out")))
+    # all columns, so that the exchange by bucket serves the answers and the vocabulary
+    requests = rows.groupBy("blk").applyInArrow(_requests(buckets, upper.hot), _REQUEST).repartition("bucket")
+    answers = requests.groupBy("bucket").applyInArrow(_answers(upper), _ANSWER)
     found = rows.groupBy("blk").cogroup(answers.select("blk", "bucket", "kind", "body").groupBy("blk"))
     id_type = d.schema["id"].dataType
-    scored = found.applyInArrow(_scores(buckets, to_arrow_type(id_type)),
+    scored = found.applyInArrow(_scores(buckets, upper.hot, to_arrow_type(id_type)),
                                 f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, known_part double, score double")
     stats = requests.mapInArrow(_vocabulary, "vocabulary bigint, tokens bigint").agg(
         F.struct(F.coalesce(F.sum("vocabulary"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).alias("s"))
