@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
+from railyard.llm.common import rows_with, sized
 from railyard.llm.words import slices, words
 from railyard.session import scratch_path
 
@@ -297,7 +298,6 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     empty item, and one whose terms no document has, returns none; repeated rows of an item are one item, rows
     with the same id and different texts are searched each for itself.  Other columns are ignored.
     """
-    spark = index.sparkSession
     stats = index.filter("term IS NULL").agg(F.sum("df"), F.sum("tokens")).first()
     n, total = stats[0] or 0, stats[1] or 0
     asked = items.select(F.col(id_col).alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).distinct()
@@ -312,7 +312,9 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     wanted = (asked.join(df.select("term", weight.alias("weight")), "term").filter("weight > 0")
                    .groupBy("term", "weight", F.pmod(F.xxhash64("item"), F.lit(groups)).alias("part"))
                    .agg(F.collect_list("item").alias("items")))
-    wanted = lists.join(wanted, "term").select("shard", "part", "heads", "body", "weight", "items")
+    # the lists of other terms are left where they are
+    wanted = sized(wanted, "search-terms")
+    wanted = rows_with(lists, wanted, "term").join(wanted, "term").select("shard", "part", "heads", "body", "weight", "items")
     parts = index.filter("term IS NULL").select(
         F.col("shard").alias("home"), F.col("body").alias("lengths"), "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("of"))
     out = T.StructType([T.StructField("item", asked.schema["item"].dataType), T.StructField("doc_id", index.schema["ids"].dataType.elementType),
