@@ -10,15 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from railyard.llm.common import checkpointed
+from railyard.llm.common import checkpointed, rows_with, sized
 
 GRAM = 8
 WINDOW = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"      # before A-Z change case
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# a benchmark side of at most this many rows (under 100 bytes each) is broadcast; a larger one is shuffled
-BROADCAST_ROWS = 200_000
 
 
 def words_of(text) -> Column:
@@ -74,10 +72,6 @@ def _kept(frame: DataFrame, keep: list[str], window: int) -> DataFrame:
     return grams.select(*keep, F.explode(F.array_distinct(low)).alias("hash")).filter(F.col("hash").isNotNull())
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every row of ``docs``.
@@ -96,7 +90,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     words = d.select("doc_id", "mark", words_of("text").alias("words"))
     found = None
     for m in lengths:
-        kept = _small(checkpointed(_kept(items.filter(F.col("m") == m), [], m).distinct()))
+        kept = sized(_kept(items.filter(F.col("m") == m), [], m).distinct(), "benchmark-hashes")
         hit = (_kept(words.select("mark", "words"), ["mark"], m).join(kept, "hash")
                .select("mark", F.struct(F.lit(m).alias("m"), F.col("hash")).alias("hit")))
         found = hit if found is None else found.unionByName(hit)
@@ -105,7 +99,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         marked = None
     else:
         hits = found.groupBy("mark").agg(F.collect_set("hit").alias("hits"))
-        marked = _extend(d, hits, items, lengths)
+        marked = _extend(d, sized(hits, "benchmark-hits"), items, lengths)
     if marked is None:
         out = base.withColumn("n_hit", F.lit(0).cast("bigint")).withColumn("items", F.array().cast("array<string>"))
     else:
@@ -123,7 +117,7 @@ def _windows(words: Column, starts: Column, m: int) -> Column:
 
 def _extend(d: DataFrame, hits: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
     """``sha, n_hit, items``: windows around the hits that occur in the benchmark, per distinct text."""
-    hit = d.select("mark", "text").join(hits, "mark")
+    hit = rows_with(d.select("mark", "text"), hits, "mark").join(hits, "mark")
     hit = hit.withColumn("sha", F.sha2("text", 256)).groupBy("sha").agg(F.first("text").alias("text"), F.first("hits").alias("hits"))
     hit = hit.select("sha", "hits", words_of("text").alias("words"))
     k_values = sorted({min(GRAM, m) for m in lengths})
