@@ -397,8 +397,8 @@ def _marks(length):
     return run
 
 
-def kept_parts(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """Bytes outside the union of ``spans``, and the number of maximal runs inside it."""
+def kept_parts(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes], int]:
+    """Runs of bytes outside the union of ``spans``, and the number of maximal runs inside it."""
     kept, runs, at = [], 0, -1
     for a, b in sorted(spans):
         if a > at:
@@ -406,12 +406,12 @@ def kept_parts(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
             runs += 1
         at = max(at, b)
     kept.append(text[max(at, 0):])
-    return b"".join(kept), runs
+    return kept, runs
 
 
-def _removed(length, id_type, carried):
+def _removed(length, id_type, carried, whole):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "document"]
-    types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
+    types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if whole else pa.binary(), pa.int64()]
 
     def run(docs, answers):
         firsts, marks = set(), []
@@ -428,12 +428,15 @@ def _removed(length, id_type, carried):
         for k, (key, t, text) in enumerate(zip(docs["id"].to_pylist(), ties.tolist(), binary_values(docs["text"]))):
             if t in firsts:
                 m = marks[a[k]:b[k]]
-                kept, runs = kept_parts(text, list(zip(m["start"].tolist(), m["end"].tolist())))
+                parts, runs = kept_parts(text, list(zip(m["start"].tolist(), m["end"].tolist())))
             elif len(text) >= length:
-                kept, runs = b"", 1
+                parts, runs = [], 1
             else:
-                kept, runs = text, 0
-            rows.append((key, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept, t))
+                parts, runs = [text], 0
+            kept = b"".join(parts)
+            # a cut can split a character only at the ends of a part
+            shown = "".join(p.decode(errors="ignore") for p in parts) if whole else kept
+            rows.append((key, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), shown, t))
         out = _table(rows, names, types)
         return out.append_column("carried", docs["carried"]) if carried else out
     return run
@@ -449,7 +452,7 @@ def document_key(id_col: str = "doc_id", text_col: str = "text"):
 
 
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100,
-                       carry: list[str] = ()) -> DataFrame:
+                       carry: list[str] = (), whole_characters: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, document`` for every row of ``docs``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts
@@ -457,8 +460,9 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are taken from the texts as they come in and never cross documents.  Null
     text is empty.  A null id counts as the largest; documents that share an id
     are ordered by their texts' digests; rows that repeat id and text are the
-    same document and come out alike.  ``kept`` are the remaining bytes (a cut
-    may fall inside a character), ``document`` is ``document_key`` of the row.
+    same document and come out alike.  Ids are whole numbers or text of such.  ``kept`` are the remaining bytes (a cut
+    may fall inside a character) or, with ``whole_characters``, the text without the characters that a cut has
+    split; ``document`` is ``document_key`` of the row.
     Other columns are ignored; those named in ``carry`` come out in the struct
     ``carried``.
     """
@@ -489,6 +493,6 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_type = d.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
     return rows.groupBy("blk").cogroup(answered(marks)).applyInArrow(
-        _removed(length, to_arrow_type(id_type), bool(carry)),
-        f"doc_id {id_type.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, document bigint"
+        _removed(length, to_arrow_type(id_type), bool(carry), whole_characters),
+        f"doc_id {id_type.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept {'string' if whole_characters else 'binary'}, document bigint"
         + (f", carried {d.schema['carried'].dataType.simpleString()}" if carry else ""))

@@ -184,13 +184,13 @@ PAGE = ('<html><head><title>T</title></head><body><header>Top</header><nav><a>Ho
 def test_html(spark):
     shared = "<div>Welcome to our lovely site please accept all</div>"
     pages = spark.createDataFrame([(1, "http://h/1", PAGE, 0), (2, "http://h/2", f"{shared}<p>first own text</p>", 0), (3, "http://h/3", f"{shared}<p>second, other words</p>", 0),
-                                   (4, "http://g/3", f"{shared}<p>alone here</p>", 0), (5, None, None, 0), (5, None, None, 0), (None, "", "", 0), (6, "u", "a < b &am &lt;", 0)],
+                                   (4, "http://g/3", f"{shared}<p>alone here</p>", 0), (7, "http://h/7", f"<p>the third one</p>{shared}", 0), (5, None, None, 0), (5, None, None, 0), (None, "", "", 0), (6, "u", "a < b &am &lt;", 0)],
                                   "page_id long, url string, html string, main int")
     got = {(r.page_id, r.url): r.text for r in H.extract_main_text(pages).collect()}
     assert got[1, "http://h/1"] == "One & two\nA bc d e\nnext\ni1\ni2"
-    assert got[2, "http://h/2"] == "first own text" and got[3, "http://h/3"] == "second, other words"
+    assert got[2, "http://h/2"] == "first own text" and got[3, "http://h/3"] == "second, other words" and got[7, "http://h/7"] == "the third one"
     assert got[4, "http://g/3"].startswith("Welcome to our") and got[5, None] == "" and got[None, ""] == "" and got[6, "u"] == "a < b &am <"
-    assert H.extract_main_text(pages).count() == 8 and H.extract_main_text(pages.filter("false")).count() == 0
+    assert H.extract_main_text(pages).count() == 9 and H.extract_main_text(pages.filter("false")).count() == 0
 
 
 @pytest.mark.parametrize("wrapper", ["<div class='site has-sidebar'>", "<div class='no-sidebar'>", "<div class='no-comments'>", "<div class='with-nav'>", "<div class='ad-free'>",
@@ -207,38 +207,81 @@ def test_html_page_in_a_form():
     assert H.read_page("<p>text</p><form>name</form>") == (None, [(H.REST, "text"), (H.BOILERPLATE, "name")])
 
 
+@pytest.mark.parametrize("name", ["comment-form", "related-articles", "share-buttons", "cookie-bar", "ad-slot", "google-ad", "newsletter-form", "reader-comments",
+                                  "user-comments", "sidebar-left", "signup-form", "popup-overlay", "adsbygoogle", "c-newsletter__inner", "adbox"])
+def test_html_components_inside_an_article(name):
+    assert H.read_page(f"<article><p>one</p><div class='{name}'><p>gone</p></div><p id='x'>two</p></article>")[0] == "one\ntwo"
+    assert H.read_page(f"<main><p>one</p><section id='{name}'>gone</section></main>")[0] == "one"
+
+
+def test_html_modifiers_and_headers():
+    for name in ("has-comments", "no-ads", "with-sidebar", "entry-content", "adverb", "post-header"):
+        assert H.read_page(f"<article><div class='{name}'>kept</div></article>")[0] == "kept"
+    for tag in ("main", "article"):
+        assert H.read_page(f"<{tag}><header><h1>Title</h1></header><p>text</p></{tag}>")[0] == "Title\ntext"
+    assert H.read_page("<body><header>Top</header><main>text</main></body>")[0] == "text"
+
+
+def test_html_copies_and_quotations_keep_their_text(spark):
+    """Pages without an article: three copies, copies with other menus, and two pages that share a quotation."""
+    text = " ".join(f"word{i}" for i in range(60))
+    quote = "<p>to be or not to be that is the question</p>"
+    rows = [(i, "http://copies/x", f"<p>{text}</p>") for i in range(3)]
+    rows += [(10 + i, "http://near/x", f"<p>{text}</p><div>{i} {i + 1}</div>") for i in range(4)]
+    rows += [(20 + i, "http://quote/x", f"<p>{'abcdefgh'[i]} first</p>{quote if i < 2 else ''}<p>own {i}</p>") for i in range(6)]
+    got = {r.page_id: r.text for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == text for i in range(3)) and all(got[10 + i] == f"{text}\n{i} {i + 1}" for i in range(4))
+    assert got[20] == "a first\nto be or not to be that is the question\nown 0"
+
+
+def brute_html(rows):
+    """Texts by page id: zones as parsed, repeated runs by comparing the streams of all pages."""
+    read = {i: (u.split("/")[2] if u else "", *H.read_page(h or "")) for i, u, h in rows}
+    streams = {}
+    for i, (host, main, found) in read.items():
+        streams[i] = host, tuple(w for _, t in found for w in t.split(" "))
+    distinct, having = defaultdict(set), defaultdict(set)
+    for host, every in streams.values():
+        distinct[host].add(every)
+        for p in range(len(every) - H.RUN + 1):
+            having[host, every[p:p + H.RUN]].add(every)
+    out = {}
+    for i, (host, main, found) in read.items():
+        every = streams[i][1]
+        least = max(H.LEAST_STREAMS, math.ceil(len(distinct[host]) * H.SHARE))
+        gone = {q for p in range(len(every) - H.RUN + 1) if len(having[host, every[p:p + H.RUN]]) >= least for q in range(p, p + H.RUN)}
+        own, at = [], 0
+        for zone, t in found:
+            words = t.split(" ")
+            if zone != H.BOILERPLATE:
+                own.append([(w, q in gone) for q, w in enumerate(words, at)])
+            at += len(words)
+        copy = sum(g for b in own for _, g in b) > H.COPY * sum(map(len, own))
+        out[i] = main if main is not None else "\n".join(filter(None, (" ".join(w for w, g in b if copy or not g) for b in own)))
+    return out
+
+
 @pytest.mark.parametrize("n, words, batch", [(60, 2, 10_000), (60, 2, 7), (400, 40, 100)])
-def test_html_shared_runs(spark, n, words, batch):
-    """Runs shared by distinct pages of a host, against a comparison of all pages; with a head that
-    every page has and with heads that only one page repeats, so that intervals cross the sorted ranges."""
+def test_html_whole_path_equals_brute_force(spark, n, words, batch):
+    """Pages with and without articles; a line that every page has, heads that only one page repeats and heads that some
+    share, so that intervals cross the sorted ranges and the batches; copies and repeated rows."""
     rng = random.Random(n * words + batch)
     line = " ".join(f"menu{i}" for i in range(9))
     rows = []
     for i in range(n):
         own = " ".join(f"w{rng.randrange(words)}" for _ in range(rng.randrange(30)))
-        rows.append((i, f"http://h{i % 7 == 0}/{i}", f"<p>{own}</p><div>{line}</div><p>{f'r{i} ' * (200 if i % 20 == 0 else 3)}</p>"))
-    rows += rows[:3]
-    streams = {i: (u.split("/")[2], [t.split() for _, t in H.blocks(h)]) for i, u, h in rows}
-    pages_of = defaultdict(set)
-    for i, (host, found) in streams.items():
-        every = sum(found, [])
-        for p in range(len(every) - H.RUN + 1):
-            pages_of[host, *every[p:p + H.RUN]].add(i)
-    expected = {}
-    for i, (host, found) in streams.items():
-        every, texts, at = sum(found, []), [], 0
-        gone = {q for p in range(len(every) - H.RUN + 1) if len(pages_of[host, *every[p:p + H.RUN]]) > 1 for q in range(p, p + H.RUN)}
-        for block in found:
-            texts.append(" ".join(w for q, w in enumerate(block, at) if q not in gone))
-            at += len(block)
-        expected[i] = "\n".join(filter(None, texts))
+        body = f"<p>{own}</p>" if i % 5 else f"<article><p>{own}</p><div class='share-bar'>{line}</div><p>{line}</p></article>"
+        rows.append((i, f"http://h{i % 7 == 0}/{i}", f"{body}<div>{line}</div><p>{f'r{i} ' * (200 if i % 20 == 0 else 3)}</p>"))
+    rows += rows[:3] + [(n + i, u, h) for i, (_, u, h) in enumerate(rows[:4])]
+    expected = brute_html(rows)
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
         got = H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    assert len(got) == n + 3 and all(r.text == expected[r.page_id] and r.n_chars == len(r.text) for r in got)
+    assert len(got) == len(rows) and all(r.text == expected[r.page_id] and r.n_chars == len(r.text) for r in got)
+    assert any(line not in t for t in expected.values()) and any(line in t for t in expected.values())
 
 
 # language model ------------------------------------------------------------
@@ -281,6 +324,31 @@ def test_ppm(spark, docs, empty, monkeypatch):
     assert ppm.score_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4, 64, 10**9])
+def test_ppm_frequent_pairs_and_long_texts(spark, docs, monkeypatch, hot):
+    """No pair, some and every pair dealt by one symbol more; texts longer than a piece."""
+    monkeypatch.setattr(ppm, "HOT", hot)
+    monkeypatch.setattr(ppm, "BLOCK", 20_000)
+    monkeypatch.setattr(ppm, "CHUNK", 5000)
+    some = docs.filter("doc_id in (1, 4, 10, 11) or doc_id is null")
+    got = sorted([(r.doc_id, r.score) for r in ppm.score_documents(some).collect()], key=str)
+    want = sorted([(b[0], b[5]) for b in brute_ppm(rows_of(some))], key=str)
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-5, abs=1e-4)
+
+
+def test_ppm_triples():
+    import pyarrow as pa
+    texts = [b"ab", b"", b"a\xff\x00"]
+    got = {}
+    for b in ppm._triple_counts([pa.RecordBatch.from_arrays([pa.array([t.decode("latin-1") for t in texts[:2]], pa.string())], names=["t"])]):
+        got |= dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    want = Counter()
+    for t in texts[:2]:
+        sym = [0, 0] + [x + 1 for x in t] + [0]
+        want.update((sym[i - 1] << 18) | (sym[i - 2] << 9) | sym[i] for i in range(2, len(sym)))
+    assert got == dict(want)
+
+
 # archives ------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_path):
     big, small = "<p>é</p>" * 30, "<p>tiny</p>"
@@ -380,6 +448,62 @@ def test_simhash(spark, docs, empty, monkeypatch):
     assert reach == {r.fp for r in near.collect()}
 
 
+def test_posteriors_equal_enumeration():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    k, lengths = 3, np.array([4, 3, 3, 1])
+    model = L.Model(list("abc"), np.zeros((1, k)), {}, rng.normal(size=(k, k)), rng.normal(size=k))
+    scores = rng.normal(size=(lengths.sum(), k))
+    pairs = np.zeros((k, k))
+    got = L.posteriors(scores, lengths, model, pairs)
+    want, near, at = np.zeros_like(scores), np.zeros((k, k)), 0
+    for n in lengths:
+        paths = list(itertools.product(range(k), repeat=int(n)))
+        value = np.array([math.exp(model.start[p[0]] + sum(scores[at + i, y] for i, y in enumerate(p)) + sum(model.transition[a, b] for a, b in zip(p, p[1:]))) for p in paths])
+        value /= value.sum()
+        for p, v in zip(paths, value):
+            for i, y in enumerate(p):
+                want[at + i, y] += v
+            for a, b in zip(p, p[1:]):
+                near[a, b] += v
+        at += n
+    assert np.allclose(got, want) and np.allclose(pairs, near)
+
+
+def test_training_in_parts_equals_training_at_once(monkeypatch):
+    import numpy as np
+    rng = random.Random(1)
+    pieces = [(lang, " ".join("".join(rng.choices(letters, k=5)) for _ in range(60))) for lang, letters in [("a", "abcde"), ("b", "defgh")] * 6]
+    whole = L.train(pieces, rounds=5)
+    monkeypatch.setattr(L, "CELLS", 100)
+    parts = L.train(pieces, rounds=5)
+    assert np.allclose(whole.weights, parts.weights) and np.allclose(whole.transition, parts.transition)
+
+
+def test_training_memory_with_a_hundred_languages():
+    """In a process of its own: 1,000 pieces of 120 words over 100 languages (4,000 take as much)."""
+    import subprocess
+    import sys
+    code = ("import random, resource; from railyard.llm import langid as L; r = random.Random(1);"
+            "words = [[''.join(r.choices('abcdefghijklmnopqrstuvwxyz', k=r.randint(2, 9))) for _ in range(900)] for _ in range(100)];"
+            "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss;"
+            "m = L.train([(f'l{k:03}', ' '.join(r.choices(words[k], k=120))) for k in range(100) for _ in range(10)], rounds=1);"
+            "assert len(m.languages) == 100; print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    used = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, env={**os.environ, "PYTHONPATH": root})
+    assert used.returncode == 0, used.stderr
+    assert int(used.stdout.split()[-1]) < 1000
+
+
+def test_more_languages_than_a_fixed_number(spark):
+    """Every language has a piece in the sample, and all together no more than asked for."""
+    rows = [(i, f"text of language {i % 300}", f"l{i % 300}") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most, low, high in [(900, 1, 3), (100, 1, 1)]:
+        n = {r.lang: r["count"] for r in L.training_pieces(d, "lang", "text", "doc_id", 250, 120, most).groupBy("lang").count().collect()}
+        assert max(n.values()) <= high and sum(n.values()) <= max(most, 300) and len(n) >= 0.6 * 300 * low
+
+
 # fingerprints --------------------------------------------------------------
 def test_fingerprints(spark, docs, empty):
     rows = sorted(rows_of(docs), key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
@@ -406,6 +530,58 @@ def test_near_copies_of_short_texts_share_hashes():
         assert P.likeness(a, b) > 0
 
 
+def brute_winnowed(text, gram, window):
+    """Place and hash of the smallest gram, the rightmost of equal ones, of every window that meets the text."""
+    if not text:
+        return []
+    gram = min(gram, len(text))
+    h = [int(x) for x in P.gram_hashes(P.np.frombuffer(text, P.np.uint8), gram)]
+    kept = set()
+    for start in range(1 - window, len(h)):
+        inside = range(max(0, start), min(len(h), start + window))
+        low = min(h[i] >> 24 for i in inside)
+        kept.add(max(i for i in inside if h[i] >> 24 == low))
+    return [(i, h[i] >> 32) for i in sorted(kept)]
+
+
+@pytest.mark.parametrize("piece", [200, 1 << 20])
+def test_fingerprints_equal_brute_force(monkeypatch, piece):
+    """Texts below a gram, below a window, around two windows and longer than a piece, alone and in groups."""
+    monkeypatch.setattr(P, "PIECE", piece)
+    rng = random.Random(piece)
+    for _ in range(120):
+        texts = [bytes(rng.choices(range(97, 97 + rng.choice([2, 5, 26])), k=rng.choice([0, 1, 7, 8, 9, 15, 22, 23, 24, 45, 46, 47, 199, 400, 900]))) for _ in range(rng.randrange(1, 6))]
+        gram, window = rng.choice([(8, 16), (5, 8), (16, 4)])
+        assert [list(zip(a.tolist(), h.tolist())) for a, h in P.winnowed(texts, gram, window)] == [brute_winnowed(t, gram, window) for t in texts]
+
+
+def test_likenesses_equal_brute_force(spark, docs):
+    rows = sorted(rows_of(docs), key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    keep = lambda t: {h for _, h in brute_winnowed(t.encode(), P.GRAM, P.WINDOW)}
+    like = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    want = Counter()
+    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+        t, n = t or "", n or ""
+        q = len(t) // 4
+        edited, shown = t[:len(t) - q] + n[:q], "".join(f"{h:08x}" for _, h in brute_winnowed(t.encode(), P.GRAM, P.WINDOW))
+        want[i, shown, round(like(keep(t), keep(edited)), 12), round(like(keep(t), keep(n)), 12)] += 1
+    got = P.neighbour_likeness(docs).collect()
+    assert Counter((r.doc_id, r.fingerprint, round(r.near_edited, 12), round(r.near_next, 12)) for r in got) == want
+
+
+def test_likeness_does_not_jump_at_any_length():
+    """Mean likeness of a text and its edited form by length: no two neighbouring lengths differ much."""
+    rng, means = random.Random(3), []
+    for n in range(30, 70, 4):
+        total = 0
+        for _ in range(200):
+            text, other = (bytes(rng.choices(range(97, 123), k=n)) for _ in range(2))
+            (_, a), (_, b) = P.winnowed([text, text[:n - n // 4] + other[:n // 4]])
+            total += P.likeness(a, b)
+        means.append(total / 200)
+    assert min(means) > 0.3 and max(abs(a - b) for a, b in zip(means, means[1:])) < 0.1
+
+
 def test_winnowing_guarantee():
     import random
     random.seed(5)
@@ -430,3 +606,30 @@ def test_pipeline_stages(spark):
     assert cp.mixture(spark, out, SF).count() > 0
     for _, stage in cp.STAGES:
         assert stage(spark, docs.filter("false"), SF).count() == 0
+
+
+def test_pipeline_odd_rows(spark, docs, tmp_path):
+    """Nulls, ties, repeated rows and clashing columns through every stage; genuine replacement characters stay."""
+    import corpus_pipeline as cp
+    mark = spark.createDataFrame([(50, "a genuine \uFFFD mark in words " + "\u00e9t\u00e9 \u6f22 " * 40, "fr", "a", 1, 1, "k", None)], docs.schema)
+    cut = spark.createDataFrame([(51, "x \uFFFD\u00e9" + "\u00e9t\u00e9 \u6f22 " * 40 + "\u6f22\uFFFD own end", "fr", "a", 1, 1, "k", None)], docs.schema)
+    every = docs.unionByName(mark).unionByName(cut)
+    out = every
+    for name, stage in cp.STAGES[:-1]:
+        out = spark.createDataFrame(stage(spark, out, SF).collect(), docs.schema)
+        assert out.dtypes == docs.dtypes, name
+    kept = {r.doc_id: r.text for r in out.collect()}
+    assert "genuine \uFFFD mark" in kept[50] and kept[51].count("\uFFFD") == 2
+    assert 2 not in kept and 3 not in kept and 6 not in kept           # no letters
+    assert sorted(r.doc_id for r in cp.near_duplicates(spark, every, SF).collect() if r.doc_id in (4, 7)) == [4, 7]
+    assert cp.mixture(spark, out, SF).count() > 0
+
+
+def test_pipeline_run(spark, tmp_path):
+    """``run`` writes and rereads every stage and returns what the stages return in turn."""
+    import corpus_pipeline as cp
+    got = cp.run(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in cp.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs, SF).schema)
+    assert Counter(map(str, got.collect())) == Counter(map(str, docs.collect()))

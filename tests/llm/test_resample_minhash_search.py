@@ -208,7 +208,7 @@ def test_search_many_shards_blocks_and_item_groups(spark, tmp_path, monkeypatch)
     asked = [(i, " ".join(rng.choices(vocabulary, k=12))) for i in range(20)] + [(99, "t1 t2 t3")]
     monkeypatch.setattr(R, "ITEMS_PER_GROUP", 8)
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    index = R.build_index(d, str(tmp_path / "index"), shard_bytes=40_000)
+    index = R.build_index(d, str(tmp_path / "index"), shard_bytes=8_000)
     assert index.filter("term is null").count() > 4
     got = R.search(index, spark.createDataFrame(asked, "item_id long, text string"), k=10)
     assert ranks(got) == brute_search(rows, asked, 10)
