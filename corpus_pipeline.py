@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from railyard.llm.common import rows_with, rows_without, sized
 from railyard.llm.decontaminate import decontaminate
 from railyard.llm.langid import fit, identify
 from railyard.llm.mixing import curriculum_mix, in_training_order
@@ -21,20 +22,15 @@ from railyard.llm.simhash import simhash_near_dedup
 from railyard.llm.suffix_dedup import document_key, suffix_array_dedup
 from railyard.session import scratch_path
 
-# a document whose best language has less than this mean probability is rejected, and one without letters
-MIN_LANGUAGE_SCORE = 0.25
-
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", document_key())
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognised language; ``und`` and very unsure ones go."""
-    keyed = _keyed(docs)
-    found = identify(keyed, fit(docs), id_col="_key")
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(F.col("doc_id").alias("_key"))
-    return keyed.join(kept.distinct(), "_key", "left_semi").select(*docs.columns)
+    """Documents in a recognised language; those that get ``und`` (no letters) go."""
+    found = identify(docs, fit(docs), carry=docs.columns)
+    return found.filter(F.col("lang_pred") != "und").select(*[F.col("carried")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,22 +38,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
     keyed = _keyed(docs)
     found = simhash_near_dedup(keyed.withColumn("_who", who), id_col="_who", shingle=4, max_bits=4)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.key").alias("_key")).distinct()
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    # the few rows that go, or that are repeated, are joined to the texts; the many that stay need not move
+    of_key = found.groupBy(F.col("doc_id.key").alias("_key")).agg(
+        F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")).filter("NOT first OR n > 1")
+    of_key = sized(of_key, "near-duplicates")
+    once = rows_without(keyed, of_key, "_key")
+    again = of_key.filter("first").select("_key")
+    again = rows_with(keyed, again, "_key").join(again, "_key", "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that start earlier; a document of which nothing is left goes.
-    Bytes of a character that a cut has split are left out."""
+    Characters that a cut has split are left out."""
     others = [c for c in docs.columns if c != "text"]
-    found = suffix_array_dedup(docs, length=100, carry=others).filter((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
-    cut = F.col("n_removed") > 0
-    whole = F.col("kept").cast("string")
-    text = F.when(cut, F.regexp_replace(F.make_valid_utf8(whole), "\uFFFD", "")).otherwise(whole)
-    found = found.withColumn("_text", text)
-    new = {"text": F.col("_text")}
+    found = suffix_array_dedup(docs, length=100, carry=others, whole_characters=True)
+    found = found.filter((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
+    new = {"text": F.col("kept")}
     if "n_chars" in others:
-        new["n_chars"] = F.when(cut, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("carried.n_chars"))
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("carried.n_chars"))
     return found.select(*[new.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
@@ -65,7 +64,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that share no window of ten words with the benchmark."""
     keyed = _keyed(docs)
     found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key")
-    return keyed.join(found.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*docs.columns)
+    hit = sized(found.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return rows_without(keyed, hit, "_key").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
