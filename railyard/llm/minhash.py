@@ -26,24 +26,27 @@ misses with a probability below ``MISS``.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from railyard.llm.common import checkpointed, connected_components
+from railyard.llm.common import checkpointed, connected_components, rows_with, sized
 from railyard.llm.words import slices, words
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 COORDINATES = 64
+# bytes kept of a coordinate's value; the first alone is compared inside a list
+PLANES = 5
 # chance that a pair exactly at the similarity limit agrees in fewer coordinates than asked for
 MISS = 1e-5
 # coordinates in which a skipped member may differ from its leader
-NEAR = 5
+NEAR = 3
 # parts of a posting list that are merged on their own first
 PARTS = 8
-# members of a group compared with all others in the first round; later rounds take four times as many
+# members of a group compared with all others in the first round; later rounds take eight times as many
 PIVOTS = 16
 
 _GOLDEN, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -92,6 +95,13 @@ def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray,
     return row[new], h[new], w.rows
 
 
+def _fixed(values: np.ndarray) -> pa.Array:
+    """A binary value per row of a matrix of bytes."""
+    rows, width = values.shape
+    ends = pa.py_buffer((np.arange(rows + 1) * width).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), rows, [None, ends, pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _signed(shingle):
     def run(batches):
         for b in batches:
@@ -106,22 +116,20 @@ def _signed(shingle):
                     key[full, 1] = np.add.reduceat(_mix(h + _GOLDEN), starts)
                     for c, factor in enumerate(_FACTORS):
                         minima[full, c] = np.minimum.reduceat(h * factor, starts)
-                    minima = _mix(minima + _FACTORS)
-                signature = pa.FixedSizeBinaryArray.from_buffers(
-                    pa.binary(COORDINATES), rows, [None, pa.py_buffer(minima.astype(np.uint8).tobytes())]).cast(pa.binary())
-                keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), rows, [None, pa.py_buffer(key.tobytes())]).cast(pa.binary())
-                values = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * COORDINATES), pa.array(minima.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(n.astype(np.int64)), keys, signature, values],
-                                                 names=["id", "text_key", "n", "key", "signature", "coords"])
+                    minima = _mix(minima)
+                planes = minima[..., None].view(np.uint8).swapaxes(1, 2)[:, :PLANES].reshape(rows, -1)
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(n.astype(np.int64)), _fixed(key.view(np.uint8)), _fixed(planes)],
+                                                 names=["id", "text_key", "n", "key", "signature"])
     return run
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2) -> DataFrame:
-    """``id, text_key, n, key, signature, coords``: size and key of each row's set, a byte and a value per coordinate."""
+    """``id, text_key, n, key, signature``: size and key of each row's set, and ``PLANES`` bytes of its value in every
+    coordinate, first bytes first."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     d = d.withColumn("k", F.unhex(F.md5(F.coalesce("t", F.lit("")))))
     kind = d.schema["id"].dataType.simpleString()
-    return d.mapInArrow(_signed(shingle), f"id {kind}, text_key binary, n bigint, key binary, signature binary, coords array<bigint>")
+    return d.mapInArrow(_signed(shingle), f"id {kind}, text_key binary, n bigint, key binary, signature binary")
 
 
 # --- candidate groups --------------------------------------------------------
@@ -145,8 +153,8 @@ def _merged(near):
         def out(rows):
             if rows:
                 t, a, s, o = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(a, pa.binary()), pa.array(s, pa.binary()), pa.array(o, pa.binary())],
-                                                 names=["value", "key", "signature", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(a, pa.int64()), pa.array(s, pa.binary()), pa.array(o, pa.int64())],
+                                                 names=["value", "node", "signature", "other"])
         rows, names, leaders = [], [], np.empty((0, COORDINATES), np.uint8)
         for value, keys, sigs, goes_on in _lists(batches):
             if not goes_on:
@@ -192,7 +200,7 @@ def _grown(most):
         def out(found):
             if found:
                 a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         keys, sigs, found = [], [], []
         for _, more, sig, goes_on in _lists(batches):
             if not goes_on:
@@ -209,21 +217,35 @@ def _grown(most):
     return run
 
 
+def _posted(batches):
+    """``value, node`` of every coordinate-value pair of a class."""
+    at = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
+    for b in batches:
+        for start in range(0, b.num_rows, 4096):
+            s = b.slice(start, 4096)
+            planes = np.frombuffer(b"".join(s.column(1).to_pylist()), np.uint8).reshape(s.num_rows, PLANES, COORDINATES).astype(np.uint64)
+            value = at + sum(planes[:, i] << np.uint64(8 * i) for i in range(PLANES))
+            node = np.repeat(s.column(0).to_numpy(), COORDINATES)
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(value).view(np.int64).ravel()), pa.array(node)], names=["value", "node"])
+
+
 def candidate_links(classes: DataFrame, matches: int) -> DataFrame:
     """``a, b``: links whose components hold every pair of ``classes`` that agrees in ``matches`` coordinates."""
-    posted = classes.select("key", F.explode("coords").alias("value"))
-    common = posted.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    held = posted.join(common, "value").groupBy("key").agg(F.collect_list(F.struct("n", "value")).alias("values"))
+    posted = classes.select("node", "signature").mapInArrow(_posted, "value bigint, node bigint")
+    # one exchange by value: lists of one class end here
+    common = posted.withColumn("n", F.count("*").over(Window.partitionBy("value"))).filter("n > 1")
+    held = common.groupBy("node").agg(F.collect_list(F.struct("n", "value")).alias("values")).filter(F.size("values") >= matches)
     # of the values that are left, all but the ``matches - 1`` most common
     prefix = F.slice(F.array_sort("values"), F.lit(1), F.size("values") - (matches - 1))
-    held = held.filter(F.size("values") >= matches).select("key", F.transform(prefix, lambda x: x["value"]).alias("values"))
-    postings = held.join(classes.select("key", "signature"), "key").select(F.explode("values").alias("value"), "key", "signature")
-    part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
-    parts = postings.repartition("value", part).sortWithinPartitions("value").select("value", "key", "signature")
-    merged = checkpointed(parts.mapInArrow(_merged(NEAR), "value bigint, key binary, signature binary, other binary"))
-    skipped = merged.filter("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b"))
-    leaders = merged.filter("other IS NULL").repartition("value").sortWithinPartitions("value").select("value", "key", "signature")
-    between = leaders.mapInArrow(_grown(COORDINATES - matches + 2 * NEAR), "a binary, b binary")
+    held = held.select("node", F.transform(prefix, lambda x: x["value"]).alias("values"))
+    short = classes.select("node", F.substring("signature", 1, COORDINATES).alias("signature"))
+    postings = held.join(short, "node").select(F.explode("values").alias("value"), "node", "signature")
+    part = F.pmod(F.xxhash64("node"), F.lit(PARTS))
+    parts = postings.repartition("value", part).sortWithinPartitions("value").select("value", "node", "signature")
+    merged = checkpointed(parts.mapInArrow(_merged(NEAR), "value bigint, node bigint, signature binary, other bigint"))
+    skipped = merged.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    leaders = merged.filter("other IS NULL").repartition("value").sortWithinPartitions("value").select("value", "node", "signature")
+    between = leaders.mapInArrow(_grown(COORDINATES - matches + 2 * NEAR), "a bigint, b bigint")
     return skipped.unionByName(between).distinct()
 
 
@@ -235,40 +257,44 @@ def _sets(shingle):
                 row, h, rows = shingle_sets(s.column(2), shingle)
                 ends = np.append(0, np.cumsum(np.bincount(row, minlength=rows))).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), values], names=["key", "grp", "members"])
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), values], names=["node", "grp", "members"])
     return run
 
 
-def confirmed_links(groups: DataFrame, percent: int) -> DataFrame | None:
-    """Links ``a, b`` that span the components of sets with ``percent`` similarity inside each group.
+def confirmed_components(groups: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` of the sets that links of ``percent`` similarity connect inside their group.
 
-    ``groups`` has ``key, grp, members`` (the set).  None if there are none.
+    ``groups`` has ``node, grp, members`` (the set); a node without a link is its own component.
     """
-    groups = checkpointed(groups.withColumn("n", F.size("members")))
-    labels = groups.select("key", "grp", F.col("key").alias("component"))
-    done = found = None
-    pivots = PIVOTS
+    closed, pivots = [], PIVOTS
+    labels = groups.select("node", "grp", F.col("node").alias("component"), F.lit(False).alias("done"))
     while True:
-        sizes = labels.groupBy("grp", "component").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-        left = labels.join(largest, "grp").filter("component != largest").select("key", "grp")
-        if done is not None:
-            left = left.join(done, "key", "left_anti")
-        place = F.row_number().over(Window.partitionBy("grp").orderBy("key"))
-        chosen = checkpointed(left.withColumn("place", place).filter(F.col("place") <= pivots).select("key", "grp"))
-        if chosen.isEmpty():
-            return found
-        done = chosen.select("key") if done is None else done.unionByName(chosen.select("key"))
-        p = groups.join(chosen.select("key"), "key", "left_semi").select(
-            "grp", F.col("key").alias("b"), F.col("members").alias("other"), F.col("n").alias("m"))
-        pairs = groups.select("grp", F.col("key").alias("a"), "members", "n").join(p, "grp").filter("a != b")
+        # a group goes on while a node outside its largest component has not been compared with all others
+        sizes = labels.groupBy("grp", "component").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("left"))
+        states = sizes.groupBy("grp").agg(F.max_by(F.struct("component", "left"), F.struct("n", "component")).alias("top"), F.sum("left").alias("left"))
+        states = checkpointed(states.select("grp", F.col("top.component").alias("largest"), (F.col("left") > F.col("top.left")).alias("goes_on")))
+        going = states.filter("goes_on").select("grp", "largest")
+        closed.append(labels.join(states.filter("NOT goes_on").select("grp"), "grp", "left_semi").select("node", "component"))
+        if going.isEmpty():
+            return reduce(DataFrame.unionByName, closed)
+        labels = labels.join(going, "grp")
+        place = F.row_number().over(Window.partitionBy("grp").orderBy("node"))
+        chosen = labels.filter("component != largest AND NOT done").withColumn("place", place).filter(F.col("place") <= pivots)
+        chosen = checkpointed(chosen.select("node", F.lit(True).alias("now")))
+        # one exchange by group serves the members and the pivots; the sets of groups that are done stay where they are,
+        # and a node that the filter takes for a pivot is compared as one, which does no harm
+        opened = rows_with(groups, going, "grp").withColumn("n", F.size("members")).repartition("grp")
+        p = rows_with(opened, chosen, "node").select("grp", F.col("node").alias("b"), F.col("members").alias("other"), F.col("n").alias("m"))
+        pairs = opened.select("grp", F.col("node").alias("a"), "members", "n").join(p, "grp").filter("a != b")
         pairs = pairs.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
         shared = F.size(F.array_intersect("members", "other"))
         new = pairs.filter(100 * shared >= percent * (F.col("n") + F.col("m") - shared)).select("a", "b")
-        found = checkpointed(new if found is None else found.unionByName(new))
-        comp = connected_components(found).withColumnRenamed("node", "key")
-        labels = groups.select("key", "grp").join(comp, "key", "left").select("key", "grp", F.coalesce("component", "key").alias("component"))
-        pivots *= 4
+        # what was one component stays one
+        known = labels.filter("component != node").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        comp = connected_components(new.unionByName(known))
+        labels = checkpointed(labels.select("node", "grp", "done").join(comp, "node", "left").join(chosen, "node", "left")
+                                    .select("node", "grp", F.coalesce("component", "node").alias("component"), (F.col("done") | F.col("now").isNotNull()).alias("done")))
+        pivots *= 8
 
 
 def minhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, percent: int = 80) -> DataFrame:
@@ -282,25 +308,24 @@ def minhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     matches = least_matches(percent)
     rows = checkpointed(signatures(docs, id_col, text_col, shingle))
-    one = F.min_by(F.struct("id", "text_key", "signature", "coords"), F.struct(F.col("id").isNull(), "id", "text_key"))
+    one = F.min_by(F.struct("id", "text_key", "signature"), F.struct(F.col("id").isNull(), "id", "text_key"))
     classes = rows.filter("n > 0").groupBy("key").agg(one.alias("one"))
-    classes = checkpointed(classes.select("key", "one.*"))
-    comp = checkpointed(connected_components(candidate_links(classes, matches)).select(F.col("node").alias("key"), F.col("component").alias("grp")))
-    # the whole sets of one text of every class in a group
-    chosen = classes.join(comp, "key").select("key", "grp", F.col("id").alias("_id"), F.col("text_key").alias("_text"))
+    # the numbers are read back from the checkpoint, so they are the same for every later step
+    classes = checkpointed(classes.select("key", "one.*", F.monotonically_increasing_id().alias("node")))
+    groups = connected_components(candidate_links(classes, matches)).select("node", F.col("component").alias("grp"))
+    # the whole sets of one text of every class in a group; written, so that its size is known when texts are joined to it
+    chosen = classes.select("node", F.col("id").alias("_id"), F.col("text_key").alias("_text")).join(groups, "node")
+    chosen = sized(chosen, "minhash-classes")
     texts = docs.select(F.col(id_col).alias("_of"), F.col(text_col).cast("string").alias("t")).withColumn("k", F.unhex(F.md5(F.coalesce("t", F.lit("")))))
-    texts = texts.join(chosen, (F.col("k") == F.col("_text")) & F.col("_of").eqNullSafe(F.col("_id"))).dropDuplicates(["key"])
-    sets = texts.select("key", "grp", "t").mapInArrow(_sets(shingle), "key binary, grp binary, members array<bigint>")
-    links = confirmed_links(sets, percent)
-    own = rows.select("id", "n", "key")
-    if links is None:
-        label = own.withColumn("component", F.col("key"))
-    else:
-        of_key = connected_components(links).withColumnRenamed("node", "key")
-        label = own.join(of_key, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    some, none = label.filter("n > 0"), label.filter("n = 0")
-    lowest = some.groupBy("component").agg(F.min("id").alias("component_id"))
-    some = some.join(lowest, "component").select("id", "n", "component_id")
-    whole = some.unionByName(none.select("id", "n", F.col("id").alias("component_id")))
+    # few texts have a candidate: the others are left where they are
+    texts = rows_with(texts, chosen.select(F.col("_text").alias("k")), "k")
+    texts = texts.join(chosen, (F.col("k") == F.col("_text")) & F.col("_of").eqNullSafe(F.col("_id"))).dropDuplicates(["node"])
+    sets = checkpointed(texts.select("node", "grp", "t").mapInArrow(_sets(shingle), "node bigint, grp bigint, members array<bigint>"))
+    comp = classes.select("key", "node", "id").join(confirmed_components(sets, percent), "node", "left")
+    comp = comp.select("key", "id", F.coalesce("component", "node").alias("component"))
+    lowest = comp.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_key = comp.join(lowest, "component").select("key", "component_id")
+    some = rows.filter("n > 0").select("id", "n", "key").join(of_key, "key").select("id", "n", "component_id")
+    whole = some.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return whole.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
                         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
