@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from railyard.llm.common import rows_with, sized
-from railyard.llm.words import slices, words
+from railyard.llm.words import SLICE_BYTES, slices, words
 from railyard.session import scratch_path
 
 # a-z, A-Z, 0-9 and everything beyond ASCII are term characters
@@ -132,7 +132,7 @@ def _indexed(id_type, shard_bytes):
             texts = pa.concat_arrays([pc.fill_null(h.column(1), "") for h in held])
             return _shard_rows(f"{task}-{count}", ids, texts, schema)
         for b in batches:
-            for s in slices(b, 1):
+            for s in slices(b, 1, min(SLICE_BYTES, shard_bytes)):
                 more = pc.sum(pc.binary_length(s.column(1))).as_py() or 0
                 if held and size + more > shard_bytes:
                     yield from flush()
