@@ -313,47 +313,46 @@ _Missing = Row(*MISSING_SCHEMA.names)
 
 
 class _Gap(StatefulProcessor):
-    """First answered poll of a job that had no observation, while the job is monitored."""
+    """First answered poll of a job that had no observation, while the job is monitored.
+
+    Rows are closed periods, so a trigger brings all that are due and none is older than those of the trigger before.
+    """
 
     def __init__(self, tombstone_s: int):
         self.tombstone_ms = tombstone_s * 1000
 
     def init(self, handle) -> None:
         self.handle = handle
-        # answered polls that the watermark has not passed, by period
-        self.open = handle.getMapState("open", "at_us long", "seen boolean, event_id long, status string, ended boolean")
-        self.last = handle.getValueState("last", "event_id long, status string")
-        self.over = handle.getValueState("over", "until_ms long")
+        # the last record, or the time until which a job that is no longer watched stays ignored
+        self.job = handle.getValueState("job", "event_id long, status string, until_ms long")
 
     def handleInputRows(self, key, rows, timerValues):
-        over = self.over.exists()
-        for r in rows:
-            if not over:
-                self.open.updateValue((r.at_us,), (r.seen, r.event_id, r.status, r.ended))
-                self.handle.registerTimer(r.at_us // 1000)
-        return iter(())
+        before = st = self.job.get()
+        for r in sorted(rows, key=lambda r: r.at_us):
+            at_ms = r.at_us // 1000
+            if st and st[2] is not None:
+                if at_ms <= st[2]:
+                    continue
+                st = None
+            if r.seen:
+                st = (r.event_id, r.status, None)
+            elif st:
+                yield _Missing(key[0], r.at_us, st[0], st[1], False)
+            if r.ended or (st and not r.seen):
+                # a job that has ended, or was reported, is no longer watched
+                st = (None, None, at_ms + self.tombstone_ms)
+        if st and st != before:
+            self.job.update(st)
+            if st[2] is not None:
+                self.handle.registerTimer(st[2])
+        elif before and not st:
+            self.job.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        # periods end one microsecond before a full one, timers are in milliseconds and come in time order
-        at = expiredTimerInfo.getExpiryTimeInMs() * 1000 + 999
-        if not self.open.containsKey((at,)):
-            if self.over.exists() and self.over.get()[0] == expiredTimerInfo.getExpiryTimeInMs():
-                self.over.clear()
-            return
-        seen, event_id, status, ended = self.open.getValue((at,))
-        self.open.removeKey((at,))
-        if self.over.exists():
-            return
-        if seen:
-            self.last.update((event_id, status))
-        elif self.last.exists():
-            yield _Missing(key[0], at, *self.last.get(), False)
-        if ended or (not seen and self.last.exists()):
-            # a job that has ended, or was reported, is no longer watched
-            until = at // 1000 + self.tombstone_ms
-            self.over.update((until,))
-            self.last.clear()
-            self.handle.registerTimer(until)
+        st = self.job.get()
+        if st and st[2] == expiredTimerInfo.getExpiryTimeInMs():
+            self.job.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -367,20 +366,21 @@ def missing_feed(polls: DataFrame, observations: DataFrame, period: str = "1 hou
     the first answered poll after its first observation in whose period it was
     not observed.  A poll that failed says nothing, and neither does a period
     in which the job was not polled.  A job that has reached a terminal status
-    is no longer monitored; its name is ignored for ``tombstone_s`` seconds more.  Polls and the observations of a period meet in a
-    watermarked outer join; the last period is settled when the watermark of
-    both sides has passed it.
+    is no longer monitored; its name is ignored for ``tombstone_s`` seconds more.  Polls and the observations of a period meet in one
+    watermarked aggregation; the last period is settled when the watermark of
+    both sides has passed it.  A job's state is one row, however many polls it has.
     """
-    end = F.window("period", period)
     polls = polls.withWatermark("period", watermark).filter(_behind_watermark("period", (F.col("job_name") != HEARTBEAT) & F.col("answered")))
-    polls = polls.groupBy("job_name", end).agg(F.count("*").alias("n_polls")).select("job_name", F.window_time("window").alias("at"))
-    c = _watched(observations, watermark)
-    last = F.max_by(F.struct("event_id", "status"), F.struct("ts", "event_id"))
-    seen = c.groupBy("job_name", F.window("ts", period)).agg(last.alias("s"), F.bool_or(F.col("status").isin(*TERMINAL)).alias("ended"))
-    seen = seen.select(F.col("job_name").alias("o_job"), F.window_time("window").alias("o_at"), "s.event_id", "s.status", "ended")
-    met = polls.join(seen, (F.col("job_name") == F.col("o_job")) & (F.col("at") == F.col("o_at")), "leftOuter")
-    met = met.select("job_name", "at", F.unix_micros("at").alias("at_us"), F.col("o_job").isNotNull().alias("seen"), "event_id", "status",
-                     F.coalesce("ended", F.lit(False)).alias("ended"))
+    polls = polls.select("job_name", F.col("period").alias("ts"), F.lit(True).alias("polled"), F.lit(None).cast("long").alias("event_id"),
+                         F.lit(None).cast("string").alias("status"))
+    seen = _watched(observations, watermark).select("job_name", "ts", F.lit(False).alias("polled"), "event_id", "status")
+    sighted = ~F.col("polled")
+    last = F.max_by(F.struct("event_id", "status"), F.when(sighted, F.struct("ts", "event_id")))
+    met = polls.unionByName(seen).groupBy("job_name", F.window("ts", period)).agg(
+        F.bool_or("polled").alias("polled"), F.bool_or(sighted).alias("seen"), last.alias("s"),
+        F.coalesce(F.bool_or(sighted & F.col("status").isin(*TERMINAL)), F.lit(False)).alias("ended"))
+    met = met.filter("polled").select("job_name", F.window_time("window").alias("at"), "seen", "s.event_id", "s.status", "ended")
+    met = met.withColumn("at_us", F.unix_micros("at"))
     out = met.groupBy("job_name").transformWithState(_Gap(tombstone_s), MISSING_SCHEMA, "append", "eventtime")
     start = F.window(F.timestamp_micros("missing_at_us"), period)["start"]
     return out.select("job_name", start.alias("missing_at"), "event_id", "status", "monitoring")
