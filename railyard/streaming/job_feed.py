@@ -149,7 +149,8 @@ _Record = Row(*FEED_SCHEMA.names)
 class _Monitor(StatefulProcessor):
     """What is reported of one job; see ``change_feed``."""
 
-    STATE = "status string, active int, succeeded int, failed int, completion_us long, monitoring boolean, remove_at_us long"
+    # one value, as every call to the store is a round trip; of a job whose retention is over only ``gone_us`` is set
+    STATE = "status string, active int, succeeded int, failed int, completion_us long, monitoring boolean, remove_at_us long, gone_us long"
 
     def __init__(self, retention_s: int, tombstone_s: int):
         self.retention_us, self.tombstone_us = retention_s * 1_000_000, tombstone_s * 1_000_000
@@ -157,13 +158,12 @@ class _Monitor(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.job = handle.getValueState("job", self.STATE)
-        self.gone = handle.getValueState("gone", "until_us long")
 
     def handleInputRows(self, key, rows, timerValues):
-        points = sorted(rows, key=lambda r: (r.ts_us, r.event_id))
-        if self.gone.exists():
+        st = self.job.get()
+        if st and st[7] is not None:
             return
-        st = self.job.get() if self.job.exists() else None
+        points = sorted(rows, key=lambda r: (r.ts_us, r.event_id))
         fields, monitoring, remove_at = (tuple(st[:5]), st[5], st[6]) if st else (None, True, None)
         for r in points:
             if remove_at is not None and r.ts_us > remove_at:
@@ -181,17 +181,19 @@ class _Monitor(StatefulProcessor):
                     self.handle.registerTimer(remove_at // 1000 + 1)
             elif changed:
                 monitoring = True
-        self.job.update((*fields, monitoring, remove_at))
+        now = (*fields, monitoring, remove_at, None)
+        if st is None or now != tuple(st):
+            self.job.update(now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.job.exists():
+        st = self.job.get()
+        if st and st[7] is None:
             # the retention is over: only the name stays, so that what comes later does not start it anew
-            until = self.job.get()[6] + self.tombstone_us
-            self.job.clear()
-            self.gone.update((until,))
+            until = st[6] + self.tombstone_us
+            self.job.update((None,) * 7 + (until,))
             self.handle.registerTimer(until // 1000 + 1)
         else:
-            self.gone.clear()
+            self.job.clear()
         return iter(())
 
     def close(self) -> None:

@@ -71,6 +71,20 @@ def test_a_job_costs_no_call_per_poll():
     assert handle.value[2] == (31 * 3_600_000_000 - 1) // 1000 + 86_400_000
 
 
+def test_an_unchanged_job_costs_one_call():
+    def point(ts, status="Running"):
+        return Row(ts_us=ts, event_id=ts, status=status, active=1, succeeded=0, failed=0, completion_us=None)
+    processor = _Monitor(30, 86400)
+    out, handle = _run(processor, [point(1), point(2)])
+    assert len(out) == 1 and handle.calls == 2
+    assert list(processor.handleInputRows(("j",), iter([point(3)]), None)) == [] and handle.calls == 3
+    assert len(list(processor.handleInputRows(("j",), iter([point(4, "Succeeded")]), None))) == 2
+    assert list(processor.handleExpiredTimer(("j",), None, None)) == [] and handle.value[:7] == (None,) * 7
+    assert list(processor.handleInputRows(("j",), iter([point(5)]), None)) == []
+    list(processor.handleExpiredTimer(("j",), None, None))
+    assert handle.value is None
+
+
 @pytest.fixture
 def lines(spark, tmp_path):
     """Line items of which some pairs of order and line repeat, and customers."""
