@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from railyard.functions.enums import enum_at
 from railyard.functions.refs import padded_ref
-from railyard.sources.tables import DomainTables
+from railyard.sources.tables import DomainTables, tasks_for
 
 EPOCH = "1990-01-01"          # day 0 of trip service dates
 ROUTES = 25                   # trips: route = partkey % 25
@@ -209,16 +209,33 @@ class StarAdapter(DomainTables):
             _ts(F.col("l_shipdate")).alias("created_at"),
         )
 
-    def _ticket_lines(self):
+    def _ticket_lines(self, tasks: tuple = ()):
         """One row per (order, line): the pair is not unique in lineitem, so every
-        other column is reduced with ``min`` (partial aggregation before the shuffle)."""
-        li = self.src("lineitem")
-        return li.groupBy("l_orderkey", "l_linenumber").agg(
+        other column is reduced with ``min``.  Few pairs repeat, so the rows are exchanged as they are:
+        a partial aggregation would hold a map of nearly all rows of its split."""
+        li = self.src("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+        return li.repartition(*tasks, "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(
             F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"),
             F.min("l_extendedprice").alias("ep"), F.min("l_shipdate").alias("sd"))
 
     def _tickets(self):
-        g = self._ticket_lines()
+        return self._ticket_columns(self._ticket_lines())
+
+    def narrow(self, name: str):
+        """For a table stored in an order: the rows its columns are computed from, with the column of that order,
+        the computation, and the number of tasks to exchange them by; None for other tables."""
+        if name != "tickets":
+            return None
+        tasks = tasks_for(self.spark, self.src("lineitem").count())
+        lines = self._ticket_lines(tasks).withColumn("issued_at", self._issued_at())
+        return lines, self._ticket_columns, tasks
+
+    @staticmethod
+    def _issued_at() -> Column:
+        return _ts(F.col("sd")) + F.make_dt_interval(hours=(F.col("l_orderkey") % 24).cast("int"))
+
+    def _ticket_columns(self, g: DataFrame, *kept: str) -> DataFrame:
+        """The columns of tickets from their lines, and ``kept`` ones of these."""
         nc = self.src("customer").select(F.count(F.lit(1))).scalar()
         ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
         tid = ok * 10 + ln
@@ -234,10 +251,11 @@ class StarAdapter(DomainTables):
             F.col("ep").cast("decimal(12,2)").alias("price"),
             _null("string").alias("currency"),
             enum_at(tid, "ticket_status").alias("status"),
-            (_ts(F.col("sd")) + F.make_dt_interval(hours=(ok % 24).cast("int"))).alias("issued_at"),
+            self._issued_at().alias("issued_at"),
             _null("timestamp").alias("cancelled_at"),
             _null("timestamp").alias("checked_in_at"),
             _null("string").alias("notes"),
+            *kept,
         )
 
     def _trips(self):

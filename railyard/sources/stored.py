@@ -52,8 +52,13 @@ def fingerprint(spark, folder: str) -> str:
     return hashlib.sha1(repr(items).encode()).hexdigest()[:16]
 
 
-def write_table(df: DataFrame, name: str, path: str) -> None:
-    """Write one domain table in the stored layout (see module doc)."""
+def write_table(df: DataFrame, name: str, path: str, columns=None, tasks: tuple = ()) -> None:
+    """Write one domain table in the stored layout (see module doc).
+
+    With ``columns`` the rows of ``df`` are what the table is computed from: they
+    are put in order first, so that the exchange and the sort carry these few
+    columns, and ``columns(rows, *kept)`` makes the table's after that.
+    """
     if name in PARTITIONING:
         # Range-partition on (month, time): each task covers a contiguous
         # slice of time, so a month gets a few large files (a busy month is
@@ -61,8 +66,9 @@ def write_table(df: DataFrame, name: str, path: str) -> None:
         # time inside each file, which keeps row-group min/max tight for
         # the pushed issued_at range.
         col, expr, cluster = PARTITIONING[name]
-        w = (df.withColumn(col, expr(df)).repartitionByRange(col, cluster)
+        w = (df.withColumn(col, expr(df)).repartitionByRange(*tasks, col, cluster)
                .sortWithinPartitions(col, cluster))
+        w = columns(w, col) if columns else w
         w.write.mode("overwrite").partitionBy(col).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
@@ -88,7 +94,12 @@ class StoredDomain(DomainTables):
         path = self._stored(name)
         if path is None:
             path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-            write_table(self._derive(name), name, path)
+            narrow = self.source.narrow(name) if name not in self.extra and hasattr(self.source, "narrow") else None
+            if narrow:
+                rows, columns, tasks = narrow
+                write_table(rows, name, path, columns, tasks)
+            else:
+                write_table(self._derive(name), name, path)
         return self.spark.read.parquet(path)
 
 

@@ -14,6 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from railyard import schemas
 
 
+# rows that a task of an exchange sorts or aggregates at a time without spilling
+ROWS_A_TASK = 1_000_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> tuple[int, ...]:
+    """Number of tasks to exchange ``rows`` by, as arguments of ``repartition``; none if the session's number does,
+    which adaptive execution may then lower."""
+    least = -(-rows // ROWS_A_TASK)
+    return (least,) if least > int(spark.conf.get("spark.sql.shuffle.partitions")) else ()
+
+
 class DomainTables:
     """Lazy, memoised mapping from domain table name to DataFrame."""
 

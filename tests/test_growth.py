@@ -94,3 +94,20 @@ def lines(spark, tmp_path):
          .write.parquet(str(tmp_path / "lineitem.parquet"))
     spark.range(11).write.parquet(str(tmp_path / "customer.parquet"))
     return StarAdapter(spark, str(tmp_path))
+
+
+def test_tickets_are_put_in_order_before_their_columns_are_made(spark, lines, tmp_path, monkeypatch):
+    rows, columns, tasks = lines.narrow("tickets")
+    assert len(rows.columns) == 7 and tasks == () and lines.narrow("bookings") is None
+    plain = lines["tickets"]
+    kept = stored.StoredDomain(lines, str(tmp_path / "dom"))["tickets"]
+    assert kept.columns == [*plain.columns, "issue_month"] and kept.count() == 79 * 7
+    assert sorted(map(repr, kept.drop("issue_month").collect())) == sorted(map(repr, plain.collect()))
+    assert kept.filter(F.date_format("issued_at", "yyyy-MM") != F.col("issue_month")).count() == 0
+    # one exchange of the line items: their pairs are not gathered in a map before it
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    # a table of more rows than the session's tasks should hold gets more
+    monkeypatch.setattr("railyard.sources.tables.ROWS_A_TASK", 10)
+    assert lines.narrow("tickets")[2] == (66,)
+    again = stored.StoredDomain(lines, str(tmp_path / "more"))["tickets"]
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, kept.collect()))
