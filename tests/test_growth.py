@@ -111,3 +111,18 @@ def test_tickets_are_put_in_order_before_their_columns_are_made(spark, lines, tm
     assert lines.narrow("tickets")[2] == (66,)
     again = stored.StoredDomain(lines, str(tmp_path / "more"))["tickets"]
     assert sorted(map(repr, again.collect())) == sorted(map(repr, kept.collect()))
+
+
+def test_an_upsert_derives_its_changes_once(spark, tmp_path):
+    stored_rows = RangedTable(spark, str(tmp_path / "t"), spark.range(0).selectExpr("id", "0 as v").schema, "id", ranges=8)
+    stored_rows.create(spark.range(200).selectExpr("id", "0 as v"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    changes = spark.range(100, 300).selectExpr("id", "1 as v").mapInArrow(count, "id long, v int")
+    assert stored_rows.upsert(changes, F.lit(0)) == list(range(8))
+    assert seen.value == 200
+    assert sorted((r.id, r.v) for r in stored_rows.read().collect()) == [(i, int(i >= 100)) for i in range(300)]
