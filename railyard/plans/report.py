@@ -125,16 +125,9 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
     brought = [c for c in _LEFT_SOURCES["bk"] if c in t.columns]
     if brought:
         need.discard("bk")
-    salt = F.col("ticket_ref")
-    # nullable references: (is-NULL flag, key-or-salt) so NULL keys spread over many partitions
-    nullable = {"booking_id": "bk", "passenger_id": "ps", "fare_id": "fa", "seat_id": "st"}
-    spread = []
-    for key, tag in nullable.items():
-        nk, jk = spread_key(F.col(key), salt, t.schema[key].dataType)
-        spread += [nk.alias(f"__n_{tag}"), jk.alias(f"__k_{tag}")]
     t = t.select(
         "ticket_ref", F.col("status").alias("ticket_status"), F.col("price").alias("ticket_price"),
-        F.col("currency").alias("ticket_currency"), "issued_at", "trip_id", "booking_id", "passenger_id", *brought, *spread)
+        F.col("currency").alias("ticket_currency"), "issued_at", "trip_id", "booking_id", "passenger_id", "fare_id", "seat_id", *brought)
 
     def of_window(side, key, column):
         """Rows of ``side`` that a ticket of the window refers to by ``column``."""
@@ -172,21 +165,24 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
     seat_car = (seats.join(carriages, seats.s_carriage_id == carriages.c_id, "left")
                 .select("s_id", "seat_number", "carriage_number", F.lit(False).alias("__r_st")))
 
-    j = (t.join(trips, t.trip_id == trips.tr_id, "inner")
+    def on(j, column, tag, right, key):
+        # (is-NULL flag, key-or-salt), formed at the join, so that no exchange carries more than the key itself
+        nk, jk = spread_key(F.col(column), F.col("ticket_ref"), j.schema[column].dataType)
+        return (nk == right[f"__r_{tag}"]) & (jk == right[key])
+
+    # the sides that grow with the tickets come first, those that bring most columns last among them: a ticket is
+    # exchanged for each of them, and should not carry yet what the small sides (trips and beyond) bring
+    j = t
+    for column, tag, right, key in [("fare_id", "fa", fares, "f_id"), ("seat_id", "st", seat_car, "s_id"),
+                                    ("passenger_id", "ps", pas, "p_id"), ("booking_id", "bk", bp, "b_id")]:
+        if tag in need:
+            j = j.join(right, on(j, column, tag, right, key), "left")
+    j = (j.join(trips, F.col("trip_id") == trips.tr_id, "inner")
           .join(routes, F.col("tr_route_id") == routes.ro_id, "inner")
           .join(dep, F.col("tr_dep") == dep.dep_id, "inner")
           .join(arr, F.col("tr_arr") == arr.arr_id, "inner"))
-    # the train comes through the trip, so its spread key is formed after that join
-    tn_n, tn_k = spread_key(F.col("tr_train_id"), salt, trains.schema["tn_id"].dataType)
-    j = j.select("*", tn_n.alias("__n_tn"), tn_k.alias("__k_tn"))
-
-    def on(tag, right, key):
-        return (F.col(f"__n_{tag}") == right[f"__r_{tag}"]) & (F.col(f"__k_{tag}") == right[key])
-
-    for tag, right, key in [("bk", bp, "b_id"), ("ps", pas, "p_id"), ("fa", fares, "f_id"),
-                            ("st", seat_car, "s_id"), ("tn", trains, "tn_id")]:
-        if tag in need:
-            j = j.join(right, on(tag, right, key), "left")
+    if "tn" in need:
+        j = j.join(trains, on(j, "tr_train_id", "tn", trains, "tn_id"), "left")
 
     cols = [F.col(c).cast("timestamp_ntz").alias(c) if (c == "issued_at" and strip_zone) else F.col(c)
             for c in wanted]

@@ -126,3 +126,10 @@ def test_an_upsert_derives_its_changes_once(spark, tmp_path):
     assert stored_rows.upsert(changes, F.lit(0)) == list(range(8))
     assert seen.value == 200
     assert sorted((r.id, r.v) for r in stored_rows.read().collect()) == [(i, int(i >= 100)) for i in range(300)]
+
+
+def test_tickets_are_joined_with_large_sides_before_small_ones_widen_them(spark, seed):
+    plan = ticket_report(seed)._jdf.queryExecution().analyzed().toString().splitlines()
+    at = {key: next(i for i, line in enumerate(plan) if "Join " in line and f"= {key}#" in line) for key in ("tr_id", "f_id", "s_id", "p_id", "b_id")}
+    # an outer join stands above an inner one in the plan's text
+    assert at["tr_id"] < min(at["f_id"], at["s_id"], at["p_id"], at["b_id"])
