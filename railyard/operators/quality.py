@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from railyard import schemas
 from railyard.schemas import ENUMS
@@ -97,24 +98,21 @@ def orphans(tables, fk: schemas.ForeignKey) -> DataFrame:
 def reference_summary(tables) -> DataFrame:
     """Per foreign key: non-NULL references checked and orphans found (H3).
 
-    Each table is read once: a row gives its own id, if others refer to it, and
-    its references.  Ids and references to one (parent, value) meet in a single
+    Each column is read once, by tasks of its own: ids that others refer to, and
+    references.  Ids and references to one (parent, value) meet in a single
     aggregation whose counts are partial before the exchange, so a parent that
-    a third of all rows refer to is one row a task on the wire.  A reference
-    that nothing uses has a row too.
+    a third of all rows refer to is one row a task on the wire, and a task holds
+    the values of one column.  A reference that nothing uses has a row too.
     """
     slot, slots = {}, 0
     for fk in schemas.FOREIGN_KEYS:
         slot[fk] = sum(other.parent == fk.parent for other in slot)
         slots = max(slots, slot[fk] + 1)
-    frames = []
-    for t in schemas.TABLES:
-        own = [(t, "id", -1)] if schemas.children_of(t) else []
-        own += [(fk.parent, fk.column, slot[fk]) for fk in schemas.FOREIGN_KEYS if fk.child == t]
-        if own:
-            values = [F.struct(F.lit(p).alias("parent"), F.col(c).cast("string").alias("value"), F.lit(i).alias("slot"))
-                      for p, c, i in own]
-            frames.append(tables[t].select(F.inline(F.array(*values))).filter(F.col("value").isNotNull()))
+    columns = [(t, "id", t, -1) for t in schemas.TABLES if schemas.children_of(t)]
+    columns += [(fk.child, fk.column, fk.parent, i) for fk, i in slot.items()]
+    whole = all(isinstance(tables[t].schema[c].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) for t, c, _, _ in columns)
+    frames = [tables[t].filter(F.col(c).isNotNull()).select(F.lit(p).alias("parent"), F.col(c).cast("long" if whole else "string").alias("value"),
+                                                            F.lit(i).alias("slot")) for t, c, p, i in columns]
     met = _union(frames).groupBy("parent", "value").agg(
         F.max(F.col("slot") == -1).alias("there"), *[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in range(slots)])
     sums = met.groupBy("parent").agg(*[F.sum(F.col(f"n{i}")).alias(f"n{i}") for i in range(slots)],

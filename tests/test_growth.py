@@ -133,3 +133,8 @@ def test_tickets_are_joined_with_large_sides_before_small_ones_widen_them(spark,
     at = {key: next(i for i, line in enumerate(plan) if "Join " in line and f"= {key}#" in line) for key in ("tr_id", "f_id", "s_id", "p_id", "b_id")}
     # an outer join stands above an inner one in the plan's text
     assert at["tr_id"] < min(at["f_id"], at["s_id"], at["p_id"], at["b_id"])
+
+
+def test_a_task_of_the_reference_summary_holds_one_column(spark, seed):
+    plan = DQ.reference_summary(seed)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Generate inline") == 1          # the declared keys
