@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -291,23 +292,25 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     name; a null id counts as the empty one in ``held_out``; very long texts are labelled alone; repeated rows stay;
     other columns are ignored.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"),
-                    *([F.struct(*carry).alias("carried")] if carry else []))
+    # a text that is carried goes to the task once
+    twice = text_col in carry and docs.schema[text_col].dataType.typeName() == "string"
+    d = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"),
+                    *([] if twice else [F.col(text_col).cast("string").alias("text")]), *([F.struct(*carry).alias("carried")] if carry else []))
     kind = d.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
     piece = 4 * PIECE // max(4, len(model.languages))
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column("carried").field(text_col) if twice else b.column("text")
             found, size, start = [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
+            for i, n in enumerate(pc.utf8_length(texts).to_pylist()):
+                size += n or 0
                 if size > piece or i == len(texts) - 1:
-                    found += label_texts(texts[start:i + 1], model)
+                    found += label_texts(texts.slice(start, i + 1 - start).to_pylist(), model)
                     start, size = i + 1, 0
-            columns = [b.column(0).cast(id_type), b.column(2), pa.array([f[0] for f in found], pa.string()),
-                       pa.array([f[1] for f in found], pa.float64()), *b.columns[3:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", *b.schema.names[3:]])
+            columns = [b.column(0).cast(id_type), b.column(1), pa.array([f[0] for f in found], pa.string()),
+                       pa.array([f[1] for f in found], pa.float64()), *([b.column("carried")] if carry else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", *(["carried"] if carry else [])])
     return d.mapInArrow(run, f"doc_id {kind.simpleString()}, held_out boolean, lang_pred string, score double"
                              + (f", carried {d.schema['carried'].dataType.simpleString()}" if carry else ""))

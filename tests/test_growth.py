@@ -138,3 +138,17 @@ def test_tickets_are_joined_with_large_sides_before_small_ones_widen_them(spark,
 def test_a_task_of_the_reference_summary_holds_one_column(spark, seed):
     plan = DQ.reference_summary(seed)._jdf.queryExecution().analyzed().toString()
     assert plan.count("Generate inline") == 1          # the declared keys
+
+
+def test_a_carried_text_goes_to_the_task_once(spark):
+    L = pytest.importorskip("railyard.llm.langid")
+    words = {"en": "the house and the garden of this man", "de": "das haus und der garten von diesem mann"}
+    rows = [(i, f"{words[lang]} {i}", lang) for i in range(40) for lang in words] + [(90, None, None), (91, "12 34", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    carried = L.identify(docs, model, carry=docs.columns)
+    assert carried._jdf.queryExecution().analyzed().child().output().size() == 3
+    got = sorted((r.doc_id, r.carried.text or "", r.held_out, r.lang_pred, r.score) for r in carried.collect())
+    plain = sorted((r.doc_id, r.carried.text or "", r.held_out, r.lang_pred, r.score) for r in L.identify(docs, model, carry=["lang", "text"]).collect())
+    assert got == plain and sorted((d, h, p, s) for d, _, h, p, s in got) == sorted(
+        (r.doc_id, r.held_out, r.lang_pred, r.score) for r in L.identify(docs, model).collect())
