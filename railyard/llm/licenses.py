@@ -16,7 +16,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from railyard.llm.common import checkpointed
+from railyard.llm.common import checkpointed, rows_with
 from railyard.llm.licence_templates import spdx_ids, templates
 
 TERM = "[a-z0-9]+"
@@ -98,8 +98,11 @@ def licence_lines(texts: DataFrame, key: str, text: str, threshold: float = THRE
     df = dict(files.select(F.array_distinct(terms_of("text")).alias("terms"))
                    .select(F.explode(F.expr(f"filter(terms, t -> t in ({vocab}))")).alias("term")).groupBy("term").agg(F.count("*")).collect())
     weights, _ = template_weights(n, df)
-    template = spark.createDataFrame(weights, "template string, term string, weight double")
-    known = spark.createDataFrame([(t, _idf(n, df.get(t, 0))) for t in vocabulary()], "term string, idf double")
+    of_term = {}
+    for name, t, w in weights:
+        of_term.setdefault(t, []).append((name, w))
+    known = spark.createDataFrame([(t, _idf(n, df.get(t, 0)), of_term[t]) for t in vocabulary()],
+                                  "term string, idf double, templates array<struct<template:string,weight:double>>")
     keys = ", ".join(f"'{t}'" for t in key_terms(threshold, n, tuple(df.items())))
     has_key = F.expr(f"exists(terms, t -> t in ({keys}))")
 
@@ -112,17 +115,21 @@ def licence_lines(texts: DataFrame, key: str, text: str, threshold: float = THRE
     # terms of no template weigh one at least: what stays under the threshold with that stays under it
     near = checkpointed(candidates(texts_near).select("key", "unit", F.expr(f"filter(terms, t -> t in ({vocab}))").alias("known"),
                                                  F.expr(f"size(array_distinct(filter(terms, t -> t not in ({vocab}))))").alias("others")))
+    # one exchange by unit serves the counts, the lengths and the products: a unit's length stands under the template ""
     own = (near.select("unit", "known", "others").dropDuplicates(["unit"]).select("unit", "others", F.explode("known").alias("term"))
                .groupBy("unit", "others", "term").agg(F.count("*").alias("n"))
-               .join(F.broadcast(known), "term").select("unit", "others", "term", ((1 + F.log("n")) * F.col("idf")).alias("w")))
-    own = checkpointed(own)
-    norm = own.groupBy("unit", "others").agg(F.sum(F.col("w") * F.col("w")).alias("square"))
-    dot = own.join(F.broadcast(template), "term").groupBy("unit", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    able = checkpointed(dot.join(norm, "unit").filter(F.col("dot") >= (threshold - 1e-6) * F.sqrt(F.col("square") + F.col("others"))))
+               .join(F.broadcast(known), "term").select("unit", "others", ((1 + F.log("n")) * F.col("idf")).alias("w"), "templates"))
+    itself = F.array(F.struct(F.lit("").alias("template"), F.col("w").alias("weight")))
+    sums = (own.select("unit", "others", "w", F.explode(F.concat(itself, "templates")).alias("t"))
+               .groupBy("unit", "others", F.col("t.template").alias("template")).agg(F.sum(F.col("w") * F.col("t.weight")).alias("dot")))
+    square = F.max(F.when(F.col("template") == "", F.col("dot"))).over(Window.partitionBy("unit", "others"))
+    able = sums.withColumn("square", square).filter("template != ''").select("unit", "template", "dot", "square", "others")
+    able = checkpointed(able.filter(F.col("dot") >= (threshold - 1e-6) * F.sqrt(F.col("square") + F.col("others"))))
     # the other terms of what is left, and their document frequencies over all files
-    left = near.join(able.select("unit").distinct(), "unit", "left_semi").select("key", "unit")
-    some = texts_near.join(left.select("key").distinct(), "key", "left_semi")
-    rest = (candidates(some).join(able.select("unit").distinct(), "unit", "left_semi").select("unit", "terms").dropDuplicates(["unit"])
+    left = checkpointed(near.join(able.select("unit").distinct(), "unit", "left_semi").select("key", "unit"))
+    # the texts stay where they are; of a text that the filter lets through, only units of another one can be left
+    some = rows_with(texts_near, left, "key")
+    rest = (rows_with(candidates(some), able, "unit").join(able.select("unit").distinct(), "unit", "left_semi").select("unit", "terms").dropDuplicates(["unit"])
                 .select("unit", F.explode(F.expr(f"filter(terms, t -> t not in ({vocab}))")).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("n")))
     rest = checkpointed(rest)
     # terms in no bucket of a wanted one need no exchange; there are 65,536 buckets at most

@@ -167,6 +167,21 @@ def test_licence_texts_headers_and_tags(spark):
     assert got == {i: want for i, (_, want) in enumerate(rows)}
 
 
+def test_licence_products_are_dealt_once(spark, monkeypatch):
+    """Lengths and products of units come of one exchange, and the texts of those that are left of none."""
+    plans, kept = {}, C.checkpointed
+
+    def seen(df):
+        plans[tuple(df.columns)] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df)
+    monkeypatch.setattr(C, "checkpointed", seen)
+    files = [(i, f"d/{i}", "Released under the MIT License.\nzzz" if i % 3 else "nothing") for i in range(9)]
+    got = C.licence_scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()
+    assert {r.doc_id: r.licence for r in got} == {i: "MIT" if i % 3 else None for i in range(9)}
+    assert plans["unit", "template", "dot", "square", "others"].count("Exchange hashpartitioning") == 1
+    assert not any("Exchange" in line and "text" in line for line in plans["unit", "term", "n"].splitlines())
+
+
 def test_licence_weights_come_from_the_corpus(spark):
     """Everyday words beside a grant weigh little once the files show them to be everyday."""
     files = [(i, f"d{i}/x", f"was written by someone for the project number {i}") for i in range(300)]
