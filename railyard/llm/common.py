@@ -14,6 +14,8 @@ from railyard.session import checkpoint_dir, scratch_path
 
 # text handed to one Python call at a time; bounds a worker's memory
 BLOCK_BYTES = 4 << 20
+# narrow rows of a task; every task of an exchange leaves files of its own, however few its rows
+ROWS = 20_000
 
 
 def spread(spark) -> int:
@@ -32,6 +34,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks that so many narrow rows (ids, labels) are worth, ``ROWS`` each."""
+    return max(1, math.ceil(rows / ROWS))
+
+
 def sized(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its measured size lets the planner broadcast it to a join
     with texts, or shuffle both sides, before the texts have moved."""
@@ -66,7 +73,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``edges`` has two columns of one comparable type.  Alternates the large-star
     and small-star steps, which keep the components and turn them into stars in
     a logarithmic number of rounds; each round is two aggregations and two
-    joins, and its edges are checkpointed.  Returns ``node, component``; no
+    joins, in as many tasks as its edges are worth, and its edges are
+    checkpointed.  Returns ``node, component``; no
     edges give an empty frame.
     """
     a, b = edges.columns
@@ -77,17 +85,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == seen or now[0] == 0:
+            e = e.coalesce(tasks_for(now[0]))
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen = now
+                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().coalesce(tasks_for(now[0])))
+        seen, tasks = now, tasks_for(now[0])
+        e = e.coalesce(tasks)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.filter("v > u").join(low, "u")
-                     .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
+        large = (both.filter("v > u").join(low, "u").coalesce(tasks)
+                     .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+        small = large.join(low, "u").coalesce(tasks)
         e = checkpointed(small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                         .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+                         .unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks))
 
 
 # ---------------------------------------------------------------------------

@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from railyard.llm.common import checkpointed, connected_components, rows_with, sized
+from railyard.llm.common import checkpointed, connected_components, rows_with, sized, tasks_for
 from railyard.llm.words import slices, words
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -44,7 +44,7 @@ PLANES = 5
 MISS = 1e-5
 # coordinates in which a skipped member may differ from its leader
 NEAR = 3
-# parts of a posting list that are merged on their own first
+# parts of a posting list that are merged on their own first, and of a group whose members meet its pivots
 PARTS = 8
 # members of a group compared with all others in the first round; later rounds take eight times as many
 PIVOTS = 16
@@ -269,31 +269,37 @@ def confirmed_components(groups: DataFrame, percent: int) -> DataFrame:
     closed, pivots = [], PIVOTS
     labels = groups.select("node", "grp", F.col("node").alias("component"), F.lit(False).alias("done"))
     while True:
+        # labels are narrow rows: as many tasks as they are worth, whatever the number that the sets are dealt to
+        tasks = tasks_for(labels.count())
+        labels = labels.coalesce(tasks)
         # a group goes on while a node outside its largest component has not been compared with all others
-        sizes = labels.groupBy("grp", "component").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("left"))
+        sizes = labels.groupBy("grp", "component").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("left")).coalesce(tasks)
         states = sizes.groupBy("grp").agg(F.max_by(F.struct("component", "left"), F.struct("n", "component")).alias("top"), F.sum("left").alias("left"))
-        states = checkpointed(states.select("grp", F.col("top.component").alias("largest"), (F.col("left") > F.col("top.left")).alias("goes_on")))
+        states = checkpointed(states.select("grp", F.col("top.component").alias("largest"), (F.col("left") > F.col("top.left")).alias("goes_on")).coalesce(tasks))
         going = states.filter("goes_on").select("grp", "largest")
         closed.append(labels.join(states.filter("NOT goes_on").select("grp"), "grp", "left_semi").select("node", "component"))
         if going.isEmpty():
             return reduce(DataFrame.unionByName, closed)
-        labels = labels.join(going, "grp")
+        labels = labels.join(going, "grp").coalesce(tasks)
         place = F.row_number().over(Window.partitionBy("grp").orderBy("node"))
         chosen = labels.filter("component != largest AND NOT done").withColumn("place", place).filter(F.col("place") <= pivots)
-        chosen = checkpointed(chosen.select("node", F.lit(True).alias("now")))
-        # one exchange by group serves the members and the pivots; the sets of groups that are done stay where they are,
-        # and a node that the filter takes for a pivot is compared as one, which does no harm
-        opened = rows_with(groups, going, "grp").withColumn("n", F.size("members")).repartition("grp")
-        p = rows_with(opened, chosen, "node").select("grp", F.col("node").alias("b"), F.col("members").alias("other"), F.col("n").alias("m"))
-        pairs = opened.select("grp", F.col("node").alias("a"), "members", "n").join(p, "grp").filter("a != b")
+        chosen = checkpointed(chosen.select("node", F.lit(True).alias("now")).coalesce(tasks))
+        # the sets of groups that are done stay where they are, and a node that the filter takes for a pivot is compared as
+        # one, which does no harm; a group's members are dealt to parts, each of which meets all of its pivots
+        opened = rows_with(groups, going, "grp").withColumn("n", F.size("members"))
+        p = rows_with(opened, chosen, "node").select("grp", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"),
+                                                     F.col("node").alias("b"), F.col("members").alias("other"), F.col("n").alias("m"))
+        part = F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int").alias("part")
+        pairs = opened.select("grp", part, F.col("node").alias("a"), "members", "n").join(p, ["grp", "part"]).filter("a != b")
         pairs = pairs.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
         shared = F.size(F.array_intersect("members", "other"))
         new = pairs.filter(100 * shared >= percent * (F.col("n") + F.col("m") - shared)).select("a", "b")
         # what was one component stays one
         known = labels.filter("component != node").select(F.col("node").alias("a"), F.col("component").alias("b"))
         comp = connected_components(new.unionByName(known))
-        labels = checkpointed(labels.select("node", "grp", "done").join(comp, "node", "left").join(chosen, "node", "left")
-                                    .select("node", "grp", F.coalesce("component", "node").alias("component"), (F.col("done") | F.col("now").isNotNull()).alias("done")))
+        labels = (labels.select("node", "grp", "done").join(comp, "node", "left").join(chosen, "node", "left")
+                        .select("node", "grp", F.coalesce("component", "node").alias("component"), (F.col("done") | F.col("now").isNotNull()).alias("done")))
+        labels = checkpointed(labels.coalesce(tasks))
         pivots *= 8
 
 

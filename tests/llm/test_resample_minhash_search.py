@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from railyard.llm import minhash as H, ranked_search as R, resample as I
+from railyard.llm.common import connected_components
 from railyard.llm.words import slices, words
 from test_operators import SF, docs, empty, rows_of  # noqa: F401
 
@@ -158,6 +159,32 @@ def test_minhash_large_group_of_near_copies(spark):
     assert found(got) == brute_components(rows, 2, 80)
 
 
+def test_narrow_rows_take_few_tasks(spark, monkeypatch):
+    """Few edges and labels stay in few tasks, however many an exchange is dealt to; a group's sets meet its pivots in parts."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(held, ("40", "false")):
+        spark.conf.set(k, v)
+    try:
+        chain = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(i, i + 1) for i in range(50, 60)], "a long, b long")
+        comp = connected_components(chain)
+        assert comp.rdd.getNumPartitions() <= 4
+        assert {r.node: r.component for r in comp.collect()} == {i: 0 if i <= 30 else 50 for i in (*range(31), *range(50, 61))}
+        plans = []
+
+        def seen(edges):
+            plans.append(edges._jdf.queryExecution().executedPlan().toString())
+            return connected_components(edges)
+        monkeypatch.setattr(H, "connected_components", seen)
+        # one group: neighbours share nine of eleven members, the last set is alone
+        groups = [(i, 1, list(range(i, i + 10))) for i in range(25)] + [(25, 1, [1000])]
+        got = H.confirmed_components(spark.createDataFrame(groups, "node long, grp long, members array<long>"), 80)
+        assert {r.node: r.component for r in got.collect()} == {i: 0 if i < 25 else 25 for i in range(26)}
+        assert plans and all(re.search(r"hashpartitioning\(grp#\d+L, part#\d+", p) for p in plans)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_least_matches():
     t = H.least_matches(80)
     tail = sum(math.comb(64, k) * .8 ** k * .2 ** (64 - k) for k in range(t))
