@@ -6,10 +6,12 @@ outside articles are joined per host, equal streams once; its suffixes are
 sorted, and a run of ``run`` tokens that a large share of the host's distinct
 streams has is boilerplate of the host.  A suffix is sorted by its first ``run``
 tokens: a longer common string is the union of the heads at each of its places.
-A page's text is its article, else its main element, else the unique runs that
-are left of the rest.  What stands in an article is kept even if it repeats,
-and so is a page that would lose nearly all of its words: copies and quotations
-are not boilerplate.
+A page's article, else its main element, is a stream of the same array whose
+symbols are whole blocks: prose is never cut inside a paragraph, but a paragraph
+that nearly all of the host's distinct pages have in their articles is a notice.
+A page's text is the unique blocks of its article, else the unique runs that are
+left of the rest.  A page that would lose nearly all of its words keeps them:
+copies and quotations are not boilerplate.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from railyard.llm.common import checkpointed, spread
+from railyard.llm.common import checkpointed, sized, spread
 
 # fixed values of HTML ------------------------------------------------------
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +54,8 @@ FORM, NAMED, INNER_MAIN, INNER_ARTICLE = -1, -2, -3, -4
 RUN = 6
 # distinct streams of a host that share a run of boilerplate: at least so many, and at least this share of them
 LEAST_STREAMS, SHARE = 3, 0.5
+# the same for a block of ``run`` or more words inside articles; a line that many articles quote is still text
+LEAST_ARTICLES, ARTICLE_SHARE = 10, 0.8
 # a page whose repeated runs would take more than this part of its words is a copy of others
 COPY = 0.8
 
@@ -169,7 +173,7 @@ _OPEN = pa.list_(pa.struct([("zone", pa.int32()), ("text", pa.string())]))
 
 
 def _parsed(outside: bool, id_type):
-    """Rows with their main text; or, for ``outside``, with the blocks outside it (``main`` is then only null or not)."""
+    """Rows with their main text, null if they have none; for ``outside`` also with the blocks outside it."""
     schema = pa.schema([("page_id", id_type), ("url", pa.string()), ("main", pa.string()), ("rest", _OPEN)])
 
     def run(batches):
@@ -177,7 +181,7 @@ def _parsed(outside: bool, id_type):
             main, rest = [], []
             for t in b.column(2).to_pylist():
                 text, blocks_ = read_page(t or "")
-                main.append("" if outside and text else text)
+                main.append(text)
                 rest.append([{"zone": z, "text": x} for z, x in blocks_] if outside else [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(main, pa.string()), pa.array(rest, _OPEN)], schema=schema)
     return run
@@ -239,16 +243,33 @@ def _unique_runs(run, id_type):
     return read
 
 
+def _least(streams: DataFrame, least: int, share: float) -> DataFrame:
+    """Number of a host's distinct streams that must share a run of boilerplate."""
+    return streams.distinct().groupBy("host").agg(F.greatest(F.lit(least), F.ceil(F.count("*") * F.lit(float(share)))).alias("least"))
+
+
+def _unique_blocks():
+    """The main text without the blocks that begin at ``starts``; all of it if that leaves too little."""
+    blocks_ = F.split("main", "\n")
+    gone = F.array_join(F.filter(blocks_, lambda b, i: F.array_contains("starts", i)), " ")
+    left = F.array_join(F.filter(blocks_, lambda b, i: ~F.array_contains("starts", i)), "\n")
+    copy = F.size(F.split(gone, " ")) > F.lit(COPY) * F.size(F.split("main", "[ \n]"))
+    return F.when(F.col("starts").isNull() | copy, F.col("main")).otherwise(left)
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN,
-                      share: float = SHARE) -> DataFrame:
+                      share: float = SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages``.
 
     Null html is empty and gives an empty text.  Pages without a host share one
     stream.  Pages with equal streams, such as copies and repeated rows, count
     once and are no evidence of boilerplate against each other.  A run is
     boilerplate if at least ``LEAST_STREAMS`` and ``share`` of the host's
-    distinct streams have it.  Very long pages are parsed one at a time; an
-    empty table gives an empty frame; other columns are ignored.
+    distinct streams have it outside articles.  A block of ``run`` or more words
+    inside an article is boilerplate if at least ``LEAST_ARTICLES`` and
+    ``article_share`` of the host's distinct pages (by their articles, else by
+    what they have) have it inside theirs.  Very long pages are parsed one at a
+    time; an empty table gives an empty frame; other columns are ignored.
     """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     id_type = to_arrow_type(p.schema["page_id"].dataType)
@@ -256,23 +277,32 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     shape = f"page_id {kind}, url string, main string, rest array<struct<zone:int,text:string>>"
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)", 1)), F.lit(""))
     tokens = F.flatten(F.transform("rest", lambda b: F.split(b["text"], " ")))
+    site = F.concat("host", F.lit("/"))             # no host has a slash: the articles' streams lie beside the others
+    article = F.when(F.col("main").isNotNull(), F.xxhash64(site, "main"))
+    symbols = F.transform(F.split("main", "\n"), lambda b: F.when(F.size(F.split(b, " ")) >= run, F.xxhash64(b)))
     outside = p.mapInArrow(_parsed(True, id_type), shape).withColumn("host", host).withColumn("tokens", tokens)
-    outside = checkpointed(outside.withColumn("stream", F.xxhash64("host", "tokens")))
+    outside = outside.withColumn("stream", F.xxhash64("host", "tokens")).withColumn("article", article).withColumn("symbols", symbols).drop("main")
+    outside = checkpointed(outside)
     # the streams: a suffix at every token, sorted to the depth of ``run`` tokens
     streams = outside.groupBy("host", "stream").agg(F.first("tokens").alias("tokens"))
     suffixes = (streams.select("host", "stream", F.posexplode(F.transform("tokens", lambda t, i: F.slice("tokens", i + 1, run))).alias("pos", "head"))
                        .filter(F.size("head") == run).select("host", F.array_join("head", " ").alias("head"), "stream", "pos"))
+    # and one at every block of an article, which is a run by itself
+    articles = outside.filter("article IS NOT NULL").groupBy(site.alias("host"), F.col("article").alias("stream")).agg(F.first("symbols").alias("symbols"))
+    blocks_ = articles.select("host", "stream", F.posexplode("symbols").alias("pos", "symbol")).filter("symbol IS NOT NULL")
+    suffixes = suffixes.unionByName(blocks_.withColumn("head", F.col("symbol").cast("string")).drop("symbol"))
     order = ("host", "head", "stream", "pos")
     found = checkpointed(suffixes.repartitionByRange(spread(pages.sparkSession), *order).sortWithinPartitions(*order)
                                  .mapInArrow(_shared_suffixes, "stream bigint, pos int, host string, head string, n bigint"))
     across = found.filter("head IS NOT NULL")
     counted = across.select("host", "head", "stream").distinct().groupBy("host", "head").agg(F.count("*").alias("n"))
     runs = found.filter("head IS NULL").select("host", "stream", "pos", "n").unionByName(
-        across.drop("n").join(counted, ["host", "head"]).select("host", "stream", "pos", "n"))
-    hosts = outside.select("host", "stream").distinct().groupBy("host").agg(F.count("*").alias("streams"))
-    least = F.greatest(F.lit(LEAST_STREAMS), F.ceil(F.col("streams") * F.lit(float(share))))
-    starts = runs.join(hosts, "host").filter(F.col("n") >= least).groupBy("stream").agg(F.collect_set("pos").alias("starts"))
-    done = p.mapInArrow(_parsed(False, id_type), shape).filter(F.col("main").isNotNull()).select("page_id", "url", F.col("main").alias("text"))
-    left = outside.filter(F.col("main").isNull()).join(starts, "stream", "left").select("page_id", "url", "rest", "starts")
+        across.drop("n").join(sized(counted, "op4-borders"), ["host", "head"]).select("host", "stream", "pos", "n"))
+    least = _least(outside.select("host", "stream"), LEAST_STREAMS, share).unionByName(
+        _least(outside.select(site.alias("host"), F.coalesce("article", "stream")), LEAST_ARTICLES, article_share))
+    starts = sized(runs.join(sized(least, "op4-least"), "host").filter("n >= least").groupBy("stream").agg(F.collect_set("pos").alias("starts")), "op4-starts")
+    done = p.mapInArrow(_parsed(False, id_type), shape).filter("main IS NOT NULL").withColumn("host", host).withColumn("stream", article)
+    done = done.join(starts, "stream", "left").select("page_id", "url", _unique_blocks().alias("text"))
+    left = outside.filter("article IS NULL").join(starts, "stream", "left").select("page_id", "url", "rest", "starts")
     left = left.mapInArrow(_unique_runs(run, id_type), f"page_id {kind}, url string, text string")
     return done.unionByName(left).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -299,6 +299,34 @@ def test_html_whole_path_equals_brute_force(spark, n, words, batch):
     assert any(line not in t for t in expected.values()) and any(line in t for t in expected.values())
 
 
+def test_html_runs_decide_inside_articles(spark):
+    """An untagged notice that nearly all articles of a host have falls; copies, quotations, headings, a sentence inside
+    a paragraph and the same line on another host stay."""
+    notice = "Subscribe to our letter and get all the news"
+    page = lambda *t: "<article>" + "".join(f"<p>{x}</p>" for x in t) + "</article><div>menu</div>"
+    rows, expected = [], {}
+    for i in range(20):
+        blocks = ["The story", f"own text number {i} is here", f"{notice} of page {i}", notice]
+        if i % 2:
+            blocks.append("to be or not to be that is the question")
+        rows.append((i, "http://h/x", page(*(b for b in blocks if i < 18 or b != notice))))
+        expected[i] = "\n".join(b for b in blocks if b != notice)
+    rows += [(100 + i, "http://copies/x", page(notice, "the same text on every page")) for i in range(30)]
+    expected |= {100 + i: f"{notice}\nthe same text on every page" for i in range(30)}
+    rows += [(200 + i, "http://lines/x", page(*[f"{notice} {j}" for j in range(9)], f"{i}")) for i in range(12)]
+    expected |= {200 + i: "\n".join([*(f"{notice} {j}" for j in range(9)), f"{i}"]) for i in range(12)}
+    rows += [(300 + i, "http://few/x", page(notice, f"few pages have this number {i}")) for i in range(H.LEAST_ARTICLES - 1)]
+    expected |= {300 + i: f"{notice}\nfew pages have this number {i}" for i in range(H.LEAST_ARTICLES - 1)}
+    rows += [(400 + i, "http://some/x", page(notice, f"{i} of ten") if i < 12 else f"<p>{i} has none</p>") for i in range(18)]
+    expected |= {400 + i: f"{notice}\n{i} of ten" if i < 12 else f"{i} has none" for i in range(18)}
+    rows += [(i, "http://h/y", h) for i, _, h in rows[:3]] + [(None, "http://h/z", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = H.extract_main_text(pages).collect()
+    assert len(got) == len(rows) and all(r.text == expected.get(r.page_id, "") and r.n_chars == len(r.text) for r in got)
+    kept = {r.page_id: r.text for r in H.extract_main_text(pages, article_share=1.0).collect()}
+    assert kept[0].endswith(f"of page 0\n{notice}")
+
+
 # language model ------------------------------------------------------------
 def brute_ppm(rows):
     k_max, seen, words = ppm.ORDER, defaultdict(Counter), Counter()
