@@ -16,6 +16,7 @@ the sample, so that memory holds the weights and ``CELLS`` scores at a time.  Pr
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,9 @@ from railyard.llm.common import gram_hashes
 SIZES = (2, 3, 4)
 TABLE = 1 << 16
 # text labelled at a time, for up to four languages (less for more)
-PIECE = 8 << 20
+PIECE = 4 << 20
+# distinct words whose features are held at a time
+WORDS = 1 << 15
 # scores (words times languages) of a part of the training sample
 CELLS = 1 << 22
 
@@ -62,8 +65,10 @@ def emissions(words: list[bytes], model: Model) -> np.ndarray:
     """Scores of distinct words; words without letters say nothing."""
     columns = [np.ascontiguousarray(c) for c in model.weights.T]
     out = np.zeros((len(words), len(columns)))
-    for word, slot in features(words):
-        out += _sums(word, slot, columns, len(words))
+    for start in range(0, len(words), WORDS):
+        some = words[start:start + WORDS]
+        for word, slot in features(some):
+            out[start:start + len(some)] += _sums(word, slot, columns, len(some))
     known = [(i, slot) for i, slot in enumerate(map(model.lexicon.get, words)) if slot is not None]
     if known:
         at, slot = np.array(known).T
@@ -79,18 +84,18 @@ def _has_letter(word: bytes) -> bool:
     return _ASCII_LETTER.search(word) is not None or not word.isascii() and any(map(str.isalpha, word.decode(errors="replace")))
 
 
-def posteriors(scores: np.ndarray, lengths: np.ndarray, model: Model, pairs: np.ndarray | None = None) -> np.ndarray:
+def posteriors(scores: np.ndarray, flat: np.ndarray, lengths: np.ndarray, model: Model, pairs: np.ndarray | None = None) -> np.ndarray:
     """Forward-backward over sequences laid out one after another, longest first, ``lengths`` words each.
 
-    Probability of each language for each word; adds the expected counts of
-    neighbouring languages to ``pairs``.
+    ``scores`` has a row for each distinct word, ``flat`` that row's number for each word.  Probability of each
+    language for each word (the one array of that size); adds the expected counts of neighbouring languages to ``pairs``.
     """
     scores = scores - scores.max(axis=1, keepdims=True)
     local, move = np.exp(scores), np.exp(model.transition - model.transition.max())
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    forward = np.empty_like(local)
+    forward = np.empty((len(flat), local.shape[1]))
     live = len(lengths)
-    a = local[first] * np.exp(model.start - model.start.max())
+    a = local[flat[first]] * np.exp(model.start - model.start.max())
     a /= a.sum(axis=1, keepdims=True)
     forward[first] = a
     lives = [live]
@@ -99,7 +104,7 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, model: Model, pairs: np.
             live -= 1
         lives.append(live)
         at = first[:live] + t
-        a = (a[:live] @ move) * local[at]
+        a = (a[:live] @ move) * local[flat[at]]
         a /= a.sum(axis=1, keepdims=True)
         forward[at] = a
     b = np.empty((0, local.shape[1]))
@@ -110,7 +115,7 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, model: Model, pairs: np.
         at = first[:live] + t
         forward[at] *= b
         if t:
-            b = b * local[at]
+            b = b * local[flat[at]]
             if pairs is not None:
                 # expected neighbours, each word's adding up to one, without a matrix per word
                 before = forward[at - 1]
@@ -213,7 +218,7 @@ class _Batch:
     def add_gradients(self, model, grads):
         """Add the true less the expected weights and starts, and the expected neighbours."""
         score = _sums(self.word_at, self.slot_at, (np.ascontiguousarray(c) for c in model.weights.T), self.n_words)
-        miss = posteriors(score[self.flat], self.lengths, model, grads[1])
+        miss = posteriors(score, self.flat, self.lengths, model, grads[1])
         np.negative(miss, out=miss)
         miss[np.arange(len(miss)), self.label] += 1
         grads[2] += miss[self.starts].sum(axis=0)
@@ -222,29 +227,30 @@ class _Batch:
             grads[0][:, k] += np.bincount(self.slot_at, by_word[self.word_at], len(model.weights))
 
 
-def label_texts(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
+def label_texts(texts: Iterable[str | None], model: Model) -> list[tuple[str, float]]:
     """Language and mean word probability of each text; ``und`` for null or a text without a letter."""
-    out = [("und", 0.0)] * len(texts)
-    if not model.languages:
-        return out
-    rows = [(i, t.lower().encode().split()) for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+    out, rows, ids = [], [], {}
+    for t in texts:
+        if t and model.languages and any(map(str.isalpha, t)):
+            # words are objects for one text at a time; numbers of distinct words stay
+            rows.append((len(out), np.array([ids.setdefault(w, len(ids)) for w in t.lower().encode().split()], np.int32)))
+        out.append(("und", 0.0))
     if not rows:
         return out
     rows.sort(key=lambda r: -len(r[1]))
-    lengths = np.array([len(r[1]) for r in rows])
-    every = [w for _, ws in rows for w in ws]
-    ids = dict.fromkeys(every)
-    words = list(ids)
-    ids.update(zip(words, range(len(words))))
-    scores = emissions(words, model)
-    flat = np.fromiter(map(ids.__getitem__, every), np.int64, len(every))
-    p = posteriors(scores[flat], lengths, model)
+    at = [i for i, _ in rows]
+    lengths = np.array([len(ws) for _, ws in rows])
+    flat = np.concatenate([ws for _, ws in rows])
+    del rows
+    scores = emissions(list(ids), model)
+    del ids
+    p = posteriors(scores, flat, lengths, model)
     p[~scores.any(axis=1)[flat]] = 0                # words without letters do not vote
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     total = np.add.reduceat(p, first, axis=0)
     best = total.argmax(axis=1)
-    share = total[np.arange(len(rows)), best] / np.maximum(total.sum(axis=1), 1e-12)
-    for (i, _), k, s in zip(rows, best.tolist(), share.tolist()):
+    share = total[np.arange(len(at)), best] / np.maximum(total.sum(axis=1), 1e-12)
+    for i, k, s in zip(at, best.tolist(), share.tolist()):
         out[i] = model.languages[k], min(1.0, s)
     return out
 
@@ -303,14 +309,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches):
         for b in batches:
             texts = b.column("carried").field(text_col) if twice else b.column("text")
-            found, size, start = [], 0, 0
+            size, start = 0, 0
             for i, n in enumerate(pc.utf8_length(texts).to_pylist()):
                 size += n or 0
                 if size > piece or i == len(texts) - 1:
-                    found += label_texts(texts.slice(start, i + 1 - start).to_pylist(), model)
+                    # a piece's rows leave before the next piece is read
+                    rows = b.slice(start, i + 1 - start)
+                    found = label_texts((t.as_py() for t in texts.slice(start, len(rows))), model)
+                    columns = [rows.column(0).cast(id_type), rows.column(1), pa.array([f[0] for f in found], pa.string()),
+                               pa.array([f[1] for f in found], pa.float64()), *([rows.column("carried")] if carry else [])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", *(["carried"] if carry else [])])
                     start, size = i + 1, 0
-            columns = [b.column(0).cast(id_type), b.column(1), pa.array([f[0] for f in found], pa.string()),
-                       pa.array([f[1] for f in found], pa.float64()), *([b.column("carried")] if carry else [])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", *(["carried"] if carry else [])])
     return d.mapInArrow(run, f"doc_id {kind.simpleString()}, held_out boolean, lang_pred string, score double"
                              + (f", carried {d.schema['carried'].dataType.simpleString()}" if carry else ""))

@@ -538,6 +538,41 @@ def test_training_memory_with_a_hundred_languages():
     assert int(used.stdout.split()[-1]) < 1000
 
 
+def test_labelling_memory_of_a_piece_of_text():
+    """In a process of its own: 8 MB of text, the words of which are not all held as objects or scores."""
+    import subprocess
+    import sys
+    code = ("import random, resource; from railyard.llm import langid as L; r = random.Random(1);"
+            "words = [''.join(r.choices('abcdefghijklmnopqrstuvwxyz', k=r.randint(2, 9))) for _ in range(4000)];"
+            "m = L.train([(f'l{k}', ' '.join(r.choices(words[k::4], k=120))) for k in range(4) for _ in range(10)], rounds=1);"
+            "texts = [' '.join(r.choices(words, k=500)) for _ in range(2500)]; L.label_texts(texts[:20], m);"
+            "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss;"
+            "assert len(L.label_texts(texts, m)) == 2500; print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    used = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, env={**os.environ, "PYTHONPATH": root})
+    assert used.returncode == 0, used.stderr
+    assert int(used.stdout.split()[-1]) < 120
+
+
+def test_labels_do_not_depend_on_pieces_or_blocks_of_words(spark, monkeypatch):
+    words = {"en": "the house and the garden of this man", "de": "das haus und der garten von diesem mann"}
+    rows = [(i, f"{words[lang]} {i} {words[lang]}", lang) for i in range(30) for lang in words]
+    rows += [(90, None, None), (91, "12 34", "en"), (92, "", "de"), (93, "\u00c9t\u00e9 " * 40, "de"), (93, "12 34 the", "en"), (None, "der", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    model = L.fit(docs)
+
+    def found():
+        return [(r.doc_id, r.carried.text, r.held_out, r.lang_pred, round(r.score, 12)) for r in L.identify(docs, model, carry=["text"]).collect()]
+    whole = found()
+    assert len(whole) == len(rows) and [r[:2] for r in whole] == [r[:2] for r in rows]
+    assert {r[3] for r in whole} == {"en", "de", "und"}
+    monkeypatch.setattr(L, "PIECE", 50)
+    assert found() == whole
+    texts = [r[1] for r in rows]
+    monkeypatch.setattr(L, "WORDS", 3)              # in this process; tasks have their own
+    assert [(lang, round(score, 12)) for lang, score in L.label_texts(texts, model)] == [r[3:] for r in whole]
+
+
 def test_more_languages_than_a_fixed_number(spark):
     """Every language has a piece in the sample, and all together no more than asked for."""
     rows = [(i, f"text of language {i % 300}", f"l{i % 300}") for i in range(3000)]
