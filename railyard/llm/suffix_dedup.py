@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from railyard.llm.common import binary_values, block_count, gram_hashes, window_minima
@@ -225,11 +226,16 @@ def _table(rows, names, types):
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types))})
 
 
-def _sampled(length, buckets):
+def _texts(table, within):
+    """The texts as bytes, null as empty; ``within`` names their field of ``carried``, if they are there."""
+    return binary_values(pc.struct_field(table["carried"], [within]) if within else table["text"])
+
+
+def _sampled(length, buckets, within):
     def run(table):
         if not table.num_rows:
             return _table([], ["bucket", "blk", "body"], [pa.int32(), pa.int32(), pa.binary()])
-        found = [h for *_, h in places(binary_values(table["text"]), length)]
+        found = [h for *_, h in places(_texts(table, within), length)]
         h, n = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
         # the lowest bit says that the block itself repeats the string
         h = (h & ~np.uint64(1)) | (n > 1).astype(np.uint64)
@@ -255,7 +261,7 @@ def _repeated(table):
     return _table(rows, ["blk", "body"], [pa.int32(), pa.binary()])
 
 
-def _segments(length, buckets):
+def _segments(length, buckets, within):
     kind = _segment_type(length)
     span = 2 * length - GRAM
     names, types = ["bucket", "blk", "marks", "body"], [pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
@@ -272,7 +278,7 @@ def _segments(length, buckets):
                 again.append(np.frombuffer(body, np.uint64))
         again = np.sort(np.concatenate(again or [np.empty(0, np.uint64)]))
         tie, doc = docs["tie"].to_numpy(), docs["doc"].to_numpy()
-        texts = binary_values(docs["text"])
+        texts = _texts(docs, within)
         seen = set()
         for i, t in enumerate(tie.tolist()):        # a later copy is removed whole, without comparing
             if t not in firsts or t in seen:
@@ -409,7 +415,7 @@ def kept_parts(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes],
     return kept, runs
 
 
-def _removed(length, id_type, carried, whole):
+def _removed(length, id_type, carried, whole, within):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "document"]
     types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if whole else pa.binary(), pa.int64()]
 
@@ -425,7 +431,7 @@ def _removed(length, id_type, carried, whole):
         rows = []
         ties = docs["tie"].to_numpy() if docs.num_rows else np.empty(0, np.int64)
         a, b = np.searchsorted(marks["tie"], ties), np.searchsorted(marks["tie"], ties, side="right")
-        for k, (key, t, text) in enumerate(zip(docs["id"].to_pylist(), ties.tolist(), binary_values(docs["text"]))):
+        for k, (key, t, text) in enumerate(zip(docs["id"].to_pylist(), ties.tolist(), _texts(docs, within))):
             if t in firsts:
                 m = marks[a[k]:b[k]]
                 parts, runs = kept_parts(text, list(zip(m["start"].tolist(), m["end"].tolist())))
@@ -468,13 +474,16 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if not GRAM < length < 255:
         raise ValueError(f"length must lie between {GRAM} and 255")
+    # a text that is carried is exchanged, and goes to the tasks, once
+    within = text_col if text_col in carry and docs.schema[text_col].dataType.typeName() == "string" else None
     d = docs.select(F.col(id_col).alias("id"), _order(id_col).alias("doc"),
-                    F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                    *([] if within else [F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]),
                     *([F.struct(*carry).alias("carried")] if carry else []))
-    blocks = block_count(d)
+    text = F.coalesce(F.col("carried")[within], F.lit("")) if within else F.col("text")
+    blocks = block_count(d.select(text.alias("text")))
     buckets = -(-blocks // 4)
     blk = F.pmod(F.col("tie"), F.lit(blocks)).cast("int").alias("blk")
-    sha = F.sha2("text", 256)
+    sha = F.sha2(text, 256)
     tie = F.xxhash64("doc", sha).alias("tie")
     rows = d.withColumn("tie", tie).select("*", blk).repartition("blk")
     firsts = (d.select("doc", sha.alias("sha")).groupBy("sha").agg(F.min("doc").alias("doc"))
@@ -485,14 +494,14 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def answered(body):
         return body.select("blk", "body", F.lit(None).cast("array<bigint>").alias("firsts")).unionByName(firsts).groupBy("blk")
 
-    sampled = rows.groupBy("blk").applyInArrow(_sampled(length, buckets), "bucket int, blk int, body binary")
+    sampled = rows.groupBy("blk").applyInArrow(_sampled(length, buckets, within), "bucket int, blk int, body binary")
     again = sampled.groupBy("bucket").applyInArrow(_repeated, "blk int, body binary")
     segments = rows.groupBy("blk").cogroup(answered(again)).applyInArrow(
-        _segments(length, buckets), "bucket int, blk int, marks boolean, body binary")
+        _segments(length, buckets, within), "bucket int, blk int, marks boolean, body binary")
     marks = segments.groupBy("bucket").applyInArrow(_marks(length), "blk int, body binary")
     id_type = d.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
     return rows.groupBy("blk").cogroup(answered(marks)).applyInArrow(
-        _removed(length, to_arrow_type(id_type), bool(carry), whole_characters),
+        _removed(length, to_arrow_type(id_type), bool(carry), whole_characters, within),
         f"doc_id {id_type.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept {'string' if whole_characters else 'binary'}, document bigint"
         + (f", carried {d.schema['carried'].dataType.simpleString()}" if carry else ""))

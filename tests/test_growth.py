@@ -152,3 +152,18 @@ def test_a_carried_text_goes_to_the_task_once(spark):
     plain = sorted((r.doc_id, r.carried.text or "", r.held_out, r.lang_pred, r.score) for r in L.identify(docs, model, carry=["lang", "text"]).collect())
     assert got == plain and sorted((d, h, p, s) for d, _, h, p, s in got) == sorted(
         (r.doc_id, r.held_out, r.lang_pred, r.score) for r in L.identify(docs, model).collect())
+
+
+def test_a_carried_text_is_exchanged_once_for_the_suffix_order(spark):
+    X = pytest.importorskip("railyard.llm.suffix_dedup")
+    passage = "a passage that stands in several of the documents and is longer than a hundred bytes, \u00e9 included, to its very end "
+    rows = [(i, f"{i} {passage}{i * 7919}", "s") for i in range(12)] + [(3, f"3 {passage}{3 * 7919}", "t"), (50, None, "s"), (51, "", None), (None, passage, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    carried = X.suffix_array_dedup(docs, carry=docs.columns, whole_characters=True)
+    assert " AS text#" not in carried._jdf.queryExecution().analyzed().toString()
+
+    def found(df):
+        return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.kept, r.document) for r in df.collect()), key=str)
+    got = found(carried)
+    assert got == found(X.suffix_array_dedup(docs, whole_characters=True)) and len(got) == len(rows) and sum(r[2] for r in got) > 1000
+    assert sorted(((r.carried.doc_id, r.carried.text, r.carried.source) for r in carried.collect()), key=str) == sorted(rows, key=str)
