@@ -84,12 +84,14 @@ def _has_letter(word: bytes) -> bool:
     return _ASCII_LETTER.search(word) is not None or not word.isascii() and any(map(str.isalpha, word.decode(errors="replace")))
 
 
-def posteriors(scores: np.ndarray, flat: np.ndarray, lengths: np.ndarray, model: Model, pairs: np.ndarray | None = None) -> np.ndarray:
+def posteriors(scores: np.ndarray, lengths: np.ndarray, model: Model, pairs: np.ndarray | None = None,
+               flat: np.ndarray | None = None) -> np.ndarray:
     """Forward-backward over sequences laid out one after another, longest first, ``lengths`` words each.
 
-    ``scores`` has a row for each distinct word, ``flat`` that row's number for each word.  Probability of each
+    ``scores`` has a row for each word or, with ``flat`` (that row's number for each word), for each distinct one.  Probability of each
     language for each word (the one array of that size); adds the expected counts of neighbouring languages to ``pairs``.
     """
+    flat = np.arange(len(scores)) if flat is None else flat
     scores = scores - scores.max(axis=1, keepdims=True)
     local, move = np.exp(scores), np.exp(model.transition - model.transition.max())
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -218,7 +220,7 @@ class _Batch:
     def add_gradients(self, model, grads):
         """Add the true less the expected weights and starts, and the expected neighbours."""
         score = _sums(self.word_at, self.slot_at, (np.ascontiguousarray(c) for c in model.weights.T), self.n_words)
-        miss = posteriors(score, self.flat, self.lengths, model, grads[1])
+        miss = posteriors(score, self.lengths, model, grads[1], self.flat)
         np.negative(miss, out=miss)
         miss[np.arange(len(miss)), self.label] += 1
         grads[2] += miss[self.starts].sum(axis=0)
@@ -244,7 +246,7 @@ def label_texts(texts: Iterable[str | None], model: Model) -> list[tuple[str, fl
     del rows
     scores = emissions(list(ids), model)
     del ids
-    p = posteriors(scores, flat, lengths, model)
+    p = posteriors(scores, lengths, model, flat=flat)
     p[~scores.any(axis=1)[flat]] = 0                # words without letters do not vote
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     total = np.add.reduceat(p, first, axis=0)
