@@ -26,12 +26,17 @@ Plan shape (what Catalyst/AQE are steered to):
   * the five nullable references (booking, passenger, fare, seat, train) are
     left-joined with NULL keys spread over many partitions
     (``left_join_spread_nulls``), so tickets without a booking or seat do not
-    all meet in one task.
+    all meet in one task;
+  * without a window, fares, seats and passengers too large to broadcast are
+    looked up by (booking, key) pairs (``_looked_up``) and the answers meet the
+    tickets where these meet their bookings, so that the wide rows of a ticket
+    are exchanged once and not once per side.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +44,7 @@ from pyspark.sql import functions as F
 from railyard.functions.enums import enum_max
 from railyard.operators.joins import spread_key
 from railyard.plans.window import Window, in_window
-from railyard.sources.tables import DomainTables
+from railyard.sources.tables import DomainTables, tasks_for
 
 # The report's 25 output columns, in their order.
 REPORT_COLUMNS = [
@@ -105,6 +110,25 @@ _LEFT_SOURCES = {
 }
 
 
+def _exceeds_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's estimate of ``df`` is above the session's broadcast threshold, so that a join exchanges both sides."""
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most
+
+
+def _looked_up(t: DataFrame, column: str, right: DataFrame, key: str, tag: str, tasks: int) -> DataFrame:
+    """What ``right`` has for the tickets' ``column``: its columns once for each pair (place, key) that tickets
+    ask for, dealt by the place.
+
+    The pairs alone are exchanged by the key, and the answers by the place.  ``right`` may repeat a key, even in equal
+    rows: those become one with their number, so that a pair's answers are distinct however many tickets ask.
+    """
+    asked = t.select(F.col("__place").alias(f"__at_{tag}"), F.col(column).alias(f"__key_{tag}")).filter(F.col(f"__key_{tag}").isNotNull())
+    rows = right.repartition(tasks, *right.columns).groupBy(*right.columns).agg(F.count(F.lit(1)).alias(f"__n_{tag}"))
+    found = asked.join(rows, asked[f"__key_{tag}"] == rows[key]).drop(key)
+    return found.repartition(tasks, f"__at_{tag}").distinct()
+
+
 def ticket_report(tables: DomainTables, window: Window | None = None, ordered: bool = True,
                   strip_zone: bool = True, columns: list[str] | None = None) -> DataFrame:
     """The 25-column report for tickets issued in ``window`` (all tickets if None).
@@ -128,6 +152,7 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
     t = t.select(
         "ticket_ref", F.col("status").alias("ticket_status"), F.col("price").alias("ticket_price"),
         F.col("currency").alias("ticket_currency"), "issued_at", "trip_id", "booking_id", "passenger_id", "fare_id", "seat_id", *brought)
+    bookings, payments = tables["bookings"], tables["payments"]
 
     def of_window(side, key, column):
         """Rows of ``side`` that a ticket of the window refers to by ``column``."""
@@ -145,9 +170,6 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
     dep = stations.select(F.col("id").alias("dep_id"), F.col("code").alias("departure_station_code"))
     arr = stations.select(F.col("id").alias("arr_id"), F.col("code").alias("arrival_station_code"))
 
-    bp = booking_payments(of_window(tables["bookings"], "id", "booking_id"),
-                          of_window(tables["payments"], "booking_id", "booking_id")).withColumn("__r_bk", F.lit(False))
-
     pas = of_window(tables["passengers"], "id", "passenger_id").select(
         F.col("id").alias("p_id"), F.col("first_name").alias("passenger_first_name"),
         F.col("last_name").alias("passenger_last_name"),
@@ -170,13 +192,41 @@ def ticket_report(tables: DomainTables, window: Window | None = None, ordered: b
         nk, jk = spread_key(F.col(column), F.col("ticket_ref"), j.schema[column].dataType)
         return (nk == right[f"__r_{tag}"]) & (jk == right[key])
 
-    # the sides that grow with the tickets come first, those that bring most columns last among them: a ticket is
-    # exchanged for each of them, and should not carry yet what the small sides (trips and beyond) bring
+    sides = [(column, tag, right, key, size) for column, tag, right, key, size in
+             [("fare_id", "fa", fares, "f_id", fares), ("seat_id", "st", seat_car, "s_id", seats), ("passenger_id", "ps", pas, "p_id", pas)]
+             if tag in need]
+    by_pairs = window is None and tables.rereadable and "bk" in need and _exceeds_broadcast(bookings)
+    looked_up = [x for x in sides if by_pairs and _exceeds_broadcast(x[4])]
     j = t
-    for column, tag, right, key in [("fare_id", "fa", fares, "f_id"), ("seat_id", "st", seat_car, "s_id"),
-                                    ("passenger_id", "ps", pas, "p_id"), ("booking_id", "bk", bp, "b_id")]:
-        if tag in need:
-            j = j.join(right, on(j, column, tag, right, key), "left")
+    if looked_up:
+        # the answers meet the tickets by (place, key), of which both are dealt by the place alone
+        t.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        # a task sorts its tickets once for each side, so it should hold a third of the rows of other tasks
+        more = tasks_for(tables.spark, 3 * tables["tickets"].count())
+        tasks = more[0] if more else int(tables.spark.conf.get("spark.sql.shuffle.partitions"))
+        no_booking, place = spread_key(F.col("booking_id"), F.col("ticket_ref"), t.schema["booking_id"].dataType)
+        j = t.select(*[c for c in t.columns if c != "booking_id"], no_booking.alias("__no_booking"), place.alias("__place"))
+        if more:
+            bookings, payments = bookings.repartition(tasks, "id"), payments.repartition(tasks, "booking_id")
+    # sides that are broadcast come first, before a ticket is exchanged; of others, those that bring most columns last:
+    # a ticket is exchanged for each of them, and should not carry yet what the small sides (trips and beyond) bring
+    for column, tag, right, key, _ in [x for x in sides if x not in looked_up]:
+        j = j.join(right, on(j, column, tag, right, key), "left")
+    if "bk" in need:
+        bp = booking_payments(of_window(bookings, "id", "booking_id"),
+                              of_window(payments, "booking_id", "booking_id")).withColumn("__r_bk", F.lit(False))
+    if looked_up:
+        asking = j
+        j = j.repartition(tasks, "__place")
+        for column, tag, right, key, _ in looked_up:
+            found = _looked_up(asking, column, right.drop(f"__r_{tag}"), key, tag, tasks)
+            j = j.join(found, (j["__place"] == found[f"__at_{tag}"]) & (j[column] == found[f"__key_{tag}"]), "left")
+        j = j.join(bp, (j["__place"] == bp.b_id) & ~j["__no_booking"], "left")
+        # equal rows of a side count one by one
+        n = reduce(lambda a, b: a * b, [F.coalesce(F.col(f"__n_{x[1]}"), F.lit(1)) for x in looked_up])
+        j = j.select("*", F.explode(F.array_repeat(F.lit(0), n.cast("int"))))
+    elif "bk" in need:
+        j = j.join(bp, on(j, "booking_id", "bk", bp, "b_id"), "left")
     j = (j.join(trips, F.col("trip_id") == trips.tr_id, "inner")
           .join(routes, F.col("tr_route_id") == routes.ro_id, "inner")
           .join(dep, F.col("tr_dep") == dep.dep_id, "inner")

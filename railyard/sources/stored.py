@@ -20,6 +20,7 @@ and serves later requests from the stored copy:
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
 
@@ -30,10 +31,13 @@ from railyard.session import scratch_path
 from railyard.sources.tables import DomainTables
 
 # table -> (partition column, its expression, the column files are clustered by)
-LAYOUT_VERSION = 3   # bump when the stored layout changes, so old copies are not reused
+LAYOUT_VERSION = 4   # bump when the stored layout changes, so old copies are not reused
 
 PARTITIONING = {"tickets": ("issue_month", lambda df: F.date_format("issued_at", "yyyy-MM"), "issued_at")}
 
+# the tables of most rows are compressed further; those that joins may broadcast are not, for a broadcast is decided by file size
+DENSE = ("tickets", "payments")
+
 
 def _fs(spark, path: str):
     jvm = spark.sparkContext._jvm
@@ -52,6 +56,18 @@ def fingerprint(spark, folder: str) -> str:
     return hashlib.sha1(repr(items).encode()).hexdigest()[:16]
 
 
+@contextlib.contextmanager
+def _exchanges_dropped(spark):
+    """Files of exchanges go as soon as what was run meanwhile has ended, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def write_table(df: DataFrame, name: str, path: str, columns=None, tasks: tuple = ()) -> None:
     """Write one domain table in the stored layout (see module doc).
 
@@ -60,18 +76,23 @@ def write_table(df: DataFrame, name: str, path: str, columns=None, tasks: tuple
     columns, and ``columns(rows, *kept)`` makes the table's after that.
     """
     if name in PARTITIONING:
-        # Range-partition on (month, time): each task covers a contiguous
-        # slice of time, so a month gets a few large files (a busy month is
-        # split across tasks by the sampled ranges), and rows are sorted by
-        # time inside each file, which keeps row-group min/max tight for
-        # the pushed issued_at range.
+        # Range-partition on time: each task covers a contiguous slice of
+        # it, so a month gets a few large files (a busy month is split
+        # across tasks by the sampled ranges), and rows are sorted by time
+        # inside each file, which keeps row-group min/max tight for the
+        # pushed issued_at range.  The month follows from the time and is
+        # formed behind the exchange.
         col, expr, cluster = PARTITIONING[name]
-        w = (df.withColumn(col, expr(df)).repartitionByRange(*tasks, col, cluster)
-               .sortWithinPartitions(col, cluster))
+        w = df.repartitionByRange(*tasks, cluster)
+        w = w.withColumn(col, expr(w)).sortWithinPartitions(col, cluster)
         w = columns(w, col) if columns else w
-        w.write.mode("overwrite").partitionBy(col).parquet(path)
+        writer = w.write.partitionBy(col)
     else:
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write
+    if name in DENSE:
+        writer = writer.option("compression", "zstd")
+    with _exchanges_dropped(df.sparkSession):
+        writer.mode("overwrite").parquet(path)
 
 
 class StoredDomain(DomainTables):

@@ -29,6 +29,7 @@ class DomainTables:
     """Lazy, memoised mapping from domain table name to DataFrame."""
 
     names = tuple(schemas.TABLES)
+    rereadable = True   # a table read twice in a job gives the same rows
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -51,6 +52,7 @@ class _Overridden(DomainTables):
     def __init__(self, base: DomainTables, frames: dict[str, DataFrame]):
         super().__init__(base.spark)
         self._base, self._frames = base, frames
+        self.rereadable = base.rereadable
 
     def build(self, name):
         return self._frames[name] if name in self._frames else self._base[name]
@@ -85,6 +87,8 @@ class JdbcDomain(DomainTables):
     database and its JDBC driver on the classpath; not exercised in tests.)
     """
 
+    rereadable = False   # rows may change between two reads
+
     def __init__(self, spark: SparkSession, url: str, properties: dict | None = None,
                  partitioning: dict | None = None, fetch_size: int = 10000):
         super().__init__(spark)
